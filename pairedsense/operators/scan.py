@@ -51,7 +51,17 @@ def running(df: DataFrame, by: Sequence[str], chunk: str, outputs: dict[str, Run
     """Add one column per output; ``chunk`` must grow with every order named in the outputs."""
     by = list(by)
     cell = Window.partitionBy(*by, chunk)
-    totals = df.groupBy(*by, chunk).agg(*[_total(s).alias(f"_tot_{n}") for n, s in outputs.items()])
+    # Both branches below read this one exchange: the totals use the order columns too
+    # (chunks are sorted by their first position), so Spark finds the two reads equal and reuses it.
+    known = F.col(chunk).isNotNull()
+    for k in by:
+        known = known & F.col(k).isNotNull()
+    placed = df.filter(known).repartition(*[F.col(k) for k in by], F.col(chunk))
+    first = {s.order: f"_first_{i}" for i, s in enumerate(outputs.values())}
+    totals = placed.groupBy(*by, chunk).agg(
+        *[_total(s).alias(f"_tot_{n}") for n, s in outputs.items()],
+        *[F.min(F.struct(*order)).alias(name) for order, name in first.items()],
+    )
     carried = totals.select(
         *by,
         chunk,
@@ -59,14 +69,14 @@ def running(df: DataFrame, by: Sequence[str], chunk: str, outputs: dict[str, Run
             _fold(s, F.col(f"_tot_{n}"))
             .over(
                 Window.partitionBy(*by)
-                .orderBy(*_directed([chunk], s.descending))
+                .orderBy(*_directed([chunk, first[s.order]], s.descending))
                 .rowsBetween(Window.unboundedPreceding, -1)
             )
             .alias(f"_carry_{n}")
             for n, s in outputs.items()
         ],
     )
-    local = df.select(
+    local = placed.select(
         "*",
         *[
             _fold(s, s.value)

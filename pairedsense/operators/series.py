@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import severity_bin
+from ..session import stage
 from .intervals import DAY, bins_of, mask_points
 from .scan import Running, running, time_chunk
 
@@ -78,7 +79,9 @@ def detect_runs(
     """
     by = list(by)
     chunk_seconds = chunk_seconds or window
-    based = trailing_max(series.select(*by, "t", "v", "masked"), by, window, pieces)
+    # The masked series feeds four branches: written once, read back with the columns each needs.
+    series = stage(series.select(*by, "t", "v", "masked"), "masked")
+    based = trailing_max(series, by, window, pieces)
     deficit = F.col("baseline") - F.col("v")
     staged = based.select(
         *by,
@@ -112,9 +115,10 @@ def detect_runs(
         .filter(F.col("end") - F.col("start") >= min_duration)
     )
     enough = series.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") >= MIN_SAMPLES)
-    return runs.join(enough, by, "left_semi").select(
+    found = runs.join(enough, by, "left_semi").select(
         *by, "start", "end", (F.col("end") - F.col("start")).alias("duration"), "max_drop", "area"
     )
+    return stage(found, "runs")
 
 
 def event_burden(runs: DataFrame, masked: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries over the given tables, one module per family."""
 
-from . import series  # noqa: F401
+from . import results, series  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

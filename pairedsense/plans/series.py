@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions.scalars import r6, r9
 from ..operators import intervals as iv
 from ..operators import joins as jn
-from ..operators import ranks
 from ..operators import series as se
 from . import bindings as b
 from .oracle_ctes import with_ctes
@@ -158,9 +157,10 @@ idx AS (SELECT h.subject_id, count(r.s) / h.h AS event_index, coalesce(sum(r.are
 """
 
 
-def burden_table(spark, sf):
+def burden_table(spark, sf, runs=None):
+    runs = detected_runs(spark, sf) if runs is None else runs
     covered = iv.masked_seconds(b.b_series(spark, sf), b.b_awake(spark, sf), KEY, chunk_seconds=b.BIN)
-    return se.event_burden(detected_runs(spark, sf), covered, KEY)
+    return se.event_burden(runs, covered, KEY)
 
 
 @register(
@@ -207,8 +207,9 @@ _FLAG = """flags AS (SELECT a.subject_id, a.event_id, a.event_type, a.s, a.e, EX
     AND r.s <= a.e + 43200 AND r.e >= a.s) AS corroborated FROM ann a)"""
 
 
-def flagged_events(spark, sf):
-    return jn.flag_corroborated(b.b_annotation(spark, sf), detected_runs(spark, sf), KEY, b.LAG, bin_seconds=b.BIN)
+def flagged_events(spark, sf, runs=None):
+    runs = detected_runs(spark, sf) if runs is None else runs
+    return jn.flag_corroborated(b.b_annotation(spark, sf), runs, KEY, b.LAG, bin_seconds=b.BIN)
 
 
 @register(
@@ -239,10 +240,11 @@ def corroboration(spark, sf):
 
 def flagship(spark, sf):
     """Subjects with the highest run index, and how many of their events a run confirms."""
-    per = flagged_events(spark, sf).groupBy("subject_id").agg(
+    found = detected_runs(spark, sf)
+    per = flagged_events(spark, sf, found).groupBy("subject_id").agg(
         F.count("*").alias("events"), F.count_if("corroborated").alias("corroborated")
     )
-    joined = burden_table(spark, sf).join(per, KEY, "left")
+    joined = burden_table(spark, sf, found).join(per, KEY, "left")
     return (
         joined.select(
             "subject_id",

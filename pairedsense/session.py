@@ -54,3 +54,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     from uuid import uuid4
 
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid4().hex[:12]}")
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a table into the shared folder and read it back.
+
+    For a table that several branches of one plan read: it is computed once,
+    its columns can be pruned per branch, the plan above it stays small, and a
+    lost executor costs a re-read instead of the whole lineage.
+    """
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -135,13 +135,21 @@ def cost_table(blocks: DataFrame, latency: DataFrame, quality: DataFrame, key: s
 
 
 def split_counts(manifest: DataFrame, roles: DataFrame, keys: Sequence[str] = ("fold", "protocol", "role")) -> DataFrame:
-    """Rows, subjects and class counts of every (fold, protocol, role)."""
-    rows = manifest.join(roles, ["subject_id", "device"])
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("rows"),
+    """Rows, subjects and class counts of every (fold, protocol, role).
+
+    The manifest is reduced to one row per (subject, device) first, so the
+    product with folds and protocols does not grow with the windows.
+    """
+    small = manifest.groupBy("subject_id", "device").agg(
+        F.count("*").alias("_rows"),
+        F.count_if(F.col("label") == 1).alias("_pos"),
+        F.count_if(F.col("label") == 0).alias("_neg"),
+    )
+    return small.join(roles, ["subject_id", "device"]).groupBy(*keys).agg(
+        F.sum("_rows").alias("rows"),
         F.countDistinct("subject_id").alias("subjects"),
-        F.count_if(F.col("label") == 1).alias("positives"),
-        F.count_if(F.col("label") == 0).alias("negatives"),
+        F.sum("_pos").alias("positives"),
+        F.sum("_neg").alias("negatives"),
     )
 
 

@@ -331,18 +331,18 @@ def pivot(spark, sf):
     "ag30_breakdown_of_best",
     with_ctes(
         "results",
-        """SELECT arm, classifier, protocol, device, CAST(count(*) AS BIGINT) AS rows, CAST(sum(label) AS BIGINT) AS positives FROM results
+        """SELECT arm, classifier, protocol, fold, CAST(count(*) AS BIGINT) AS rows, CAST(sum(label) AS BIGINT) AS positives FROM results
         WHERE (arm, classifier, protocol) = (SELECT (arm, classifier, protocol) FROM (SELECT arm, classifier, protocol FROM summary
         ORDER BY round(balanced_accuracy_mean, 9) DESC, round(f1_mean, 9) DESC, arm, classifier, protocol LIMIT 1)) GROUP BY ALL""",
         SUMMARY,
     ),
 )
 def breakdown(spark, sf):
-    detail = b.b_results(spark, sf).groupBy(*CONFIG, "device").agg(
+    detail = b.b_results(spark, sf).groupBy(*CONFIG, "fold").agg(
         F.count("*").alias("rows"), F.sum("label").cast("long").alias("positives")
     )
     order = [F.desc(F.round("balanced_accuracy_mean", 9)), F.desc(F.round("f1_mean", 9)), F.asc("arm"), F.asc("classifier"), F.asc("protocol")]
-    return sm.breakdown_of_best(summary(spark, sf), detail, order, CONFIG).select(*CONFIG, "device", "rows", "positives")
+    return sm.breakdown_of_best(summary(spark, sf), detail, order, CONFIG).select(*CONFIG, "fold", "rows", "positives")
 
 
 @register(
@@ -507,13 +507,13 @@ def role_sets(spark, sf):
 
 @register(
     "se3_set_difference",
-    """SELECT 'left' AS side, k FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders)
-    UNION ALL SELECT 'right', k FROM (SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer)""",
+    """SELECT 'left' AS side, k FROM (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')
+    UNION ALL SELECT 'right', k FROM (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'O' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""",
 )
 def difference(spark, sf):
-    left = b.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
-    right = b.table(spark, sf, "orders").select(F.col("o_custkey").alias("k"))
-    return so.set_diff(left, right)
+    orders = b.table(spark, sf, "orders")
+    finished, open_ = (orders.filter(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("k")) for s in ("F", "O"))
+    return so.set_diff(finished, open_)
 
 
 @register(

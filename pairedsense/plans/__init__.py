@@ -1,6 +1,6 @@
 """Registered queries over the given tables, one module per family."""
 
-from . import results, series, windows  # noqa: F401
+from . import inference, results, scalars, series, windows  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

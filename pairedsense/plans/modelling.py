@@ -244,7 +244,7 @@ def classifiers(spark, sf):
 def run_grid(spark, sf):
     v = stage(vectors(spark, sf), "vectors")
     reps = {"full": v, "low": v.withColumn("vector", F.slice("vector", 1, 32))}
-    p = ml.run_grid(reps, {"logistic_regression": [{}], "linear_svm": [{"maxIter": 20}]}, ["R_R", "R_S"], [0, 1], b.N_FOLDS, seed=b.SEED)
+    p = ml.run_grid(reps, {"logistic_regression": [{"maxIter": 20}]}, ["R_R", "R_S"], [0, 1], b.N_FOLDS, seed=b.SEED)
     return mt.binary_metrics(p, ["representation", "classifier", "protocol", "fold"])
 
 

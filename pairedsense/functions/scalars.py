@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 import hashlib
 import json
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Hourly-rate limits of the severity classes, lowest first.
@@ -127,14 +127,27 @@ def overlaps(a0: Column | str, a1: Column | str, b0: Column | str, b1: Column |
     return (a0 < b1 - F.lit(tol)) & (a1 > b0 + F.lit(tol))
 
 
-def mix(value: Column | str) -> Column:
-    """Integer mixer onto [0, 2^31-1); products stay below 2^60, so ANSI arithmetic never overflows."""
+def mix_steps(value: Column | str) -> list[Callable[[Column], Column]]:
+    """The steps of the integer mixer onto [0, 2^31-1), each a function of the column before.
+
+    Every step uses its input twice, so the steps belong into separate
+    projections (``with_mixed``) rather than into one nested expression.
+    Products stay below 2^60: ANSI arithmetic never overflows.
+    """
     modulus = F.lit(MIX_MODULUS).cast("long")
-    x = F.pmod(as_column(value).cast("long"), modulus)
+    start = as_column(value).cast("long")
+    steps: list[Callable[[Column], Column]] = [lambda _: F.pmod(start, modulus)]
     for factor in MIX_FACTORS:
-        x = x.bitwiseXOR(F.shiftright(x, 16))
-        x = (x * F.lit(factor).cast("long")) % modulus
-    return x.bitwiseXOR(F.shiftright(x, 15)) % modulus
+        steps.append(lambda x, f=factor: (x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(f).cast("long")) % modulus)
+    steps.append(lambda x: x.bitwiseXOR(F.shiftright(x, 15)) % modulus)
+    return steps
+
+
+def with_mixed(df: DataFrame, name: str, value: Column | str) -> DataFrame:
+    """Add the mixed value of a column, one projection per step."""
+    for step in mix_steps(value):
+        df = df.withColumn(name, step(F.col(name) if name in df.columns else F.lit(0)))
+    return df
 
 
 def text_hash(seed: int | str, *parts: Column | str) -> Column:

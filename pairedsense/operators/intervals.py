@@ -45,18 +45,13 @@ def merge_intervals(df: DataFrame, by: Sequence[str], lo=None, hi=None, chunk_se
 def complement_intervals(df: DataFrame, bounds: DataFrame, by: Sequence[str], chunk_seconds: float = DAY) -> DataFrame:
     """Free stretches of ``[lo, hi]`` per key of ``bounds`` (key, lo, hi); a key without intervals is free throughout."""
     by = list(by)
-    inside = df.join(bounds, by)
-    merged = merge_intervals(inside, by, "lo", "hi", chunk_seconds)
-    # The end of the range enters as an empty marker, so the last gap falls out of the same scan.
-    closing = bounds.filter(F.col("hi") > F.col("lo")).select(*by, F.col("hi").alias("start"), F.col("hi").alias("end"))
-    steps = merged.unionByName(closing).withColumn("_chunk", time_chunk("start", chunk_seconds))
+    merged = merge_intervals(df.join(bounds, by), by, "lo", "hi", chunk_seconds)
+    # Both ends of the range enter as empty markers: the first and last gap, and the
+    # single gap of a key without intervals, fall out of the same scan.
+    ends = bounds.filter(F.col("hi") > F.col("lo")).select(*by, F.explode(F.array("lo", "hi")).alias("start"))
+    steps = merged.unionByName(ends.withColumn("end", F.col("start"))).withColumn("_chunk", time_chunk("start", chunk_seconds))
     seen = running(steps, by, "_chunk", {"_prev": Running("max", F.col("end"), ("start", "end"), inclusive=False)})
-    return (
-        seen.join(bounds, by)
-        .select(*by, F.coalesce("_prev", "lo").alias("gap_start"), F.col("start").alias("gap_end"))
-        .filter(F.col("gap_end") > F.col("gap_start"))
-        .select(*by, F.col("gap_start").alias("start"), F.col("gap_end").alias("end"))
-    )
+    return seen.filter(F.col("start") > F.col("_prev")).select(*by, F.col("_prev").alias("start"), F.col("start").alias("end"))
 
 
 def bins_of(start: Column, end: Column, width: float) -> Column:

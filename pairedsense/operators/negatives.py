@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import stable_id, text_draw
-from ..session import cut_lineage
+from ..session import cut_lineage, stage
 from .intervals import DAY, complement_intervals, overlap_earlier
 from .scan import Running, running
 
@@ -47,7 +47,8 @@ def stretch_blocks(gaps: DataFrame, by: Sequence[str], block: int = BLOCK) -> tu
         },
     ).withColumn("block", F.floor((F.col("j") - 1) / block).cast("long"))
     entry = F.struct("j", "s", "len", "g")
-    blocks = ordered.groupBy(*by, "block").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    # Read by the directory and by both searches.
+    blocks = stage(ordered.groupBy(*by, "block").agg(F.array_sort(F.collect_list(entry)).alias("entries")), "blocks")
     last = F.element_at("entries", -1)
     directory = blocks.groupBy(*by).agg(
         F.array_sort(
@@ -116,7 +117,7 @@ def place_flagged(
     events: DataFrame, gaps: DataFrame, by: Sequence[str], seq: str, seed: int = 42, bin_seconds: float = DAY
 ) -> DataFrame:
     """One pass: negatives drawn independently, those over an earlier one flagged ``fallback``."""
-    placed = place_negatives(events, gaps, by, seq, seed)
+    placed = stage(place_negatives(events, gaps, by, seq, seed), "placed")
     return overlap_earlier(placed, by, seq, bin_seconds).withColumnRenamed("overlaps_earlier", "fallback")
 
 

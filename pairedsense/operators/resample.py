@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import mix, text_hash
+from ..functions.scalars import text_hash, with_mixed
 from ..session import stage
 from .metrics import binary_metrics
 from .scan import numbered
@@ -29,11 +29,12 @@ def draws(scores: DataFrame, by: Sequence[str], unit: str, metrics: Sequence[str
     size = base.groupBy(*by).agg(F.count("*").alias("_n")) if by else base.agg(F.count("*").alias("_n"))
     slots = base.select(*by, "_slot")
     slots = slots.join(size, by) if by else slots.crossJoin(F.broadcast(size))
-    picks = slots.select(
-        *by, "_slot", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long"))).alias("iteration")
-    ).select(
-        *by, "iteration", (mix(mix(F.col("iteration") + seed * SEED_STEP) + F.col("_slot")) % F.col("_n") + 1).alias("_slot")
-    )
+    # A small score table would sit in one task; its slots are spread before they are multiplied.
+    tasks = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = slots.repartition(tasks, *[F.col(k) for k in by], F.col("_slot"))
+    each = spread.withColumn("iteration", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long"))))
+    mixed = with_mixed(with_mixed(each, "_a", F.col("iteration") + seed * SEED_STEP), "_b", F.col("_a") + F.col("_slot"))
+    picks = mixed.select(*by, "iteration", (F.col("_b") % F.col("_n") + 1).alias("_slot"))
     return picks.join(base.drop(unit), [*by, "_slot"]).groupBy(*by, "iteration").agg(*[F.avg(m).alias(m) for m in metrics])
 
 

@@ -43,7 +43,8 @@ def _fold(spec: Running, value: Column) -> Column:
 def _total(spec: Running) -> Column:
     if spec.kind != "last":
         return _fold(spec, spec.value)
-    position = F.when(spec.value.isNotNull(), F.struct(*spec.order))
+    place = F.struct(*spec.order) if len(spec.order) > 1 else F.col(spec.order[0])
+    position = F.when(spec.value.isNotNull(), place)
     return F.min_by(spec.value, position) if spec.descending else F.max_by(spec.value, position)
 
 
@@ -57,10 +58,10 @@ def running(df: DataFrame, by: Sequence[str], chunk: str, outputs: dict[str, Run
     for k in by:
         known = known & F.col(k).isNotNull()
     placed = df.filter(known).repartition(*[F.col(k) for k in by], F.col(chunk))
-    first = {s.order: f"_first_{i}" for i, s in enumerate(outputs.values())}
+    first = {c: f"_first_{c}" for s in outputs.values() for c in s.order}
     totals = placed.groupBy(*by, chunk).agg(
         *[_total(s).alias(f"_tot_{n}") for n, s in outputs.items()],
-        *[F.min(F.struct(*order)).alias(name) for order, name in first.items()],
+        *[F.min(c).alias(name) for c, name in first.items()],
     )
     carried = totals.select(
         *by,
@@ -69,7 +70,7 @@ def running(df: DataFrame, by: Sequence[str], chunk: str, outputs: dict[str, Run
             _fold(s, F.col(f"_tot_{n}"))
             .over(
                 Window.partitionBy(*by)
-                .orderBy(*_directed([chunk, first[s.order]], s.descending))
+                .orderBy(*_directed([chunk, *[first[c] for c in s.order]], s.descending))
                 .rowsBetween(Window.unboundedPreceding, -1)
             )
             .alias(f"_carry_{n}")

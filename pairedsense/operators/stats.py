@@ -78,7 +78,7 @@ def mann_whitney_statistic(df: DataFrame, by: Sequence[str], group: str, first:
     return (
         sums.withColumn("u", F.when(both, u))
         .withColumn("cliffs_delta", F.when(both, 2.0 * F.col("u") / (n1 * n2) - 1.0))
-        .withColumn("z", F.greatest(F.try_divide(top - n1 * n2 / 2.0 - 0.5, spread), F.lit(0.0)))
+        .withColumn("z", F.when(both & (spread > 0), F.greatest((top - n1 * n2 / 2.0 - 0.5) / spread, F.lit(0.0))))
         .drop("_r", "_ties")
     )
 

@@ -310,10 +310,10 @@ def exclude_seen(target: DataFrame, source: DataFrame, key: str = "patient_id")
 
 
 def grid(*dimensions: DataFrame) -> DataFrame:
-    """Experiment grid: product of small dimension tables."""
+    """Experiment grid: every combination of the dimension tables, which is what a grid is."""
     out = dimensions[0]
     for dim in dimensions[1:]:
-        out = out.crossJoin(F.broadcast(dim))
+        out = out.crossJoin(dim)
     return out
 
 

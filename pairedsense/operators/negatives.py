@@ -74,36 +74,30 @@ def place_negatives(
     def weight_upto(e: Column) -> Column:
         return e["s"] - e["j"] * (F.col("d") - EPS)
 
-    # Block that ends the eligible prefix: the last one opened by a stretch that fits.
+    # Block that ends the eligible prefix: the one after the blocks that fit as a whole. The directory
+    # is dropped before every join on blocks, so no event carries it through a shuffle.
     whole = F.filter("directory", fits)
-    step = want.join(directory, by).withColumn("block", F.size(whole).cast("long"))
     last_block = F.element_at("directory", -1)["block"]
-    step = step.withColumn("block", F.least("block", last_block)).join(blocks, [*by, "block"])
+    step = want.join(directory, by).select(
+        *want.columns,
+        F.least(F.size(whole).cast("long"), last_block).alias("block"),
+        F.when(F.size(whole) > 0, F.element_at(whole, -1)).alias("_whole"),
+    )
     inside = F.filter("entries", fits)
-    tail = F.when(F.size(inside) > 0, F.element_at(inside, -1)).otherwise(
-        F.when(
-            F.size(whole) > 0,
-            F.struct(
-                F.element_at(whole, -1)["j"].alias("j"),
-                F.element_at(whole, -1)["s"].alias("s"),
-                F.element_at(whole, -1)["len"].alias("len"),
-                F.lit(None).cast("double").alias("g"),
-            ),
-        )
+    upto = F.when(F.size(inside) > 0, weight_upto(F.element_at(inside, -1))).when(
+        F.col("_whole").isNotNull(), weight_upto(F.col("_whole"))
     )
-    step = step.withColumn("_tail", F.when(F.size("directory") > 0, tail)).filter(F.col("_tail").isNotNull())
-    step = step.withColumn("aim", text_draw(f"{seed}:{attempt}", *by, seq) * weight_upto(F.col("_tail")))
-    # Block holding the first stretch whose cumulative weight reaches the draw. A block that holds
-    # the end of the prefix is taken when none before it reaches.
+    aim = text_draw(f"{seed}:{attempt}", *by, seq) * upto
+    step = step.join(blocks, [*by, "block"]).select(*want.columns, "block", aim.alias("aim")).filter(F.col("aim").isNotNull())
+    # Block holding the first stretch whose cumulative weight reaches the draw; the block that ends
+    # the prefix is taken when none before it reaches.
     reached = F.filter("directory", lambda e: fits(e) & (weight_upto(e) >= F.col("aim")))
-    step = step.withColumn(
-        "block", F.when(F.size(reached) > 0, F.element_at(reached, 1)["block"]).otherwise(F.col("block"))
-    ).drop("entries", "directory")
-    step = step.join(blocks, [*by, "block"])
-    hit = F.filter("entries", lambda e: fits(e) & (weight_upto(e) >= F.col("aim")))
-    step = step.withColumn(
-        "_e", F.when(F.size(hit) > 0, F.element_at(hit, 1)).otherwise(F.element_at(F.filter("entries", fits), -1))
+    step = step.join(directory, by).select(
+        *want.columns, "aim", F.when(F.size(reached) > 0, F.element_at(reached, 1)["block"]).otherwise(F.col("block")).alias("block")
     )
+    hit = F.filter("entries", lambda e: fits(e) & (weight_upto(e) >= F.col("aim")))
+    chosen = F.when(F.size(hit) > 0, F.element_at(hit, 1)).otherwise(F.element_at(F.filter("entries", fits), -1))
+    step = step.join(blocks, [*by, "block"]).select(*want.columns, "aim", chosen.alias("_e"))
     slack = F.greatest(F.col("_e.len") - F.col("d"), F.lit(0.0))
     before = weight_upto(F.col("_e")) - (F.col("_e.len") - F.col("d") + EPS)
     share = F.least(F.greatest((F.col("aim") - before) / (slack + EPS), F.lit(0.0)), F.lit(1.0))

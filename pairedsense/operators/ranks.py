@@ -2,7 +2,9 @@
 
 Rows are first reduced to one row per (group, value), so a value held by a
 third of all rows is one row. The distinct values of a group are then cut into
-cells along the value axis and counted with ``scan.running``.
+cells of equal width along the value axis, crowded cells are cut again, and
+``scan.running`` counts over the cells. Cells depend on the data only, so a
+recomputed task sees the same ones.
 """
 
 from __future__ import annotations
@@ -15,12 +17,30 @@ from pyspark.sql import functions as F
 from .scan import Running, running
 
 CELLS = 4096
+CROWDED = 100_000
 
 
-def _cell(value: str, low: Column, high: Column, cells: int) -> Column:
+def _place(reduced: DataFrame, spread: DataFrame, keys: list[str], value: str, bounds, cells: int) -> DataFrame:
+    """Add the spread and ``_cell``, a cell number that grows with the value."""
+    low, high = (F.col("_low"), F.col("_high")) if bounds is None else (F.lit(float(bounds[0])), F.lit(float(bounds[1])))
     width = high - low
     share = F.when(width > 0, (F.col(value) - low) / width).otherwise(F.lit(0.0))
-    return F.least(F.floor(share * cells), F.lit(cells - 1)).cast("long")
+    placed = reduced.join(spread, keys).withColumn("_at", share * cells)
+    placed = placed.withColumn("_coarse", F.least(F.greatest(F.floor("_at"), F.lit(0)), F.lit(cells - 1)).cast("long"))
+    crowded = (
+        placed.groupBy(*keys, "_coarse")
+        .agg(F.count("*").alias("_load"))
+        .filter(F.col("_load") > CROWDED)
+        .withColumn("_parts", F.least(F.ceil(F.col("_load") / CROWDED), F.lit(cells)).cast("long"))
+        .drop("_load")
+    )
+    inner = F.floor((F.col("_at") - F.col("_coarse")) * F.col("_parts"))
+    fine = F.coalesce(F.least(F.greatest(inner, F.lit(0)), F.col("_parts") - 1), F.lit(0)).cast("long")
+    return (
+        placed.join(crowded, [*keys, "_coarse"], "left")
+        .withColumn("_cell", F.col("_coarse") * cells + fine)
+        .drop("_at", "_coarse", "_parts")
+    )
 
 
 def cumulative(
@@ -34,23 +54,19 @@ def cumulative(
 ) -> DataFrame:
     """One row per (group, value): each counter, its running sum ``<name>_cum`` and group total ``<name>_all``.
 
-    The running sum includes the value itself. ``bounds`` saves one join when
-    the value range is known (probabilities).
+    The running sum includes the value itself. ``bounds`` names the value range
+    where it is known (probabilities).
     """
     by = list(by)
     keys = by or ["_all"]
     base = df if by else df.withColumn("_all", F.lit(0))
-    reduced = base.groupBy(*keys, value).agg(*[F.sum(c).alias(n) for n, c in counters.items()])
+    reduced = base.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[F.sum(c).alias(n) for n, c in counters.items()])
     spread = reduced.groupBy(*keys).agg(
         F.min(value).alias("_low"),
         F.max(value).alias("_high"),
         *[F.sum(n).alias(f"{n}_all") for n in counters],
     )
-    if bounds is None:
-        placed = reduced.join(spread, keys).withColumn("_cell", _cell(value, F.col("_low"), F.col("_high"), cells))
-    else:
-        low, high = F.lit(float(bounds[0])), F.lit(float(bounds[1]))
-        placed = reduced.join(spread, keys).withColumn("_cell", _cell(value, low, high, cells))
+    placed = _place(reduced, spread, keys, value, bounds, cells)
     out = running(
         placed,
         keys,

@@ -98,7 +98,7 @@ def skipped(predictions: DataFrame, specs: DataFrame, n_folds: int, keys: Sequen
         .agg(F.lit("incomplete folds").alias("reason"))
     )
     uneven = (
-        predictions.join(F.broadcast(sides), "arm")
+        predictions.join(sides, "arm")
         .groupBy("comparison", *keys)
         .agg(F.count_if(F.col("side") == "l").alias("_l"), F.count_if(F.col("side") == "r").alias("_r"))
         .filter(F.col("_l") != F.col("_r"))

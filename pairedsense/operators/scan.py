@@ -109,13 +109,13 @@ def time_chunk(t: Column | str, seconds: float) -> Column:
     return F.floor(t / F.lit(float(seconds))).cast("long")
 
 
-def hash_chunk(key: Column | str, digits: int = 2) -> Column:
+def hash_chunk(key: Column | str, digits: int = 3) -> Column:
     """Leading hex digits of a digest: a chunk that grows with the digest order."""
     key = F.col(key) if isinstance(key, str) else key
     return F.conv(F.substring(key, 1, digits), 16, 10).cast("long")
 
 
-def numbered(df: DataFrame, by: Sequence[str], digest: str, name: str, digits: int = 2, tie: Sequence[str] = ()) -> DataFrame:
+def numbered(df: DataFrame, by: Sequence[str], digest: str, name: str, digits: int = 3, tie: Sequence[str] = ()) -> DataFrame:
     """1-based row number within ``by`` in digest order, without one task per key."""
     staged = df.withColumn("_chunk", hash_chunk(digest, digits)).withColumn("_one", F.lit(1).cast("long"))
     keys = list(by)

@@ -24,7 +24,7 @@ def assemble(features: DataFrame, representation: DataFrame, key: str = "sample_
     One aggregation per sample; a group holds as many rows as the representation has blocks.
     """
     wanted = representation.agg(F.count("*").alias("_blocks"))
-    rows = features.join(F.broadcast(representation), "feature")
+    rows = features.join(representation, "feature")
     packed = rows.groupBy(key).agg(
         F.array_sort(F.collect_list(F.struct("ordinal", "vector"))).alias("_p"), F.countDistinct("ordinal").alias("_n")
     )

@@ -150,8 +150,8 @@ def alignment(spark, sf):
 
 
 def daily_segments(spark, sf):
-    """Recorded segments: the samples of one subject and day, one per second."""
-    e = b.timed_events(spark, sf).withColumn("seq", F.floor(F.col("t") / 86400.0).cast("long"))
+    """Recorded segments: the samples of one subject and ten minutes, read as one per second."""
+    e = b.timed_events(spark, sf).withColumn("seq", F.floor(F.col("t") / 600.0).cast("long"))
     packed = e.groupBy("subject_id", "seq").agg(F.array_sort(F.collect_list(F.struct("t", "event_id", "value"))).alias("s"))
     return packed.select("subject_id", "seq", F.transform("s", lambda x: x["value"]).alias("samples"))
 
@@ -171,7 +171,7 @@ def stitched(spark, sf):
     wins = n.filter("n >= 15").select(
         "subject_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 15) / 20).cast("long"))).alias("window_id")
     ).select("subject_id", "window_id", (F.col("window_id") * 20 + 3).cast("double").alias("start_sec"), (F.col("window_id") * 20 + 15).cast("double").alias("end_sec"))
-    out = dsp.window_samples(wins, segs, "subject_id", 1.0)
+    out = dsp.window_samples(wins, segs, "subject_id", 1.0, chunk_segments=1008)
     return out.select("subject_id", "window_id", F.posexplode("samples").alias("position", "v"))
 
 

@@ -228,7 +228,7 @@ def paired_t(spark, sf):
     return st.paired_t(grouped_means(spark, sf), ["g"], "d")
 
 
-_WILCOXON = PAIR_CTES + """, nz AS (SELECT CAST(subject_id % 3 AS INTEGER) AS g, round(d, 1) AS d FROM means WHERE round(d, 1) <> 0),
+_WILCOXON = PAIR_CTES + """, nz AS (SELECT CAST(subject_id % 3 AS INTEGER) AS g, floor(d * 4) / 4 AS d FROM means WHERE floor(d * 4) <> 0),
     rk AS (SELECT g, d, rank() OVER (PARTITION BY g ORDER BY abs(d)) + (count(*) OVER (PARTITION BY g, abs(d)) - 1) / 2.0::DOUBLE AS r FROM nz)"""
 
 
@@ -242,13 +242,13 @@ _WILCOXON = PAIR_CTES + """, nz AS (SELECT CAST(subject_id % 3 AS INTEGER) AS g,
     ),
 )
 def wilcoxon_statistic(spark, sf):
-    rounded = grouped_means(spark, sf).withColumn("d", F.round("d", 1))
+    rounded = grouped_means(spark, sf).withColumn("d", F.floor(F.col("d") * 4) / 4.0)
     return st.wilcoxon_statistic(rounded, ["g"], "d").select("g", "n", "w_plus", "w_minus", "statistic")
 
 
 @register("st8_wilcoxon")
 def wilcoxon(spark, sf):
-    return st.wilcoxon(grouped_means(spark, sf).withColumn("d", F.round("d", 1)), ["g"], "d")
+    return st.wilcoxon(grouped_means(spark, sf).withColumn("d", F.floor(F.col("d") * 4) / 4.0), ["g"], "d")
 
 
 def device_values(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import r6, r9
+from ..functions.scalars import r6
 from ..operators import joins as jn
 from ..operators import metrics as mt
 from ..operators import setops as so
@@ -17,8 +17,13 @@ CELL = ["arm", "classifier", "protocol", "fold"]
 CONFIG = ["arm", "classifier", "protocol"]
 
 
-def r9s(df, keep, names):
-    return df.select(*keep, *[r9(n).alias(n) for n in names])
+def r10(value):
+    """Ten places: ratios of small counts are then almost never half-way cases."""
+    return F.round(F.col(value), 10) + F.lit(0.0)
+
+
+def r10s(df, keep, names):
+    return df.select(*keep, *[r10(n).alias(n) for n in names])
 
 
 COUNT_SQL = """CAST(sum(CASE WHEN label = 0 AND probability < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS tn,
@@ -27,18 +32,18 @@ CAST(sum(CASE WHEN label = 1 AND probability < 0.5 THEN 1 ELSE 0 END) AS BIGINT)
 CAST(sum(CASE WHEN label = 1 AND probability >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS tp"""
 
 # Metrics from counts, each by its textbook definition (rates, then means of rates).
-SCORE_SQL = """round(CAST(tp + tn AS DOUBLE) / (tp + tn + fp + fn), 9) + 0.0 AS accuracy,
+SCORE_SQL = """round(CAST(tp + tn AS DOUBLE) / (tp + tn + fp + fn), 10) + 0.0 AS accuracy,
 round(CASE WHEN tp + fn = 0 THEN CAST(tn AS DOUBLE) / nullif(tn + fp, 0) WHEN tn + fp = 0 THEN CAST(tp AS DOUBLE) / (tp + fn)
-  ELSE (CAST(tp AS DOUBLE) / (tp + fn) + CAST(tn AS DOUBLE) / (tn + fp)) / 2 END, 9) + 0.0 AS balanced_accuracy,
-round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0), 9) + 0.0 AS "precision",
-round(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 9) + 0.0 AS sensitivity,
-round(CAST(tn AS DOUBLE) / nullif(tn + fp, 0), 9) + 0.0 AS specificity,
-round(coalesce(2 * CAST(tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0), 9) + 0.0 AS f1,
+  ELSE (CAST(tp AS DOUBLE) / (tp + fn) + CAST(tn AS DOUBLE) / (tn + fp)) / 2 END, 10) + 0.0 AS balanced_accuracy,
+round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0), 10) + 0.0 AS "precision",
+round(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 10) + 0.0 AS sensitivity,
+round(CAST(tn AS DOUBLE) / nullif(tn + fp, 0), 10) + 0.0 AS specificity,
+round(coalesce(2 * CAST(tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0), 10) + 0.0 AS f1,
 round((coalesce(2 * CAST(tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0) + coalesce(2 * CAST(tn AS DOUBLE) / nullif(2 * tn + fp + fn, 0), 0))
-  / (CASE WHEN tp + fp + fn > 0 THEN 1 ELSE 0 END + CASE WHEN tn + fp + fn > 0 THEN 1 ELSE 0 END), 9) + 0.0 AS macro_f1,
+  / (CASE WHEN tp + fp + fn > 0 THEN 1 ELSE 0 END + CASE WHEN tn + fp + fn > 0 THEN 1 ELSE 0 END), 10) + 0.0 AS macro_f1,
 round(coalesce((CAST(tp AS DOUBLE) * tn - CAST(fp AS DOUBLE) * fn) / nullif(sqrt(CAST(tp + fp AS DOUBLE)) * sqrt(CAST(tp + fn AS DOUBLE))
-  * sqrt(CAST(tn + fp AS DOUBLE)) * sqrt(CAST(tn + fn AS DOUBLE)), 0), 0), 9) + 0.0 AS mcc,
-round(1 - (CAST(fp + fn AS DOUBLE) * (tp + tn + fp + fn)) / nullif(CAST(tp + fp AS DOUBLE) * (tn + fp) + CAST(tn + fn AS DOUBLE) * (tp + fn), 0), 9) + 0.0 AS cohen_kappa"""
+  * sqrt(CAST(tn + fp AS DOUBLE)) * sqrt(CAST(tn + fn AS DOUBLE)), 0), 0), 10) + 0.0 AS mcc,
+round(1 - (CAST(fp + fn AS DOUBLE) * (tp + tn + fp + fn)) / nullif(CAST(tp + fp AS DOUBLE) * (tn + fp) + CAST(tn + fn AS DOUBLE) * (tp + fn), 0), 10) + 0.0 AS cohen_kappa"""
 
 TOTALS_SQL = """tn, fp, fn, tp, tn + fp + fn + tp AS n, tn + fp AS support_negative, tp + fn AS support_positive"""
 
@@ -58,7 +63,7 @@ def cell_scores(spark, sf):
 
 
 def rounded_scores(spark, sf):
-    return r9s(cell_scores(spark, sf), [*CELL, *COUNT_COLS], mt.SCORES)
+    return r10s(cell_scores(spark, sf), [*CELL, *COUNT_COLS], mt.SCORES)
 
 
 @register(
@@ -75,7 +80,7 @@ def binary(spark, sf):
 )
 def per_subject(spark, sf):
     out = mt.binary_metrics(b.b_predictions(spark, sf), ["arm", "subject_id"])
-    return r9s(out, ["arm", "subject_id", *COUNT_COLS], mt.SCORES)
+    return r10s(out, ["arm", "subject_id", *COUNT_COLS], mt.SCORES)
 
 
 @register(
@@ -89,7 +94,7 @@ def per_subject(spark, sf):
 )
 def scoped(spark, sf):
     out = mt.scoped_metrics(b.b_predictions(spark, sf), ["arm", "fold"])
-    return r9s(out, ["arm", "fold", "scope", "device_scope", *COUNT_COLS], mt.SCORES)
+    return r10s(out, ["arm", "fold", "scope", "device_scope", *COUNT_COLS], mt.SCORES)
 
 
 _AUC = """ranked AS (SELECT arm, subject_id, label, rank() OVER (PARTITION BY arm, subject_id ORDER BY probability)
@@ -102,12 +107,12 @@ auc AS (SELECT arm, subject_id, count(CASE WHEN label = 1 THEN 1 END) AS p, coun
     "ag10_roc_auc",
     with_ctes(
         "pred",
-        """SELECT arm, subject_id, round(CASE WHEN p > 0 AND q > 0 THEN (s - CAST(p AS DOUBLE) * (p + 1) / 2) / (CAST(p AS DOUBLE) * q) END, 9) + 0.0 AS roc_auc FROM auc""",
+        """SELECT arm, subject_id, round(CASE WHEN p > 0 AND q > 0 THEN (s - CAST(p AS DOUBLE) * (p + 1) / 2) / (CAST(p AS DOUBLE) * q) END, 10) + 0.0 AS roc_auc FROM auc""",
         _AUC,
     ),
 )
 def auc(spark, sf):
-    return r9s(mt.roc_auc(b.b_predictions(spark, sf), ["arm", "subject_id"]), ["arm", "subject_id"], ["roc_auc"])
+    return r10s(mt.roc_auc(b.b_predictions(spark, sf), ["arm", "subject_id"]), ["arm", "subject_id"], ["roc_auc"])
 
 
 _AP = """steps AS (SELECT arm, fold, probability, sum(label) AS pos, count(*) AS n FROM pred GROUP BY arm, fold, probability),
@@ -120,51 +125,51 @@ tot AS (SELECT arm, fold, sum(pos) AS p, sum(n) AS m FROM steps GROUP BY arm, fo
     "ag11_average_precision",
     with_ctes(
         "pred",
-        """SELECT arm, fold, round(sum(CAST(pos AS DOUBLE) / p * tpc / nc), 9) + 0.0 AS average_precision FROM cum JOIN tot USING (arm, fold)
+        """SELECT arm, fold, round(sum(CAST(pos AS DOUBLE) / p * tpc / nc), 10) + 0.0 AS average_precision FROM cum JOIN tot USING (arm, fold)
         GROUP BY arm, fold""",
         _AP,
     ),
 )
 def ap(spark, sf):
-    return r9s(mt.average_precision(b.b_predictions(spark, sf), ["arm", "fold"]), ["arm", "fold"], ["average_precision"])
+    return r10s(mt.average_precision(b.b_predictions(spark, sf), ["arm", "fold"]), ["arm", "fold"], ["average_precision"])
 
 
 @register(
     "ag12_roc_points",
     with_ctes(
         "pred",
-        """SELECT arm, fold, round(probability, 9) + 0.0 AS threshold, round(CAST(nc - tpc AS DOUBLE) / (m - p), 9) + 0.0 AS fpr,
-        round(CAST(tpc AS DOUBLE) / p, 9) + 0.0 AS tpr FROM cum JOIN tot USING (arm, fold)""",
+        """SELECT arm, fold, round(probability, 10) + 0.0 AS threshold, round(CAST(nc - tpc AS DOUBLE) / (m - p), 10) + 0.0 AS fpr,
+        round(CAST(tpc AS DOUBLE) / p, 10) + 0.0 AS tpr FROM cum JOIN tot USING (arm, fold)""",
         _AP,
     ),
 )
 def roc(spark, sf):
-    return r9s(mt.roc_points(b.b_predictions(spark, sf), ["arm", "fold"]), ["arm", "fold"], ["threshold", "fpr", "tpr"])
+    return r10s(mt.roc_points(b.b_predictions(spark, sf), ["arm", "fold"]), ["arm", "fold"], ["threshold", "fpr", "tpr"])
 
 
 @register(
     "ag12_pr_points",
     with_ctes(
         "pred",
-        """SELECT arm, fold, round(probability, 9) + 0.0 AS threshold, round(CAST(tpc AS DOUBLE) / nc, 9) + 0.0 AS "precision",
-        round(CAST(tpc AS DOUBLE) / p, 9) + 0.0 AS recall FROM cum JOIN tot USING (arm, fold)""",
+        """SELECT arm, fold, round(probability, 10) + 0.0 AS threshold, round(CAST(tpc AS DOUBLE) / nc, 10) + 0.0 AS "precision",
+        round(CAST(tpc AS DOUBLE) / p, 10) + 0.0 AS recall FROM cum JOIN tot USING (arm, fold)""",
         _AP,
     ),
 )
 def pr(spark, sf):
-    return r9s(mt.pr_points(b.b_predictions(spark, sf), ["arm", "fold"]), ["arm", "fold"], ["threshold", "precision", "recall"])
+    return r10s(mt.pr_points(b.b_predictions(spark, sf), ["arm", "fold"]), ["arm", "fold"], ["threshold", "precision", "recall"])
 
 
 @register(
     "ag13_calibration",
     with_ctes(
         "pred",
-        """SELECT arm, CAST(least(floor(probability * 10), 9) AS INTEGER) AS bin, count(*) AS n, round(avg(probability), 9) + 0.0 AS mean_predicted,
-        round(avg(CAST(label AS DOUBLE)), 9) + 0.0 AS observed FROM pred GROUP BY 1, 2""",
+        """SELECT arm, CAST(least(floor(probability * 10), 9) AS INTEGER) AS bin, count(*) AS n, round(avg(probability), 10) + 0.0 AS mean_predicted,
+        round(avg(CAST(label AS DOUBLE)), 10) + 0.0 AS observed FROM pred GROUP BY 1, 2""",
     ),
 )
 def calibrate(spark, sf):
-    return r9s(mt.calibration(b.b_predictions(spark, sf), ["arm"]), ["arm", "bin", "n"], ["mean_predicted", "observed"])
+    return r10s(mt.calibration(b.b_predictions(spark, sf), ["arm"]), ["arm", "bin", "n"], ["mean_predicted", "observed"])
 
 
 SUMMARY = SCORED + """, summary AS (SELECT arm, classifier, protocol, count(*) AS folds, avg(balanced_accuracy) AS balanced_accuracy_mean,
@@ -400,7 +405,7 @@ _SCOPED = f"""scoped AS (SELECT arm, fold AS experiment, scope, device_scope, {S
     ),
 )
 def ranks(spark, sf):
-    base = r9s(scoped_cells(spark, sf), ["arm", "experiment", "scope", "device_scope"], ["accuracy", "balanced_accuracy", "macro_f1"])
+    base = r10s(scoped_cells(spark, sf), ["arm", "experiment", "scope", "device_scope"], ["accuracy", "balanced_accuracy", "macro_f1"])
     out = sm.add_ranks(base, "experiment", ["accuracy", "balanced_accuracy", "macro_f1"])
     return out.select("arm", "experiment", "scope", "device_scope", "rank_accuracy", "rank_balanced_accuracy", "rank_macro_f1")
 
@@ -415,7 +420,7 @@ def ranks(spark, sf):
     ),
 )
 def best(spark, sf):
-    base = r9s(scoped_cells(spark, sf), ["arm", "experiment", "scope"], ["accuracy", "balanced_accuracy", "macro_f1"])
+    base = r10s(scoped_cells(spark, sf), ["arm", "experiment", "scope"], ["accuracy", "balanced_accuracy", "macro_f1"])
     out = sm.best_per_group(base.filter("scope = 'overall'"), ["experiment"], ["accuracy", "balanced_accuracy", "macro_f1"], ["arm"])
     return out.select("arm", "experiment", "accuracy", "balanced_accuracy", "macro_f1")
 
@@ -467,13 +472,13 @@ def nearest(spark, sf):
     "so4_errors_first",
     with_ctes(
         "pred",
-        """SELECT sample_id, arm, label, round(probability, 9) + 0.0 AS probability, (probability >= 0.5) = (label = 1) AS is_correct FROM pred
+        """SELECT sample_id, arm, label, round(probability, 10) + 0.0 AS probability, (probability >= 0.5) = (label = 1) AS is_correct FROM pred
         ORDER BY is_correct, sample_id""",
     ),
 )
 def errors(spark, sf):
     out = sm.errors_first(b.b_predictions(spark, sf), ["sample_id", "arm"])
-    return out.select("sample_id", "arm", "label", r9("probability").alias("probability"), "is_correct")
+    return out.select("sample_id", "arm", "label", r10("probability").alias("probability"), "is_correct")
 
 
 @register(
@@ -537,14 +542,14 @@ def common(spark, sf):
     "jn13_align_predictions",
     with_ctes(
         "pred",
-        """SELECT x.subject_id, x.sample_id, x.label, round(x.probability, 9) + 0.0 AS probability_a, round(y.probability, 9) + 0.0 AS probability_b FROM pred x JOIN pred y
+        """SELECT x.subject_id, x.sample_id, x.label, round(x.probability, 10) + 0.0 AS probability_a, round(y.probability, 10) + 0.0 AS probability_b FROM pred x JOIN pred y
         ON x.sample_id = y.sample_id AND x.subject_id = y.subject_id AND x.label = y.label AND x.arm = 'm1' AND y.arm = 'm2'""",
     ),
 )
 def aligned(spark, sf):
     p = b.b_predictions(spark, sf)
     out = jn.align_predictions(p.filter("arm = 'm1'"), p.filter("arm = 'm2'"), ["subject_id", "sample_id", "label"])
-    return out.select("subject_id", "sample_id", "label", r9("probability_a").alias("probability_a"), r9("probability_b").alias("probability_b"))
+    return out.select("subject_id", "sample_id", "label", r10("probability_a").alias("probability_a"), r10("probability_b").alias("probability_b"))
 
 
 @register(

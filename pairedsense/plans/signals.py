@@ -84,13 +84,13 @@ def anchor_grid(spark, sf):
     "ds3_five_centers",
     with_ctes(
         "rec",
-        """SELECT subject_id, CAST(k AS INTEGER) AS anchor, round(lo + (hi - lo) * k / 4, 4) + 0.0 AS center_sec FROM (SELECT subject_id, least(900, common_sec / 6) / 2 + 60 AS lo,
+        """SELECT subject_id, CAST(k AS INTEGER) AS anchor, round(lo + (hi - lo) * k / 4, 3) + 0.0 AS center_sec FROM (SELECT subject_id, least(900, common_sec / 6) / 2 + 60 AS lo,
         common_sec - least(900, common_sec / 6) / 2 - 60 AS hi FROM rec), (SELECT unnest(range(0, 5)) AS k)""",
     ),
 )
 def five(spark, sf):
     out = dsp.five_centers(b.b_recordings(spark, sf), "subject_id", "common_sec")
-    return out.select("subject_id", "anchor", (F.round("center", 4) + 0.0).alias("center_sec"))
+    return out.select("subject_id", "anchor", (F.round("center", 3) + 0.0).alias("center_sec"))
 
 
 @register(

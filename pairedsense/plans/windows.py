@@ -508,6 +508,10 @@ def nearest(spark, sf):
     ),
 )
 def propagate(spark, sf):
+    return flagged_manifest(spark, sf, manifest(spark, sf)).select("sample_id", "subject_id", "device", "label", "corroborated")
+
+
+def flagged_manifest(spark, sf, rows):
     flags = flagged_events(spark, sf).select(
         stable_id(
             "subject_id",
@@ -518,8 +522,7 @@ def propagate(spark, sf):
         ).alias("logical_window_id"),
         "corroborated",
     )
-    out = jn.propagate_flag(manifest(spark, sf), flags, "corroborated")
-    return out.select("sample_id", "subject_id", "device", "label", "corroborated")
+    return jn.propagate_flag(rows, flags, "corroborated")
 
 
 # ---------------------------------------------------------------- splits
@@ -617,8 +620,9 @@ def check_split(spark, sf):
     ),
 )
 def uncorroborated(spark, sf):
-    flags = propagate(spark, sf).select("sample_id", "corroborated")
-    rows = sp.split(manifest(spark, sf), folds(spark, sf), 1, "R_S", b.N_FOLDS)
+    windows = manifest(spark, sf)
+    flags = flagged_manifest(spark, sf, windows).select("sample_id", "corroborated")
+    rows = sp.split(windows, folds(spark, sf), 1, "R_S", b.N_FOLDS)
     return sp.filter_uncorroborated(rows, flags).select("sample_id", "role")
 
 

@@ -223,9 +223,25 @@ def t_statistic(spark, sf):
     return st.paired_t_statistic(grouped_means(spark, sf), ["g"], "d").select("g", "n", r6("t").alias("t"))
 
 
-@register("st7_paired_t")
+# Tail areas by Simpson's rule over 2,000 steps from 0 to the statistic.
+STEPS = "CROSS JOIN (SELECT unnest(range(0, 2001)) AS i)"
+WEIGHT = "CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+NORMAL_TAIL = f"1 - 2 * any_value(z) / 6000 * sum({WEIGHT} * exp(-pow(z * i / 2000, 2) / 2) / sqrt(2 * pi()))"
+T_TAIL = f"""1 - 2 * any_value(abs(t)) / 6000 * sum({WEIGHT} * exp(lgamma(n / 2.0::DOUBLE) - lgamma((n - 1) / 2.0::DOUBLE)) / sqrt((n - 1) * pi())
+    * pow(1 + pow(t * i / 2000, 2) / (n - 1), -n / 2.0::DOUBLE))"""
+
+
+@register(
+    "st7_paired_t",
+    with_ctes(
+        "pairs",
+        f"SELECT g, any_value(n) AS n, round(any_value(t), 6) + 0.0 AS t, round({T_TAIL}, 7) + 0.0 AS p_value FROM s {STEPS} GROUP BY g",
+        PAIR_CTES + """, s AS (SELECT CAST(subject_id % 3 AS INTEGER) AS g, count(d) AS n, avg(d) / (stddev_samp(d) / sqrt(count(d))) AS t FROM means GROUP BY 1)""",
+    ),
+)
 def paired_t(spark, sf):
-    return st.paired_t(grouped_means(spark, sf), ["g"], "d")
+    out = st.paired_t(grouped_means(spark, sf), ["g"], "d")
+    return out.select("g", "n", r6("t").alias("t"), (F.round("p_value", 7) + 0.0).alias("p_value"))
 
 
 _WILCOXON = PAIR_CTES + """, nz AS (SELECT CAST(subject_id % 3 AS INTEGER) AS g, floor(d * 4) / 4 AS d FROM means WHERE floor(d * 4) <> 0),
@@ -268,9 +284,20 @@ def mw_statistic(spark, sf):
     return st.mann_whitney_statistic(device_values(spark, sf), ["g"], "device", "R", "value").select("g", "n1", "n2", "u")
 
 
-@register("st9_mann_whitney")
+@register(
+    "st9_mann_whitney",
+    with_ctes(
+        "devices",
+        f"SELECT g, round(any_value(z), 6) + 0.0 AS z, round({NORMAL_TAIL}, 7) + 0.0 AS p_value FROM scored {STEPS} GROUP BY g",
+        """rk AS (SELECT CAST(subject_id % 3 AS INTEGER) AS g, device, value, rank() OVER (PARTITION BY subject_id % 3 ORDER BY value) + (count(*) OVER (PARTITION BY subject_id % 3, value) - 1) / 2.0::DOUBLE AS r FROM devices),
+        tied AS (SELECT g, sum(pow(c, 3) - c) AS ties FROM (SELECT g, value, CAST(count(*) AS DOUBLE) AS c FROM rk GROUP BY 1, 2) GROUP BY g),
+        us AS (SELECT g, CAST(count(*) FILTER (device = 'R') AS DOUBLE) AS n, CAST(count(*) FILTER (device = 'S') AS DOUBLE) AS m, sum(r) FILTER (device = 'R') AS rs FROM rk GROUP BY g),
+        scored AS (SELECT g, greatest((abs(rs - n * (n + 1) / 2 - n * m / 2) - 0.5::DOUBLE) / sqrt(n * m / 12 * (n + m + 1 - ties / ((n + m) * (n + m - 1)))), 0) AS z FROM us JOIN tied USING (g))""",
+    ),
+)
 def mw(spark, sf):
-    return st.mann_whitney(device_values(spark, sf), ["g"], "device", "R", "value")
+    out = st.mann_whitney(device_values(spark, sf), ["g"], "device", "R", "value")
+    return out.select("g", r6("z").alias("z"), (F.round("p_value", 7) + 0.0).alias("p_value"))
 
 
 @register(

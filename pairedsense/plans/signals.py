@@ -195,17 +195,73 @@ def descriptors(spark, sf):
     )
 
 
-@register("ds7_spectral_descriptors")
+def _spectrum(size: int, segments: int, columns: str, source: str) -> str:
+    """Fourier sums of mean-removed Hann segments with half overlap, written out term by term."""
+    parts = "".join(
+        f", sum(y{c} * cos(2 * pi() * k * n / {size})) AS r{c}, sum(y{c} * sin(2 * pi() * k * n / {size})) AS i{c}" for c in columns
+    )
+    centred = "".join(f", ({c} - avg({c}) OVER w) * (0.5 - 0.5 * cos(2 * pi() * n / {size})) AS y{c}" for c in columns)
+    return f"""cut AS (SELECT vec_id, j, p - {size // 2} * j AS n, {", ".join(columns)} FROM {source} CROSS JOIN (SELECT unnest(range(0, {segments})) AS j)
+    WHERE p >= {size // 2} * j AND p < {size // 2} * j + {size}),
+tapered AS (SELECT vec_id, j, n{centred} FROM cut WINDOW w AS (PARTITION BY vec_id, j)),
+ft AS (SELECT vec_id, j, k{parts} FROM tapered CROSS JOIN (SELECT unnest(range(0, {size // 2 + 1})) AS k) GROUP BY vec_id, j, k)"""
+
+
+_PSD = _spectrum(32, 3, "x", "e") + """,
+psd AS (SELECT vec_id, k, k * 250.0::DOUBLE AS f, greatest(avg(rx * rx + ix * ix) / (8000 * 12) * CASE WHEN k IN (0, 16) THEN 1 ELSE 2 END, 2.2250738585072014e-308) AS p FROM ft GROUP BY vec_id, k),
+grown AS (SELECT *, sum(p) OVER (PARTITION BY vec_id ORDER BY k) AS c, sum(p) OVER (PARTITION BY vec_id) AS t, sum(p * f) OVER (PARTITION BY vec_id) / sum(p) OVER (PARTITION BY vec_id) AS m FROM psd)"""
+
+
+def _band(low: int, high: int) -> str:
+    """Trapezoid energy of the bins low..high."""
+    return f"250 * (sum(p) FILTER (k BETWEEN {low} AND {high}) - sum(p) FILTER (k IN ({low}, {high})) / 2)"
+
+
+@register(
+    "ds7_spectral_descriptors",
+    with_ctes(
+        "",
+        f"""SELECT vec_id AS sample_id, round(any_value(m), 5) + 0.0 AS centroid_hz, round(sqrt(sum((f - m) * (f - m) * p) / any_value(t)), 5) + 0.0 AS bandwidth_hz,
+        min(f) FILTER (c >= 0.85 * t) AS rolloff85_hz, round(exp(avg(ln(p))) / avg(p), 9) + 0.0 AS flatness, round({_band(0, 16)}, 9) + 0.0 AS total_energy,
+        0.0::DOUBLE AS band_0, 0.0::DOUBLE AS band_1, round({_band(2, 3)}, 9) + 0.0 AS band_2, round({_band(4, 7)}, 9) + 0.0 AS band_3, round({_band(8, 16)}, 9) + 0.0 AS band_4
+        FROM grown GROUP BY vec_id""",
+        "e AS (SELECT vec_id, unnest(range(0, 64)) AS p, unnest(embedding)::DOUBLE AS x FROM embeddings)," + _PSD,
+    ),
+)
 def spectral(spark, sf):
-    return dsp.spectral_descriptors(b.b_vectors(spark, sf).select("sample_id", "device", "embedding"), ["sample_id", "device"], "embedding", 8000.0, 32)
+    out = dsp.spectral_descriptors(b.b_vectors(spark, sf).select("sample_id", "embedding"), ["sample_id"], "embedding", 8000.0, 32)
+    five = [(F.round(c, 5) + 0.0).alias(c) for c in ("centroid_hz", "bandwidth_hz")]
+    nine = [r9(c).alias(c) for c in ("flatness", "total_energy", *[f"band_{i}" for i in range(5)])]
+    return out.select("sample_id", *five, "rolloff85_hz", *nine)
 
 
-@register("ds8_pair_measures")
+@register(
+    "ds8_pair_measures",
+    with_ctes(
+        "",
+        """SELECT l.vec_id AS sample_id, round(rms_r, 9) + 0.0 AS rms_r, round(rms_s, 9) + 0.0 AS rms_s, round(peak_rms_r, 9) + 0.0 AS peak_rms_r, round(peak_rms_s, 9) + 0.0 AS peak_rms_s,
+        round(lsd, 6) + 0.0 AS log_spectral_distance, lag / 8.0::DOUBLE AS peak_lag_ms, round(corr, 9) + 0.0 AS peak_correlation, round(coh, 9) + 0.0 AS mean_coherence
+        FROM levels l JOIN spectra s ON s.vec_id = l.vec_id JOIN best b ON b.vec_id = l.vec_id""",
+        """e AS (SELECT vec_id, unnest(range(0, 32)) AS p, unnest(embedding[1:32])::DOUBLE AS r, unnest(embedding[33:64])::DOUBLE AS s FROM embeddings),
+        q AS (SELECT vec_id, p, r, s, r / max(abs(r)) OVER w AS a, s / max(abs(s)) OVER w AS b FROM e WINDOW w AS (PARTITION BY vec_id)),
+        levels AS (SELECT vec_id, sqrt(avg(r * r)) AS rms_r, sqrt(avg(s * s)) AS rms_s, sqrt(avg(a * a)) AS peak_rms_r, sqrt(avg(b * b)) AS peak_rms_s,
+            sqrt(sum(a * a)) * sqrt(sum(b * b)) + 1e-12 AS scale, avg(a) AS ma, avg(b) AS mb FROM q GROUP BY vec_id),
+        lags AS (SELECT x.vec_id, x.p - y.p AS lag, sum((x.a - ma) * (y.b - mb)) / any_value(scale) AS corr FROM q x JOIN q y ON y.vec_id = x.vec_id JOIN levels l ON l.vec_id = x.vec_id GROUP BY 1, 2),
+        best AS (SELECT vec_id, max(corr) AS corr, arg_max(lag, corr) AS lag FROM lags GROUP BY vec_id),"""
+        + _spectrum(16, 3, "ab", "q")
+        + """,
+        bins AS (SELECT vec_id, k, avg(ra * ra + ia * ia) AS pa, avg(rb * rb + ib * ib) AS pb, avg(ra * rb + ia * ib) AS re, avg(ia * rb - ra * ib) AS im,
+            CASE WHEN k IN (0, 8) THEN 1 ELSE 2 END / (8000 * 6.0::DOUBLE) AS f FROM ft GROUP BY vec_id, k),
+        spectra AS (SELECT vec_id, sqrt(avg(pow(10 * log10(pa * f + 1e-12) - 10 * log10(pb * f + 1e-12), 2))) AS lsd, avg((re * re + im * im) / (pa * pb)) AS coh FROM bins GROUP BY vec_id)""",
+    ),
+)
 def pair_measures(spark, sf):
     e = b.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("sample_id"), F.slice("embedding", 1, 32).alias("r"), F.slice("embedding", 33, 32).alias("s")
     )
-    return dsp.pair_measures(e, ["sample_id"], 8000.0, 16)
+    out = dsp.pair_measures(e, ["sample_id"], 8000.0, 16)
+    nine = ("rms_r", "rms_s", "peak_rms_r", "peak_rms_s", "peak_correlation", "mean_coherence")
+    return out.select("sample_id", r6("log_spectral_distance").alias("log_spectral_distance"), "peak_lag_ms", *[r9(c).alias(c) for c in nine])
 
 
 def device_metrics(spark, sf):

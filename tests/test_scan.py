@@ -74,6 +74,8 @@ def test_neighbours_take_the_lowest_sequence_at_one_time(spark):
 
 def test_one_key_is_spread_over_tasks(spark):
     """The chunk is part of the shuffle key, so one key fills many partitions."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
     df = spark.range(8000).select(F.lit("hot").alias("k"), F.col("id").cast("double").alias("t")).withColumn("c", time_chunk("t", 100.0))
     out = running(df, ["k"], "c", {"s": Running("sum", F.lit(1).cast("long"), ("t",))})
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
@@ -81,4 +83,5 @@ def test_one_key_is_spread_over_tasks(spark):
         parts = out.groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(parts) == 8 and max(r["count"] for r in parts) < 8000 / 2

@@ -138,7 +138,7 @@ class LatestTable:
 
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], ts: str, order: str):
         self.spark, self.path, self.keys, self.ts, self.order = spark, path, list(keys), ts, order
-        self.version = -1
+        self.version: int | None = None
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
         newest = pick_latest(batch, self.keys, self.ts, self.order)
@@ -148,6 +148,8 @@ class LatestTable:
         self.version = batch_id
 
     def read(self) -> DataFrame:
+        if self.version is None:
+            raise ValueError("no batch has arrived yet")
         return self.spark.read.parquet(f"{self.path}/v{self.version}")
 
 

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import decontam, lines, minhash, mixing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,147 @@ UNION ALL SELECT doc_id, 0, doc_id, true FROM sets WHERE len(s) = 0
 @query("op1_minhash_near_dedup", MINHASH_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+DECONTAM_SQL = f"""
+WITH words_of AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item_words AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(w[i:i + 9], ' '))) AS g
+  FROM item_words WHERE len(w) > 0
+), doc_windows AS (
+  SELECT d.doc_id, s.n, unnest(range(1, len(d.w) - s.n + 2)) AS i, d.w
+  FROM words_of d JOIN (SELECT DISTINCT n FROM item_windows) s ON len(d.w) >= s.n
+), hits AS (
+  SELECT x.doc_id, x.i, x.n, m.item_id FROM (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM doc_windows) x JOIN item_windows m ON x.n = m.n AND x.g = m.g
+), places AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY 1
+), found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY 1
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(p.n_hit, 0)::BIGINT AS n_hit, coalesce(f.n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(f.items, '')) AS items_sha256, coalesce(p.n_hit, 0) > 0 AS contaminated
+FROM words_of d LEFT JOIN places p USING (doc_id) LEFT JOIN found f USING (doc_id)
+"""
+
+
+@query("op2_benchmark_decontamination", DECONTAM_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.summary(decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+MIX_SQL = """
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5('mix-1:' || coalesce(doc_id::VARCHAR, '-')) AS k
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM sized GROUP BY source
+), rounds AS (
+  SELECT 0 AS r, source, source_size, weight, false AS clamped FROM sources
+  UNION ALL
+  SELECT r + 1, source, source_size, weight,
+    clamped OR 3 * source_size < (sum(source_size) OVER () - coalesce(sum(3 * source_size) FILTER (clamped) OVER (), 0)) * weight
+      / sum(weight) FILTER (NOT clamped) OVER ()
+  FROM rounds WHERE r < 64
+), last_round AS (
+  SELECT *, sum(source_size) OVER () - coalesce(sum(3 * source_size) FILTER (clamped) OVER (), 0) AS rest_words, sum(weight) FILTER (NOT clamped) OVER () AS rest_weight
+  FROM rounds WHERE r = 64
+), targets AS (
+  SELECT source, source_size, CASE WHEN clamped THEN (3 * source_size)::DOUBLE ELSE (rest_words * weight)::DOUBLE / rest_weight::DOUBLE END AS target FROM last_round
+), placed AS (
+  SELECT s.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(round(t.target) / t.source_size)::BIGINT ELSE 0 END AS whole,
+    coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  (whole * size + greatest(0, least(size, round(target) - whole * source_size - before)))::BIGINT AS taken
+FROM placed
+"""
+
+
+@query("op4_mix_sources", MIX_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.summary(mixing.mix(table(spark, sf_dir, "documents")))
+
+
+LINES_SQL = f"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), numbered AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM split
+), keyed AS (
+  SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key FROM numbered
+), common AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+  SELECT k.doc_id, k.i, k.line, c.keeper IS NOT NULL AND c.keeper <> k.doc_id AS gone FROM keyed k LEFT JOIN common c USING (key)
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+@query("op10_line_dedup", LINES_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.summary(lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def _either_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+_QUOTED = """["\']?\\x20*[:=]\\x20*["\']?"""
+_KEYS = {kind: "|".join(_either_case(w) for w in names.split()) for kind, names in {
+    "assign": "password passwd secret token api_?key", "account": "access_?key_?id client_?id account username login"}.items()}
+_PATTERNS = {
+    "assign": f"({_KEYS['assign']}){_QUOTED}([A-Za-z0-9+/_.=-]+)",
+    "access": "AKIA[A-Z0-9]+",
+    "hex": "[0-9a-f]+",
+    "account": f"({_KEYS['account']}){_QUOTED}([A-Za-z0-9+/_.=@-]+)",
+    "endpoint": "[a-z][a-z0-9+]*://[A-Za-z0-9.:@_-]+",
+    "value": "[A-Za-z0-9+/_=-]{32,}",
+}
+
+
+def _sql_kind(rank: int, kind: str) -> str:
+    pattern = _PATTERNS[kind].replace("'", "''")
+    valid = {
+        "assign": f"length(regexp_extract(m, '{pattern}', 2)) >= 6",
+        "access": "length(m) >= 20",
+        "hex": "length(m) >= 24",
+        "account": f"length(regexp_extract(m, '{pattern}', 2)) >= 3",
+        "endpoint": "true",
+        "value": "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]')",
+    }[kind]
+    return f"""SELECT doc_id, '{kind}' AS kind, {rank} AS rank, fin - length(m) AS s, fin AS e FROM (
+      SELECT doc_id, m, sum(length(m) + length(g)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS fin FROM (
+        SELECT doc_id, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unnest(range(len(ms))) AS i FROM (
+          SELECT doc_id, regexp_extract_all(text, '{pattern}') AS ms, regexp_split_to_array(text, '{pattern}') AS gs FROM texts))) WHERE {valid}"""
+
+
+SECRETS_SQL = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents
+), parts AS ({" UNION ALL ".join(_sql_kind(i, k) for i, k in enumerate(_PATTERNS))}
+), kept AS (
+  SELECT * FROM parts WHERE rank < 3
+  UNION ALL
+  SELECT * FROM parts p WHERE rank >= 3 AND EXISTS (
+    SELECT 1 FROM parts q WHERE q.doc_id = p.doc_id AND q.s < p.e + 200 AND p.s - 200 < q.e AND (q.s >= p.e OR p.s >= q.e)
+      AND ((p.kind = 'account' AND q.kind IN ('assign', 'hex', 'value')) OR (p.kind = 'endpoint' AND q.kind IN ('assign', 'access', 'hex'))
+        OR (p.kind = 'value' AND q.kind IN ('access', 'account'))))
+), joined AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans
+  FROM kept GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts t LEFT JOIN joined j USING (doc_id)
+"""
+
+
+@query("op5_linked_secrets", SECRETS_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.summary(secrets.find_secrets(table(spark, sf_dir, "documents")))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lines, minhash, mixing, secrets
+from . import decontam, lines, minhash, mixing, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -205,3 +205,8 @@ FROM texts t LEFT JOIN joined j USING (doc_id)
 @query("op5_linked_secrets", SECRETS_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.summary(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

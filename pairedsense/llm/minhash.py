@@ -1,24 +1,27 @@
 """Near duplicates: an inverted join over the coordinates of MinHash signatures.
 
 1. One pass over the texts gives every document its number of distinct shingles,
-   a digest of the set, and a signature of ``COORDINATES`` minimum hashes.
-   Documents with equal sets fall together at once (a grouping, no pairs).
+   a digest of the set, and ``POSTED`` minimum hashes. Documents with equal sets
+   fall together at once (a grouping, no pairs).
 2. Each remaining set is posted under every coordinate value. Values that only
    one set has can't collide; they are counted map-side and go. A pair must
-   agree in ``MATCHES`` coordinates, so a set with fewer shared values goes too,
-   and of the rest only the prefix is merged: all but its ``MATCHES - 1`` longest
-   posting lists. Two sets that agree in ``MATCHES`` coordinates share a list of
-   both prefixes; the long lists are skipped and only looked into, by counting
-   the collisions of the two signatures, once a pair is known.
+   agree in ``MATCHES`` posted coordinates, so a set with fewer shared values goes
+   too, and of the rest only the prefix is merged: all but its ``MATCHES - 1``
+   longest posting lists. Two sets that agree in ``MATCHES`` coordinates share a
+   list of both prefixes; the long lists are skipped and only looked into once a
+   pair is known: the sets that are left get ``COUNTED`` more coordinates of one
+   bit each, and a pair's agreements in these are counted with xor and bit_count.
 3. A list isn't expanded into pairs. First every member is held against the
    least member (links grow with the list's length); links confirmed on the full
    sets are closed to components. Then only members that are not yet in the
-   least member's component meet the others, and only across components.
+   least member's component meet the others, only across components, and only
+   pairs with enough agreements leave the join.
 4. Components of all links are found by alternating stars.
 
-A pair at a similarity of exactly 0.75 misses the collision threshold with a
-probability of about 4e-5, one at 0.8 with 1e-7; a missed pair costs nothing
-where another chain of links joins the two documents.
+At a similarity of exactly 0.75 the 64 posted coordinates agree in 48 on
+average (34 are asked for), the 512 bits in 448 (416): either threshold misses
+such a pair with a probability of about 4e-5, one at 0.8 with less than 1e-7; a
+missed pair costs nothing where other links join the two documents.
 """
 
 from __future__ import annotations
@@ -27,33 +30,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
 from . import text as T
 from .components import components
 
-COORDINATES = 64
+POSTED = 64
 MATCHES = 34
+COUNTED = 512
+AGREEMENTS = 416
 SHINGLE = 5
 PERCENT = 75
 
-_A = np.array([T.mix(np.array([2 * i + 1], dtype=np.uint64))[0] | np.uint64(1) for i in range(COORDINATES)])
-_B = np.array([T.mix(np.array([2 * i + 2], dtype=np.uint64))[0] for i in range(COORDINATES)])
 _SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, sig array<long>"
+_WORDS = [f"k{i}" for i in range(COUNTED // 64)]
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """Per coordinate the least value of its own hash over the set."""
-    low = np.full(COORDINATES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(shingles), 2048):
-        values = np.multiply.outer(_A, shingles[at : at + 2048])
-        values += _B[:, None]
+def _seeds(first: int, n: int) -> np.ndarray:
+    return T.mix(np.arange(first, first + n, dtype=np.uint64))
+
+
+_A, _B = _seeds(1, POSTED + COUNTED) | np.uint64(1), _seeds(1 << 20, POSTED + COUNTED)
+
+
+def minima(shingles: np.ndarray, first: int, n: int) -> np.ndarray:
+    """For each of ``n`` coordinates the least value of its own hash over the set."""
+    low = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(shingles), 1024):
+        values = np.multiply.outer(_A[first : first + n], shingles[at : at + 1024])
+        values += _B[first : first + n, None]
         np.minimum(low, values.min(axis=1), out=low)
     return low
 
 
+def bits(shingles: np.ndarray) -> np.ndarray:
+    """One bit of each of the ``COUNTED`` coordinates, packed into longs."""
+    packed = np.packbits((T.mix(minima(shingles, POSTED, COUNTED)) & np.uint64(1)).astype(np.uint8))
+    return packed.view(np.int64)
+
+
 def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,8 +82,8 @@ def _sign(size: int):
                 d1 = np.array([s.sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
                 d2 = np.array([T.mix(s).sum(dtype=np.uint64) for s in sets], dtype=np.uint64)
                 full = np.flatnonzero(n)
-                sigs = np.concatenate([signature(sets[i]) for i in full]) if len(full) else np.zeros(0, np.uint64)
-                offsets = np.concatenate(([0], np.cumsum(np.where(n > 0, COORDINATES, 0)))).astype(np.int32)
+                sigs = np.concatenate([minima(sets[i], 0, POSTED) for i in full]) if len(full) else np.zeros(0, np.uint64)
+                offsets = np.concatenate(([0], np.cumsum(np.where(n > 0, POSTED, 0)))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(piece.first, len(piece)),
@@ -81,13 +98,18 @@ def _sign(size: int):
     return run
 
 
-def _hashed_sets(size: int):
+def _full_sets(size: int):
+    """(doc_id, the set's hashes, its bits)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in T.slices(batch.column(1)):
                 sets = T.shingles(*T.words(piece), size)
+                packed = np.array([bits(s) for s in sets]).reshape(len(sets), len(_WORDS))
+                columns = [pa.array(np.ascontiguousarray(packed[:, i])) for i in range(len(_WORDS))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(piece.first, len(piece)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "set"]
+                    [batch.column(0).slice(piece.first, len(piece)), pa.array([s.tobytes() for s in sets], pa.binary()), *columns],
+                    names=["doc_id", "set", *_WORDS],
                 )
 
     return run
@@ -112,15 +134,17 @@ def _overlaps(percent: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, size: int, percent: int, matches: int) -> DataFrame:
-    """The pairs (a, b) that collide in enough coordinates and are similar on their full sets."""
-    left = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa"))
-    right = sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb"))
-    equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    likely = stage(pairs.join(left, "a").join(right, "b").filter(equal >= matches).select("a", "b"), "likely")
-    asked = likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct()
-    texts = docs.join(asked, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = stage(texts.mapInArrow(_hashed_sets(size), "doc_id long, set binary"), "sets")
+def _agree(left: str, right: str, agreements: int):
+    """Whether two rows' bits agree in enough places."""
+    apart = None
+    for w in _WORDS:
+        n = F.bit_count(F.col(f"{left}{w}").bitwiseXOR(F.col(f"{right}{w}")))
+        apart = n if apart is None else apart + n
+    return apart <= COUNTED - agreements
+
+
+def _confirmed(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar on their full sets."""
     both = (
         likely.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
         .join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
@@ -130,7 +154,7 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, size: int, pe
 
 
 def near_duplicates(
-    docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, matches: int = MATCHES
+    docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, matches: int = MATCHES, agreements: int = AGREEMENTS
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of ``docs`` (doc_id, text, ...), one row per row.
 
@@ -163,29 +187,47 @@ def near_duplicates(
     merged = stage(
         slots.select("doc_id", "n_shingles", F.explode(prefix).alias("l")).select("doc_id", "n_shingles", "l.c", "l.v"), "prefixes"
     )
+    asked = merged.select(F.col("doc_id").alias("id")).distinct()
+    texts = docs.join(asked, F.col("doc_id") == F.col("id"), "left_semi")
+    kinds = ", ".join(f"{w} long" for w in _WORDS)
+    sets = stage(texts.mapInArrow(_full_sets(size), f"doc_id long, set binary, {kinds}"), "sets")
+    packed = sets.select("doc_id", *_WORDS).distinct()
 
     near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    least = merged.groupBy("c", "v").agg(F.min("doc_id").alias("a"), F.count("*").alias("length")).filter("length > 1").drop("length")
-    stars = merged.join(least, ["c", "v"]).filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    links = _confirmed(stars, sigs, docs, size, percent, matches)
+    least = merged.groupBy("c", "v").agg(F.min("doc_id").alias("head"), F.count("*").alias("length")).filter("length > 1").drop("length")
+    stars = merged.join(least, ["c", "v"]).filter("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+    side = lambda name: packed.select(F.col("doc_id").alias(name), *[F.col(w).alias(f"{name}{w}") for w in _WORDS])
+    likely = stage(stars.join(side("b"), "b").join(side("h"), (F.col("a") == F.col("h")) & _agree("h", "b", agreements)).select("a", "b").distinct(), "likely")
+    links = _confirmed(likely, sets, percent)
     found = stage(components(links, "a", "b"), "components")
 
+    # Lists that are not all in one component: their members with component and bits.
     known = merged.join(found, F.col("doc_id") == F.col("node"), "left").select(
         "c", "v", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("of")
     )
-    head = known.join(least, ["c", "v"])
-    apart = stage(head.join(found.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("main", F.coalesce("component", "a")).select(
-        "c", "v", "doc_id", "n_shingles", "of", F.col("of").eqNullSafe(F.col("main")).alias("settled"), F.col("a").alias("head")
-    ), "apart")
-    stray = apart.filter("not settled").select("c", "v", F.col("doc_id").alias("x"), F.col("n_shingles").alias("xn"), F.col("of").alias("xo"))
-    others = apart.filter(F.col("doc_id") != F.col("head")).drop("head")
-    across = (
-        stray.join(others, ["c", "v"])
-        .filter((F.col("xo") != F.col("of")) & near(F.col("xn"), F.col("n_shingles")) & (F.col("settled") | (F.col("x") < F.col("doc_id"))))
-        .select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b"))
-        .distinct()
+    spread = known.groupBy("c", "v").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.min("doc_id").alias("head"))
+    spread = spread.filter("low < high").select("c", "v", "head")
+    open_lists = known.join(spread, ["c", "v"])
+    mains = spread.join(found, F.col("head") == F.col("node"), "left").select("c", "v", F.coalesce("component", "head").alias("main"))
+    members = stage(
+        open_lists.join(mains, ["c", "v"]).filter("doc_id <> head").join(packed, "doc_id").withColumn("settled", F.col("of") == F.col("main")), "members"
+    )
+    stray = members.filter("not settled").select(
+        "c", "v", F.col("doc_id").alias("x"), F.col("n_shingles").alias("xn"), F.col("of").alias("xo"), *[F.col(w).alias(f"x{w}") for w in _WORDS]
+    )
+    others = members.select(
+        "c", "v", F.col("doc_id").alias("y"), F.col("n_shingles").alias("yn"), F.col("of").alias("yo"), "settled", *[F.col(w).alias(f"y{w}") for w in _WORDS]
+    )
+    meets = (
+        (stray["c"] == others["c"])
+        & (stray["v"] == others["v"])
+        & (F.col("xo") != F.col("yo"))
+        & (F.col("settled") | (F.col("x") < F.col("y")))
+        & near(F.col("xn"), F.col("yn"))
+        & _agree("x", "y", agreements)
     )
-    more = _confirmed(across, sigs, docs, size, percent, matches)
+    across = stage(stray.join(others, meets).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "across")
+    more = _confirmed(across, sets, percent)
     # `found` stands for the first links: every node hangs under its least one.
     joined = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more).union(doubled)
     groups = components(joined, "a", "b")

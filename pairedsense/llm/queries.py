@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lines, minhash, mixing, secrets, toxicity
+from . import decontam, lines, minhash, mixing, quality, secrets, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -210,3 +210,23 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_toxicity")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_quality_resampling")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.summary(quality.select(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")))
+
+
+WARC_SQL = """
+WITH hashed AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha256(coalesce(html, '')) AS h FROM pages
+), firsts AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS f FROM hashed)
+SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 100 AND page_id > f THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id > f THEN f END AS refers_to
+FROM firsts
+"""
+
+
+@query("op7_warc_revisits", WARC_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.summary(warc.roundtrip(table(spark, sf_dir, "pages")))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lines, minhash, mixing, quality, secrets, toxicity, warc
+from . import decontam, lines, lzprint, minhash, mixing, quality, secrets, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -230,3 +230,8 @@ FROM firsts
 @query("op7_warc_revisits", WARC_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.summary(warc.roundtrip(table(spark, sf_dir, "pages")))
+
+
+@query("op9_lz_fingerprints")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lzprint.fingerprints(table(spark, sf_dir, "documents"))

@@ -1,25 +1,62 @@
-"""From raw documents to a training mixture: one stage per decision, each written before the next reads it."""
+"""From raw documents to a training mixture: five stages, each written before the next reads it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairedsense.llm import minhash
+from pairedsense.llm import decontam, lines, minhash, mixing, quality
 from pairedsense.session import stage
 
 
+def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance resampling selects."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that another document keeps; n_chars follows the text."""
+    kept = lines.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the least doc_id."""
+    """One document of each group of near duplicates, the one with the least doc_id."""
     return minhash.drop_near_duplicates(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    return decontam.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with size, source_size, target, copies, part_words and taken.
+
+    A document is to be read ``copies`` times in full and then its first ``part_words`` words;
+    documents of which nothing is taken are left out. Columns of these names are replaced.
+    """
+    made = {"size": "__size", "source_size": "__source_size", "target": "__target", "copies": "__whole", "part_words": "__part", "taken": "__taken"}
+    mixed = mixing.mix(docs).filter("__taken > 0")
+    return mixed.select(*[c for c in docs.columns if c not in made], *[F.col(c).alias(name) for name, c in made.items()])
+
+
+STAGES = [
+    ("quality", good_text),
+    ("line_dedup", repeated_lines),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", benchmark_leaks),
+    ("mixture", mixture),
+]
 
-# The quality stage samples by hashed models, which SQL can't express.
+# The quality stage samples by hashed models, which SQL can't express; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the documents below ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES:
         docs = stage(step(spark, docs, sf_dir), name)

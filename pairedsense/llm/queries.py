@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lines, lzprint, minhash, mixing, quality, secrets, toxicity, warc
+from . import decontam, licences, lines, lzprint, minhash, mixing, quality, secrets, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -235,3 +235,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_lz_fingerprints")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lzprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op8_licence_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.summary(licences.find_licences(table(spark, sf_dir, "documents")))

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import DAY, bins_of
@@ -14,7 +14,7 @@ from .ranks import quantiles
 from .scan import Running, running, time_chunk
 
 # Band edges in Hz of the spectral descriptors.
-BANDS = ((0, 250), (250, 500), (500, 1000), (1000, 2000), (2000, 4000))
+BANDS = ((0, 500), (500, 1000), (1000, 2000), (2000, 4000), (4000, 8000))
 
 
 def rms_envelope(samples: DataFrame, by: Sequence[str], frame: str = "frame") -> DataFrame:
@@ -33,6 +33,8 @@ def zscore(df: DataFrame, by: Sequence[str], value: str, name: str = "z") -> Dat
 def best_lag(left: DataFrame, right: DataFrame, by: Sequence[str], max_lag: int) -> DataFrame:
     """Lag (left minus right, in frames) with the largest normalised cross-correlation; ties to the smallest lag.
 
+    ``at_boundary`` marks lags at the limit or one frame short of it.
+
     Both sides are (by, frame, z). Every left frame meets 2L+1 right frames in
     an equi-join, and sums are taken per (window, lag) before the shuffle.
     """
@@ -49,7 +51,7 @@ def best_lag(left: DataFrame, right: DataFrame, by: Sequence[str], max_lag: int)
         *by,
         (-F.col("_b.back")).alias("lag"),
         F.col("_b.correlation").alias("correlation"),
-        (F.abs(F.col("_b.back")) >= max_lag).alias("at_boundary"),
+        (F.abs(F.col("_b.back")) >= max_lag - 1).alias("at_boundary"),
     )
 
 
@@ -75,7 +77,7 @@ def best_lag_fft(left: DataFrame, right: DataFrame, by: Sequence[str], max_lag:
         best = int(lags[np.argmax(np.round(values, 12))])
         row = {k: [pdf[k].iloc[0]] for k in by}
         return pd.DataFrame(
-            {**row, "lag": [best], "correlation": [float(values.max())], "at_boundary": [abs(best) >= max_lag]}
+            {**row, "lag": [best], "correlation": [float(values.max())], "at_boundary": [abs(best) >= max_lag - 1]}
         )
 
     return both.groupBy(*by).applyInPandas(search, f"{fields}, lag int, correlation double, at_boundary boolean")
@@ -213,101 +215,147 @@ def time_descriptors(samples: DataFrame, by: Sequence[str], frame: str = "frame"
     )
 
 
-def _welch(x: np.ndarray, y: np.ndarray, rate: float, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(frequencies, cross spectrum) of mean-removed Hann segments with half overlap, density scaled."""
-    size = min(size, len(x))
-    step = max(size - size // 2, 1)
-    taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
-    total, count = 0.0, 0
-    for start in range(0, len(x) - size + 1, step):
-        a, b = x[start : start + size], y[start : start + size]
-        fa = np.fft.rfft((a - a.mean()) * taper)
-        fb = np.fft.rfft((b - b.mean()) * taper)
-        total, count = total + np.conj(fa) * fb, count + 1
-    out = total / count / (rate * np.sum(taper**2))
-    out[1 : (-1 if size % 2 == 0 else None)] *= 2
-    return np.fft.rfftfreq(size, 1.0 / rate), out
-
-
-def _spectral(x: np.ndarray, rate: float, size: int) -> dict[str, float]:
-    freq, cross = _welch(x, x, rate, size)
-    psd = np.maximum(cross.real, np.finfo(float).tiny)
-    weight = psd / psd.sum()
-    center = float((freq * weight).sum())
-    grown = np.cumsum(psd)
-    at = min(int(np.searchsorted(grown, 0.85 * grown[-1])), len(freq) - 1)
-    row = {
-        "centroid_hz": center,
-        "bandwidth_hz": float(np.sqrt((((freq - center) ** 2) * weight).sum())),
-        "rolloff85_hz": float(freq[at]),
-        "flatness": float(np.exp(np.log(psd).mean()) / psd.mean()),
-        "total_energy": float(np.trapezoid(psd, freq)),
-    }
-    for i, (low, high) in enumerate(BANDS):
-        inside = (freq >= low) & ((freq < high) if high < rate / 2 else (freq <= high))
-        row[f"band_{i}"] = float(np.trapezoid(psd[inside], freq[inside])) if inside.sum() > 1 else 0.0
-    return row
+def _by_length(columns: Sequence[pd.Series]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Rows of a batch whose windows have equal length, as (row numbers, one matrix per column)."""
+    lengths = np.min([[len(v) for v in c] for c in columns], axis=0)
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        yield at, [np.stack([np.asarray(c.iloc[i][:n], dtype=float) for i in at]) for c in columns]
 
 
-SPECTRAL = ["centroid_hz", "bandwidth_hz", "rolloff85_hz", "flatness", "total_energy", *[f"band_{i}" for i in range(len(BANDS))]]
+def _tapered(waves: np.ndarray, size: int) -> np.ndarray:
+    """Spectra (window, segment, bin) of mean-removed Hann segments with half overlap."""
+    size = min(size, waves.shape[1])
+    cut = np.lib.stride_tricks.sliding_window_view(waves, size, axis=1)[:, :: max(size - size // 2, 1)]
+    hann = np.sin(np.pi * np.arange(size) / size) ** 2
+    return np.fft.rfft((cut - cut.mean(axis=2, keepdims=True)) * hann, axis=2)
 
 
-def spectral_descriptors(df: DataFrame, key: Sequence[str], values: str, rate: float, size: int = 1024) -> DataFrame:
-    """Spectrum summary of one waveform window per row."""
+def _density(left: np.ndarray, right: np.ndarray, rate: float, size: int) -> np.ndarray:
+    """One-sided (cross) power density (window, bin) of two sets of segment spectra."""
+    both = (left.conj() * right).mean(axis=1)
+    sides = np.full(both.shape[1], 2.0)
+    sides[0] = 1.0
+    if size % 2 == 0:
+        sides[-1] = 1.0
+    return both * sides / (rate * 0.375 * size)
+
+
+def power_spectra(df: DataFrame, key: Sequence[str], values: str, rate: float, size: int = 1024) -> DataFrame:
+    """(key, length, psd): power density of one waveform window per row; bins are rate / min(size, length) apart."""
     key = list(key)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*key).schema)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [_spectral(np.asarray(v, dtype=float), rate, size) for v in pdf[values]]
-            yield pd.concat([pdf[key].reset_index(drop=True), pd.DataFrame(rows, columns=SPECTRAL)], axis=1)
+            found: list = [None] * len(pdf)
+            width = np.zeros(len(pdf), dtype=np.int64)
+            for at, (waves,) in _by_length([pdf[values]]):
+                used = min(size, waves.shape[1])
+                spectra = _tapered(waves, size)
+                for row, psd in zip(at, _density(spectra, spectra, rate, used).real):
+                    found[row] = psd
+                width[at] = used
+            yield pdf[key].assign(length=width, psd=found)
+
+    return df.select(*key, values).mapInPandas(batches, f"{fields}, length long, psd array<double>")
+
+
+SPECTRAL = ["centroid_hz", "bandwidth_hz", "rolloff85_hz", "flatness", "total_energy", *[f"band_{i}" for i in range(len(BANDS))]]
+
+
+def spectral_descriptors(df: DataFrame, key: Sequence[str], values: str, rate: float, size: int = 1024) -> DataFrame:
+    """Spectrum summary of one waveform window per row, over (window, bin) rows.
+
+    Energies are trapezoid sums over the bins of a band: all its densities less
+    half of the outer two. A band of one bin or none has no energy; the band
+    that reaches half the rate includes it.
+    """
+    key = list(key)
+    floor = F.lit(float(np.finfo(float).tiny))
+    bins = power_spectra(df, key, values, rate, size).select(*key, "length", F.posexplode("psd").alias("k", "p"))
+    step = F.lit(float(rate)) / F.col("length")
+    bins = bins.select(*key, "k", step.alias("step"), (F.col("k") * step).alias("f"), F.greatest("p", floor).alias("p"))
+    whole = Window.partitionBy(*key)
+    bins = bins.select(
+        "*",
+        F.sum("p").over(whole).alias("_all"),
+        (F.sum(F.col("f") * F.col("p")).over(whole) / F.sum("p").over(whole)).alias("_center"),
+        F.sum("p").over(whole.orderBy("k")).alias("_grown"),
+    )
 
-    schema = fields + "".join(f", {n} double" for n in SPECTRAL)
-    return df.select(*key, values).mapInPandas(batches, schema)
+    def energy(inside: Column) -> Column:
+        own = F.when(inside, F.col("p"))
+        outer = F.min_by("p", F.when(inside, F.col("k"))) + F.max_by("p", F.when(inside, F.col("k")))
+        return F.when(F.count(own) > 1, F.first("step") * (F.sum(own) - outer / 2)).otherwise(0.0)
+
+    bands = [
+        energy((F.col("f") >= low) & ((F.col("f") < high) if high < rate / 2 else (F.col("f") <= high))).alias(f"band_{i}")
+        for i, (low, high) in enumerate(BANDS)
+    ]
+    away = F.col("f") - F.col("_center")
+    return bins.groupBy(*key).agg(
+        F.first("_center").alias("centroid_hz"),
+        F.sqrt(F.sum(away * away * F.col("p")) / F.first("_all")).alias("bandwidth_hz"),
+        F.min(F.when(F.col("_grown") >= 0.85 * F.col("_all"), F.col("f"))).alias("rolloff85_hz"),
+        (F.exp(F.avg(F.log("p"))) / F.avg("p")).alias("flatness"),
+        energy(F.lit(True)).alias("total_energy"),
+        *bands,
+    )
 
 
 PAIR = ["rms_r", "rms_s", "peak_rms_r", "peak_rms_s", "log_spectral_distance", "peak_lag_ms", "peak_correlation", "mean_coherence"]
 
 
+def _peak_normalised(waves: np.ndarray) -> np.ndarray:
+    top = np.abs(waves).max(axis=1, keepdims=True)
+    return np.divide(waves, top, out=waves.copy(), where=top > 1e-8)
+
+
+def _rms(waves: np.ndarray) -> np.ndarray:
+    return np.linalg.norm(waves, axis=1) / np.sqrt(waves.shape[1])
+
+
+def _spectral_pair(a: np.ndarray, b: np.ndarray, rate: float, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(log spectral distance in dB, mean coherence) of each pair."""
+    used = min(size, a.shape[1])
+    sa, sb = _tapered(a, size), _tapered(b, size)
+    pa, pb = _density(sa, sa, rate, used).real, _density(sb, sb, rate, used).real
+    decibels = 10 * np.log10((pa + 1e-12) / (pb + 1e-12))
+    shared = np.abs(_density(sa, sb, rate, used)) ** 2 / np.maximum(pa * pb, np.finfo(float).tiny)
+    return _rms(decibels), shared.mean(axis=1)
+
+
+def _delay(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lag in samples, correlation) where each pair correlates best, over all lags."""
+    n = a.shape[1]
+    width = 1 << (2 * n - 1).bit_length()
+    fa, fb = (np.fft.rfft(x - x.mean(axis=1, keepdims=True), width, axis=1) for x in (a, b))
+    around = np.roll(np.fft.irfft(fa * fb.conj(), width, axis=1), n - 1, axis=1)[:, : 2 * n - 1]
+    best = around.argmax(axis=1)
+    scale = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1) + 1e-12
+    return best - (n - 1), around[np.arange(len(a)), best] / scale
+
+
 def pair_measures(df: DataFrame, key: Sequence[str], rate: float, size: int = 1024) -> DataFrame:
-    """Measures of two simultaneous waveform windows ``r`` and ``s`` per row."""
+    """Measures of two simultaneous waveform windows ``r`` and ``s`` per row, compared over the shorter one's length."""
     key = list(key)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*key).schema)
 
-    def measure(r: np.ndarray, s: np.ndarray) -> list[float]:
-        def level(x: np.ndarray) -> float:
-            return float(np.sqrt((x**2).mean()))
-
-        def peak(x: np.ndarray) -> np.ndarray:
-            top = np.abs(x).max()
-            return x / top if top > 1e-8 else x
-
-        n = min(len(r), len(s))
-        a, b = peak(r)[:n], peak(s)[:n]
-        _, pa = _welch(a, a, rate, size)
-        _, pb = _welch(b, b, rate, size)
-        _, ab = _welch(a, b, rate, size)
-        gap = 10 * np.log10(pa.real + 1e-12) - 10 * np.log10(pb.real + 1e-12)
-        width = 1 << (2 * n - 1).bit_length()
-        corr = np.fft.irfft(np.fft.rfft(a - a.mean(), width) * np.conj(np.fft.rfft(b - b.mean(), width)), width)
-        lags = np.arange(-(n - 1), n)
-        values = corr[lags]
-        coherence = np.abs(ab) ** 2 / np.maximum(pa.real * pb.real, np.finfo(float).tiny)
-        return [
-            level(r),
-            level(s),
-            level(a),
-            level(b),
-            float(np.sqrt((gap**2).mean())),
-            float(lags[int(np.argmax(values))] / rate * 1000),
-            float(values.max() / (np.linalg.norm(a) * np.linalg.norm(b) + 1e-12)),
-            float(coherence.mean()),
-        ]
-
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [measure(np.asarray(r, dtype=float), np.asarray(s, dtype=float)) for r, s in zip(pdf["r"], pdf["s"])]
-            yield pd.concat([pdf[key].reset_index(drop=True), pd.DataFrame(rows, columns=PAIR)], axis=1)
+            out = {name: np.zeros(len(pdf)) for name in PAIR}
+            whole = {c: pdf[c].map(lambda v: np.asarray(v, dtype=float)) for c in ("r", "s")}
+            scaled = {c: v.map(lambda x: _peak_normalised(x[None])[0]) for c, v in whole.items()}
+            for c in ("r", "s"):
+                for at, (waves,) in _by_length([whole[c]]):
+                    out[f"rms_{c}"][at] = _rms(waves)
+            for at, (a, b) in _by_length([scaled["r"], scaled["s"]]):
+                out["peak_rms_r"][at], out["peak_rms_s"][at] = _rms(a), _rms(b)
+                out["log_spectral_distance"][at], out["mean_coherence"][at] = _spectral_pair(a, b, rate, size)
+                lag, out["peak_correlation"][at] = _delay(a, b)
+                out["peak_lag_ms"][at] = lag / rate * 1000
+            yield pdf[key].assign(**out)
 
     return df.select(*key, "r", "s").mapInPandas(batches, fields + "".join(f", {n} double" for n in PAIR))
 

@@ -51,7 +51,7 @@ _LAG = f"""zz AS (SELECT subject_id, device, day, (value - avg(value) OVER w) /
 prods AS (SELECT r.subject_id, CAST(r.day - s.day AS INTEGER) AS lag, sum(r.z * s.z) / any_value(c.n) AS corr FROM zz r JOIN zz s ON s.subject_id = r.subject_id AND r.device = 'R' AND s.device = 'S'
     AND abs(r.day - s.day) <= {MAX_LAG} JOIN (SELECT subject_id, count(*) AS n FROM zz WHERE device = 'R' GROUP BY 1) c ON c.subject_id = r.subject_id GROUP BY 1, 2),
 pick AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY corr DESC, lag) AS rn FROM prods)"""
-_LAG_SQL = with_ctes("devices", f"SELECT subject_id, lag, round(corr, 6) + 0.0 AS correlation, abs(lag) >= {MAX_LAG} AS at_boundary FROM pick WHERE rn = 1", _LAG)
+_LAG_SQL = with_ctes("devices", f"SELECT subject_id, lag, round(corr, 6) + 0.0 AS correlation, abs(lag) >= {MAX_LAG - 1} AS at_boundary FROM pick WHERE rn = 1", _LAG)
 
 
 @register("ds2_best_lag", _LAG_SQL)
@@ -223,7 +223,7 @@ def _band(low: int, high: int) -> str:
         "",
         f"""SELECT vec_id AS sample_id, round(any_value(m), 5) + 0.0 AS centroid_hz, round(sqrt(sum((f - m) * (f - m) * p) / any_value(t)), 5) + 0.0 AS bandwidth_hz,
         min(f) FILTER (c >= 0.85 * t) AS rolloff85_hz, round(exp(avg(ln(p))) / avg(p), 9) + 0.0 AS flatness, round({_band(0, 16)}, 9) + 0.0 AS total_energy,
-        0.0::DOUBLE AS band_0, 0.0::DOUBLE AS band_1, round({_band(2, 3)}, 9) + 0.0 AS band_2, round({_band(4, 7)}, 9) + 0.0 AS band_3, round({_band(8, 16)}, 9) + 0.0 AS band_4
+        round({_band(0, 1)}, 9) + 0.0 AS band_0, round({_band(2, 3)}, 9) + 0.0 AS band_1, round({_band(4, 7)}, 9) + 0.0 AS band_2, round({_band(8, 16)}, 9) + 0.0 AS band_3, 0.0::DOUBLE AS band_4
         FROM grown GROUP BY vec_id""",
         "e AS (SELECT vec_id, unnest(range(0, 64)) AS p, unnest(embedding)::DOUBLE AS x FROM embeddings)," + _PSD,
     ),

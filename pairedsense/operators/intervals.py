@@ -18,8 +18,12 @@ def _as_col(value) -> Column:
 
 
 def merge_intervals(df: DataFrame, by: Sequence[str], lo=None, hi=None, chunk_seconds: float = DAY) -> DataFrame:
-    """Clip to ``[lo, hi]``, drop empties, merge overlapping and touching intervals."""
+    """Clip to ``[lo, hi]``, drop empties, merge overlapping and touching intervals.
+
+    An interval without key, start or end covers nothing of any key, like an empty one.
+    """
     by = list(by)
+    df = df.dropna(subset=by)
     start = F.greatest("start", _as_col(lo)) if lo is not None else F.col("start")
     end = F.least("end", _as_col(hi)) if hi is not None else F.col("end")
     clipped = (

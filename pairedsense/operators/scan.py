@@ -49,17 +49,22 @@ def _total(spec: Running) -> Column:
 
 
 def running(df: DataFrame, by: Sequence[str], chunk: str, outputs: dict[str, Running]) -> DataFrame:
-    """Add one column per output; ``chunk`` must grow with every order named in the outputs."""
+    """Add one column per output; ``chunk`` must grow with every order named in the outputs.
+
+    A row whose key or chunk is NULL has no place in any order: it stays, with
+    NULL in every output, and counts for no other row. Such rows are dealt by a
+    hash, so that many of them don't meet in one task.
+    """
     by = list(by)
-    cell = Window.partitionBy(*by, chunk)
-    # Both branches below read this one exchange: the totals use the order columns too
-    # (chunks are sorted by their first position), so Spark finds the two reads equal and reuses it.
     known = F.col(chunk).isNotNull()
     for k in by:
         known = known & F.col(k).isNotNull()
-    placed = df.filter(known).repartition(*[F.col(k) for k in by], F.col(chunk))
+    spread = F.pmod(F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind]), F.lit(4096))
+    df, columns = df.withColumn("_lost", F.when(~known, spread)), df.columns
+    cell = Window.partitionBy(*by, chunk, "_lost")
+    placed = df.repartition(*[F.col(k) for k in by], F.col(chunk), F.col("_lost"))
     first = {c: f"_first_{c}" for s in outputs.values() for c in s.order}
-    totals = placed.groupBy(*by, chunk).agg(
+    totals = df.filter("_lost is null").groupBy(*by, chunk).agg(
         *[_total(s).alias(f"_tot_{n}") for n, s in outputs.items()],
         *[F.min(c).alias(name) for c, name in first.items()],
     )
@@ -99,9 +104,8 @@ def running(df: DataFrame, by: Sequence[str], chunk: str, outputs: dict[str, Run
             out = F.greatest(here, before)
         else:
             out = F.coalesce(here, before)
-        joined = joined.withColumn(name, out)
-    keep = [*df.columns, *outputs]
-    return joined.select(*keep)
+        joined = joined.withColumn(name, F.when(F.col("_lost").isNull(), out))
+    return joined.select(*columns, *outputs)
 
 
 def time_chunk(t: Column | str, seconds: float) -> Column:

@@ -85,3 +85,12 @@ def test_one_key_is_spread_over_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(parts) == 8 and max(r["count"] for r in parts) < 8000 / 2
+
+
+def test_rows_without_place_stay(spark):
+    data = [("a", 1.0, 1.0), ("a", None, 2.0), (None, 2.0, 4.0), ("a", 3.0, 8.0)] + [(None, None, 16.0)] * 3
+    df = spark.createDataFrame(data, "k string, t double, x double").withColumn("c", time_chunk("t", 1.0))
+    got = running(df, ["k"], "c", {"s": Running("sum", F.col("x"), ("t",)), "l": Running("last", F.col("x"), ("t",), inclusive=False)})
+    want = [("a", 1.0, 1.0, 1.0, None), ("a", 3.0, 8.0, 9.0, 1.0), ("a", None, 2.0, None, None), (None, 2.0, 4.0, None, None)]
+    want += [(None, None, 16.0, None, None)] * 3
+    assert sorted(map(str, map(tuple, got.select("k", "t", "x", "s", "l").collect()))) == sorted(map(str, want))

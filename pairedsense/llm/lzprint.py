@@ -35,37 +35,48 @@ _OUT = (
 )
 
 
-def phrases(raw: bytes, seen: set[bytes], at: int = 0) -> list[int]:
-    """Parse raw[at:]; phrases are added to ``seen``, their ends returned.
+def phrases(raw: bytes, seen: set[bytes], at: int = 0) -> list[bytes]:
+    """Parse raw[at:] into phrases, which are added to ``seen``; the last one may have been met before.
 
-    All prefixes of a phrase are phrases, so its length may be searched from any guess.
+    All prefixes of a phrase are phrases, so its length may be searched from any guess: that of the one before.
     """
-    ends, n, size = [], len(raw), 4
+    found: list[bytes] = []
+    add, keep, n, size = seen.add, found.append, len(raw), 4
     while at < n:
+        if at + size > n:
+            size = n - at
         phrase = raw[at : at + size]
         if phrase in seen:
-            while phrase in seen and at + size < n:
+            while at + size < n:
                 size += 1
                 phrase = raw[at : at + size]
+                if phrase not in seen:
+                    break
         else:
             while size > 1:
-                shorter = raw[at : at + size - 1]
+                shorter = phrase[:-1]
                 if shorter in seen:
                     break
-                size -= 1
                 phrase = shorter
-        seen.add(phrase)
-        at += len(phrase)
-        ends.append(at)
-    return ends
+                size -= 1
+        add(phrase)
+        keep(phrase)
+        at += size
+    return found
 
 
-def sketch(raw: bytes, ends: list[int]) -> np.ndarray:
+def sketch(parts: list[bytes], ends: np.ndarray) -> np.ndarray:
     """The least distinct 32-bit hashes of the phrases."""
-    stops = np.array(ends, dtype=np.int64)
-    starts = np.concatenate(([0], stops[:-1])) if len(stops) else stops
-    hashes = (T.hash_spans(np.frombuffer(raw, dtype=np.uint8), starts, stops) >> np.uint64(32)).astype(np.uint32)
-    return np.unique(hashes)[:KEPT]
+    raw = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    hashes = np.sort((T.hash_spans(raw, starts, ends) >> np.uint64(32)).astype(np.uint32))
+    fresh = np.ones(len(hashes), dtype=bool)
+    np.not_equal(hashes[1:], hashes[:-1], out=fresh[1:])
+    return hashes[fresh][:KEPT]
+
+
+def _ends(parts: list[bytes]) -> np.ndarray:
+    return np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -88,8 +99,9 @@ class Parsed:
 
     def __init__(self, doc_id: int | None, text: str) -> None:
         self.doc_id, self.text, self.raw = doc_id, text, text.encode("utf-8")
-        self.ends = phrases(self.raw, set())
-        self.sketch = sketch(self.raw, self.ends)
+        self.parts = phrases(self.raw, set())
+        self.ends = _ends(self.parts)
+        self.sketch = sketch(self.parts, self.ends)
 
     def edited(self, following: str) -> tuple[bytes, np.ndarray]:
         """The text whose last half is replaced by as much of ``following``, and its fingerprint; the parse of the first half is taken over."""
@@ -98,9 +110,10 @@ class Parsed:
             return self.raw, self.sketch
         stays = self.text[: len(self.text) - half].encode("utf-8")
         raw = stays + following[:half].encode("utf-8")
-        kept = self.ends[: int(np.searchsorted(np.array(self.ends), len(stays), side="right"))]
-        seen = {self.raw[a:b] for a, b in zip([0, *kept[:-1]], kept)}
-        return raw, sketch(raw, kept + phrases(raw, seen, kept[-1] if kept else 0))
+        kept = int(np.searchsorted(self.ends, len(stays), side="right"))
+        parts = self.parts[:kept]
+        parts += phrases(raw, set(parts), int(self.ends[kept - 1]) if kept else 0)
+        return raw, sketch(parts, _ends(parts))
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

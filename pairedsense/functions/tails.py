@@ -116,8 +116,10 @@ def z_p_value(z: Column) -> Column:
     return run(z.cast("double"))
 
 
-def signed_rank_p_value(w: Column, n: Column, z: Column, ties: Column) -> Column:
-    """Exact up to 50 differences without ties, else normal."""
+def signed_rank_p_value(w: Column, n: Column, z: Column, ties: Column, method: str = "exact") -> Column:
+    """``exact``: from the distribution of rank sums, where ties allow it; ``normal``: from the score, for any data."""
+    if method not in ("exact", "normal"):
+        raise ValueError(f"unknown method {method}")
 
     @F.pandas_udf("double")
     def run(w: pd.Series, n: pd.Series, z: pd.Series, ties: pd.Series) -> pd.Series:
@@ -125,7 +127,7 @@ def signed_rank_p_value(w: Column, n: Column, z: Column, ties: Column) -> Column
         for a, m, b, t in zip(w, n, z, ties):
             if not _ok(a, m) or m == 0:
                 out.append(None)
-            elif m <= 50 and t == 0:
+            elif method == "exact" and t == 0:
                 out.append(signed_rank_exact(float(a), int(m)))
             else:
                 out.append(normal_two_sided(float(b)) if _ok(b) else None)

@@ -90,11 +90,21 @@ def check_windows(windows: DataFrame, events: DataFrame, awake: DataFrame, bound
     counted but allowed, so that row always passes.
     """
     by = ["subject_id"]
-    outside = windows.join(bounds, by).filter((F.col("start_sec") < -1e-6) | (F.col("end_sec") > F.col("hi") + 1e-6))
+    outside = windows.join(bounds, by).filter(
+        (F.col("start_sec") < 0) | (F.col("end_sec") > F.col("hi") + 1e-6) | (F.col("end_sec") <= F.col("start_sec"))
+    )
     pos, neg = windows.filter("label = 1"), windows.filter("label = 0")
-    spot = [F.round(c, 6).alias(n) for c, n in (("start_sec", "s"), ("end_sec", "e"))]
-    known = events.select("subject_id", F.round("start", 6).alias("s"), F.round("end", 6).alias("e"))
-    strange = pos.select("subject_id", *spot).join(known, ["subject_id", "s", "e"], "left_anti")
+    # An event stands in its own millisecond and both neighbours, so a pair on an edge still meets.
+    place = F.floor(F.col("start") * 1000)
+    known = events.select("subject_id", F.col("start").alias("_s"), F.col("end").alias("_e"), F.explode(F.array(place - 1, place, place + 1)).alias("_ms"))
+    spot = pos.select("subject_id", "start_sec", "end_sec", F.floor(F.col("start_sec") * 1000).alias("_ms"))
+    same = (
+        (spot["subject_id"] == known["subject_id"])
+        & (spot["_ms"] == known["_ms"])
+        & (F.abs(F.col("start_sec") - F.col("_s")) < 1e-6)
+        & (F.abs(F.col("end_sec") - F.col("_e")) < 1e-6)
+    )
+    strange = spot.join(known, same, "left_anti")
     blocked = events.select("subject_id", "start", "end").unionByName(awake.select("subject_id", "start", "end"))
     # Shrunk by a microsecond, so shared ends do not count as an overlap.
     shrunk = neg.select("subject_id", "logical_window_id", (F.col("start_sec") + 1e-6).alias("start"), (F.col("end_sec") - 1e-6).alias("end"))
@@ -141,7 +151,8 @@ def check_pairing(manifest: DataFrame, folds: DataFrame) -> DataFrame:
 
 
 def check_baseline(predictions: DataFrame, folds: DataFrame, protocols: Sequence[str], n: int = 5) -> DataFrame:
-    """All cells present, test subjects only, devices as the protocol says, finite probabilities, no sample twice."""
+    """All cells present, exactly the test subjects in each, one role per subject, devices as the protocol says,
+    finite probabilities, no sample twice."""
     spark = predictions.sparkSession
     cells = spark.range(n).select(F.col("id").cast("int").alias("fold")).crossJoin(
         spark.createDataFrame([(p,) for p in protocols], "protocol string")
@@ -150,6 +161,9 @@ def check_baseline(predictions: DataFrame, folds: DataFrame, protocols: Sequence
     foreign = predictions.join(folds.select("subject_id", F.col("fold").alias("_f")), "subject_id", "left").filter(
         F.col("_f").isNull() | (F.col("_f") != F.col("fold"))
     )
+    expected = cells.join(folds.select("subject_id", "fold").distinct(), "fold")
+    absent = expected.join(predictions.select("protocol", "fold", "subject_id").distinct(), ["protocol", "fold", "subject_id"], "left_anti")
+    leaking = folds.groupBy("subject_id").agg(F.min("fold").alias("_a"), F.max("fold").alias("_b")).filter("_a <> _b")
     wrong: Column = ~F.contains(F.element_at(F.split("protocol", "_"), 2), F.col("device"))
     p = F.col("probability")
     broken = p.isNull() | F.isnan(p) | ~((p >= 0) & (p <= 1))
@@ -159,6 +173,8 @@ def check_baseline(predictions: DataFrame, folds: DataFrame, protocols: Sequence
         [
             _row(missing, "all cells are present"),
             _row(foreign, "predictions are of test subjects"),
+            _row(absent, "every test subject has predictions"),
+            _row(leaking, "no subject in two roles"),
             _rows(faults, {"a": "devices fit the protocol", "b": "probabilities are finite"}),
             _row(copies, "no sample twice"),
         ]

@@ -383,8 +383,8 @@ def paired_device_stats(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     )
 
 
-def paired_device_tests(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """Interval limits and p-values that go with ``paired_device_stats``."""
+def paired_device_tests(df: DataFrame, metrics: Sequence[str], method: str = "exact") -> DataFrame:
+    """Interval limits and p-values that go with ``paired_device_stats``; ``method`` is that of the signed-rank test."""
     from .stats import paired_t, t_interval, wilcoxon
 
     long = df.select(
@@ -401,5 +401,5 @@ def paired_device_tests(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
     )
     limits = t_interval(both, ["metric"], "difference").select("metric", "ci95_low", "ci95_high")
     t = paired_t(both, ["metric"], "difference").select("metric", F.col("p_value").alias("t_p_value"))
-    w = wilcoxon(both, ["metric"], "difference").select("metric", F.col("p_value").alias("wilcoxon_p_value"))
+    w = wilcoxon(both, ["metric"], "difference", method).select("metric", F.col("p_value").alias("wilcoxon_p_value"))
     return limits.join(t, "metric").join(w, "metric", "left")

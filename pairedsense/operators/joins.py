@@ -222,6 +222,8 @@ def aligned_windows(
         off1.alias("device_time_offset_end_sec"),
         "_dur",
     )
+    if "duration_sec" in windows.columns:
+        mapped = mapped.withColumn("duration_sec", F.col("end_sec") - F.col("start_sec"))
     stays = (F.col("device") != "R") | (
         (F.col("start_sec") >= 0) & (F.col("end_sec") <= F.col("_dur")) & (F.col("end_sec") > F.col("start_sec"))
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from functools import reduce
 
@@ -15,7 +16,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import sigmoid_clip
@@ -23,6 +24,9 @@ from ..session import stage
 from .metrics import binary_metrics
 from .splits import PROTOCOL_DEVICES, class_weights
 
+PREDICTION = (
+    "representation string, classifier string, protocol string, fold int, sample_id bigint, subject_id bigint, device string, label int, probability double"
+)
 WEIGHTED = ("random_forest", "gradient_boosted_trees", "logistic_regression", "linear_svm")
 
 
@@ -93,7 +97,7 @@ def select_and_fit(train: DataFrame, validation: DataFrame, name: str, candidate
     """
     records = []
     for index, params in enumerate(candidates):
-        value = balanced_accuracy(score(fit(train, name, params, seed + index), validation)) if len(candidates) > 1 else None
+        value = balanced_accuracy(score(fit(train, name, params, seed + index), validation))
         records.append({"candidate": index, "hyperparameters": params, "validation_balanced_accuracy": value})
     best = max(records, key=lambda r: (r["validation_balanced_accuracy"] or 0.0, -r["candidate"]))
     return fit(train.unionByName(validation), name, best["hyperparameters"], seed), best["hyperparameters"], records
@@ -108,7 +112,7 @@ def fit_plan(grid: DataFrame) -> DataFrame:
     )
 
 
-def _roles(rows: DataFrame, fold: int, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def roles(rows: DataFrame, fold: int, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     validation = (fold + 1) % n
     return (
         rows.filter((F.col("fold") != fold) & (F.col("fold") != validation)),
@@ -125,9 +129,14 @@ def run_grid(
     n: int,
     done: DataFrame | None = None,
     seed: int = 42,
+    records: list[dict] | None = None,
 ) -> DataFrame:
     """Test predictions of every pending (representation, classifier, protocol, fold) cell.
 
+    ``records`` gets one entry per fit: its cell, the selected parameters, the
+    tuning scores, the subjects and rows of every role, and the seconds it took.
+    With nothing pending the result is empty.
+
     The driver loops over fit keys, a handful of configuration names; every fit
     and every scoring is a distributed job, and one fit serves all its protocols.
     """
@@ -137,11 +146,20 @@ def run_grid(
     for rep, rows in representations.items():
         for name, candidates in classifiers.items():
             for fold in folds:
-                train, validation, test = _roles(rows, fold, n)
+                train, validation, test = roles(rows, fold, n)
                 cells = [p for p in protocols if (rep, name, p, fold) not in finished]
                 for source in dict.fromkeys(devices[p][0] for p in cells):
                     keep = F.col("device").isin(*source)
-                    model, _, _ = select_and_fit(train.filter(keep), validation.filter(keep), name, candidates, seed)
+                    began = time.perf_counter()
+                    model, chosen, tuning = select_and_fit(train.filter(keep), validation.filter(keep), name, candidates, seed)
+                    if records is not None:
+                        served = [p for p in cells if devices[p][0] == source]
+                        roles = {"train": train.filter(keep), "validation": validation.filter(keep), "test": test}
+                        sizes = {r: df.agg(F.count("*").alias("rows"), F.sort_array(F.collect_set("subject_id")).alias("subjects")).first().asDict() for r, df in roles.items()}
+                        records.append(
+                            {"representation": rep, "classifier": name, "fold": fold, "protocols": served, "selected": chosen, "tuning": tuning, "roles": sizes,
+                             "seconds": time.perf_counter() - began}
+                        )
                     for p in (p for p in cells if devices[p][0] == source):
                         scored = score(model, test.filter(F.col("device").isin(*devices[p][1])))
                         parts.append(
@@ -157,6 +175,8 @@ def run_grid(
                                 "probability",
                             )
                         )
+    if not parts:
+        return next(iter(representations.values())).sparkSession.createDataFrame([], PREDICTION)
     return stage(reduce(lambda a, b: a.unionByName(b), parts), "predictions")
 
 
@@ -166,6 +186,3 @@ def device_probe(rows: DataFrame, fold: int, name: str = "logistic_regression",
     model = fit(probe.filter(F.col("fold") != fold), name, params, seed)
     return score(model, probe.filter(F.col("fold") == fold))
 
-
-def classifiers_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in (*WEIGHTED, "mlp")], "classifier string")

@@ -164,7 +164,7 @@ def build_manifest(placed: DataFrame, types: DataFrame, devices: DataFrame, by:
     """
     full = placed.join(types, [by, seq])
     positive_id = stable_id(by, F.lit("positive"), seq, F.round("event_start", 6).cast("decimal(20,6)"), F.round("event_end", 6).cast("decimal(20,6)"))
-    negative_id = stable_id(by, F.lit("negative"), seq)
+    negative_id = stable_id(by, F.lit("negative"), seq, F.round("start", 3).cast("decimal(20,3)"), F.round("end", 3).cast("decimal(20,3)"))
     rows = full.select(
         by,
         positive_id.alias("paired_positive_id"),

@@ -13,6 +13,7 @@ from .metrics import binary_metrics
 from .scan import numbered
 
 SEED_STEP = 1000003
+SENT_ROWS = 100_000
 
 
 def draws(scores: DataFrame, by: Sequence[str], unit: str, metrics: Sequence[str], iterations: int = 2000, seed: int = 42) -> DataFrame:
@@ -20,7 +21,9 @@ def draws(scores: DataFrame, by: Sequence[str], unit: str, metrics: Sequence[str
 
     Each of the n units of a group fills one slot of each iteration; a slot
     draws a unit number from an integer mixer. The draws are joined to the
-    scores on (group, number), so nothing is held per iteration.
+    scores on (group, number), so nothing is held per iteration. Scores of up to
+    ``SENT_ROWS`` rows are sent to the draws, which then sum up before their only
+    shuffle; longer tables meet them in a shuffled join. The answer is the same.
     """
     by = list(by)
     base = stage(
@@ -33,9 +36,11 @@ def draws(scores: DataFrame, by: Sequence[str], unit: str, metrics: Sequence[str
     tasks = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = slots.repartition(tasks, *[F.col(k) for k in by], F.col("_slot"))
     each = spread.withColumn("iteration", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long"))))
+    table = base.drop(unit)
+    table = F.broadcast(table) if base.limit(SENT_ROWS + 1).count() <= SENT_ROWS else table
     mixed = with_mixed(with_mixed(each, "_a", F.col("iteration") + seed * SEED_STEP), "_b", F.col("_a") + F.col("_slot"))
     picks = mixed.select(*by, "iteration", (F.col("_b") % F.col("_n") + 1).alias("_slot"))
-    return picks.join(base.drop(unit), [*by, "_slot"]).groupBy(*by, "iteration").agg(*[F.avg(m).alias(m) for m in metrics])
+    return picks.join(table, [*by, "_slot"]).groupBy(*by, "iteration").agg(*[F.avg(m).alias(m) for m in metrics])
 
 
 def bootstrap_diff(

@@ -170,7 +170,7 @@ def build_experiment(df: DataFrame, name: str, test_size: float = 0.25, seed: in
 
     ``in_domain_<device>``: grouped split of one device. ``cross_<a>_to_<b>``:
     train on one device, test on the other, with ``strict`` without patients
-    seen in training. ``combined_device_group_split``: grouped split of all.
+    seen in training; a side without rows fails. ``combined_device_group_split``: grouped split of all.
     """
     if name.startswith("in_domain_"):
         return group_split(df.filter(F.col("device") == name[len("in_domain_") :]), test_size, seed)
@@ -179,6 +179,9 @@ def build_experiment(df: DataFrame, name: str, test_size: float = 0.25, seed: in
         train, test = df.filter(F.col("device") == source), df.filter(F.col("device") == target)
         if strict:
             test = exclude_seen(test, train)
+        for side, rows in (("source", train), ("target", test)):
+            if rows.isEmpty():
+                raise ValueError(f"experiment {name} has no {side} rows")
         return train.withColumn("role", F.lit("train")).unionByName(test.withColumn("role", F.lit("test")))
     if name == "combined_device_group_split":
         return group_split(df, test_size, seed)

@@ -53,9 +53,10 @@ def wilcoxon_statistic(df: DataFrame, by: Sequence[str], value: str) -> DataFram
     )
 
 
-def wilcoxon(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+def wilcoxon(df: DataFrame, by: Sequence[str], value: str, method: str = "exact") -> DataFrame:
+    """Two-sided signed-rank test; the exact distribution costs n**3 per group, so large groups want ``normal``."""
     out = wilcoxon_statistic(df, by, value)
-    return out.withColumn("p_value", signed_rank_p_value(F.col("statistic"), F.col("n"), F.col("z"), F.col("ties")))
+    return out.withColumn("p_value", signed_rank_p_value(F.col("statistic"), F.col("n"), F.col("z"), F.col("ties"), method))
 
 
 def mann_whitney_statistic(df: DataFrame, by: Sequence[str], group: str, first: str, value: str) -> DataFrame:
@@ -88,17 +89,18 @@ def mann_whitney(df: DataFrame, by: Sequence[str], group: str, first: str, value
     return mann_whitney_statistic(df, by, group, first, value).withColumn("p_value", z_p_value(F.col("z")))
 
 
-def theil_sen(anchors: DataFrame, by: Sequence[str], x: str, y: str, index: str, points: int = 5) -> DataFrame:
-    """Median-of-slopes line per key over its ``points`` anchor windows.
+def theil_sen(anchors: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
+    """Median-of-slopes line per key over its anchors, one point per anchor.
 
-    ``index`` numbers the anchor windows 0..points-1; anchors of one window are
-    averaged, so a key has at most ``points`` points and the slopes of all
-    pairs are a short array. Adds the intercept median(y) - slope * median(x),
-    the largest residual and the drift per hour.
+    A recording has a handful of anchors, so the slopes of all pairs are a short
+    array. Adds the intercept median(y) - slope * median(x), the largest residual
+    and the drift per hour; a key with fewer than two different x has none.
     """
     by = list(by)
-    reduced = anchors.filter(F.col(index).between(0, points - 1)).groupBy(*by, index).agg(F.avg(x).alias("x"), F.avg(y).alias("y"))
-    packed = reduced.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("_p"), F.count("*").alias("points"))
+    packed = anchors.groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("_p"),
+        F.count("*").alias("points"),
+    )
 
     def median(values):
         ordered = F.array_sort(values)
@@ -124,3 +126,31 @@ def theil_sen(anchors: DataFrame, by: Sequence[str], x: str, y: str, index: str,
     return line.select(
         *by, "points", "slope", "intercept", worst.alias("max_residual"), (F.col("slope") * 3600.0).alias("drift_per_hour")
     )
+
+
+def alignment_models(
+    anchors: DataFrame,
+    by: Sequence[str],
+    t: str = "t",
+    lag: str = "lag",
+    correlation: str = "correlation",
+    reliable_at: float = 0.45,
+    min_reliable: int = 3,
+    max_residual: float = 2.0,
+) -> DataFrame:
+    """Clock model per key: a line through its reliable anchors, or through all if these are too few.
+
+    ``low_confidence`` marks keys with too few reliable anchors, a median
+    correlation below the limit, or a residual over the used anchors above it.
+    """
+    by = list(by)
+    ranked = anchors.select(*by, F.col(t).alias("x"), F.col(lag).alias("y"), F.col(correlation).alias("_c"))
+    known = ranked.groupBy(*by).agg(
+        F.count("*").alias("anchors"), F.count_if(F.col("_c") >= reliable_at).alias("reliable_anchors"), F.median("_c").alias("median_correlation")
+    )
+    used = ranked.join(known.select(*by, "reliable_anchors"), by).filter(
+        (F.col("_c") >= reliable_at) | (F.col("reliable_anchors") < min_reliable)
+    )
+    out = known.join(theil_sen(used, by, "x", "y"), by)
+    weak = (F.col("reliable_anchors") < min_reliable) | (F.col("median_correlation") < reliable_at) | (F.col("max_residual") > max_residual)
+    return out.withColumn("low_confidence", weak)

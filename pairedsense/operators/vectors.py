@@ -70,14 +70,18 @@ def scale(df: DataFrame, scaler: DataFrame, vector: str = "vector") -> DataFrame
 
 
 def fit_pca(df: DataFrame, k: int, vector: str = "vector"):
-    """Principal axes of the rows; take the first d coordinates for any smaller dimension."""
-    return PCA(k=k, inputCol="_v", outputCol="_z").fit(df.select(array_to_vector(vector).alias("_v")))
+    """(principal axes of the rows, coordinates of their mean); take the first d coordinates for any smaller dimension."""
+    rows = df.select(array_to_vector(vector).alias("_v"))
+    model = PCA(k=k, inputCol="_v", outputCol="_z").fit(rows)
+    mean = rows.agg(Summarizer.mean(F.col("_v"))).first()[0].toArray()
+    return model, [float(x) for x in mean @ model.pc.toArray()]
 
 
 def project(df: DataFrame, model, vector: str = "vector", dimensions: int | None = None) -> DataFrame:
-    """Centred coordinates on the axes, optionally only the first ``dimensions``."""
-    out = model.transform(df.withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double")))))
-    z = vector_to_array("_z")
+    """Coordinates on the axes, centred on the rows of the fit; optionally only the first ``dimensions``."""
+    axes, center = model
+    out = axes.transform(df.withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double")))))
+    z = F.zip_with(vector_to_array("_z"), F.array(*[F.lit(c) for c in center]), lambda x, c: x - c)
     return out.withColumn(vector, F.slice(z, 1, dimensions) if dimensions else z).drop("_v", "_z")
 
 
@@ -178,7 +182,7 @@ def separation(df: DataFrame, per_cell: int = 600, k: int = 10, seed: int = 42)
     sample = stratified(df, ["device", "label"], per_cell, "sample_id", seed)
     model = fit_pca(sample, k)
     low = project(sample, model)
-    share = float(model.explainedVariance.toArray().sum())
+    share = float(model[0].explainedVariance.toArray().sum())
     both = silhouette(low, "device").unionByName(silhouette(low, "label"))
     return both.withColumn("explained_variance", F.lit(share))
 

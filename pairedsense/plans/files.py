@@ -258,11 +258,11 @@ def write_idempotent(spark, sf):
     )
 
 
-@register("snk3_append_log", "SELECT o_orderkey AS run_id, o_orderstatus AS status, CAST(NULL AS VARCHAR) AS note FROM orders WHERE o_orderstatus IN ('F', 'O')")
+@register("snk3_append_log", "SELECT o_orderkey AS run_id, o_orderstatus AS status, CAST(NULL AS VARCHAR) AS note FROM orders")
 def append_log(spark, sf):
     path = shared_path(spark, "log")
     runs = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("status"))
-    for status in ("F", "O"):
+    for status in ("F", "O", "P"):
         sk.append_log(runs.filter(F.col("status") == status), path, ["run_id", "status", "note"])
     return spark.read.parquet(path)
 

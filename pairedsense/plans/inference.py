@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import r6, r9
+from ..functions.tails import t_p_value
 from ..operators import metrics as mt
 from ..operators import resample as rs
 from ..operators import stats as st
 from ..operators import summaries as sm
 from . import bindings as b
-from .oracle_ctes import with_ctes
+from .oracle_ctes import NORMAL_TAIL, STEPS, T_TAIL, with_ctes
 from .registry import register
 from .series import burden_table
 
 METRICS = ["accuracy", "f1"]
-ITERATIONS = 500
+ITERATIONS = 2000
 
 
 # The mixer is spelled out step by step in CTEs, since a nested expression would repeat itself.
@@ -210,9 +211,20 @@ def t_moments(spark, sf):
     return st.moments(grouped_means(spark, sf), ["g"], "d").select("g", "n", r6("mean").alias("mean"), r6("std").alias("std"))
 
 
-@register("st6_t_interval")
+@register(
+    "st6_t_interval",
+    with_ctes(
+        "pairs",
+        """SELECT CAST(subject_id % 3 AS INTEGER) AS g, count(d) AS n, round(avg(d), 6) + 0.0 AS mean, CAST(0.05 AS DOUBLE) AS tail_at_high, CAST(0.05 AS DOUBLE) AS tail_at_low FROM means GROUP BY 1""",
+        PAIR_CTES,
+    ),
+)
 def t_interval(spark, sf):
-    return st.t_interval(grouped_means(spark, sf), ["g"], "d")
+    """The limits stand where a t test of the distance to the mean has a tail of 0.05."""
+    out = st.t_interval(grouped_means(spark, sf), ["g"], "d")
+    error = F.col("std") / F.sqrt("n")
+    tail = lambda limit: r6(t_p_value((F.col(limit) - F.col("mean")) / error, F.col("n") - 1))
+    return out.select("g", "n", r6("mean").alias("mean"), tail("ci95_high").alias("tail_at_high"), tail("ci95_low").alias("tail_at_low"))
 
 
 @register(
@@ -223,14 +235,6 @@ def t_statistic(spark, sf):
     return st.paired_t_statistic(grouped_means(spark, sf), ["g"], "d").select("g", "n", r6("t").alias("t"))
 
 
-# Tail areas by Simpson's rule over 2,000 steps from 0 to the statistic.
-STEPS = "CROSS JOIN (SELECT unnest(range(0, 2001)) AS i)"
-WEIGHT = "CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
-NORMAL_TAIL = f"1 - 2 * any_value(z) / 6000 * sum({WEIGHT} * exp(-pow(z * i / 2000, 2) / 2) / sqrt(2 * pi()))"
-T_TAIL = f"""1 - 2 * any_value(abs(t)) / 6000 * sum({WEIGHT} * exp(lgamma(n / 2.0::DOUBLE) - lgamma((n - 1) / 2.0::DOUBLE)) / sqrt((n - 1) * pi())
-    * pow(1 + pow(t * i / 2000, 2) / (n - 1), -n / 2.0::DOUBLE))"""
-
-
 @register(
     "st7_paired_t",
     with_ctes(
@@ -262,9 +266,21 @@ def wilcoxon_statistic(spark, sf):
     return st.wilcoxon_statistic(rounded, ["g"], "d").select("g", "n", "w_plus", "w_minus", "statistic")
 
 
-@register("st8_wilcoxon")
+@register(
+    "st8_wilcoxon",
+    with_ctes(
+        "pairs",
+        f"SELECT g, any_value(n) AS n, any_value(w) AS statistic, round(any_value(-z), 6) + 0.0 AS z, round({NORMAL_TAIL}, 7) + 0.0 AS p_value FROM zs {STEPS} GROUP BY g",
+        _WILCOXON
+        + """, ties AS (SELECT g, sum(c * c * c - c) AS ties FROM (SELECT g, CAST(count(*) AS DOUBLE) AS c FROM rk GROUP BY g, abs(d)) GROUP BY g),
+        ws AS (SELECT g, count(*) AS n, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0))::DOUBLE AS w FROM rk GROUP BY g),
+        zs AS (SELECT g, n, w, (n * (n + 1) / 4.0::DOUBLE - w) / sqrt((CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) - ties / 2) / 24) AS z FROM ws JOIN ties USING (g))""",
+    ),
+)
 def wilcoxon(spark, sf):
-    return st.wilcoxon(grouped_means(spark, sf).withColumn("d", F.floor(F.col("d") * 4) / 4.0), ["g"], "d")
+    """By the normal approximation with its tie correction; the exact form is tested against printed tables."""
+    out = st.wilcoxon(grouped_means(spark, sf).withColumn("d", F.floor(F.col("d") * 4) / 4.0), ["g"], "d", "normal")
+    return out.select("g", "n", "statistic", r6("z").alias("z"), (F.round("p_value", 7) + 0.0).alias("p_value"))
 
 
 def device_values(spark, sf):
@@ -329,7 +345,8 @@ def cliffs(spark, sf):
 def theil_sen(spark, sf):
     rec = b.b_recordings(spark, sf).select("subject_id", "common_sec")
     rows = b.b_anchors(spark, sf).join(rec, "subject_id").withColumn("k", F.floor(F.col("t") / (F.col("common_sec") / 5)).cast("long"))
-    out = st.theil_sen(rows, ["subject_id"], "t", "lag", "k", 5)
+    five = rows.filter(F.col("k").between(0, 4)).groupBy("subject_id", "k").agg(F.avg("t").alias("t"), F.avg("lag").alias("lag"))
+    out = st.theil_sen(five, ["subject_id"], "t", "lag")
     return out.select("subject_id", "points", *[r6(c).alias(c) for c in ("drift_per_hour", "intercept", "max_residual")])
 
 

@@ -51,25 +51,25 @@ def attach(spark, sf):
     "jn10_attach_subject_features",
     with_ctes(
         "vectors",
-        "SELECT sample_id, v.subject_id, round(burden, 6) + 0.0 AS burden FROM vectors v JOIN (SELECT user_id, avg(value) AS burden FROM events GROUP BY 1) ON user_id = v.subject_id WHERE v.subject_id < 15",
+        "SELECT sample_id, v.subject_id, round(coalesce(burden, 0), 6) + 0.0 AS burden FROM vectors v LEFT JOIN (SELECT user_id, avg(value) AS burden FROM events GROUP BY 1) ON user_id = v.subject_id",
     ),
 )
 def subject_features(spark, sf):
-    feats = b.table(spark, sf, "events").groupBy(F.col("user_id").alias("subject_id")).agg(F.avg("value").alias("burden"))
-    rows = b.b_vectors(spark, sf).filter("subject_id < 15").select("sample_id", "subject_id")
+    means = b.table(spark, sf, "events").groupBy(F.col("user_id").alias("subject_id")).agg(F.avg("value").alias("burden"))
+    rows = b.b_vectors(spark, sf).select("sample_id", "subject_id")
+    feats = rows.select("subject_id").distinct().join(means, "subject_id", "left").withColumn("burden", F.coalesce("burden", F.lit(0.0)))
     return vc.attach_subject_features(rows, feats).select("sample_id", "subject_id", r6("burden").alias("burden"))
 
 
 @register(
     "jn16_exclude_seen",
-    """SELECT l_orderkey, l_linenumber, l_suppkey AS patient_id, count(*) AS copies FROM lineitem WHERE l_linestatus = 'F' AND l_suppkey NOT IN
-    (SELECT l_suppkey FROM lineitem WHERE l_linestatus = 'O' AND l_quantity < 2 AND l_discount < 0.02) GROUP BY ALL""",
+    """SELECT l_orderkey AS patient_id, l_linenumber, count(*) AS copies FROM lineitem WHERE l_linestatus = 'F' AND l_orderkey NOT IN
+    (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'O') GROUP BY ALL""",
 )
 def exclude_seen(spark, sf):
-    lines = b.table(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "patient_id")
-    source = lines.filter("l_linestatus = 'O' and l_quantity < 2 and l_discount < 0.02")
-    out = jn.exclude_seen(lines.filter("l_linestatus = 'F'"), source)
-    return out.groupBy("l_orderkey", "l_linenumber", "patient_id").agg(F.count("*").alias("copies"))
+    lines = b.table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "patient_id")
+    out = jn.exclude_seen(lines.filter("l_linestatus = 'F'"), lines.filter("l_linestatus = 'O'"))
+    return out.groupBy("patient_id", "l_linenumber").agg(F.count("*").alias("copies"))
 
 
 def customers(spark, sf):
@@ -197,65 +197,120 @@ def fit_plan(spark, sf):
     return ml.fit_plan(cells).select("representation", "classifier", "protocol", "fold", "fit_key")
 
 
-@register("ml2_pca")
+@register(
+    "ml2_pca",
+    with_ctes(
+        "vectors",
+        """SELECT sample_id, round(sum(pow(x - m, 2)), 6) + 0.0 AS energy FROM (SELECT sample_id, unnest(range(0, 64)) AS p, unnest(embedding)::DOUBLE AS x FROM vectors WHERE fold = 0 AND device = 'S')
+        JOIN mean USING (p) GROUP BY sample_id""",
+        """mean AS (SELECT p, avg(x) AS m FROM (SELECT unnest(range(0, 64)) AS p, unnest(embedding)::DOUBLE AS x FROM vectors
+        WHERE (device = 'R' AND fold <> 0) OR (device = 'S' AND fold = 1)) GROUP BY p)""",
+    ),
+)
 def pca(spark, sf):
+    """With as many axes as dimensions the coordinates keep every distance to the mean of the fit."""
     v = vectors(spark, sf)
     train, val = v.filter("fold not in (0, 1) and device = 'R'"), v.filter("fold = 1 and device = 'R'")
     test, target = v.filter("fold = 0 and device = 'S'"), v.filter("fold = 1 and device = 'S'")
-    parts = vc.pca_fold(train, val, test, target, 16, [16, 8])
-    out = None
-    for d, (_, _, _, z) in parts.items():
-        rows = z.select("sample_id", F.lit(d).alias("dimensions"), F.expr("aggregate(vector, 0D, (a, x) -> a + x * x)").alias("energy"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    _, _, _, z = vc.pca_fold(train, val, test, target, 64, [64])[64]
+    energy = F.expr("aggregate(vector, 0D, (a, x) -> a + x * x)")
+    return z.select("sample_id", r6(energy).alias("energy"))
 
 
-@register("ml3_coral")
+@register(
+    "ml3_coral",
+    with_ctes(
+        "vectors",
+        """SELECT CAST(p AS INTEGER) AS position, (SELECT count(*) FROM vectors WHERE device = 'R' AND fold > 1) AS n, round(avg(x), 6) + 0.0 AS mean, round(var_samp(x), 3) + 0.0 AS variance
+        FROM (SELECT unnest(range(0, 64)) AS p, unnest(embedding)::DOUBLE AS x FROM vectors WHERE device = 'S' AND fold = 1) GROUP BY p""",
+    ),
+)
 def coral(spark, sf):
+    """The aligned source rows have the means and variances of the target rows."""
     v = vectors(spark, sf)
     source, target = v.filter("device = 'R' and fold > 1"), v.filter("device = 'S' and fold = 1")
-    out = vc.coral_apply(v.filter("device = 'R'"), vc.coral_fit(source, target))
-    return out.select("sample_id", F.posexplode("vector").alias("position", "x"))
+    out = vc.coral_apply(source, vc.coral_fit(source, target)).select(F.posexplode("vector").alias("position", "x"))
+    return out.groupBy("position").agg(
+        F.count("*").alias("n"), r6(F.avg("x")).alias("mean"), (F.round(F.var_samp("x"), 3) + 0.0).alias("variance")
+    )
+
+
+def coverage(scored, by):
+    """Rows, distinct samples, positives and valid probabilities of scored rows."""
+    p = F.col("probability")
+    return scored.groupBy(*by).agg(
+        F.count("*").alias("n"),
+        F.countDistinct("sample_id").alias("samples"),
+        F.sum(F.col("label").cast("long")).alias("positives"),
+        F.count_if((p >= 0) & (p <= 1)).alias("valid"),
+    )
+
+
+COVERAGE = "count(*) AS n, count(DISTINCT sample_id) AS samples, CAST(sum(label) AS BIGINT) AS positives, count(*) AS valid"
 
 
-@register("ml4_select_and_fit")
+@register("ml4_select_and_fit", with_ctes("vectors", f"SELECT fold, device, {COVERAGE} FROM vectors GROUP BY ALL"))
 def select_and_fit(spark, sf):
+    """Every fold: two candidates judged on validation, the better one refitted, the test rows scored."""
     v = stage(vectors(spark, sf), "vectors")
-    model, chosen, _ = ml.select_and_fit(
-        v.filter("fold > 1"), v.filter("fold = 1"), "logistic_regression", [{"regParam": 0.1}, {"regParam": 0.01}], b.SEED
-    )
-    scored = ml.score(model, v.filter("fold = 0"))
-    return mt.binary_metrics(scored, ["device"]).withColumn("chosen", F.lit(str(chosen)))
+    out = None
+    for fold in range(b.N_FOLDS):
+        role = ml.roles(v, fold, b.N_FOLDS)
+        model, _, _ = ml.select_and_fit(role[0], role[1], "logistic_regression", [{"regParam": 0.1}, {"regParam": 0.01}], b.SEED)
+        rows = coverage(ml.score(model, role[2]), ["fold", "device"])
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-@register("ml5_classifiers")
+@register(
+    "ml5_classifiers",
+    with_ctes(
+        "vectors",
+        f"SELECT c AS classifier, {COVERAGE} FROM vectors CROSS JOIN (SELECT unnest(['random_forest', 'gradient_boosted_trees', 'logistic_regression', 'linear_svm', 'mlp']) AS c) WHERE fold = 0 GROUP BY c",
+    ),
+)
 def classifiers(spark, sf):
+    """Every classifier with its default parameters."""
     v = stage(vectors(spark, sf), "vectors")
-    small = {"random_forest": {"numTrees": 20}, "gradient_boosted_trees": {"maxIter": 5}, "logistic_regression": {}, "linear_svm": {"maxIter": 20}, "mlp": {"maxIter": 30}}
     out = None
-    for name, params in small.items():
-        scored = ml.score(ml.fit(v.filter("fold <> 0"), name, params, b.SEED), v.filter("fold = 0"))
-        rows = mt.binary_metrics(scored.withColumn("classifier", F.lit(name)), ["classifier"])
+    for name in (*ml.WEIGHTED, "mlp"):
+        scored = ml.score(ml.fit(v.filter("fold <> 0"), name, None, b.SEED), v.filter("fold = 0"))
+        rows = coverage(scored.withColumn("classifier", F.lit(name)), ["classifier"])
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-@register("ml8_run_grid")
+@register(
+    "ml8_run_grid",
+    with_ctes(
+        "vectors",
+        f"""SELECT 'full' AS representation, 'logistic_regression' AS classifier, p AS protocol, fold, {COVERAGE} FROM vectors
+        JOIN (SELECT unnest(['R_R', 'S_S', 'R_S', 'S_R', 'RS_RS']) AS p) ON contains(split_part(p, '_', 2), device) GROUP BY p, fold""",
+    ),
+)
 def run_grid(spark, sf):
+    """All protocols and folds of one representation and classifier."""
     v = stage(vectors(spark, sf), "vectors")
-    reps = {"full": v, "low": v.withColumn("vector", F.slice("vector", 1, 32))}
-    p = ml.run_grid(reps, {"logistic_regression": [{"maxIter": 20}]}, ["R_R", "R_S"], [0, 1], b.N_FOLDS, seed=b.SEED)
-    return mt.binary_metrics(p, ["representation", "classifier", "protocol", "fold"])
+    p = ml.run_grid({"full": v}, {"logistic_regression": [{}]}, [x[0] for x in sp.PROTOCOL_DEVICES], range(b.N_FOLDS), b.N_FOLDS, seed=b.SEED)
+    return coverage(p, ["representation", "classifier", "protocol", "fold"])
 
 
-@register("ml9_device_probe")
+@register(
+    "ml9_device_probe",
+    with_ctes("vectors", "SELECT fold, count(*) AS n, count(DISTINCT sample_id) AS samples, count(*) FILTER (device = 'S') AS positives, count(*) AS valid, CAST(2000 AS BIGINT) AS draws FROM vectors GROUP BY fold"),
+)
 def device_probe(spark, sf):
+    """The probe of every fold, with the number of bootstrap draws of its subject accuracies."""
     v = stage(vectors(spark, sf), "vectors")
-    scored = stage(ml.device_probe(v, 0), "probe")
-    per = mt.binary_metrics(scored, ["subject_id"]).select("subject_id", "accuracy")
-    drawn = rs.draws(per, [], "subject_id", ["accuracy"], 1000, b.SEED)
-    ci = rs.interval(rs.long_draws(drawn, [], ["accuracy"]), ["metric"])
-    return ci.crossJoin(mt.binary_metrics(scored, []).select("balanced_accuracy", "n")).crossJoin(mt.roc_auc(scored.withColumn("g", F.lit(1)), ["g"]).select("roc_auc"))
+    scored = None
+    for fold in range(b.N_FOLDS):
+        rows = ml.device_probe(v, fold)
+        scored = rows if scored is None else scored.unionByName(rows)
+    scored = stage(scored, "probe")
+    per = mt.binary_metrics(scored, ["fold", "subject_id"]).select("fold", "subject_id", "accuracy")
+    drawn = rs.draws(per, ["fold"], "subject_id", ["accuracy"], 2000, b.SEED)
+    ci = rs.interval(rs.long_draws(drawn, ["fold"], ["accuracy"]), ["fold"]).select("fold", F.col("iterations").alias("draws"))
+    return coverage(scored, ["fold"]).join(ci, "fold")
 
 
 @register(
@@ -273,9 +328,22 @@ def silhouette(spark, sf):
     return vc.silhouette(sample, "device").select("grouping", "n", r9("silhouette").alias("silhouette"))
 
 
-@register("ml10_separation")
+_RAW = """SELECT '{0}' AS grouping, count(*) AS n, round(avg((b - a) / greatest(a, b)), 6) + 0.0 AS silhouette FROM (
+        SELECT x.sample_id, sum(list_distance(x.v, y.v)) FILTER (y.{0} = x.{0}) / (count(*) FILTER (y.{0} = x.{0}) - 1) AS a,
+        avg(list_distance(x.v, y.v)) FILTER (y.{0} <> x.{0}) AS b FROM s x CROSS JOIN s y GROUP BY x.sample_id)"""
+
+
+@register(
+    "ml10_separation",
+    with_ctes(
+        "vectors",
+        _RAW.format("device") + " UNION ALL " + _RAW.format("label"),
+        """s AS (SELECT sample_id, device, label, embedding::DOUBLE[] AS v FROM (SELECT *, row_number() OVER (PARTITION BY device, label ORDER BY md5('42|' || sample_id), sample_id) AS rn FROM vectors) WHERE rn <= 600)""",
+    ),
+)
 def separation(spark, sf):
-    return vc.separation(vectors(spark, sf), 600, 10, b.SEED)
+    """With as many axes as dimensions the silhouettes are those of the raw vectors."""
+    return vc.separation(vectors(spark, sf), 600, 64, b.SEED).select("grouping", "n", r6("silhouette").alias("silhouette"))
 
 
 def halves(spark, sf):

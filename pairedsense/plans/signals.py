@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import r6, r9
+from ..functions.tails import t_p_value
 from ..operators import dsp
 from ..operators import summaries as sm
 from ..session import stage
 from . import bindings as b
-from .oracle_ctes import with_ctes
+from .oracle_ctes import NORMAL_TAIL, STEPS, T_TAIL, with_ctes
 from .registry import register
 
 KEY = ["subject_id"]
@@ -284,9 +285,33 @@ def device_stats(spark, sf):
     return out.select("metric", "subjects", *[r6(c).alias(c) for c in ("recorder_mean", "smartphone_mean", "difference", "difference_std")])
 
 
-@register("ds9_paired_device_tests")
+_LONG = """sides AS (SELECT m AS metric, subject_id, avg(x) FILTER (device = 'R') - avg(x) FILTER (device = 'S') AS d FROM (SELECT subject_id, device, unnest(['value', 'root', 'level']) AS m,
+        unnest([value, sqrt(value), ln(1 + value)]) AS x FROM devices) GROUP BY 1, 2), both_sides AS (SELECT * FROM sides WHERE d IS NOT NULL),
+    ts AS (SELECT metric, count(*) AS n, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM both_sides GROUP BY metric),
+    tp AS (SELECT metric, {T_TAIL} AS t_p FROM ts {STEPS} GROUP BY metric, n),
+    rk AS (SELECT metric, d, rank() OVER (PARTITION BY metric ORDER BY abs(d)) + (count(*) OVER (PARTITION BY metric, abs(d)) - 1) / 2.0::DOUBLE AS r FROM both_sides WHERE d <> 0),
+    ties AS (SELECT metric, sum(c * c * c - c) AS ties FROM (SELECT metric, CAST(count(*) AS DOUBLE) AS c FROM rk GROUP BY metric, abs(d)) GROUP BY metric),
+    ws AS (SELECT metric, CAST(count(*) AS DOUBLE) AS n, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS w FROM rk GROUP BY metric),
+    zs AS (SELECT metric, (n * (n + 1) / 4 - w) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24) AS z FROM ws JOIN ties USING (metric)),
+    wp AS (SELECT metric, {NORMAL_TAIL} AS w_p FROM zs {STEPS} GROUP BY metric)"""
+
+
+@register(
+    "ds9_paired_device_tests",
+    with_ctes(
+        "devices",
+        "SELECT metric, CAST(0.05 AS DOUBLE) AS tail_at_limit, round(t_p, 6) + 0.0 AS t_p_value, round(w_p, 6) + 0.0 AS wilcoxon_p_value FROM tp JOIN wp USING (metric)",
+        _LONG.format(T_TAIL=T_TAIL, NORMAL_TAIL=NORMAL_TAIL, STEPS=STEPS),
+    ),
+)
 def device_tests(spark, sf):
-    return dsp.paired_device_tests(device_metrics(spark, sf), ["value", "root", "level"])
+    """The limits stand where a t test of the distance to the mean has a tail of 0.05."""
+    d, names = device_metrics(spark, sf), ["value", "root", "level"]
+    out = dsp.paired_device_tests(d, names, "normal").join(
+        dsp.paired_device_stats(d, names).select("metric", F.col("subjects").alias("n"), "difference", "difference_std"), "metric"
+    )
+    t = (F.col("ci95_high") - F.col("difference")) / (F.col("difference_std") / F.sqrt("n"))
+    return out.select("metric", r6(t_p_value(t, F.col("n") - 1)).alias("tail_at_limit"), r6("t_p_value").alias("t_p_value"), r6("wilcoxon_p_value").alias("wilcoxon_p_value"))
 
 
 @register(

@@ -239,11 +239,27 @@ def place(spark, sf):
     )
 
 
-@register("iv6_place_negatives_strict")
+@register(
+    "iv6_place_negatives_strict",
+    with_ctes(
+        "ann awake rec",
+        "SELECT subject_id, count(*) AS placed, round(sum(e - s), 3) + 0.0 AS seconds, CAST(0 AS BIGINT) AS overlaps, CAST(0 AS BIGINT) AS outside FROM neg GROUP BY subject_id",
+        NEGATIVE_CTES,
+    ),
+)
 def place_strict(spark, sf):
+    """Per subject: how many were placed, their length, overlaps of those placed apart, and how many leave the free stretches."""
     events = eligible(spark, sf).select("subject_id", "event_id", "start", "end")
     out = ng.place_strict(events, blocked(spark, sf), bounds(spark, sf), KEY, "event_id", b.SEED, b.BIN)
-    return out.select("subject_id", "event_id", r6("start").alias("start_sec"), r6("end").alias("end_sec"), "fallback")
+    out = stage(out.select("subject_id", "event_id", "start", "end", "fallback"), "strict")
+    over = iv.overlap_earlier(out.filter("not fallback").drop("fallback"), KEY, "event_id", b.BIN).filter("overlaps_earlier")
+    shrunk = out.select("subject_id", "event_id", (F.col("start") + 1e-6).alias("start"), (F.col("end") - 1e-6).alias("end"))
+    hit = jn.touching(shrunk, blocked(spark, sf).select("subject_id", "start", "end"), KEY, 0.0, b.BIN).select("subject_id", "event_id")
+    past = shrunk.join(bounds(spark, sf), KEY).filter((F.col("start") < F.col("lo")) | (F.col("end") > F.col("hi"))).select("subject_id", "event_id")
+    per = out.groupBy("subject_id").agg(F.count("*").alias("placed"), (F.round(F.sum(F.col("end") - F.col("start")), 3) + 0.0).alias("seconds"))
+    for name, rows in (("overlaps", over), ("outside", hit.union(past).distinct())):
+        per = per.join(rows.groupBy("subject_id").agg(F.count("*").alias(name)), "subject_id", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+    return per
 
 
 def devices(spark):
@@ -261,7 +277,7 @@ def manifest(spark, sf):
 
 MANIFEST_CTES = NEGATIVE_CTES + """,
 win AS (SELECT subject_id, event_id, substr(sha1(subject_id || '|positive|' || event_id || '|' || CAST(s AS DECIMAL(20, 6)) || '|' || CAST(e AS DECIMAL(20, 6))), 1, 16) AS pid,
-    substr(sha1(subject_id || '|negative|' || event_id), 1, 16) AS nid, event_type, s, e, ns, ne, fallback FROM neg),
+    substr(sha1(subject_id || '|negative|' || event_id || '|' || CAST(round(ns, 3) AS DECIMAL(20,3)) || '|' || CAST(round(ne, 3) AS DECIMAL(20,3))), 1, 16) AS nid, event_type, s, e, ns, ne, fallback FROM neg),
 logical AS (SELECT pid AS logical_window_id, subject_id, 1 AS label, event_type, s AS start_sec, e AS end_sec, pid AS paired_positive_id, false AS fb FROM win
     UNION ALL SELECT nid, subject_id, 0, 'normal', ns, ne, pid, fallback FROM win),
 manifest AS (SELECT logical_window_id || '_' || device AS sample_id, l.*, device FROM logical l CROSS JOIN (VALUES ('R'), ('S')) AS dv(device))
@@ -725,7 +741,7 @@ def check_splits(spark, sf):
         "ann awake rec",
         " UNION ALL ".join(
             [
-                _check("windows are in coverage", "SELECT 1 FROM logical JOIN rec USING (subject_id) WHERE start_sec < -1e-6 OR end_sec > common_sec + 1e-6"),
+                _check("windows are in coverage", "SELECT 1 FROM logical JOIN rec USING (subject_id) WHERE start_sec < 0 OR end_sec > common_sec + 1e-6 OR end_sec <= start_sec"),
                 _check("positives equal an annotation", "SELECT 1 FROM logical l WHERE label = 1 AND NOT EXISTS (SELECT 1 FROM ann a WHERE a.subject_id = l.subject_id AND abs(a.s - l.start_sec) < 1e-6 AND abs(a.e - l.end_sec) < 1e-6)"),
                 _check("negatives are clear", "SELECT 1 FROM logical l WHERE label = 0 AND EXISTS (SELECT 1 FROM (SELECT subject_id, s, e FROM ann UNION ALL SELECT subject_id, s, e FROM awake) a WHERE a.subject_id = l.subject_id AND l.start_sec + 1e-6 <= a.e AND l.end_sec - 1e-6 >= a.s)"),
                 _check("negatives overlapping negatives", "SELECT 1 FROM logical x WHERE label = 0 AND EXISTS (SELECT 1 FROM logical y WHERE y.label = 0 AND y.subject_id = x.subject_id AND y.logical_window_id < x.logical_window_id AND x.start_sec < y.end_sec - 1e-9 AND x.end_sec > y.start_sec + 1e-9)", "true"),
@@ -770,6 +786,8 @@ _BASE = """base AS (SELECT sample_id, subject_id, device, fold, probability, CAS
             [
                 _check("all cells are present", "(SELECT f, p FROM (SELECT unnest(range(0, 5)) AS f) CROSS JOIN (SELECT unnest(['R_R', 'S_S', 'R_S', 'S_R', 'RS_RS']) AS p)) EXCEPT SELECT fold, protocol FROM base"),
                 _check("predictions are of test subjects", "SELECT 1 FROM base b LEFT JOIN supplier s ON s.s_suppkey = b.subject_id WHERE s.s_suppkey IS NULL OR s.s_suppkey % 5 <> b.fold"),
+                _check("every test subject has predictions", "SELECT s_suppkey, p FROM supplier CROSS JOIN (SELECT unnest(['R_R', 'S_S', 'R_S', 'S_R', 'RS_RS']) AS p) WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.subject_id = s_suppkey AND b.fold = s_suppkey % 5 AND b.protocol = p)"),
+                _check("no subject in two roles", "SELECT s_suppkey FROM supplier GROUP BY 1 HAVING count(DISTINCT s_suppkey % 5) > 1"),
                 _check("devices fit the protocol", "SELECT 1 FROM base WHERE NOT contains(split_part(protocol, '_', 2), device)"),
                 _check("probabilities are finite", "SELECT 1 FROM base WHERE probability IS NULL OR isnan(probability) OR probability < 0 OR probability > 1"),
                 _check("no sample twice", "SELECT 1 FROM base GROUP BY protocol, sample_id HAVING count(*) > 1"),

@@ -42,7 +42,7 @@ def test_bootstrap_spread_and_repeatability(spark):
 
 def test_theil_sen_of_a_line(spark):
     df = spark.createDataFrame([("a", k, float(k * 100), 2.0 + 0.01 * k * 100 + (5.0 if k == 4 else 0.0)) for k in range(5)], "s string, k int, x double, y double")
-    r = st.theil_sen(df, ["s"], "x", "y", "k").first()
+    r = st.theil_sen(df, ["s"], "x", "y").first()
     assert r["slope"] == pytest.approx(0.01) and r["intercept"] == pytest.approx(2.0) and r["max_residual"] == pytest.approx(5.0)
 
 

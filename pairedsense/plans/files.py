@@ -98,20 +98,28 @@ def _hex_little(value, size):
 
 
 def wav_contents(spark, sf):
-    """WAV bytes built from the vectors: 64 samples per channel, rates and lengths by sample; every seventh is cut short."""
+    """WAV bytes of the vectors: their values as samples, then silence; rates and lengths by sample.
+
+    Every third file has a LIST chunk before its data, every seventh is cut short, every eleventh has a foreign name.
+    """
     v = b.table(spark, sf, "embeddings")
     sid = F.col("vec_id")
     frames = 64 + sid % 100
+    extra = F.when(sid % 3 == 0, F.lit("4C495354" + "03000000" + "61626300")).otherwise(F.lit(""))
     head = F.concat(
         F.lit("52494646"), _hex_little(36 + frames * 2, 4), F.lit("57415645666D742010000000" + "0100" + "0100"),
-        _hex_little(8000 + (sid % 3) * 8000, 4), _hex_little((8000 + (sid % 3) * 8000) * 2, 4), F.lit("02001000" + "64617461"), _hex_little(frames * 2, 4),
+        _hex_little(8000 + (sid % 3) * 8000, 4), _hex_little((8000 + (sid % 3) * 8000) * 2, 4), F.lit("02001000"), extra, F.lit("64617461"), _hex_little(frames * 2, 4),
     )
-    full = F.unhex(F.concat(head, F.expr("repeat('0000', 8)")))
-    name = F.concat(F.lit("/data/"), sid % 50, F.lit("/"), sid % 50, F.when(sid % 2 == 0, F.concat(F.lit("_recorder"), sid, F.lit(".wav"))).otherwise(F.lit("_phone.wav")))
+    level = lambda x: F.pmod(F.round(x * 1000).cast("long"), F.lit(65536))
+    samples = F.array_join(F.transform("embedding", lambda x: _hex_little(level(x), 2)), "")
+    full = F.unhex(F.concat(head, samples, F.repeat(F.lit("0000"), (sid % 100).cast("int"))))
+    part = F.when(sid % 2 == 0, F.concat(F.lit("_recorder_"), sid, F.lit(".wav"))).otherwise(F.lit("_phone.wav"))
+    name = F.concat(F.lit("/data/"), sid % 50, F.lit("/"), sid % 50, F.when(sid % 11 == 0, F.lit("_notes.wav")).otherwise(part))
     return v.select(name.alias("path"), F.when(sid % 7 == 0, F.substring(full, 1, 20)).otherwise(full).alias("content"), sid.alias("vec_id"))
 
 
-_WAV = """wav AS (SELECT vec_id, CAST(vec_id % 50 AS VARCHAR) AS subject_id, CASE WHEN vec_id % 2 = 0 THEN 'R' ELSE 'S' END AS device, vec_id % 7 <> 0 AS ok,
+_WAV = """wav AS (SELECT vec_id, CASE WHEN vec_id % 11 <> 0 THEN CAST(vec_id % 50 AS VARCHAR) END AS subject_id,
+    CASE WHEN vec_id % 11 = 0 THEN NULL WHEN vec_id % 2 = 0 THEN 'R' ELSE 'S' END AS device, vec_id % 7 <> 0 AND vec_id % 11 <> 0 AS ok, vec_id % 11 <> 0 AS named, vec_id % 7 <> 0 AS sound,
     8000 + (vec_id % 3) * 8000 AS rate, CAST(64 + vec_id % 100 AS DOUBLE) / (8000 + (vec_id % 3) * 8000) AS dur FROM embeddings)"""
 
 
@@ -119,8 +127,8 @@ _WAV = """wav AS (SELECT vec_id, CAST(vec_id % 50 AS VARCHAR) AS subject_id, CAS
     "src4_audio_inventory",
     with_ctes(
         "",
-        """SELECT subject_id, device, CASE WHEN ok THEN 'ok' ELSE 'unreadable' END AS status, CASE WHEN ok THEN rate END AS sample_rate,
-        CASE WHEN ok THEN CAST(16 AS BIGINT) END AS bits, round(CASE WHEN ok THEN dur END, 9) + 0.0 AS duration_sec FROM wav""",
+        """SELECT subject_id, device, CASE WHEN NOT named THEN 'unexpected name' WHEN sound THEN 'ok' ELSE 'unreadable' END AS status, CASE WHEN sound THEN rate END AS sample_rate,
+        CASE WHEN sound THEN CAST(16 AS BIGINT) END AS bits, round(CASE WHEN sound THEN dur END, 9) + 0.0 AS duration_sec FROM wav""",
         _WAV,
     ),
 )

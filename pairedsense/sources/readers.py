@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,11 +103,17 @@ def read_series(
     record_start: DataFrame | None = None,
     subject_pattern: str = r"([^/]+)_SpO2\.csv$",
 ) -> DataFrame:
-    """(subject_id, t, v) of sensor CSV files; ``-`` is a missing value, the clock becomes relative seconds."""
-    raw = spark.read.schema(schema).option("header", True).option("nullValue", "-").csv(path)
+    """(subject_id, t, v) of sensor CSV files; the clock becomes relative seconds.
+
+    Rows whose clock or value is ``-`` (or empty) are missing samples and left
+    out; any other malformed line, clock or value fails.
+    """
+    raw = spark.read.schema(schema).option("header", True).option("nullValue", "-").option("mode", "FAILFAST").csv(path)
     subject = F.col("subject_id") if "subject_id" in raw.columns else F.regexp_extract(F.col("_metadata.file_path"), subject_pattern, 1)
-    rows = raw.select(subject.alias("subject_id"), clock_to_seconds(clock_col).alias("t"), F.col(value_col).cast("double").alias("v"))
-    rows = rows.filter(F.col("t").isNotNull() & F.col("v").isNotNull())
+    present = raw.filter(F.col(clock_col).isNotNull() & F.col(value_col).isNotNull())
+    seconds = clock_to_seconds(clock_col)
+    clock = F.when(seconds.isNull(), F.raise_error(F.concat(F.lit("malformed clock: "), F.col(clock_col))).cast("double")).otherwise(seconds)
+    rows = present.select(subject.alias("subject_id"), clock.alias("t"), F.col(value_col).cast("double").alias("v"))
     if record_start is None:
         return rows
     return rows.join(record_start.select("subject_id", "record_start"), "subject_id").select(
@@ -114,39 +121,59 @@ def read_series(
     )
 
 
-def _little(content: Column, at: int, size: int) -> Column:
-    """Little-endian number at a 1-based offset; bytes are swapped as hex text, since text reversal needs valid UTF-8."""
-    text = F.hex(F.substring(content, at, size))
-    swapped = F.concat(*[F.substring(text, 2 * i + 1, 2) for i in reversed(range(size))])
-    return F.conv(swapped, 16, 10).cast("long")
-
-
-def wav_headers(files: DataFrame, pattern: str = r"([^/_]+)_(recorder|phone)(\d*)\.wav$") -> DataFrame:
-    """Header fields of WAV contents (path, content, length); a broken file is a row with another status."""
-    content = F.col("content")
-    magic = (F.length(content) >= 44) & (F.substring(content, 1, 4) == F.lit(b"RIFF")) & (F.substring(content, 9, 4) == F.lit(b"WAVE"))
-    fields = files.select(
-        "path",
-        F.regexp_extract("path", pattern, 1).alias("subject_id"),
-        F.when(F.regexp_extract("path", pattern, 2) == "recorder", "R").otherwise("S").alias("device"),
-        F.coalesce(F.nullif(F.regexp_extract("path", pattern, 3), F.lit("")).cast("int"), F.lit(0)).alias("seq"),
-        magic.alias("_ok"),
-        F.when(magic, _little(content, 23, 2)).alias("channels"),
-        F.when(magic, _little(content, 25, 4)).alias("sample_rate"),
-        F.when(magic, _little(content, 35, 2)).alias("bits"),
-        F.when(magic, _little(content, 41, 4)).alias("_bytes"),
-    )
+HEADER_BYTES = 1 << 16
+_FORMAT = "channels long, sample_rate long, bits long, data_bytes long"
+
+
+def _wav_format(head: pd.Series) -> pd.DataFrame:
+    """Fields of the fmt chunk and the size of the data chunk, found by walking the chunks; NULL where either is not in the header."""
+    rows = []
+    for raw in head:
+        raw = bytes(raw or b"")
+        found: dict[str, int | None] = dict.fromkeys(("channels", "sample_rate", "bits", "data_bytes"))
+        at = 12 if raw[:4] == b"RIFF" and raw[8:12] == b"WAVE" else len(raw)
+        while at + 8 <= len(raw):
+            name, held = raw[at : at + 4], int.from_bytes(raw[at + 4 : at + 8], "little")
+            body = raw[at + 8 : at + 8 + held]
+            if name == b"fmt " and len(body) >= 16:
+                found |= {
+                    "channels": int.from_bytes(body[2:4], "little"),
+                    "sample_rate": int.from_bytes(body[4:8], "little"),
+                    "bits": int.from_bytes(body[14:16], "little"),
+                }
+            if name == b"data":
+                found["data_bytes"] = held
+                break
+            at += 8 + held + held % 2
+        rows.append(found)
+    return pd.DataFrame(rows, columns=["channels", "sample_rate", "bits", "data_bytes"]).astype("Int64")
+
+
+def wav_headers(files: DataFrame, pattern: str = r"([^/_]+)_(recorder|phone)(?:_?(\d+))?\.wav$") -> DataFrame:
+    """Header fields of WAV contents (path, content, length); a broken file is a row with another status.
+
+    A name tells subject, device and, for recorders, the number of the part; a
+    name of another form has none of them and the status ``unexpected name``.
+    Chunks are walked within the first ``HEADER_BYTES``, so only these reach Python.
+    """
+    named = F.col("path").rlike(pattern)
+    head = F.substring("content", 1, HEADER_BYTES)
+    fields = files.select("path", F.pandas_udf(_wav_format, _FORMAT)(head).alias("_w")).select("path", "_w.*")
+    whole = F.col("channels").isNotNull() & F.col("data_bytes").isNotNull()
     width = F.col("channels") * F.col("bits") / 8
+    part = F.nullif(F.regexp_extract("path", pattern, 3), F.lit(""))
     return fields.select(
         "path",
-        "subject_id",
-        "device",
-        "seq",
-        F.when(~F.col("_ok"), "unreadable").when((F.col("channels") != 1) | (F.col("bits") != 16), "unexpected format").otherwise("ok").alias("status"),
-        "channels",
-        "sample_rate",
-        "bits",
-        F.try_divide(F.col("_bytes") / width, F.col("sample_rate")).alias("duration_sec"),
+        F.when(named, F.regexp_extract("path", pattern, 1)).alias("subject_id"),
+        F.when(named, F.when(F.regexp_extract("path", pattern, 2) == "recorder", "R").otherwise("S")).alias("device"),
+        F.when(named, F.coalesce(part.cast("int"), F.lit(0))).alias("seq"),
+        F.when(~named, "unexpected name")
+        .when(~whole, "unreadable")
+        .when((F.col("channels") != 1) | (F.col("bits") != 16), "unexpected format")
+        .otherwise("ok")
+        .alias("status"),
+        *[F.when(whole, F.col(c)).alias(c) for c in ("channels", "sample_rate", "bits")],
+        F.when(whole, F.try_divide(F.col("data_bytes") / width, F.col("sample_rate"))).alias("duration_sec"),
     )
 
 
@@ -227,7 +254,7 @@ PREDICTIONS = (
 
 def read_predictions(spark: SparkSession, root: str, n_folds: int, keys: Sequence[str] = ("representation", "classifier", "protocol")) -> DataFrame:
     """Predictions of many runs; every configuration needs all folds and no sample twice."""
-    df = spark.read.schema(PREDICTIONS).option("header", True).csv(root).withColumn("subject_id", padded("subject_id", 2))
+    df = spark.read.schema(PREDICTIONS).option("header", True).option("mode", "FAILFAST").csv(root).withColumn("subject_id", padded("subject_id", 2))
     failed = check_predictions(df, keys, n_folds).filter(~F.col("passed")).collect()
     if failed:
         raise ValueError("; ".join(f"{r['check']}: {r['violations']} violations" for r in failed))

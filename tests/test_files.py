@@ -122,3 +122,32 @@ def test_late_rows_are_dropped(spark, tmp_path):
     run()
     got = sorted((str(r["epoch_start"]), r["events"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [("2024-01-01 00:00:00", 1), ("2024-01-01 01:00:00", 1)]
+
+
+def test_wav_chunks_and_names(spark, tmp_path):
+    def chunk(name, body):
+        return name + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) % 2)
+
+    fmt = (1).to_bytes(2, "little") * 2 + (8000).to_bytes(4, "little") + (16000).to_bytes(4, "little") + b"\2\0\x10\0"
+    body = b"WAVE" + chunk(b"LIST", b"abc") + chunk(b"fmt ", fmt) + chunk(b"fact", b"1234") + chunk(b"data", bytes(8000))
+    for name in ("01_recorder_2", "01_recorder", "01_phone", "01_recorderx", "notes"):
+        (tmp_path / f"{name}.wav").write_bytes(b"RIFF" + len(body).to_bytes(4, "little") + body)
+    got = {r["path"].rsplit("/", 1)[1]: r for r in rd.audio_inventory(spark, f"{tmp_path}/*.wav").collect()}
+    assert {n: (r["subject_id"], r["device"], r["seq"], r["status"]) for n, r in got.items()} == {
+        "01_recorder_2.wav": ("01", "R", 2, "ok"),
+        "01_recorder.wav": ("01", "R", 0, "ok"),
+        "01_phone.wav": ("01", "S", 0, "ok"),
+        "01_recorderx.wav": (None, None, None, "unexpected name"),
+        "notes.wav": (None, None, None, "unexpected name"),
+    }
+    assert {r["duration_sec"] for r in got.values()} == {0.5}
+
+
+def test_malformed_series_fail(spark, tmp_path):
+    path = tmp_path / "01_SpO2.csv"
+    path.write_text("clock,v\n22:00:00,97\n22:00:01,-\n-,95\n")
+    assert rd.read_series(spark, str(path), "clock string, v double", "clock", "v").count() == 1
+    for bad in ("22:00:02,abc", "22h,97"):
+        path.write_text(f"clock,v\n22:00:00,97\n{bad}\n")
+        with pytest.raises(Exception, match="(?i)malformed|array"):
+            rd.read_series(spark, str(path), "clock string, v double", "clock", "v").collect()

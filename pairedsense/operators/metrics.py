@@ -85,7 +85,6 @@ def _steps(df: DataFrame, by: Sequence[str], descending: bool) -> DataFrame:
         by,
         "probability",
         {"n": one, "pos": (F.col("label") == 1).cast("long")},
-        bounds=(0.0, 1.0),
         descending=descending,
     )
 

@@ -19,24 +19,20 @@ from pyspark.sql import functions as F
 from ..functions.scalars import stable_id, text_draw
 from ..session import cut_lineage, stage
 from .intervals import DAY, complement_intervals, overlap_earlier
+from .ranks import with_cells
 from .scan import Running, running
 
 EPS = 1e-6
 TOL = 1e-9
 BLOCK = 1024
-LENGTH_CELLS = 1024
 
 
 def stretch_blocks(gaps: DataFrame, by: Sequence[str], block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(blocks, directory): stretches by falling length, ``block`` to an array, and each key's list of blocks."""
     by = list(by)
     sized = gaps.select(*by, F.col("start").alias("g"), (F.col("end") - F.col("start")).alias("len"))
-    longest = sized.groupBy(*by).agg(F.max("len").alias("_max"))
     # Cells grow with falling length, so the running order and the cell order agree.
-    placed = sized.join(longest, by).withColumn(
-        "_cell", F.floor((F.col("_max") - F.col("len")) / F.greatest(F.col("_max"), F.lit(EPS)) * LENGTH_CELLS).cast("long")
-    )
-    placed = placed.withColumn("_short", -F.col("len"))
+    placed = with_cells(sized.withColumn("_short", -F.col("len")), by, "_short")
     ordered = running(
         placed,
         by,

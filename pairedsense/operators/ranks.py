@@ -2,9 +2,9 @@
 
 Rows are first reduced to one row per (group, value), so a value held by a
 third of all rows is one row. The distinct values of a group are then cut into
-cells of equal width along the value axis, crowded cells are cut again, and
-``scan.running`` counts over the cells. Cells depend on the data only, so a
-recomputed task sees the same ones.
+``CELLS`` cells at their approximate quantiles, whatever their distribution, and
+``scan.running`` counts over the cells. The edges are written once (a short row
+per group), so that every branch and every retried task sees the same ones.
 """
 
 from __future__ import annotations
@@ -14,33 +14,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .scan import Running, running
 
-CELLS = 4096
-CROWDED = 100_000
-
-
-def _place(reduced: DataFrame, spread: DataFrame, keys: list[str], value: str, bounds, cells: int) -> DataFrame:
-    """Add the spread and ``_cell``, a cell number that grows with the value."""
-    low, high = (F.col("_low"), F.col("_high")) if bounds is None else (F.lit(float(bounds[0])), F.lit(float(bounds[1])))
-    width = high - low
-    share = F.when(width > 0, (F.col(value) - low) / width).otherwise(F.lit(0.0))
-    placed = reduced.join(spread, keys).withColumn("_at", share * cells)
-    placed = placed.withColumn("_coarse", F.least(F.greatest(F.floor("_at"), F.lit(0)), F.lit(cells - 1)).cast("long"))
-    crowded = (
-        placed.groupBy(*keys, "_coarse")
-        .agg(F.count("*").alias("_load"))
-        .filter(F.col("_load") > CROWDED)
-        .withColumn("_parts", F.least(F.ceil(F.col("_load") / CROWDED), F.lit(cells)).cast("long"))
-        .drop("_load")
-    )
-    inner = F.floor((F.col("_at") - F.col("_coarse")) * F.col("_parts"))
-    fine = F.coalesce(F.least(F.greatest(inner, F.lit(0)), F.col("_parts") - 1), F.lit(0)).cast("long")
-    return (
-        placed.join(crowded, [*keys, "_coarse"], "left")
-        .withColumn("_cell", F.col("_coarse") * cells + fine)
-        .drop("_at", "_coarse", "_parts")
-    )
+CELLS = 256
+COARSE = 16
+
+
+def _edges(value: str) -> Column:
+    return F.percentile_approx(F.col(value).cast("double"), [i / CELLS for i in range(1, CELLS)], 4 * CELLS).alias("_edges")
+
+
+def _place(reduced: DataFrame, spread: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Add the spread and ``_cell``, a cell number that grows with the value: every ``COARSE``-th edge is looked at, then those between two of them."""
+    placed = reduced.join(spread, keys)
+    below = lambda edges: F.size(F.filter(edges, lambda e: e < F.col(value).cast("double")))
+    coarse = below(F.expr(f"filter(_edges, (e, i) -> i % {COARSE} = {COARSE - 1})"))
+    placed = placed.withColumn("_coarse", coarse)
+    fine = below(F.slice("_edges", F.col("_coarse") * COARSE + 1, F.lit(COARSE)))
+    return placed.withColumn("_cell", (F.col("_coarse") * COARSE + fine).cast("long")).drop("_coarse", "_edges")
+
+
+def with_cells(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Add ``_cell``: cells of about equal load per key that grow with the value."""
+    return _place(df, stage(df.groupBy(*keys).agg(_edges(value)), "edges"), list(keys), value)
 
 
 def cumulative(
@@ -48,25 +45,19 @@ def cumulative(
     by: Sequence[str],
     value: str,
     counters: dict[str, Column],
-    bounds: tuple[float, float] | None = None,
     descending: bool = False,
-    cells: int = CELLS,
 ) -> DataFrame:
     """One row per (group, value): each counter, its running sum ``<name>_cum`` and group total ``<name>_all``.
 
-    The running sum includes the value itself. ``bounds`` names the value range
-    where it is known (probabilities).
+    The running sum includes the value itself.
     """
     by = list(by)
     keys = by or ["_all"]
     base = df if by else df.withColumn("_all", F.lit(0))
     reduced = base.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[F.sum(c).alias(n) for n, c in counters.items()])
-    spread = reduced.groupBy(*keys).agg(
-        F.min(value).alias("_low"),
-        F.max(value).alias("_high"),
-        *[F.sum(n).alias(f"{n}_all") for n in counters],
-    )
-    placed = _place(reduced, spread, keys, value, bounds, cells)
+    totals = [F.sum(n).alias(f"{n}_all") for n in counters]
+    spread = stage(reduced.groupBy(*keys).agg(_edges(value), *totals), "edges")
+    placed = _place(reduced, spread, keys, value)
     out = running(
         placed,
         keys,

@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_staged: list[str] = []
 
 
 def build_session(app: str = "pairedsense", master: str | None = None, **conf: str) -> SparkSession:
@@ -71,4 +75,18 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    _staged.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that were staged inside the block when it ends: results must be written or collected before."""
+    first = len(_staged)
+    try:
+        yield
+    finally:
+        for path in _staged[first:]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        del _staged[first:]

@@ -94,3 +94,26 @@ def test_rows_without_place_stay(spark):
     want = [("a", 1.0, 1.0, 1.0, None), ("a", 3.0, 8.0, 9.0, 1.0), ("a", None, 2.0, None, None), (None, 2.0, 4.0, None, None)]
     want += [(None, None, 16.0, None, None)] * 3
     assert sorted(map(str, map(tuple, got.select("k", "t", "x", "s", "l").collect()))) == sorted(map(str, want))
+
+
+def test_an_outlier_does_not_crowd_a_cell(spark):
+    from pairedsense.operators import ranks
+
+    df = spark.range(50_000).select((F.col("id") / 1e6).alias("x")).union(spark.createDataFrame([(1e12,)], "x double"))
+    edges = df.agg(F.percentile_approx("x", [i / ranks.CELLS for i in range(1, ranks.CELLS)], 4 * ranks.CELLS).alias("_edges"))
+    placed = ranks._place(df.withColumn("g", F.lit(1)), edges.withColumn("g", F.lit(1)), ["g"], "x")
+    load = placed.groupBy("_cell").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("_cell").collect()
+    assert max(r["n"] for r in load) < 2 * 50_001 / ranks.CELLS
+    assert all(a["high"] < b["low"] for a, b in zip(load, load[1:]))
+
+
+def test_staged_tables_go_with_their_block(spark):
+    from pathlib import Path
+
+    from pairedsense.session import stage, staging
+
+    with staging(spark):
+        kept = stage(spark.range(3))
+        path = Path(kept.inputFiles()[0].removeprefix("file:")).parent
+        assert kept.count() == 3 and path.exists()
+    assert not path.exists()

@@ -310,8 +310,13 @@ def stream_runs(spark, sf):
     spark.conf.set(sj.PROVIDER_KEY, sj.ROCKS)
     try:
         path = shared_path(spark, "samples")
-        masked_series(spark, sf).write.parquet(path)
-        samples = spark.readStream.schema("subject_id long, t double, v double, masked boolean").parquet(path)
+        # Arrival by time: three stretches, one after the other, a subject in one file of each.
+        series = stage(masked_series(spark, sf), "series")
+        low, high = series.agg(F.min("t"), F.max("t")).first()
+        third = F.least(F.floor((F.col("t") - low) / (high - low) * 3), F.lit(2))
+        for i in range(3):
+            series.filter(third == i).repartition(2, "subject_id").write.mode("append").parquet(path)
+        samples = spark.readStream.schema("subject_id long, t double, v double, masked boolean").option("maxFilesPerTrigger", 2).parquet(path)
         out = sj.run_to_table(sj.stream_runs(samples, b.DROP, b.MIN_DURATION, b.WINDOW), "stream-runs")
     finally:
         if before is None:

@@ -6,11 +6,12 @@ from collections import deque
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.series import MIN_SAMPLES
 from ..operators.summaries import pick_latest
 from ..session import shared_path
 
@@ -37,7 +38,12 @@ RUN_SCHEMA = T.StructType(
 
 
 class RunDetector(StatefulProcessor):
-    """Per key: the trailing window of samples and the run that is still open."""
+    """Per key: the trailing window of samples, the run that is still open, and the number of samples.
+
+    A key with fewer than ten samples gives no runs: those that end earlier wait
+    in the state until the tenth sample. A micro-batch of one key is sorted in
+    memory, so bound the batches (``maxFilesPerTrigger``); batches come in order.
+    """
 
     def __init__(self, drop: float, min_duration: float, window: float, idle_ms: int | None = None):
         self.drop, self.min_duration, self.window, self.idle_ms = drop, min_duration, window, idle_ms
@@ -50,6 +56,8 @@ class RunDetector(StatefulProcessor):
         self.handle = handle
         self.recent = handle.getListState("recent", sample)
         self.open = handle.getValueState("open", run)
+        self.seen = handle.getValueState("seen", T.StructType([T.StructField("n", T.LongType())]))
+        self.held = handle.getListState("held", run)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("t")
@@ -74,6 +82,16 @@ class RunDetector(StatefulProcessor):
             elif run is not None:
                 done.append(run)
                 run = None
+        before = self.seen.get()[0] if self.seen.exists() else 0
+        count = before + len(batch)
+        self.seen.update((count,))
+        if before < MIN_SAMPLES:
+            done = [tuple(r) for r in self.held.get()] + done
+            if count < MIN_SAMPLES and done:
+                self.held.put(done)
+                done = []
+            else:
+                self.held.clear()
         self.recent.put(list(falling))
         if run is None:
             self.open.clear()
@@ -87,7 +105,8 @@ class RunDetector(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """A key without news for too long gives up its open run."""
-        run = tuple(self.open.get()) if self.open.exists() else None
+        enough = self.seen.exists() and self.seen.get()[0] >= MIN_SAMPLES
+        run = tuple(self.open.get()) if self.open.exists() and enough else None
         self.open.clear()
         yield self._rows(key, [run] if run else [])
 
@@ -108,7 +127,7 @@ def stream_runs(
 ) -> DataFrame:
     """Runs below the trailing baseline, emitted when they end (or after ``idle_ms`` without news).
 
-    The session needs the RocksDB state store. State per key is one trailing window and one run.
+    The session needs the RocksDB state store. State per key is one trailing window, one run, and at most nine samples' worth of waiting runs.
     """
     return samples.groupBy("subject_id").transformWithStateInPandas(
         statefulProcessor=RunDetector(drop, min_duration, window, idle_ms),
@@ -129,38 +148,27 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-class LatestTable:
-    """Newest record per key of an arriving log, kept as numbered Parquet versions.
+def stream_latest(stream: DataFrame, keys: Sequence[str], ts: str, order: str) -> DataFrame:
+    """Newest record per key of an arriving log, run over what is available now.
 
-    Every batch is reduced to its newest records, met with the last version
-    and written as the next one; a repeated batch rewrites the same version.
+    The newest record of each key is kept as keyed state. A batch writes only
+    the keys that it changed, below a folder of its own number, so that a
+    repeated batch replaces itself; reading takes each key's last change.
     """
+    spark, path = stream.sparkSession, shared_path(stream.sparkSession, "latest")
+    newest = pick_latest(stream, keys, ts, order)
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], ts: str, order: str):
-        self.spark, self.path, self.keys, self.ts, self.order = spark, path, list(keys), ts, order
-        self.version: int | None = None
-
-    def merge(self, batch: DataFrame, batch_id: int) -> None:
-        newest = pick_latest(batch, self.keys, self.ts, self.order)
-        if batch_id > 0:
-            newest = pick_latest(newest.unionByName(self.spark.read.parquet(f"{self.path}/v{batch_id - 1}")), self.keys, self.ts, self.order)
-        newest.write.mode("overwrite").parquet(f"{self.path}/v{batch_id}")
-        self.version = batch_id
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    def read(self) -> DataFrame:
-        if self.version is None:
-            raise ValueError("no batch has arrived yet")
-        return self.spark.read.parquet(f"{self.path}/v{self.version}")
-
-
-def stream_latest(stream: DataFrame, keys: Sequence[str], ts: str, order: str) -> DataFrame:
-    spark = stream.sparkSession
-    table = LatestTable(spark, shared_path(spark, "latest"), keys, ts, order)
     query = (
-        stream.writeStream.foreachBatch(table.merge)
+        newest.writeStream.outputMode("update")
+        .foreachBatch(write)
         .option("checkpointLocation", shared_path(spark, "latest-state"))
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return table.read()
+    changes = spark.read.schema(T.StructType([*newest.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
+    last = F.max_by(F.struct(*newest.columns), F.col("batch"))
+    return changes.groupBy(*keys).agg(last.alias("_r")).select("_r.*")

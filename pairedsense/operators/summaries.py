@@ -119,6 +119,17 @@ def contribution(scores: DataFrame, full: str, keys: Sequence[str], metric: str)
     )
 
 
+def contribution_table(scores: DataFrame, full: str, key: str, metrics: Sequence[str]) -> DataFrame:
+    """Per removed block and metric: mean loss over the subjects of both, its t interval, and their number."""
+    from .stats import t_interval
+
+    long = scores.select(key, "representation", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("score")) for m in metrics])))
+    losses = contribution(long, full, [key, "metric"], "score")
+    return t_interval(losses, ["removed", "metric"], "difference").select(
+        "removed", "metric", F.col("n").alias("subjects"), F.col("mean").alias("difference"), "std", "ci95_low", "ci95_high"
+    )
+
+
 def select_by_validation(runs: DataFrame, key: str, score: str) -> DataFrame:
     """Mean, deviation and count of the validation score, best first."""
     out = runs.groupBy(key).agg(
@@ -153,6 +164,12 @@ def split_counts(manifest: DataFrame, roles: DataFrame, keys: Sequence[str] = ("
     )
 
 
+def split_subjects(manifest: DataFrame, roles: DataFrame, keys: Sequence[str] = ("fold", "protocol", "role")) -> DataFrame:
+    """The subjects of every (fold, protocol, role), one row each."""
+    small = manifest.select("subject_id", "device").distinct()
+    return small.join(roles, ["subject_id", "device"]).select(*keys, "subject_id").distinct()
+
+
 def fold_counts(manifest: DataFrame, folds: DataFrame) -> DataFrame:
     return manifest.join(folds.select("subject_id", "fold"), "subject_id").groupBy("fold").agg(
         F.countDistinct("subject_id").alias("subjects"),
@@ -283,6 +300,11 @@ def representation_catalog(dimension: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
 
+def base_features(dimension: DataFrame) -> DataFrame:
+    """Every feature block that any representation uses, with the number of these."""
+    return dimension.groupBy("feature").agg(F.countDistinct("representation").alias("representations"))
+
+
 def duration_summary(df: DataFrame, value: str = "duration_sec") -> DataFrame:
     from .ranks import quantiles
 

@@ -11,7 +11,7 @@ from ..operators import resample as rs
 from ..operators import stats as st
 from ..operators import summaries as sm
 from . import bindings as b
-from .oracle_ctes import NORMAL_TAIL, STEPS, T_TAIL, with_ctes
+from .oracle_ctes import NORMAL_TAIL, STEPS, SUBJECT_SQL, T_TAIL, with_ctes
 from .registry import register
 from .series import burden_table
 
@@ -28,11 +28,6 @@ def mix_cte(name: str, source: str, expr: str, keep: str) -> str:
 {name} AS (SELECT {keep}, xor(x, x >> 15) % {m} AS x FROM {name}_2)"""
 
 
-SUBJECT_SQL = """subj AS (SELECT arm, subject_id, avg(CASE WHEN (probability >= 0.5) = (label = 1) THEN 1.0::DOUBLE ELSE 0 END) AS accuracy,
-    coalesce(2 * CAST(count(*) FILTER (label = 1 AND probability >= 0.5) AS DOUBLE) / nullif(2 * count(*) FILTER (label = 1 AND probability >= 0.5)
-    + count(*) FILTER (label = 0 AND probability >= 0.5) + count(*) FILTER (label = 1 AND probability < 0.5), 0), 0) AS f1 FROM pred GROUP BY arm, subject_id)"""
-
-
 def draw_ctes(source: str, by: str) -> str:
     """Bootstrap draws over ``source`` (by, subject_id, accuracy, f1)."""
     keep = f"{by}, slot, n, iteration"
@@ -350,6 +345,26 @@ def theil_sen(spark, sf):
     return out.select("subject_id", "points", *[r6(c).alias(c) for c in ("drift_per_hour", "intercept", "max_residual")])
 
 
+@register(
+    "st11_alignment_models",
+    with_ctes(
+        "anchors",
+        """SELECT k.subject_id, anchors, reliable AS reliable_anchors, n AS points, round(med, 6) + 0.0 AS median_correlation, round(slope * 3600, 6) + 0.0 AS drift_per_hour,
+        round(worst, 6) + 0.0 AS max_residual, reliable < 3 OR med < 0.45 OR worst > 2 AS low_confidence
+        FROM known k JOIN (SELECT f.subject_id, count(*) AS n, any_value(f.slope) AS slope, max(abs(f.lag - f.icpt - f.slope * f.t)) AS worst FROM fitted f GROUP BY f.subject_id) z USING (subject_id)""",
+        """known AS (SELECT subject_id, count(*) AS anchors, count(*) FILTER (correlation >= 0.45) AS reliable, median(correlation) AS med FROM anchors GROUP BY 1),
+        used AS (SELECT a.subject_id, t, lag FROM anchors a JOIN known USING (subject_id) WHERE correlation >= 0.45 OR reliable < 3),
+        slopes AS (SELECT a.subject_id, median((b.lag - a.lag) / (b.t - a.t)) AS slope FROM used a JOIN used b ON b.subject_id = a.subject_id AND b.t > a.t GROUP BY 1),
+        fitted AS (SELECT u.*, slope, median(lag) OVER (PARTITION BY u.subject_id) - slope * median(t) OVER (PARTITION BY u.subject_id) AS icpt FROM used u JOIN slopes USING (subject_id))""",
+    ),
+)
+def alignment_models(spark, sf):
+    out = st.alignment_models(b.b_anchors(spark, sf), ["subject_id"])
+    return out.select(
+        "subject_id", "anchors", "reliable_anchors", "points", *[r6(c).alias(c) for c in ("median_correlation", "drift_per_hour", "max_residual")], "low_confidence"
+    )
+
+
 @register(
     "ag24_subject_means",
     with_ctes(

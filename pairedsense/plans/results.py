@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import r6
+from ..functions.tails import t_p_value
 from ..operators import joins as jn
 from ..operators import metrics as mt
 from ..operators import setops as so
 from ..operators import summaries as sm
 from . import bindings as b
-from .oracle_ctes import with_ctes
+from .oracle_ctes import SUBJECT_SQL, with_ctes
 from .registry import register
 
 CELL = ["arm", "classifier", "protocol", "fold"]
@@ -237,6 +238,23 @@ def contributions(spark, sf):
     return out.select("subject_id", "removed", r6("difference").alias("difference"))
 
 
+@register(
+    "ag17_contribution_table",
+    with_ctes(
+        "pred",
+        """SELECT 'm2' AS removed, metric, count(*) AS subjects, round(avg(d), 6) + 0.0 AS difference, CAST(0.05 AS DOUBLE) AS tail_at_limit FROM (
+        SELECT x.metric, x.v - y.v AS d FROM long x JOIN long y ON y.subject_id = x.subject_id AND y.metric = x.metric AND x.arm = 'm1' AND y.arm = 'm2') GROUP BY metric""",
+        SUBJECT_SQL + """, long AS (SELECT arm, subject_id, 'accuracy' AS metric, accuracy AS v FROM subj UNION ALL SELECT arm, subject_id, 'f1', f1 FROM subj)""",
+    ),
+)
+def contribution_table(spark, sf):
+    """The limits stand where a t test of the distance to the mean has a tail of 0.05."""
+    scores = mt.binary_metrics(b.b_predictions(spark, sf), ["arm", "subject_id"]).withColumnRenamed("arm", "representation")
+    out = sm.contribution_table(scores, "m1", "subject_id", ["accuracy", "f1"])
+    t = (F.col("ci95_high") - F.col("difference")) / (F.col("std") / F.sqrt("subjects"))
+    return out.select("removed", "metric", "subjects", r6("difference").alias("difference"), r6(t_p_value(t, F.col("subjects") - 1)).alias("tail_at_limit"))
+
+
 @register(
     "ag18_select_by_validation",
     with_ctes(
@@ -363,6 +381,12 @@ def catalog(spark, sf):
     return sm.representation_catalog(dim, sizes)
 
 
+@register("ag31_base_features", "SELECT p_type AS feature, count(DISTINCT p_brand) AS representations FROM part GROUP BY 1")
+def base_features(spark, sf):
+    part = b.table(spark, sf, "part")
+    return sm.base_features(part.select(F.col("p_brand").alias("representation"), F.col("p_type").alias("feature")))
+
+
 @register(
     "ag2_dataset_summary",
     with_ctes("pred", "SELECT device, label, count(*) AS samples, count(DISTINCT subject_id) AS patients FROM pred GROUP BY 1, 2"),

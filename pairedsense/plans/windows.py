@@ -655,6 +655,18 @@ def split_counts(spark, sf):
     return sm.split_counts(manifest(spark, sf), sp.protocol_roles(folds(spark, sf), b.N_FOLDS))
 
 
+@register(
+    "ag20_split_subjects",
+    with_ctes(
+        "ann awake rec",
+        "SELECT DISTINCT c.fold, c.protocol, c.role, m.subject_id FROM manifest m JOIN cells c ON c.subject_id = m.subject_id AND c.device = m.device",
+        MANIFEST_CTES + "," + FOLD_CTES,
+    ),
+)
+def split_subjects(spark, sf):
+    return sm.split_subjects(manifest(spark, sf), sp.protocol_roles(folds(spark, sf), b.N_FOLDS))
+
+
 @register(
     "ag21_fold_counts",
     with_ctes(

@@ -63,3 +63,13 @@ def test_missing_block_fails(spark):
     assert vc.assemble(feats.filter("sample_id = 1"), rep).first()["vector"] == [2.0, 1.0]
     with pytest.raises(Exception, match="incomplete feature blocks"):
         vc.assemble(feats, rep).collect()
+
+
+def test_alignment_uses_reliable_anchors(spark):
+    good = [("a", float(k * 900), 1.0 + 0.001 * k * 900, 0.9) for k in range(4)] + [("a", 4500.0, 99.0, 0.1)]
+    weak = [("b", float(k * 900), float(k % 2) * 8, 0.2) for k in range(5)]
+    df = spark.createDataFrame(good + weak, "s string, t double, lag double, correlation double")
+    r = {x["s"]: x for x in st.alignment_models(df, ["s"]).collect()}
+    assert (r["a"]["anchors"], r["a"]["reliable_anchors"], r["a"]["points"]) == (5, 4, 4)
+    assert r["a"]["slope"] == pytest.approx(0.001) and r["a"]["max_residual"] == pytest.approx(0, abs=1e-9) and not r["a"]["low_confidence"]
+    assert r["b"]["points"] == 5 and r["b"]["low_confidence"]

@@ -17,12 +17,14 @@ def con():
 @pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLES])
 def test_matches_sql(spark, con, name):
     ok, note = compare(spark, con, QUERIES[name], ORACLES[name], SF)
-    assert ok or note.startswith("empty result"), note
+    assert ok, note
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in ORACLES])
-def test_gives_rows(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
+def test_two_runs_agree(spark, name):
+    """Queries without a twin; what they return is tested beside their operators."""
+    first, second = (sorted(map(str, QUERIES[name](spark, SF).collect())) for _ in range(2))
+    assert first and first == second
 
 
 def test_every_twin_has_a_query():

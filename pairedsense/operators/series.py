@@ -13,6 +13,7 @@ from .intervals import DAY, bins_of, mask_points
 from .scan import Running, running, time_chunk
 
 MIN_SAMPLES = 10
+BLOCK = 1024
 
 
 def trailing_max(series: DataFrame, by: Sequence[str], seconds: float, pieces: int = 8) -> DataFrame:
@@ -22,8 +23,9 @@ def trailing_max(series: DataFrame, by: Sequence[str], seconds: float, pieces: i
     tail of one bucket, some whole buckets, and a head of its own: the tail and
     head are running maxima inside one bucket (each sample is sent to its own
     bucket and to the one ``pieces`` later), the whole buckets a short frame
-    over one row per bucket. Linear in the samples, and no task holds more
-    than two buckets of a key.
+    over one row per bucket, in blocks of ``BLOCK`` buckets. Linear in the
+    samples, and no task needs more than two buckets of samples or one block of
+    bucket rows of a key.
     """
     by = list(by)
     width = float(seconds) / pieces
@@ -50,11 +52,11 @@ def trailing_max(series: DataFrame, by: Sequence[str], seconds: float, pieces: i
         F.max(F.when(F.col("_halo") == 1, F.col("_v"))).over(tail).alias("_tail"),
     )
     whole = own.groupBy(*by, "_k").agg(F.max("v").alias("_m"))
-    middle = whole.select(
-        *by,
-        "_k",
-        F.max("_m").over(Window.partitionBy(*by).orderBy("_k").rangeBetween(-(pieces - 1), -1)).alias("_middle"),
-    )
+    # Bucket rows in blocks; the last ones of a block are sent to the next block too, where its first ones look back at them.
+    block = lambda k: F.floor(k / F.lit(BLOCK)).cast("long")
+    sent = whole.withColumn("_block", F.explode(F.sequence(block(F.col("_k")), block(F.col("_k") + pieces - 1))))
+    back = Window.partitionBy(*by, "_block").orderBy("_k").rangeBetween(-(pieces - 1), -1)
+    middle = sent.withColumn("_middle", F.max("_m").over(back)).filter(F.col("_block") == block(F.col("_k"))).select(*by, "_k", "_middle")
     return (
         local.filter(F.col("_halo") == 0)
         .join(middle, [*by, "_k"])

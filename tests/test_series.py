@@ -76,3 +76,11 @@ def test_empty_epochs_stay(spark):
     runs = spark.createDataFrame([], "subject_id string, start double, end double, area double")
     got = se.epoch_targets(spark.createDataFrame(data, S), runs, ["subject_id"]).orderBy("epoch_start_sec").collect()
     assert [r["masked_fraction"] for r in got] == [0.0, 1.0, 1.0, 0.0]
+
+
+def test_trailing_max_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(se, "BLOCK", 5)
+    rng = random.Random(3)
+    data = [("a", float(t), rng.random()) for t in rng.sample(range(-500, 2000), 700)]
+    got = {r["t"]: r["baseline"] for r in se.trailing_max(spark.createDataFrame(data, "k string, t double, v double"), ["k"], 100.0).collect()}
+    assert got == {t: max(v for _, u, v in data if t - 100 <= u <= t) for _, t, _ in data}

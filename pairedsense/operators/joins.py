@@ -202,7 +202,10 @@ def aligned_windows(
     recording after mapping, loses both device rows.
     """
     placed = assign_segment(windows, segments, by, chunk_seconds)
-    inside = anchors.join(segments.select(by, "segment_start", "segment_end"), by).filter(
+    # An anchor meets the stretches of its time bin, not all of its key.
+    reach = bins_of(F.col("segment_start"), F.col("segment_end"), chunk_seconds)
+    spans = segments.select(by, "segment_start", "segment_end", F.explode(reach).alias("_bin"))
+    inside = anchors.withColumn("_bin", time_chunk("t", chunk_seconds)).join(spans, [by, "_bin"]).filter(
         (F.col("t") >= F.col("segment_start")) & (F.col("t") <= F.col("segment_end"))
     )
     keyed = inside.select(by, "segment_start", "t", "lag")

@@ -154,8 +154,8 @@ def run_grid(
                     model, chosen, tuning = select_and_fit(train.filter(keep), validation.filter(keep), name, candidates, seed)
                     if records is not None:
                         served = [p for p in cells if devices[p][0] == source]
-                        roles = {"train": train.filter(keep), "validation": validation.filter(keep), "test": test}
-                        sizes = {r: df.agg(F.count("*").alias("rows"), F.sort_array(F.collect_set("subject_id")).alias("subjects")).first().asDict() for r, df in roles.items()}
+                        sides = {"train": train.filter(keep), "validation": validation.filter(keep), "test": test}
+                        sizes = {r: df.agg(F.count("*").alias("rows"), F.sort_array(F.collect_set("subject_id")).alias("subjects")).first().asDict() for r, df in sides.items()}
                         records.append(
                             {"representation": rep, "classifier": name, "fold": fold, "protocols": served, "selected": chosen, "tuning": tuning, "roles": sizes,
                              "seconds": time.perf_counter() - began}

@@ -173,7 +173,7 @@ def skipped(spark, sf):
     with_ctes(
         "pred",
         f"""SELECT regime, metric, count(*) AS n, round(avg(mean_difference), 6) + 0.0 AS mean_difference, count(*) FILTER (interpretation = 'CI excludes zero') AS excludes_zero,
-        count(*) FILTER (ci95_low > 0) AS positive, count(*) FILTER (ci95_high < 0) AS negative FROM (SELECT right(comparison, 1) AS regime, metric, {VERDICT_SQL} FROM long GROUP BY comparison, metric)
+        count(*) FILTER (ci95_low > 0) AS positive, count(*) FILTER (ci95_high < 0) AS negative FROM (SELECT right(comparison, 1) AS regime, metric, {VERDICT_SQL.replace("round(avg(value), 7) + 0.0", "avg(value)")} FROM long GROUP BY comparison, metric)
         GROUP BY regime, metric""",
         _COMPARE,
     ),

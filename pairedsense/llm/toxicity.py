@@ -33,6 +33,7 @@ from . import text as T
 BUCKETS = 1 << 20
 MAX_LABELLED = 20_000
 CAUTION = 2.5
+UNIT = 1 << 20
 THRESHOLD = 0.7
 _MASK = np.uint64(BUCKETS - 1)
 _START = np.uint64(0x5BD1E995)
@@ -115,7 +116,7 @@ class Model:
         out[full, 0] = np.add.reduceat(diff, at) / n[full]
         # By the backed-off word models, which copies of a labelled text don't move: their contexts are the same.
         out[full, 1] = np.maximum.reduceat(np.log(self.word["t"][word]) - np.log(self.word["o"][word]), at)
-        return out
+        return np.round(out, 9)  # alike in whatever piece a text is read
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
         z = self.weights[0] + evidence @ self.weights[1:]
@@ -167,13 +168,15 @@ def fit(docs: DataFrame, labelled: DataFrame) -> Model:
         fitted.select("text", "toxic").mapInArrow(_count, "g long, t long, o long").groupBy("g").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "bigrams"
     )
     rate = {c: _discount(counts, c) for c in "to"}
-    kept = counts.select("*", *[F.greatest(F.lit(0.0), F.col(c) - rate[c] - CAUTION * F.sqrt(c)).alias(f"k{c}") for c in "to"])
+    # In whole parts of 1 / UNIT, so that sums don't depend on their order.
+    left = lambda c: F.greatest(F.lit(0.0), F.col(c) - rate[c] - CAUTION * F.sqrt(c))
+    kept = counts.select("*", *[F.round(left(c) * UNIT).cast("long").alias(f"k{c}") for c in "to"])
     pairs = dict(zip("to", _table(_bucketed(kept.filter("kt + ko > 0"), "pair"), ["kt", "ko"])))
     contexts = _table(_bucketed(kept, "context"), ["t", "o", "kt", "ko"])
     words = _table(_bucketed(kept, "word"), ["tt", "oo"])
     for i, c in enumerate("to"):
-        total, stays, types = contexts[i], contexts[i + 2], words[i]
-        model.pair[c] = pairs[c].astype(np.float32)
+        total, stays, types = contexts[i], contexts[i + 2] / UNIT, words[i]
+        model.pair[c] = (pairs[c] / UNIT).astype(np.float32)
         model.per[c] = np.where(total > 0, 1 / np.maximum(total, 1), 0).astype(np.float32)
         model.back[c] = np.where(total > 0, 1 - stays / np.maximum(total, 1), 1.0).astype(np.float32)
         heard = np.maximum(types - rate[c] - CAUTION * np.sqrt(types), 0)
@@ -202,7 +205,7 @@ def _buckets_of(kind: str):
 
 def _bucketed(counts: DataFrame, kind: str) -> DataFrame:
     """(b, t, o, kt, ko, tt, oo): counts, what is left of them, and numbers of bigrams with a count, per bucket."""
-    rows = counts.select("g", "t", "o", "kt", "ko").mapInArrow(_buckets_of(kind), "b long, t long, o long, kt double, ko double")
+    rows = counts.select("g", "t", "o", "kt", "ko").mapInArrow(_buckets_of(kind), "b long, t long, o long, kt long, ko long")
     types = [F.sum((F.col(c) > 0).cast("long")).alias(c + c) for c in "to"]
     return rows.groupBy("b").agg(*[F.sum(c).alias(c) for c in ("t", "o", "kt", "ko")], *types)
 

@@ -39,7 +39,8 @@ def draws(scores: DataFrame, by: Sequence[str], unit: str, metrics: Sequence[str
     table = base.drop(unit)
     table = F.broadcast(table) if base.limit(SENT_ROWS + 1).count() <= SENT_ROWS else table
     mixed = with_mixed(with_mixed(each, "_a", F.col("iteration") + seed * SEED_STEP), "_b", F.col("_a") + F.col("_slot"))
-    picks = mixed.select(*by, "iteration", (F.col("_b") % F.col("_n") + 1).alias("_slot"))
+    # Never NULL: a NULL test pushed below the mixing steps would write them out into each other.
+    picks = mixed.select(*by, "iteration", F.coalesce(F.col("_b") % F.col("_n") + 1, F.lit(0)).alias("_slot"))
     return picks.join(table, [*by, "_slot"]).groupBy(*by, "iteration").agg(*[F.avg(m).alias(m) for m in metrics])
 
 

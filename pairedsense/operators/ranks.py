@@ -22,17 +22,20 @@ COARSE = 16
 
 
 def _edges(value: str) -> Column:
-    return F.percentile_approx(F.col(value).cast("double"), [i / CELLS for i in range(1, CELLS)], 4 * CELLS).alias("_edges")
+    """(all edges of the cells of a group, every ``COARSE``-th of them)."""
+    edges = F.percentile_approx(F.col(value).cast("double"), [i / CELLS for i in range(1, CELLS)], 4 * CELLS)
+    coarse = F.filter(edges, lambda e, i: i % COARSE == COARSE - 1)
+    return F.struct(edges.alias("fine"), coarse.alias("coarse")).alias("_edges")
 
 
 def _place(reduced: DataFrame, spread: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Add the spread and ``_cell``, a cell number that grows with the value: every ``COARSE``-th edge is looked at, then those between two of them."""
+    """Add the spread and ``_cell``, a cell number that grows with the value: the coarse edges are looked at, then those between two of them."""
     placed = reduced.join(spread, keys)
     below = lambda edges: F.size(F.filter(edges, lambda e: e < F.col(value).cast("double")))
-    coarse = below(F.expr(f"filter(_edges, (e, i) -> i % {COARSE} = {COARSE - 1})"))
-    placed = placed.withColumn("_coarse", coarse)
-    fine = below(F.slice("_edges", F.col("_coarse") * COARSE + 1, F.lit(COARSE)))
-    return placed.withColumn("_cell", (F.col("_coarse") * COARSE + fine).cast("long")).drop("_coarse", "_edges")
+    placed = placed.withColumn("_coarse", below(F.col("_edges.coarse")))
+    fine = below(F.slice("_edges.fine", F.col("_coarse") * COARSE + 1, F.lit(COARSE)))
+    # Never NULL, so that no later test of it writes the search out once more.
+    return placed.withColumn("_cell", F.coalesce((F.col("_coarse") * COARSE + fine).cast("long"), F.lit(0))).drop("_coarse", "_edges")
 
 
 def with_cells(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

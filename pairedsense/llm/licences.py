@@ -1,15 +1,18 @@
 """Licence scan: a trained paragraph classifier whose finds a template must confirm.
 
 Paragraphs are lines. A multinomial logistic regression over hashed words and
-word pairs tells licence families and ``unknown`` apart. It is trained here: on
+word pairs tells licence families and ``unknown`` apart. It judges windows of
+``WINDOW`` words that start every ``STRIDE`` words of a line, so the words
+around a notice don't outvote it however long the line is. It is trained here: on
 pieces of the templates below, whole and cut, alone and between corpus words,
-and on at most ``MAX_BACKGROUND`` paragraphs of the corpus (those of the least
-hash) as unknown. A part of both is held back, and the probability that a
-family needs is the least at which at most ``FALSE_SHARE`` of the held-back
-unknown paragraphs pass. What passes is compared with the family's templates:
-it counts only if it shares enough runs of three words with one of them.
-
-All paragraphs of all documents are scored, a whole Arrow piece at a time;
+and on the windows of at most ``MAX_BACKGROUND`` paragraphs of the corpus (those
+of the least hash) as unknown. A part of both is held back, and the probability
+that a family needs is the least at which at most ``FALSE_SHARE`` of the
+held-back unknown windows pass. Every window that passes is compared with the
+family's templates: it counts only if it shares enough runs of three words with
+one of them. A paragraph has a find per family, that of its most probable window.
+
+All windows of all documents are scored, a whole Arrow piece at a time;
 only the few that pass are looked at one by one. The weights have a fixed size.
 """
 
@@ -27,6 +30,8 @@ from . import text as T
 
 DIMENSIONS = 1 << 17
 MAX_BACKGROUND = 2000
+BACKGROUND_POINTS = 2000
+WINDOW, STRIDE = 40, 20
 VARIANTS = 45
 FALSE_SHARE = 0.002
 SHARED = 0.5
@@ -101,8 +106,8 @@ def paragraphs(piece: T.Piece) -> tuple[np.ndarray, np.ndarray]:
     return bounds, np.searchsorted(bounds, piece.bounds)
 
 
-def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed words and pairs of the lines, bounds of each line's features)."""
+def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashed words and pairs of the lines, bounds of each line's words, starts and ends of the words)."""
     starts, ends, rows = T.segments(_KIND[data], bounds, 0)
     words = T.hash_spans(T.LOWER[data], starts, ends)
     both = np.empty(2 * len(words), dtype=np.uint64)
@@ -111,19 +116,29 @@ def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     both = (both % np.uint64(DIMENSIONS)).astype(np.int64)
     last = 2 * rows[1:][rows[1:] > rows[:-1]] - 1  # the pair after a line's last word says nothing
     both[last] = DIMENSIONS
-    return both, 2 * rows
+    return both, rows, starts, ends
+
+
+def windows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, one past the last, line) of the windows; every word is in one, and a short line is one window."""
+    n = np.diff(rows)
+    many = np.where(n > 0, np.maximum(-(-n // STRIDE) - 1, 1), 0)
+    line = np.repeat(np.arange(len(n)), many)
+    place = np.arange(len(line)) - np.repeat(np.cumsum(many) - many, many)
+    first = rows[:-1][line] + place * STRIDE
+    return first, np.minimum(first + WINDOW, rows[1:][line]), line
 
 
 class Model:
     def __init__(self, weights: np.ndarray, bias: np.ndarray, needed: float) -> None:
         self.weights, self.bias, self.needed = weights, bias, needed
 
-    def probabilities(self, found: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        n = len(rows) - 1
-        z = np.zeros((n, len(FAMILIES)))
-        full = np.flatnonzero(np.diff(rows))
-        if len(full):
-            z[full] = np.add.reduceat(self.weights[found], rows[:-1][full], axis=0)
+    def probabilities(self, found: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Of each window [first, last) of words, by these words and the pairs between them."""
+        z = np.zeros((len(first), len(FAMILIES)))
+        if len(first):
+            # Every other sum is between two windows.
+            z += np.add.reduceat(self.weights[found], np.column_stack((2 * first, 2 * last - 1)).ravel(), axis=0)[::2]
         z += self.bias
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
@@ -189,11 +204,13 @@ def _fit(found: np.ndarray, rows: np.ndarray, classes: np.ndarray, steps: int =
 def train(background: list[str]) -> Model:
     """The model and the probability that a family needs; ``background`` is bounded by the caller."""
     background = [x for x in background if max(shared_with(f, x) for f in TEMPLATES) < SHARED]
-    held = background[::4]
-    texts, classes = _examples([x for i, x in enumerate(background) if i % 4])
-    model = Model(*_fit(*_of(texts), classes), 0.5)
+    held = cut(background[::4])
+    texts, classes = _examples(cut([x for i, x in enumerate(background) if i % 4]))
+    found, rows = _of(texts)
+    model = Model(*_fit(found, 2 * rows, classes), 0.5)
     if held:
-        best = np.sort(model.probabilities(*_of(held))[:, :-1].max(axis=1))
+        found, rows = _of(held)
+        best = np.sort(model.probabilities(found, *windows(rows)[:2])[:, :-1].max(axis=1))
         model.needed = max(0.5, float(best[min(len(best) - 1, int(np.ceil(len(best) * (1 - FALSE_SHARE))))]))
     model.needed = min(model.needed, 0.999)
     return model
@@ -202,12 +219,24 @@ def train(background: list[str]) -> Model:
 def _of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = [t.encode("utf-8") for t in texts]
     bounds = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
-    return features(np.frombuffer(b"".join(raw), dtype=np.uint8), bounds)
+    return features(np.frombuffer(b"".join(raw), dtype=np.uint8), bounds)[:2]
+
+
+def cut(lines: list[str]) -> list[str]:
+    """The windows of the lines, but for those that a template confirms."""
+    raw = [t.encode("utf-8") for t in lines]
+    bounds = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
+    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    _, rows, starts, ends = features(data, bounds)
+    first, last, _ = windows(rows)
+    out = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[first], ends[last - 1])]
+    return [x for x in out if max(shared_with(f, x) for f in TEMPLATES) < SHARED]
 
 
 def background_sample(docs: DataFrame, limit: int = MAX_BACKGROUND) -> list[str]:
-    """At most ``limit`` distinct paragraphs of 20 to 2,000 code points, those with the least hash."""
-    line = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).filter(F.length("line").between(20, 2000))
+    """At most ``limit`` distinct paragraphs of 20 code points or more, those with the least hash; of a long one the first ``BACKGROUND_POINTS``."""
+    every = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    line = every.filter(F.length("line") >= 20).select(F.substring("line", 1, BACKGROUND_POINTS).alias("line"))
     h = F.xxhash64("line", F.lit("licences"))
     # Only hashes are shuffled, once per task; then the paragraphs up to the limit-th hash are fetched.
     least = line.select(h.alias("h")).distinct().orderBy("h").limit(limit).agg(F.max("h")).first()[0]
@@ -224,18 +253,23 @@ def _scan(sent, names: list[str]):
             counts, finds = [], []
             for piece in T.slices(batch.column(batch.schema.get_field_index("text"))):
                 bounds, first = paragraphs(piece)
-                p = model.probabilities(*features(piece.data, bounds))
+                found, rows, starts, ends = features(piece.data, bounds)
+                begin, end, line_of = windows(rows)
+                p = model.probabilities(found, begin, end)
                 best = p[:, :-1].argmax(axis=1)
                 hit = np.flatnonzero(p[np.arange(len(p)), best] >= model.needed)
+                confirmed: dict[tuple[int, int], dict] = {}
+                for k in hit.tolist():
+                    text = piece.data[starts[begin[k]] : ends[end[k] - 1]].tobytes().decode("utf-8", "replace")
+                    line, family, chance = int(line_of[k]), int(best[k]), float(p[k, best[k]])
+                    shared = shared_with(FAMILIES[family], text)
+                    if shared >= SHARED and ((line, family) not in confirmed or chance > confirmed[line, family]["probability"]):
+                        confirmed[line, family] = {"family": FAMILIES[family], "probability": chance, "shared": shared}
                 own: list[list[dict]] = [[] for _ in range(len(piece))]
-                # rows without text share their bound with the next row: the last row that starts there has the line
-                of = np.searchsorted(piece.bounds, bounds[hit], side="right") - 1
-                for line, row in zip(hit.tolist(), of.tolist()):
-                    text = piece.data[bounds[line] : bounds[line + 1]].tobytes().decode("utf-8", "replace")
-                    family = FAMILIES[best[line]]
-                    shared = shared_with(family, text)
-                    if shared >= SHARED:
-                        own[row].append({"paragraph": int(line - first[row]), "family": family, "probability": float(p[line, best[line]]), "shared": shared})
+                for (line, _), find in sorted(confirmed.items()):
+                    # rows without text share their bound with the next row: the last row that starts there has the line
+                    row = int(np.searchsorted(piece.bounds, bounds[line], side="right")) - 1
+                    own[row].append({"paragraph": int(line - first[row]), **find})
                 breaks = np.concatenate(([0], np.cumsum(piece.data == 10)))
                 counts.append(breaks[piece.bounds[1:]] - breaks[piece.bounds[:-1]] + 1)
                 finds += own
@@ -249,7 +283,7 @@ def _scan(sent, names: list[str]):
 def find_licences(docs: DataFrame, limit: int = MAX_BACKGROUND) -> DataFrame:
     """(doc_id, n_paragraphs, finds) per row of ``docs`` (doc_id, text, ...).
 
-    A find is (paragraph number from 0, family, probability, share of common runs of three words).
+    A find is (paragraph number from 0, family, probability, share of common runs of three words); a paragraph with notices of several families has several.
 
     * A null or empty text is one empty paragraph without a find. Rows are scanned on their own, also where doc_ids repeat or are NULL.
     * Other columns are not read. An empty table gives an empty result.
@@ -261,4 +295,5 @@ def find_licences(docs: DataFrame, limit: int = MAX_BACKGROUND) -> DataFrame:
 
 def summary(found: DataFrame) -> DataFrame:
     families = F.array_join(F.array_sort(F.array_distinct(F.transform("finds", lambda x: x["family"]))), ",")
-    return found.select("doc_id", "n_paragraphs", F.size("finds").cast("long").alias("n_licence_paragraphs"), families.alias("families"))
+    lines = F.size(F.array_distinct(F.transform("finds", lambda x: x["paragraph"]))).cast("long")
+    return found.select("doc_id", "n_paragraphs", lines.alias("n_licence_paragraphs"), families.alias("families"))

@@ -142,3 +142,40 @@ def test_licences(licensed):
 
 def test_licences_of_empty_table(spark):
     assert licences.find_licences(documents(spark, [])).count() == 0
+
+
+@pytest.fixture(scope="module")
+def long_lines(spark):
+    """Notices at several places of lines of 5,000 words, and texts that are one line."""
+    rng = random.Random(4)
+    rows = [(i, words(rng, 600)) for i in range(100)] + [(100 + i, "\n".join(words(rng, 30) for _ in range(4))) for i in range(50)]
+    notices = {
+        1000: (0, "Licensed under the Apache License, Version 2.0."),
+        1001: (2489, "This work is licensed under the GNU General Public License, version 3."),
+        1002: (4013, "Released under the MIT License."),
+        1003: (5000, "Licensed under CC BY-NC 4.0."),
+        1004: (2491, licences.TEMPLATES["apache-2.0"][2]),
+        1005: (777, licences.TEMPLATES["gpl"][1]),
+    }
+    for doc, (at, notice) in notices.items():
+        w = words(rng, 5000).split()
+        rows.append((doc, " ".join(w[:at] + [notice] + w[at:])))
+    rows.append((1006, f"{words(rng, 900)} Released under the MIT License. {words(rng, 900)} {licences.TEMPLATES['gpl'][0]} {words(rng, 900)}"))
+    return documents(spark, rows)
+
+
+def test_licences_inside_long_lines(long_lines):
+    out = {r["doc_id"]: r for r in licences.find_licences(long_lines).collect()}
+    found = {d: sorted((f["paragraph"], f["family"]) for f in r["finds"]) for d, r in out.items() if r["finds"]}
+    family = {1000: "apache-2.0", 1001: "gpl", 1002: "mit", 1003: "cc-by-nc", 1004: "apache-2.0", 1005: "gpl"}
+    assert found == {d: [(0, f)] for d, f in family.items()} | {1006: [(0, "gpl"), (0, "mit")]}
+    brief = {r["doc_id"]: r for r in licences.summary(licences.find_licences(long_lines)).collect()}
+    assert (brief[1006]["n_licence_paragraphs"], brief[1006]["families"]) == (1, "gpl,mit")
+
+
+def test_licence_windows_cover_every_word():
+    sizes = [0, 1, 20, 21, 40, 41, 60, 61, 5000]
+    rows = np.concatenate(([0], np.cumsum(sizes)))
+    first, last, line = licences.windows(rows)
+    assert (last - first <= licences.WINDOW).all() and (rows[line] <= first).all() and (last <= rows[line + 1]).all()
+    assert set(np.concatenate([np.arange(a, b) for a, b in zip(first, last)])) == set(range(rows[-1]))

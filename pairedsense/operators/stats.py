@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tails import signed_rank_p_value, t_critical, t_p_value, z_p_value
-from .ranks import mid_ranks
+from ..session import stage
+from .ranks import mid_ranks, quantiles
+
+# Points of a key that meet as many others in one cell.
+BLOCK = 1000
 
 
 def moments(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -89,43 +93,42 @@ def mann_whitney(df: DataFrame, by: Sequence[str], group: str, first: str, value
     return mann_whitney_statistic(df, by, group, first, value).withColumn("p_value", z_p_value(F.col("z")))
 
 
+def _slopes(points: DataFrame, by: list[str]) -> DataFrame:
+    """(by, _slope) of every pair of points (by, _x, _y, _block, _blocks) with a rising x.
+
+    Each pair meets in the cell of its two blocks, so the pairs of one key spread over blocks**2 cells of bounded size.
+    """
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    left = points.select(*by, "_x", "_y", F.col("_block").alias("_p"), other.alias("_q"))
+    right = points.select(*by, F.col("_x").alias("_x2"), F.col("_y").alias("_y2"), F.col("_block").alias("_q"), other.alias("_p"))
+    pairs = left.join(right, [*by, "_p", "_q"]).filter(F.col("_x2") > F.col("_x"))
+    return pairs.select(*by, F.try_divide(F.col("_y2") - F.col("_y"), F.col("_x2") - F.col("_x")).alias("_slope"))
+
+
 def theil_sen(anchors: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Median-of-slopes line per key over its anchors, one point per anchor.
 
-    A recording has a handful of anchors, so the slopes of all pairs are a short
-    array. Adds the intercept median(y) - slope * median(x), the largest residual
-    and the drift per hour; a key with fewer than two different x has none.
+    The slopes of all pairs are rows, whose number is the square of a key's
+    anchors; no task holds those of a key. Adds the intercept median(y) - slope *
+    median(x), the largest residual and the drift per hour; a key with fewer than
+    two different x has none.
     """
     by = list(by)
-    packed = anchors.groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("_p"),
-        F.count("*").alias("points"),
-    )
-
-    def median(values):
-        ordered = F.array_sort(values)
-        size = F.size(ordered)
-        low = F.get(ordered, F.floor((size - 1) / 2).cast("int"))
-        high = F.get(ordered, F.floor(size / 2).cast("int"))
-        return (low + high) / 2.0
-
-    slopes = F.flatten(
-        F.transform(
-            "_p",
-            lambda a: F.transform(F.filter("_p", lambda b: b["x"] > a["x"]), lambda b: (b["y"] - a["y"]) / (b["x"] - a["x"])),
-        )
-    )
-    line = packed.withColumn("slope", median(slopes)).filter(F.col("slope").isNotNull())
-    line = line.withColumn(
-        "intercept",
-        median(F.transform("_p", lambda p: p["y"])) - F.col("slope") * median(F.transform("_p", lambda p: p["x"])),
-    )
-    worst = F.array_max(
-        F.transform("_p", lambda p: F.abs(p["y"] - F.col("intercept") - F.col("slope") * p["x"]))
-    )
-    return line.select(
-        *by, "points", "slope", "intercept", worst.alias("max_residual"), (F.col("slope") * 3600.0).alias("drift_per_hour")
+    # The numbers are written once, so that every branch and every retried task sees the same blocks.
+    points = stage(
+        anchors.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), F.monotonically_increasing_id().alias("_i")),
+        "points",
     )
+    sizes = points.groupBy(*by).agg(F.count("*").alias("points"))
+    blocked = points.join(sizes.withColumn("_blocks", F.ceil(F.col("points") / BLOCK)), by)
+    blocked = blocked.withColumn("_block", F.pmod(F.xxhash64("_i"), F.col("_blocks")))
+    slope = quantiles(_slopes(blocked, by), by, {"slope": ("_slope", 0.5)})
+    middle = quantiles(points, by, {"_mx": ("_x", 0.5), "_my": ("_y", 0.5)})
+    line = sizes.join(slope.filter(F.col("slope").isNotNull()), by).join(middle, by)
+    line = stage(line.select(*by, "points", "slope", (F.col("_my") - F.col("slope") * F.col("_mx")).alias("intercept")), "lines")
+    off = F.abs(F.col("_y") - F.col("intercept") - F.col("slope") * F.col("_x"))
+    worst = points.join(line, by).groupBy(*by).agg(F.max(off).alias("max_residual"))
+    return line.join(worst, by).select(*by, "points", "slope", "intercept", "max_residual", (F.col("slope") * 3600.0).alias("drift_per_hour"))
 
 
 def alignment_models(
@@ -144,10 +147,9 @@ def alignment_models(
     correlation below the limit, or a residual over the used anchors above it.
     """
     by = list(by)
-    ranked = anchors.select(*by, F.col(t).alias("x"), F.col(lag).alias("y"), F.col(correlation).alias("_c"))
-    known = ranked.groupBy(*by).agg(
-        F.count("*").alias("anchors"), F.count_if(F.col("_c") >= reliable_at).alias("reliable_anchors"), F.median("_c").alias("median_correlation")
-    )
+    ranked = stage(anchors.select(*by, F.col(t).alias("x"), F.col(lag).alias("y"), F.col(correlation).alias("_c")), "anchors")
+    counts = ranked.groupBy(*by).agg(F.count("*").alias("anchors"), F.count_if(F.col("_c") >= reliable_at).alias("reliable_anchors"))
+    known = stage(counts.join(quantiles(ranked, by, {"median_correlation": ("_c", 0.5)}), by, "left"), "known")
     used = ranked.join(known.select(*by, "reliable_anchors"), by).filter(
         (F.col("_c") >= reliable_at) | (F.col("reliable_anchors") < min_reliable)
     )

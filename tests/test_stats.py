@@ -73,3 +73,27 @@ def test_alignment_uses_reliable_anchors(spark):
     assert (r["a"]["anchors"], r["a"]["reliable_anchors"], r["a"]["points"]) == (5, 4, 4)
     assert r["a"]["slope"] == pytest.approx(0.001) and r["a"]["max_residual"] == pytest.approx(0, abs=1e-9) and not r["a"]["low_confidence"]
     assert r["b"]["points"] == 5 and r["b"]["low_confidence"]
+
+
+def test_slopes_of_a_crowded_key_spread_over_cells(spark, monkeypatch):
+    monkeypatch.setattr(st, "BLOCK", 50, raising=False)
+    rng = np.random.default_rng(2)
+    n = {"a": 700, "b": 51, "c": 3}
+    rows = [(s, float(x), float(y), 0.9) for s, k in n.items() for x, y in zip(rng.integers(0, 400, k), rng.normal(size=k))]
+    df = spark.createDataFrame(rows + [("d", 1.0, 2.0, 0.9), ("d", 1.0, 3.0, 0.9)], "s string, t double, lag double, correlation double")
+    out = st.alignment_models(df, ["s"])
+    plan = out._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "median(" not in plan
+    got = {r["s"]: r for r in out.collect()}
+    assert set(got) == set(n)
+    for s in n:
+        x, y = np.array([r[1:3] for r in rows if r[0] == s]).T
+        i, j = np.nonzero(x[None, :] > x[:, None])
+        slope = np.median((y[j] - y[i]) / (x[j] - x[i]))
+        icpt = np.median(y) - slope * np.median(x)
+        assert got[s]["points"] == n[s] and got[s]["slope"] == pytest.approx(slope, rel=1e-9) and got[s]["intercept"] == pytest.approx(icpt, rel=1e-9)
+        assert got[s]["max_residual"] == pytest.approx(np.abs(y - icpt - slope * x).max(), rel=1e-9)
+    cells = st._slopes(
+        spark.createDataFrame([("a", float(k), 0.0, k % 4, 4) for k in range(40)], "s string, _x double, _y double, _block long, _blocks long"), ["s"]
+    )
+    assert cells.count() == 40 * 39 // 2

@@ -122,31 +122,53 @@ def read_series(
 
 
 HEADER_BYTES = 1 << 16
-_FORMAT = "channels long, sample_rate long, bits long, data_bytes long"
-
-
-def _wav_format(head: pd.Series) -> pd.DataFrame:
-    """Fields of the fmt chunk and the size of the data chunk, found by walking the chunks; NULL where either is not in the header."""
-    rows = []
-    for raw in head:
-        raw = bytes(raw or b"")
-        found: dict[str, int | None] = dict.fromkeys(("channels", "sample_rate", "bits", "data_bytes"))
-        at = 12 if raw[:4] == b"RIFF" and raw[8:12] == b"WAVE" else len(raw)
-        while at + 8 <= len(raw):
-            name, held = raw[at : at + 4], int.from_bytes(raw[at + 4 : at + 8], "little")
-            body = raw[at + 8 : at + 8 + held]
-            if name == b"fmt " and len(body) >= 16:
-                found |= {
-                    "channels": int.from_bytes(body[2:4], "little"),
-                    "sample_rate": int.from_bytes(body[4:8], "little"),
-                    "bits": int.from_bytes(body[14:16], "little"),
-                }
-            if name == b"data":
-                found["data_bytes"] = held
-                break
-            at += 8 + held + held % 2
-        rows.append(found)
-    return pd.DataFrame(rows, columns=["channels", "sample_rate", "bits", "data_bytes"]).astype("Int64")
+#: Bytes handed on by each step: most files need the first one only, a file with a long chunk before its data the second, odd ones the rest.
+WALK = (HEADER_BYTES, HEADER_BYTES, (1 << 31) - 1)
+_FORMAT = "channels long, sample_rate long, bits long, data_bytes long, next long"
+
+
+def _walk(first: bool):
+    def run(part: pd.Series) -> pd.DataFrame:
+        """Fields of the fmt chunk and the size of the data chunk of each part, and where in the part the next chunk starts while none is the data chunk."""
+        rows = []
+        for raw in part:
+            raw = raw if raw is not None else b""
+            found: dict[str, int | None] = dict.fromkeys(("channels", "sample_rate", "bits", "data_bytes", "next"))
+            known = not first or (raw[:4] == b"RIFF" and raw[8:12] == b"WAVE")
+            at = (12 if first else 0) if known else len(raw)
+            while at + 8 <= len(raw):
+                name, held = raw[at : at + 4], int.from_bytes(raw[at + 4 : at + 8], "little")
+                if name == b"fmt " and held >= 16:
+                    if at + 24 > len(raw):
+                        break  # cut by the end of the part: the next one starts here
+                    found |= {
+                        "channels": int.from_bytes(raw[at + 10 : at + 12], "little"),
+                        "sample_rate": int.from_bytes(raw[at + 12 : at + 16], "little"),
+                        "bits": int.from_bytes(raw[at + 22 : at + 24], "little"),
+                    }
+                if name == b"data":
+                    found["data_bytes"] = held
+                    break
+                at += 8 + held + held % 2
+            if known and found["data_bytes"] is None:
+                found["next"] = at
+            rows.append(found)
+        return pd.DataFrame(rows, columns=["channels", "sample_rate", "bits", "data_bytes", "next"]).astype("Int64")
+
+    return run
+
+
+def _wav_format(files: DataFrame) -> DataFrame:
+    """(path, channels, sample_rate, bits, data_bytes): NULL where a file has no fmt or data chunk."""
+    fields = ["channels", "sample_rate", "bits", "data_bytes"]
+    out = files.select("path", "content", F.lit(0).cast("long").alias("next"), *[F.lit(None).cast("long").alias(c) for c in fields])
+    for step, size in enumerate(WALK):
+        inside = F.col("next") + 8 <= F.octet_length("content")
+        part = F.when(inside, F.substring("content", (F.col("next") + 1).cast("int"), F.lit(size)))
+        walked = out.withColumn("_w", F.pandas_udf(_walk(step == 0), _FORMAT)(part))
+        # A fmt chunk that comes later counts, as in one walk.
+        out = walked.select("path", "content", (F.col("next") + F.col("_w.next")).alias("next"), *[F.coalesce(f"_w.{c}", c).alias(c) for c in fields])
+    return out.select("path", *fields)
 
 
 def wav_headers(files: DataFrame, pattern: str = r"([^/_]+)_(recorder|phone)(?:_?(\d+))?\.wav$") -> DataFrame:
@@ -154,11 +176,10 @@ def wav_headers(files: DataFrame, pattern: str = r"([^/_]+)_(recorder|phone)(?:_
 
     A name tells subject, device and, for recorders, the number of the part; a
     name of another form has none of them and the status ``unexpected name``.
-    Chunks are walked within the first ``HEADER_BYTES``, so only these reach Python.
+    Chunks are walked to the data chunk wherever it starts; Python gets the first ``HEADER_BYTES``, and more of the files that need it.
     """
     named = F.col("path").rlike(pattern)
-    head = F.substring("content", 1, HEADER_BYTES)
-    fields = files.select("path", F.pandas_udf(_wav_format, _FORMAT)(head).alias("_w")).select("path", "_w.*")
+    fields = _wav_format(files)
     whole = F.col("channels").isNotNull() & F.col("data_bytes").isNotNull()
     width = F.col("channels") * F.col("bits") / 8
     part = F.nullif(F.regexp_extract("path", pattern, 3), F.lit(""))

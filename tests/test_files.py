@@ -151,3 +151,23 @@ def test_malformed_series_fail(spark, tmp_path):
         path.write_text(f"clock,v\n22:00:00,97\n{bad}\n")
         with pytest.raises(Exception, match="(?i)malformed|array"):
             rd.read_series(spark, str(path), "clock string, v double", "clock", "v").collect()
+
+
+def test_wav_chunks_before_the_data_may_be_long(spark, tmp_path):
+    fmt = b"fmt " + (16).to_bytes(4, "little") + b"\x01\0\x01\0" + (8000).to_bytes(4, "little") + (16000).to_bytes(4, "little") + b"\x02\0\x10\0"
+    data = b"data" + (16000).to_bytes(4, "little") + bytes(16000)
+    chunk = lambda name, n: name + n.to_bytes(4, "little") + bytes(n + n % 2)
+    files = {
+        "01_phone": fmt + chunk(b"LIST", 100_000) + data,
+        "02_phone": chunk(b"JUNK", 100_001) + fmt + data,
+        "03_phone": chunk(b"id3 ", 70_000) + fmt + chunk(b"bext", 70_000) + chunk(b"LIST", 90_000) + chunk(b"JUNK", 1_000_000) + data,
+        "04_phone": chunk(b"JUNK", (1 << 16) - 12 - 8 - 10) + fmt + data,  # the first step ends inside fmt
+        "05_phone": chunk(b"JUNK", (1 << 16) - 12 - 8 - 4) + fmt + data,  # or inside the name and size of a chunk
+        "06_phone": chunk(b"JUNK", 20) * 10_000 + fmt + data,
+        "07_phone": fmt + chunk(b"LIST", 300_000),
+    }
+    for name, chunks in files.items():
+        body = b"WAVE" + chunks
+        (tmp_path / f"{name}.wav").write_bytes(b"RIFF" + len(body).to_bytes(4, "little") + body)
+    got = {r["subject_id"]: (r["status"], r["duration_sec"]) for r in rd.audio_inventory(spark, f"{tmp_path}/*.wav").collect()}
+    assert got == {f"0{i}": ("ok", 1.0) for i in range(1, 7)} | {"07": ("unreadable", None)}

@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, licences, lines, lzprint, minhash, mixing, quality, secrets, toxicity, warc
+from . import article, decontam, lexical, licences, lines, lzprint, minhash, mixing, negatives, quality, secrets, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -240,3 +241,72 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_licence_scan")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.summary(licences.find_licences(table(spark, sf_dir, "documents")))
+
+
+SEARCH_SQL = f"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), totals AS (SELECT count(*) FILTER (len(w) > 0) AS docs, sum(len(w))::BIGINT AS terms FROM split
+), wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark
+), postings AS (
+  SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w)::BIGINT AS n, unnest(w) AS t FROM split) WHERE t IN (SELECT t FROM wanted) GROUP BY ALL
+), weights AS (
+  SELECT t, floor(1000 * ln((2 * max(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM postings, totals GROUP BY t
+), impacts AS (
+  SELECT r, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // terms))) AS s FROM postings JOIN weights USING (t), totals
+), scores AS (
+  SELECT item_id, r, doc_id, sum(s)::BIGINT AS score FROM impacts JOIN wanted USING (t) GROUP BY ALL HAVING sum(s) > 0
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scores
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+"""
+
+
+@query("op11_ranked_search", SEARCH_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+NEGATIVES_SQL = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM rows a JOIN rows b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+), found AS (
+  SELECT anchor_id, positive_id, positive_score, other AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS rank
+  FROM positives JOIN scores USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 3
+"""
+
+
+@query("op12_hard_negatives", NEGATIVES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"))
+    return negatives.mine(vectors)
+
+
+# The pages of these tables mark their article; the operator doesn't rely on it (tests have pages without the mark).
+ARTICLE_SQL = """
+WITH parts AS (
+  SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '\\s+', ' ', 'g') AS body FROM pages
+), plain AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(body, '</?(h1|p)>', chr(10), 'g'), '<br>', ' ', 'g'), '<[^>]*>', '', 'g') AS body FROM parts
+), decoded AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(body, '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS body FROM plain
+), texts AS (
+  SELECT page_id, url, array_to_string(list_filter(list_transform(string_split(body, chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM decoded
+)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM texts
+"""
+
+
+@query("op13_main_text", ARTICLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return article.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")

@@ -13,7 +13,8 @@ LCb those of the body; a count of 0 stands for 1. Of the containers the one whos
 children's densities have the greatest sum is the article. The least density on
 the path from it to the body is the threshold: a container beside the path that
 has the same tag and class as the path there (the next section of an article
-that is cut into several) is taken as well if its density reaches it.
+that is cut into several) is taken as well if its density reaches it, and half of
+its mate's.
 """
 
 from __future__ import annotations
@@ -111,8 +112,8 @@ class Page:
         at, up = len(self.tag), self._stack[-1]
         named, sign = _named_apart(tag, attributes) if attributes else (False, "")
         above = self.apart[up]
-        if tag in HEADINGS and self.tag[up] == "header" and self._open.get("article"):
-            above = self.apart[self.parent[up]]  # of an article's own head the headings are its text
+        if tag == "h1" and self.tag[up] == "header" and self._open.get("article"):
+            above = self.apart[self.parent[up]]  # of an article's own head the title is its text
         self.apart.append(named or tag in APART or above)
         self.tag.append(tag)
         self.parent.append(up)
@@ -273,7 +274,7 @@ def main_text(html: str | None) -> str:
             mate = on_path.get(page.parent[i])
             if mate is None or i == mate or page.apart[i]:
                 continue
-            if page.tag[i] == page.tag[mate] and page.sign[i] == page.sign[mate] and density[i] >= threshold:
+            if page.tag[i] == page.tag[mate] and page.sign[i] == page.sign[mate] and density[i] >= max(threshold, 0.5 * density[mate]):
                 taken.add(i)
             if page.tag[i] == "h1" and i < mate:
                 before[mate] = i

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
@@ -20,9 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import sigmoid_clip
-from ..session import stage
 from .metrics import binary_metrics
-from .splits import PROTOCOL_DEVICES, class_weights
+from .splits import PROTOCOL_DEVICES
 
 PREDICTION = (
     "representation string, classifier string, protocol string, fold int, sample_id bigint, subject_id bigint, device string, label int, probability double"
@@ -59,21 +56,29 @@ def as_input(df: DataFrame, vector: str = "vector") -> DataFrame:
     )
 
 
-def with_weights(train: DataFrame, name: str) -> DataFrame:
-    """Balanced class weights, or the negative/positive ratio on positives for boosted trees."""
-    table = F.broadcast(class_weights(train).select(F.col("label"), "balanced_weight", "positive_weight"))
-    out = train.join(table, "label")
+def label_weights(counts: dict[int, int], name: str) -> dict[int, float]:
+    """Weight per label from its rows: balanced, or the negative/positive ratio on positives for boosted trees."""
+    total, positive = sum(counts.values()), counts.get(1, 0)
     if name == "gradient_boosted_trees":
-        weight = F.when(F.col("label") == 1, F.coalesce("positive_weight", F.lit(1.0))).otherwise(F.lit(1.0))
-    else:
-        weight = F.col("balanced_weight")
-    return out.withColumn("weight", weight).drop("balanced_weight", "positive_weight")
+        return {1: max(1.0, (total - positive) / positive)} if positive else {}
+    return {label: total / (len(counts) * n) for label, n in counts.items() if n}
+
+
+def with_weights(train: DataFrame, name: str, counts: dict[int, int] | None = None) -> DataFrame:
+    """``weight`` per row; the rows per label are counted unless they are known."""
+    if counts is None:
+        counts = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
+    weight = F.lit(1.0)
+    for label, value in label_weights(counts, name).items():
+        weight = F.when(F.col("label") == label, F.lit(value)).otherwise(weight)
+    return train.withColumn("weight", weight)
 
 
-def fit(train: DataFrame, name: str, params: dict | None = None, seed: int = 42):
-    """Fitted pipeline on (vector, label) rows."""
-    width = len(train.select("vector").first()[0]) if name == "mlp" else None
-    return make_classifier(name, params, width, seed).fit(as_input(with_weights(train, name)))
+def fit(train: DataFrame, name: str, params: dict | None = None, seed: int = 42, counts: dict[int, int] | None = None, width: int | None = None):
+    """Fitted pipeline on (vector, label) rows; ``counts`` (rows per label) and ``width`` spare passes where they are known."""
+    if name == "mlp" and width is None:
+        width = len(train.select("vector").first()[0])
+    return make_classifier(name, params, width, seed).fit(as_input(with_weights(train, name, counts)))
 
 
 def score(model, df: DataFrame) -> DataFrame:
@@ -121,65 +126,6 @@ def roles(rows: DataFrame, fold: int, n: int) -> tuple[DataFrame, DataFrame, Dat
     )
 
 
-def run_grid(
-    representations: dict[str, DataFrame],
-    classifiers: dict[str, Sequence[dict]],
-    protocols: Sequence[str],
-    folds: Sequence[int],
-    n: int,
-    done: DataFrame | None = None,
-    seed: int = 42,
-    records: list[dict] | None = None,
-) -> DataFrame:
-    """Test predictions of every pending (representation, classifier, protocol, fold) cell.
-
-    ``records`` gets one entry per fit: its cell, the selected parameters, the
-    tuning scores, the subjects and rows of every role, and the seconds it took.
-    With nothing pending the result is empty.
-
-    The driver loops over fit keys, a handful of configuration names; every fit
-    and every scoring is a distributed job, and one fit serves all its protocols.
-    """
-    devices = {p: (a, b) for p, a, b in PROTOCOL_DEVICES}
-    finished = {tuple(r) for r in done.select("representation", "classifier", "protocol", "fold").distinct().collect()} if done is not None else set()
-    parts = []
-    for rep, rows in representations.items():
-        for name, candidates in classifiers.items():
-            for fold in folds:
-                train, validation, test = roles(rows, fold, n)
-                cells = [p for p in protocols if (rep, name, p, fold) not in finished]
-                for source in dict.fromkeys(devices[p][0] for p in cells):
-                    keep = F.col("device").isin(*source)
-                    began = time.perf_counter()
-                    model, chosen, tuning = select_and_fit(train.filter(keep), validation.filter(keep), name, candidates, seed)
-                    if records is not None:
-                        served = [p for p in cells if devices[p][0] == source]
-                        sides = {"train": train.filter(keep), "validation": validation.filter(keep), "test": test}
-                        sizes = {r: df.agg(F.count("*").alias("rows"), F.sort_array(F.collect_set("subject_id")).alias("subjects")).first().asDict() for r, df in sides.items()}
-                        records.append(
-                            {"representation": rep, "classifier": name, "fold": fold, "protocols": served, "selected": chosen, "tuning": tuning, "roles": sizes,
-                             "seconds": time.perf_counter() - began}
-                        )
-                    for p in (p for p in cells if devices[p][0] == source):
-                        scored = score(model, test.filter(F.col("device").isin(*devices[p][1])))
-                        parts.append(
-                            scored.select(
-                                F.lit(rep).alias("representation"),
-                                F.lit(name).alias("classifier"),
-                                F.lit(p).alias("protocol"),
-                                F.lit(fold).alias("fold"),
-                                "sample_id",
-                                "subject_id",
-                                "device",
-                                "label",
-                                "probability",
-                            )
-                        )
-    if not parts:
-        return next(iter(representations.values())).sparkSession.createDataFrame([], PREDICTION)
-    return stage(reduce(lambda a, b: a.unionByName(b), parts), "predictions")
-
-
 def device_probe(rows: DataFrame, fold: int, name: str = "logistic_regression", params: dict | None = None, seed: int = 42) -> DataFrame:
     """Predict the device from the vector: test predictions with label 1 for the phone."""
     probe = rows.withColumn("label", (F.col("device") == "S").cast("int"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import r6, r9
+from ..operators import grid as gr
 from ..operators import joins as jn
 from ..operators import metrics as mt
 from ..operators import models as ml
 from ..operators import resample as rs
 from ..operators import splits as sp
 from ..operators import vectors as vc
-from ..session import stage
+from ..session import shared_path, stage
 from . import bindings as b
 from .oracle_ctes import with_ctes
 from .registry import register
@@ -197,111 +198,193 @@ def fit_plan(spark, sf):
     return ml.fit_plan(cells).select("representation", "classifier", "protocol", "fold", "fit_key")
 
 
+def stretched(spark, sf):
+    """Vectors whose variance lies in known places: 1,000 times in the first 8 positions, plain in the next 8, nothing beyond."""
+    scale = lambda x, i: F.when(i < 8, x.cast("double") * 1000.0).when(i < 16, x.cast("double")).otherwise(F.lit(0.0))
+    return vectors(spark, sf).withColumn("vector", F.transform("vector", scale))
+
+
 @register(
     "ml2_pca",
     with_ctes(
         "vectors",
-        """SELECT sample_id, round(sum(pow(x - m, 2)), 6) + 0.0 AS energy FROM (SELECT sample_id, unnest(range(0, 64)) AS p, unnest(embedding)::DOUBLE AS x FROM vectors WHERE fold = 0 AND device = 'S')
-        JOIN mean USING (p) GROUP BY sample_id""",
-        """mean AS (SELECT p, avg(x) AS m FROM (SELECT unnest(range(0, 64)) AS p, unnest(embedding)::DOUBLE AS x FROM vectors
-        WHERE (device = 'R' AND fold <> 0) OR (device = 'S' AND fold = 1)) GROUP BY p)""",
+        """SELECT d AS dimensions, role, outer_fold, sample_id, round(sum(pow(x - m, 2)) / 1e6, 3) + 0.0 AS energy FROM rows JOIN means USING (outer_fold, part, p) JOIN (SELECT unnest([8, 16]) AS d) ON p < d
+        GROUP BY ALL""",
+        """x AS (SELECT sample_id, fold, device, p, CASE WHEN p < 8 THEN x * 1000 ELSE x END AS x FROM (SELECT sample_id, fold, device, unnest(range(0, 16)) AS p, unnest(embedding[1:16])::DOUBLE AS x FROM vectors)),
+        marked AS (SELECT x.*, k AS outer_fold, fold = k AS t, fold = (k + 1) % 5 AS v FROM x, (SELECT unnest(range(0, 5)) AS k)),
+        means AS (SELECT outer_fold, 'tuning' AS part, p, avg(x) AS m FROM marked WHERE device = 'R' AND NOT t AND NOT v GROUP BY ALL
+        UNION ALL SELECT outer_fold, 'refit', p, avg(x) FROM marked WHERE (device = 'R' AND NOT t) OR (device = 'S' AND v) GROUP BY ALL),
+        rows AS (SELECT outer_fold, 'tuning_validation' AS role, 'tuning' AS part, sample_id, p, x FROM marked WHERE device = 'R' AND v
+        UNION ALL SELECT outer_fold, 'test', 'refit', sample_id, p, x FROM marked WHERE device = 'S' AND t)""",
     ),
 )
 def pca(spark, sf):
-    """With as many axes as dimensions the coordinates keep every distance to the mean of the fit."""
-    v = vectors(spark, sf)
-    train, val = v.filter("fold not in (0, 1) and device = 'R'"), v.filter("fold = 1 and device = 'R'")
-    test, target = v.filter("fold = 0 and device = 'S'"), v.filter("fold = 1 and device = 'S'")
-    _, _, _, z = vc.pca_fold(train, val, test, target, 64, [64])[64]
+    """16 axes and their first 8 on R_S of every fold: the variance is planted, so the axes must keep exactly what lies in the first 16 and 8 positions."""
+    v = stage(stretched(spark, sf), "vectors")
+    r, s = v.filter("device = 'R'"), v.filter("device = 'S'")
     energy = F.expr("aggregate(vector, 0D, (a, x) -> a + x * x)")
-    return z.select("sample_id", r6(energy).alias("energy"))
+    out = None
+    for fold in range(b.N_FOLDS):
+        train, val, _ = ml.roles(r, fold, b.N_FOLDS)
+        _, target, test = ml.roles(s, fold, b.N_FOLDS)
+        for d, (_, tuned, _, tested) in vc.pca_fold(train, val, test, target, 16, [8, 16]).items():
+            for role, rows in (("tuning_validation", tuned), ("test", tested)):
+                part = rows.select(F.lit(d).alias("dimensions"), F.lit(role).alias("role"), F.lit(fold).cast("long").alias("outer_fold"), "sample_id", (F.round(energy / 1e6, 3) + 0.0).alias("energy"))
+                out = part if out is None else out.unionByName(part)
+    return out
 
 
 @register(
     "ml3_coral",
     with_ctes(
         "vectors",
-        """SELECT CAST(p AS INTEGER) AS position, (SELECT count(*) FROM vectors WHERE device = 'R' AND fold > 1) AS n, round(avg(x), 6) + 0.0 AS mean, round(var_samp(x), 3) + 0.0 AS variance
-        FROM (SELECT unnest(range(0, 64)) AS p, unnest(embedding)::DOUBLE AS x FROM vectors WHERE device = 'S' AND fold = 1) GROUP BY p""",
+        """SELECT outer_fold, part, p AS position, (SELECT count(*) FROM source s WHERE s.outer_fold = t.outer_fold AND s.part = t.part) AS n, round(avg(x), 6) + 0.0 AS mean,
+        round(var_samp(x), 3) + 0.0 AS variance, round(covar_samp(x, y), 3) + 0.0 AS covariance FROM target t GROUP BY ALL""",
+        """marked AS (SELECT vectors.*, k AS outer_fold, fold = k AS t, fold = (k + 1) % 5 AS v FROM vectors, (SELECT unnest(range(0, 5)) AS k)),
+        source AS (SELECT outer_fold, unnest(CASE WHEN v THEN ['refit'] ELSE ['tuning', 'refit'] END) AS part, sample_id FROM marked WHERE device = 'R' AND NOT t),
+        target AS (SELECT outer_fold, unnest(['tuning', 'refit']) AS part, p, x, y FROM (SELECT outer_fold, CAST(unnest(range(0, 64)) AS INTEGER) AS p, unnest(embedding)::DOUBLE AS x,
+        unnest(list_concat(embedding[2:64], embedding[1:1]))::DOUBLE AS y FROM marked WHERE device = 'S' AND v))""",
     ),
 )
 def coral(spark, sf):
-    """The aligned source rows have the means and variances of the target rows."""
-    v = vectors(spark, sf)
-    source, target = v.filter("device = 'R' and fold > 1"), v.filter("device = 'S' and fold = 1")
-    out = vc.coral_apply(source, vc.coral_fit(source, target)).select(F.posexplode("vector").alias("position", "x"))
-    return out.groupBy("position").agg(
-        F.count("*").alias("n"), r6(F.avg("x")).alias("mean"), (F.round(F.var_samp("x"), 3) + 0.0).alias("variance")
-    )
+    """Of every fold, for tuning and refit: all aligned source rows have the means, variances and covariances of the target's validation rows."""
+    v = stage(vectors(spark, sf), "vectors")
+    out = None
+    for fold in range(b.N_FOLDS):
+        train, validation, both, _ = gr.coral_plan(v, gr.Fit("", "", "", fold, ("R",), ("R_S",)), b.N_FOLDS)
+        for part, rows in (("tuning", train), ("refit", both)):
+            turned = rows.withColumn("vector", F.arrays_zip(F.col("vector").alias("x"), F.concat(F.slice("vector", 2, 63), F.slice("vector", 1, 1)).alias("y")))
+            each = turned.select(F.posexplode("vector").alias("position", "_v")).select("position", "_v.*").toDF("position", "x", "y")
+            part_rows = each.groupBy("position").agg(
+                F.count("*").alias("n"), r6(F.avg("x")).alias("mean"), (F.round(F.var_samp("x"), 3) + 0.0).alias("variance"), (F.round(F.covar_samp("x", "y"), 3) + 0.0).alias("covariance")
+            ).select(F.lit(fold).cast("long").alias("outer_fold"), F.lit(part).alias("part"), "position", "n", "mean", "variance", "covariance")
+            out = part_rows if out is None else out.unionByName(part_rows)
+    return out
+
+
+PLANTED = 1.5  # twelve times the spread of a component: the classes can be told apart without error
+APART = 8.0  # how far the phone's rows are moved along the same positions
+
+
+def planted(spark, sf, moved: float = 0.0):
+    """Vectors whose class stands in the first four positions, so that the right answer of a fit is known (in two of them as one value per class, which a tree splits at whatever its bins are); the phone's rows are moved there by ``moved``."""
+    sign = (F.col("label") * 2 - 1) * PLANTED + F.when(F.col("device") == "S", moved).otherwise(0.0)
+    return vectors(spark, sf).withColumn("vector", F.transform("vector", lambda x, i: F.when(i < 2, sign).when(i < 4, x.cast("double") + sign).otherwise(x.cast("double"))))
+
+
+# Per classifier a candidate that learns nothing and one that learns.
+CANDIDATES = {
+    "logistic_regression": [{"maxIter": 0}, {"maxIter": 10}],
+    "linear_svm": [{"maxIter": 0}, {"maxIter": 3}],
+    "mlp": [{"maxIter": 0}, {"maxIter": 20}],
+    "random_forest": [{"maxDepth": 0, "numTrees": 1}, {"maxDepth": 3, "numTrees": 5}],
+    "gradient_boosted_trees": [{"maxDepth": 0, "maxIter": 1}, {"maxIter": 2}],
+}
+PROTOCOLS = [p for p, _, _ in sp.PROTOCOL_DEVICES]
 
 
 def coverage(scored, by):
-    """Rows, distinct samples, positives and valid probabilities of scored rows."""
+    """Rows, distinct samples, positives, valid probabilities, balanced accuracy and area under the curve of scored rows."""
     p = F.col("probability")
-    return scored.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        F.countDistinct("sample_id").alias("samples"),
-        F.sum(F.col("label").cast("long")).alias("positives"),
-        F.count_if((p >= 0) & (p <= 1)).alias("valid"),
+    counted = scored.groupBy(*by).agg(
+        F.countDistinct("sample_id").alias("samples"), F.sum(F.col("label").cast("long")).alias("positives"), F.count_if((p >= 0) & (p <= 1)).alias("valid")
     )
+    quality = gr.cell_metrics(scored, by).select(*by, "n", r6("balanced_accuracy").alias("balanced_accuracy"), r6("roc_auc").alias("roc_auc"))
+    return quality.join(counted, list(by))
 
 
 COVERAGE = "count(*) AS n, count(DISTINCT sample_id) AS samples, CAST(sum(label) AS BIGINT) AS positives, count(*) AS valid"
+PERFECT = "1.0::DOUBLE AS balanced_accuracy, 1.0::DOUBLE AS roc_auc"
 
 
-@register("ml4_select_and_fit", with_ctes("vectors", f"SELECT fold, device, {COVERAGE} FROM vectors GROUP BY ALL"))
+@register(
+    "ml3_coral_fold",
+    with_ctes(
+        "vectors",
+        f"""SELECT plan, protocol, fold, {COVERAGE}, CASE plan WHEN 'target_raw' THEN 1.0 ELSE 0.5 END::DOUBLE AS balanced_accuracy, 1.0::DOUBLE AS roc_auc FROM vectors
+        JOIN (SELECT unnest(['R_S', 'S_R']) AS protocol) ON split_part(protocol, '_', 2) = device, (SELECT unnest(['plain', 'coral', 'target_raw']) AS plan) GROUP BY ALL""",
+    ),
+)
+def coral_fold(spark, sf):
+    """Both cross-device protocols, all folds: the phone's rows are moved far along the positions that tell the classes apart.
+
+    Without alignment all test rows fall on one side (0.5); with aligned source rows the raw test rows are told apart
+    (1.0); test rows that also pass through the alignment are moved once more (0.5).
+    """
+    v = stage(planted(spark, sf, APART).withColumn("vector", F.slice("vector", 1, 16)), "vectors")
+    plans = {"plain": gr.plain_plan, "coral": gr.coral_plan, "target_raw": gr.coral_raw_plan}
+    out = None
+    for name, plan in plans.items():
+        p = gr.run_grid({"first": v}, {"logistic_regression": [{"maxIter": 10}]}, ["R_S", "S_R"], range(b.N_FOLDS), b.N_FOLDS, workers=8, seed=b.SEED, split=plan)
+        rows = coverage(p, ["protocol", "fold"]).withColumn("plan", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@register("ml4_select_and_fit", with_ctes("vectors", f"SELECT fold, device, 1 AS selected, {COVERAGE}, {PERFECT} FROM vectors GROUP BY ALL"))
 def select_and_fit(spark, sf):
     """Every fold: two candidates judged on validation, the better one refitted, the test rows scored."""
-    v = stage(vectors(spark, sf), "vectors")
+    v = stage(planted(spark, sf), "vectors")
     out = None
     for fold in range(b.N_FOLDS):
         role = ml.roles(v, fold, b.N_FOLDS)
-        model, _, _ = ml.select_and_fit(role[0], role[1], "logistic_regression", [{"regParam": 0.1}, {"regParam": 0.01}], b.SEED)
-        rows = coverage(ml.score(model, role[2]), ["fold", "device"])
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        model, chosen, _ = ml.select_and_fit(role[0], role[1], "logistic_regression", CANDIDATES["logistic_regression"], b.SEED)
+        scored = ml.score(model, role[2]).withColumn("selected", F.lit(CANDIDATES["logistic_regression"].index(chosen)))
+        out = scored if out is None else out.unionByName(scored)
+    return coverage(stage(out, "scored"), ["fold", "device", "selected"])
 
 
 @register(
     "ml5_classifiers",
     with_ctes(
         "vectors",
-        f"SELECT c AS classifier, {COVERAGE} FROM vectors CROSS JOIN (SELECT unnest(['random_forest', 'gradient_boosted_trees', 'logistic_regression', 'linear_svm', 'mlp']) AS c) WHERE fold = 0 GROUP BY c",
+        f"SELECT c AS classifier, fold, {COVERAGE}, {PERFECT} FROM vectors CROSS JOIN (SELECT unnest(['random_forest', 'gradient_boosted_trees', 'logistic_regression', 'linear_svm', 'mlp']) AS c) GROUP BY c, fold",
     ),
 )
 def classifiers(spark, sf):
-    """Every classifier with its default parameters."""
-    v = stage(vectors(spark, sf), "vectors")
-    out = None
-    for name in (*ml.WEIGHTED, "mlp"):
-        scored = ml.score(ml.fit(v.filter("fold <> 0"), name, None, b.SEED), v.filter("fold = 0"))
-        rows = coverage(scored.withColumn("classifier", F.lit(name)), ["classifier"])
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """Every classifier on every fold, trained on both devices."""
+    v = stage(planted(spark, sf), "vectors")
+    learning = {name: both[1:] for name, both in CANDIDATES.items()}
+    p = gr.run_grid({"full": v}, learning, ["RS_RS"], range(b.N_FOLDS), b.N_FOLDS, workers=8, seed=b.SEED)
+    return coverage(stage(p, "predictions"), ["classifier", "fold"])
 
 
-@register(
-    "ml8_run_grid",
-    with_ctes(
-        "vectors",
-        f"""SELECT 'full' AS representation, 'logistic_regression' AS classifier, p AS protocol, fold, {COVERAGE} FROM vectors
-        JOIN (SELECT unnest(['R_R', 'S_S', 'R_S', 'S_R', 'RS_RS']) AS p) ON contains(split_part(p, '_', 2), device) GROUP BY p, fold""",
-    ),
-)
-def run_grid(spark, sf):
-    """All protocols and folds of one representation and classifier."""
-    v = stage(vectors(spark, sf), "vectors")
-    p = ml.run_grid({"full": v}, {"logistic_regression": [{}]}, [x[0] for x in sp.PROTOCOL_DEVICES], range(b.N_FOLDS), b.N_FOLDS, seed=b.SEED)
-    return coverage(p, ["representation", "classifier", "protocol", "fold"])
+def _grid(name: str, *classifiers: str):
+    names = ", ".join(f"'{c}'" for c in classifiers)
+    sql = f"""SELECT representation, classifier, protocol, fold, 1 AS selected, {COVERAGE}, {PERFECT} FROM vectors
+        JOIN (SELECT unnest({PROTOCOLS}) AS protocol) ON contains(split_part(protocol, '_', 2), device), (SELECT unnest(['full', 'low']) AS representation), (SELECT unnest([{names}]) AS classifier) GROUP BY ALL"""
+
+    def run(spark, sf):
+        v = stage(planted(spark, sf), "vectors")
+        low = v.withColumn("vector", F.slice("vector", 1, 32))
+        root = shared_path(spark, "grid")
+        asked = {c: CANDIDATES[c] for c in classifiers}
+        p = gr.run_grid({"full": v, "low": low}, asked, PROTOCOLS, range(b.N_FOLDS), b.N_FOLDS, root, workers=8, seed=b.SEED)
+        chosen = gr.records(spark, root).select(*gr.CELL, "selected")
+        return coverage(stage(p, "predictions"), list(gr.CELL)).join(chosen, list(gr.CELL))
+
+    run.__doc__ = f"Two representations, {', '.join(classifiers)} with two candidates, all protocols and folds."
+    register(name, with_ctes("vectors", sql))(run)
+
+
+_grid("ml8_run_grid", "logistic_regression")
+_grid("ml8_run_grid_svm", "linear_svm")
+_grid("ml8_run_grid_perceptron", "mlp")
+_grid("ml8_run_grid_forest", "random_forest")
+_grid("ml8_run_grid_boosted", "gradient_boosted_trees")
 
 
 @register(
     "ml9_device_probe",
-    with_ctes("vectors", "SELECT fold, count(*) AS n, count(DISTINCT sample_id) AS samples, count(*) FILTER (device = 'S') AS positives, count(*) AS valid, CAST(2000 AS BIGINT) AS draws FROM vectors GROUP BY fold"),
+    with_ctes(
+        "vectors",
+        """SELECT fold, count(*) AS n, count(DISTINCT sample_id) AS samples, count(*) FILTER (device = 'S') AS positives, count(*) AS valid, 1.0::DOUBLE AS balanced_accuracy, 1.0::DOUBLE AS roc_auc,
+        CAST(2000 AS BIGINT) AS draws, 1.0::DOUBLE AS low, 1.0::DOUBLE AS high FROM vectors GROUP BY fold""",
+    ),
 )
 def device_probe(spark, sf):
-    """The probe of every fold, with the number of bootstrap draws of its subject accuracies."""
-    v = stage(vectors(spark, sf), "vectors")
+    """The probe of every fold on rows that give their device away, with the bootstrap limits of the subjects' accuracies."""
+    v = stage(planted(spark, sf, APART), "vectors")
     scored = None
     for fold in range(b.N_FOLDS):
         rows = ml.device_probe(v, fold)
@@ -309,7 +392,8 @@ def device_probe(spark, sf):
     scored = stage(scored, "probe")
     per = mt.binary_metrics(scored, ["fold", "subject_id"]).select("fold", "subject_id", "accuracy")
     drawn = rs.draws(per, ["fold"], "subject_id", ["accuracy"], 2000, b.SEED)
-    ci = rs.interval(rs.long_draws(drawn, ["fold"], ["accuracy"]), ["fold"]).select("fold", F.col("iterations").alias("draws"))
+    limits = rs.interval(rs.long_draws(drawn, ["fold"], ["accuracy"]), ["fold"])
+    ci = limits.select("fold", F.col("iterations").alias("draws"), r6("ci95_low").alias("low"), r6("ci95_high").alias("high"))
     return coverage(scored, ["fold"]).join(ci, "fold")
 
 
@@ -337,13 +421,14 @@ _RAW = """SELECT '{0}' AS grouping, count(*) AS n, round(avg((b - a) / greatest(
     "ml10_separation",
     with_ctes(
         "vectors",
-        _RAW.format("device") + " UNION ALL " + _RAW.format("label"),
-        """s AS (SELECT sample_id, device, label, embedding::DOUBLE[] AS v FROM (SELECT *, row_number() OVER (PARTITION BY device, label ORDER BY md5('42|' || sample_id), sample_id) AS rn FROM vectors) WHERE rn <= 600)""",
+        f"SELECT *, 1.0::DOUBLE AS explained FROM ({_RAW.format('device')} UNION ALL {_RAW.format('label')})",
+        """s AS (SELECT sample_id, device, label, embedding[1:10]::DOUBLE[] AS v FROM (SELECT *, row_number() OVER (PARTITION BY device, label ORDER BY md5('42|' || sample_id), sample_id) AS rn FROM vectors) WHERE rn <= 600)""",
     ),
 )
 def separation(spark, sf):
-    """With as many axes as dimensions the silhouettes are those of the raw vectors."""
-    return vc.separation(vectors(spark, sf), 600, 64, b.SEED).select("grouping", "n", r6("silhouette").alias("silhouette"))
+    """10 of 64 axes of vectors that have no variance beyond ten positions: the silhouettes are those of these positions."""
+    ten = vectors(spark, sf).withColumn("vector", F.transform("vector", lambda x, i: F.when(i < 10, x).otherwise(F.lit(0.0).cast("float"))))
+    return vc.separation(ten, 600, 10, b.SEED).select("grouping", "n", r6("silhouette").alias("silhouette"), r6("explained_variance").alias("explained"))
 
 
 def halves(spark, sf):

@@ -66,6 +66,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid4().hex[:12]}")
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder or file is there, in whatever store the path names."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a table into the shared folder and read it back.
 

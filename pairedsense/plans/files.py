@@ -123,6 +123,13 @@ _WAV = """wav AS (SELECT vec_id, CASE WHEN vec_id % 11 <> 0 THEN CAST(vec_id % 5
     8000 + (vec_id % 3) * 8000 AS rate, CAST(64 + vec_id % 100 AS DOUBLE) / (8000 + (vec_id % 3) * 8000) AS dur FROM embeddings)"""
 
 
+def wav_files(spark, sf):
+    """The contents written as files, a folder per vector, and the inventory read back from them."""
+    root = shared_path(spark, "wav")
+    sk.write_files(wav_contents(spark, sf).withColumn("path", F.concat("vec_id", "path")), root)
+    return rd.audio_inventory(spark, f"{root}/**/*.wav")
+
+
 @register(
     "src4_audio_inventory",
     with_ctes(
@@ -133,7 +140,7 @@ _WAV = """wav AS (SELECT vec_id, CASE WHEN vec_id % 11 <> 0 THEN CAST(vec_id % 5
     ),
 )
 def audio(spark, sf):
-    return rd.wav_headers(wav_contents(spark, sf)).select(
+    return wav_files(spark, sf).select(
         "subject_id", "device", "status", "sample_rate", "bits", r9("duration_sec").alias("duration_sec")
     )
 
@@ -154,7 +161,7 @@ def audio(spark, sf):
 def inventory(spark, sf):
     e = b.timed_events(spark, sf).filter("event_type = 'error'").groupBy(F.col("subject_id").cast("string").alias("subject_id"))
     notes = e.agg(F.count("*").alias("event_count"), F.lit(0).alias("awake_interval_count"))
-    out = rd.subject_inventory(rd.wav_headers(wav_contents(spark, sf)), notes)
+    out = rd.subject_inventory(wav_files(spark, sf), notes)
     return out.select(
         "subject_id",
         "phone_available",

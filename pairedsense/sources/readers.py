@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions.scalars import clock_to_seconds, label_from_keywords, patient_from_path, stable_id
 from ..operators.checks import check_predictions
 from ..operators.setops import duplicates
+from .wav import WavHeaders
 
 ANNOTATION = T.StructType(
     [
@@ -171,15 +172,12 @@ def _wav_format(files: DataFrame) -> DataFrame:
     return out.select("path", *fields)
 
 
-def wav_headers(files: DataFrame, pattern: str = r"([^/_]+)_(recorder|phone)(?:_?(\d+))?\.wav$") -> DataFrame:
-    """Header fields of WAV contents (path, content, length); a broken file is a row with another status.
+NAME = r"([^/_]+)_(recorder|phone)(?:_?(\d+))?\.wav$"
 
-    A name tells subject, device and, for recorders, the number of the part; a
-    name of another form has none of them and the status ``unexpected name``.
-    Chunks are walked to the data chunk wherever it starts; Python gets the first ``HEADER_BYTES``, and more of the files that need it.
-    """
+
+def _described(fields: DataFrame, pattern: str) -> DataFrame:
+    """What a file's name and header fields (path, channels, sample_rate, bits, data_bytes) say."""
     named = F.col("path").rlike(pattern)
-    fields = _wav_format(files)
     whole = F.col("channels").isNotNull() & F.col("data_bytes").isNotNull()
     width = F.col("channels") * F.col("bits") / 8
     part = F.nullif(F.regexp_extract("path", pattern, 3), F.lit(""))
@@ -198,8 +196,20 @@ def wav_headers(files: DataFrame, pattern: str = r"([^/_]+)_(recorder|phone)(?:_
     )
 
 
-def audio_inventory(spark: SparkSession, glob: str) -> DataFrame:
-    return wav_headers(spark.read.format("binaryFile").load(glob))
+def wav_headers(files: DataFrame, pattern: str = NAME) -> DataFrame:
+    """Header fields of WAV contents (path, content) that are rows of a table; a broken file is a row with another status.
+
+    A name tells subject, device and, for recorders, the number of the part; a
+    name of another form has none of them and the status ``unexpected name``.
+    Chunks are walked to the data chunk wherever it starts; Python gets the first ``HEADER_BYTES``, and more of the files that need it.
+    """
+    return _described(_wav_format(files), pattern)
+
+
+def audio_inventory(spark: SparkSession, glob: str, pattern: str = NAME) -> DataFrame:
+    """The same fields for the files that a glob names, by ranged reads: no more than their chunk heads is read."""
+    spark.dataSource.register(WavHeaders)
+    return _described(spark.read.format("wav_headers").load(glob), pattern)
 
 
 def subject_inventory(audio: DataFrame, annotations: DataFrame) -> DataFrame:

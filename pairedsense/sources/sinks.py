@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .wav import open_store
+
 
 def write_new(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Write once: an empty table and an existing path are refused."""
@@ -52,3 +55,22 @@ def write_predictions(df: DataFrame, path: str, keys: Sequence[str] = ("represen
 def write_features(df: DataFrame, path: str) -> None:
     """Feature store: one partition folder per feature block."""
     df.write.mode("errorifexists").partitionBy("feature").parquet(path)
+
+
+def write_files(files: DataFrame, root: str) -> int:
+    """Write rows (path, content) as files below ``root``, each by the task that holds it; the number of files.
+
+    A task that runs again writes the same bytes again. A NULL content is an empty file.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base, _ = open_store(root)
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                target = f"{base}/{path.as_py().lstrip('/')}"
+                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(target) as out:
+                    out.write(content.as_buffer() if content.is_valid else b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return files.select("path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

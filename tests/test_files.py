@@ -171,3 +171,21 @@ def test_wav_chunks_before_the_data_may_be_long(spark, tmp_path):
         (tmp_path / f"{name}.wav").write_bytes(b"RIFF" + len(body).to_bytes(4, "little") + body)
     got = {r["subject_id"]: (r["status"], r["duration_sec"]) for r in rd.audio_inventory(spark, f"{tmp_path}/*.wav").collect()}
     assert got == {f"0{i}": ("ok", 1.0) for i in range(1, 7)} | {"07": ("unreadable", None)}
+
+
+def test_wav_files_are_read_by_ranges(spark, tmp_path):
+    fmt = b"fmt " + (16).to_bytes(4, "little") + b"\x01\x00\x01\x00" + (8000).to_bytes(4, "little") + (16000).to_bytes(4, "little") + b"\x02\x00\x10\x00"
+    (tmp_path / "07").mkdir()
+    size = 3 << 30  # sparse: no disk is used, and no reader of whole files takes it
+    with open(tmp_path / "07" / "07_phone.wav", "wb") as f:
+        f.write(b"RIFF" + (size - 8 & 0xFFFFFFFF).to_bytes(4, "little") + b"WAVE" + fmt + b"data" + (size - 44).to_bytes(4, "little"))
+        f.truncate(size)
+    with open(tmp_path / "07" / "07_recorder.wav", "wb") as f:  # beyond 4 GB the size stands in a chunk of its own
+        ds64 = b"ds64" + (28).to_bytes(4, "little") + (5 << 30).to_bytes(8, "little") + (5 << 30).to_bytes(8, "little") + bytes(12)
+        f.write(b"RF64" + b"\xff" * 4 + b"WAVE" + ds64 + fmt + b"data" + b"\xff" * 4)
+    (tmp_path / "07" / "07_recorder_2.wav").write_bytes(b"")
+    (tmp_path / "07_phone.wav").write_bytes(b"RIFF")
+    for glob, n in ((f"{tmp_path}/*/*.wav", 3), (f"file://{tmp_path}/**/*.wav", 4), (f"{tmp_path}/07", 3), (f"{tmp_path}/07/07_phone.wav", 1), (f"{tmp_path}/0[0-6]*.wav", 0)):
+        assert rd.audio_inventory(spark, glob).count() == n
+    got = {(r["device"], r["seq"]): (r["status"], r["duration_sec"]) for r in rd.audio_inventory(spark, f"file:{tmp_path}/*/*.wav").collect()}
+    assert got == {("S", 0): ("ok", (size - 44) / 16000), ("R", 0): ("ok", (5 << 30) / 16000), ("R", 2): ("unreadable", None)}

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .intervals import DAY, bins_of
 from .scan import neighbours, time_chunk
 
@@ -125,8 +126,8 @@ def segment_anchors(
     """Stretches of anchors without a long gap or a lag jump.
 
     The first and last stretch of a recording reach ``pad`` seconds further,
-    clipped to it. Adds ``segment`` (start of the stretch) to nothing: one row
-    per stretch with lower, upper and the anchor count.
+    clipped to it. One row per stretch: segment_start, segment_end, lower, upper
+    and the number of its anchors.
     """
     from .scan import Running, running
 
@@ -156,10 +157,13 @@ def assign_segment(windows: DataFrame, segments: DataFrame, by: str, bin_seconds
     spans = segments.select(
         by, "segment_start", "segment_end", "lower", "upper", F.explode(bins_of(F.col("lower"), F.col("upper"), bin_seconds)).alias("_bin")
     )
-    at = windows.withColumn("_bin", time_chunk("start_sec", bin_seconds))
+    # Equal windows are windows of their own, so each gets a number; written once, so that a retried task sees the same.
+    own = stage(windows.withColumn("_row", F.monotonically_increasing_id()), "windows")
+    at = own.withColumn("_bin", time_chunk("start_sec", bin_seconds))
     joined = at.join(spans, [by, "_bin"]).filter((F.col("start_sec") >= F.col("lower")) & (F.col("end_sec") <= F.col("upper")))
     first = F.min(F.struct("segment_start", "segment_end", "lower", "upper")).alias("_s")
-    return joined.groupBy(*windows.columns).agg(first).select(*windows.columns, "_s.*")
+    found = joined.groupBy("_row").agg(first)
+    return own.join(found, "_row").select(*windows.columns, "_s.*")
 
 
 def drop_incomplete(rows: DataFrame, kept: DataFrame, key: str = "logical_window_id") -> DataFrame:
@@ -188,6 +192,18 @@ def interpolate(
     return both.select(*points.columns, out.alias(name))
 
 
+def interpolate_both(
+    rows: DataFrame, anchors: DataFrame, by: Sequence[str], first: tuple[str, str], second: tuple[str, str], value: str, chunk_seconds: float = DAY
+) -> DataFrame:
+    """``interpolate`` at two columns of a row in one scan: (time column, output name) each. Output names may not be columns."""
+    numbered = stage(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    side = F.inline(F.array(*[F.struct(F.lit(i).alias("_side"), F.col(t).cast("double").alias("_t")) for i, (t, _) in enumerate((first, second))]))
+    points = numbered.select(*by, "_row", side)
+    found = interpolate(points, anchors, by, "_t", value, "_v", chunk_seconds)
+    pairs = found.groupBy("_row").agg(*[F.max(F.when(F.col("_side") == i, F.col("_v"))).alias(name) for i, (_, name) in enumerate((first, second))])
+    return numbered.join(pairs, "_row").drop("_row")
+
+
 def aligned_windows(
     windows: DataFrame,
     segments: DataFrame,
@@ -210,8 +226,7 @@ def aligned_windows(
     )
     keyed = inside.select(by, "segment_start", "t", "lag")
     keys = [by, "segment_start"]
-    first = interpolate(placed, keyed, keys, "start_sec", "lag", "_l0", chunk_seconds)
-    both = interpolate(first, keyed, keys, "end_sec", "lag", "_l1", chunk_seconds)
+    both = interpolate_both(placed, keyed, keys, ("start_sec", "_l0"), ("end_sec", "_l1"), "lag", chunk_seconds)
     is_r = F.col("device") == "R"
     off0 = F.when(is_r, F.col("_l0")).otherwise(F.lit(0.0))
     off1 = F.when(is_r, F.col("_l1")).otherwise(F.lit(0.0))

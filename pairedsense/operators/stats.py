@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.tails import signed_rank_p_value, t_critical, t_p_value, z_p_value
 from ..session import stage
 from .ranks import mid_ranks, quantiles
+from .slopes import median_slopes
 
 # Points of a key that meet as many others in one cell.
-BLOCK = 1000
 
 
 def moments(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -93,23 +93,11 @@ def mann_whitney(df: DataFrame, by: Sequence[str], group: str, first: str, value
     return mann_whitney_statistic(df, by, group, first, value).withColumn("p_value", z_p_value(F.col("z")))
 
 
-def _slopes(points: DataFrame, by: list[str]) -> DataFrame:
-    """(by, _slope) of every pair of points (by, _x, _y, _block, _blocks) with a rising x.
-
-    Each pair meets in the cell of its two blocks, so the pairs of one key spread over blocks**2 cells of bounded size.
-    """
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
-    left = points.select(*by, "_x", "_y", F.col("_block").alias("_p"), other.alias("_q"))
-    right = points.select(*by, F.col("_x").alias("_x2"), F.col("_y").alias("_y2"), F.col("_block").alias("_q"), other.alias("_p"))
-    pairs = left.join(right, [*by, "_p", "_q"]).filter(F.col("_x2") > F.col("_x"))
-    return pairs.select(*by, F.try_divide(F.col("_y2") - F.col("_y"), F.col("_x2") - F.col("_x")).alias("_slope"))
-
-
 def theil_sen(anchors: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Median-of-slopes line per key over its anchors, one point per anchor.
 
-    The slopes of all pairs are rows, whose number is the square of a key's
-    anchors; no task holds those of a key. Adds the intercept median(y) - slope *
+    The median is found by slope selection (``slopes.median_slopes``): rows in
+    proportion to the anchors and the bits of their number, none per pair. Adds the intercept median(y) - slope *
     median(x), the largest residual and the drift per hour; a key with fewer than
     two different x has none.
     """
@@ -120,11 +108,9 @@ def theil_sen(anchors: DataFrame, by: Sequence[str], x: str, y: str) -> DataFram
         "points",
     )
     sizes = points.groupBy(*by).agg(F.count("*").alias("points"))
-    blocked = points.join(sizes.withColumn("_blocks", F.ceil(F.col("points") / BLOCK)), by)
-    blocked = blocked.withColumn("_block", F.pmod(F.xxhash64("_i"), F.col("_blocks")))
-    slope = quantiles(_slopes(blocked, by), by, {"slope": ("_slope", 0.5)})
+    slope = median_slopes(points, by)
     middle = quantiles(points, by, {"_mx": ("_x", 0.5), "_my": ("_y", 0.5)})
-    line = sizes.join(slope.filter(F.col("slope").isNotNull()), by).join(middle, by)
+    line = sizes.join(slope, by).join(middle, by)
     line = stage(line.select(*by, "points", "slope", (F.col("_my") - F.col("slope") * F.col("_mx")).alias("intercept")), "lines")
     off = F.abs(F.col("_y") - F.col("intercept") - F.col("slope") * F.col("_x"))
     worst = points.join(line, by).groupBy(*by).agg(F.max(off).alias("max_residual"))

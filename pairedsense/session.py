@@ -72,6 +72,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what stands in a folder."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(f.getPath().getName() for f in there.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(there))
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a table into the shared folder and read it back.
 
@@ -93,6 +104,5 @@ def staging(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _staged[first:]:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            delete_folder(spark, path)
         del _staged[first:]

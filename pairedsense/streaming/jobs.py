@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.series import MIN_SAMPLES
 from ..operators.summaries import pick_latest
-from ..session import shared_path
+from ..session import delete_folder, folder_names, path_exists, shared_path
 
 
 def stream_epochs(events: DataFrame, by: Sequence[str], epoch: str = "5 minutes", watermark: str = "10 minutes") -> DataFrame:
@@ -60,7 +60,15 @@ class RunDetector(StatefulProcessor):
         self.held = handle.getListState("held", run)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("t")
+        done = self._advance(pd.concat(list(rows)).sort_values("t"))
+        if self.idle_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield self._rows(key, done)
+
+    def _advance(self, batch: pd.DataFrame) -> list[tuple]:
+        """Take samples in their order; the runs that have ended."""
         # Falling values only: the head is the maximum of the trailing window.
         falling: deque[tuple[float, float]] = deque((float(t), float(v)) for t, v in self.recent.get())
         run = tuple(self.open.get()) if self.open.exists() else None
@@ -97,11 +105,7 @@ class RunDetector(StatefulProcessor):
             self.open.clear()
         else:
             self.open.update(run)
-        if self.idle_ms is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield self._rows(key, done)
+        return done
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """A key without news for too long gives up its open run."""
@@ -118,48 +122,132 @@ class RunDetector(StatefulProcessor):
         pass
 
 
+#: Second zero as event time: far from the watermark's own zero, behind which every sample would be late.
+ZERO = 946_684_800.0
+
+
+class EventTimeRunDetector(RunDetector):
+    """The same by event time: samples may arrive in any order within the watermark's delay.
+
+    Samples wait in the state until the watermark has passed them and are then taken in their order; a timer
+    does that for a key without news. Those behind the watermark are dropped by Spark, which
+    counts them (``late_rows``). State per key: the samples of one delay, besides that of ``RunDetector``.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.waiting = handle.getListState(
+            "waiting", T.StructType([T.StructField("t", T.DoubleType()), T.StructField("v", T.DoubleType()), T.StructField("masked", T.BooleanType())])
+        )
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        self.waiting.appendList([(float(t), float(v), bool(m)) for t, v, m in zip(new["t"], new["v"], new["masked"])])
+        yield self._settle(key, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._settle(key, timerValues)
+
+    def _settle(self, key, timerValues) -> pd.DataFrame:
+        passed = timerValues.getCurrentWatermarkInMs() / 1000.0 - ZERO
+        held = pd.DataFrame([tuple(r) for r in self.waiting.get()], columns=["t", "v", "masked"]).sort_values("t", kind="stable")
+        ready, rest = held[held["t"] <= passed], held[held["t"] > passed]
+        done = self._advance(ready) if len(ready) else []
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if len(rest):
+            self.waiting.put([tuple(r) for r in rest.itertuples(index=False)])
+            self.handle.registerTimer(int((rest["t"].iloc[-1] + ZERO) * 1000) + 1)
+        else:
+            self.waiting.clear()
+        return self._rows(key, done)
+
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
 
 
 def stream_runs(
-    samples: DataFrame, drop: float = 3.0, min_duration: float = 8.0, window: float = 100.0, idle_ms: int | None = None
+    samples: DataFrame, drop: float = 3.0, min_duration: float = 8.0, window: float = 100.0, idle_ms: int | None = None, delay: str | None = None
 ) -> DataFrame:
-    """Runs below the trailing baseline, emitted when they end (or after ``idle_ms`` without news).
+    """Runs below the trailing baseline of samples (subject_id, t, v, masked), emitted when they end.
 
-    The session needs the RocksDB state store. State per key is one trailing window, one run, and at most nine samples' worth of waiting runs.
+    With ``delay`` (such as "10 minutes") by event time: samples may be out of order by as much, runs come once
+    the watermark has passed their end. Without it samples are taken as they come, batch by batch,
+    and ``idle_ms`` gives up the open run of a key without news.
+
+    The session needs the RocksDB state store. State per key is one trailing window, one run, at most nine samples' worth of waiting runs, and the samples of one delay.
     """
-    return samples.groupBy("subject_id").transformWithStateInPandas(
-        statefulProcessor=RunDetector(drop, min_duration, window, idle_ms),
-        outputStructType=RUN_SCHEMA,
-        outputMode="Append",
-        timeMode="ProcessingTime" if idle_ms is not None else "None",
+    if delay is not None:
+        if idle_ms is not None:
+            raise ValueError("by event time an open run waits for the watermark, not for the clock")
+        stamped = samples.withColumn("ts", F.timestamp_micros(F.floor((F.col("t") + ZERO) * 1e6).cast("long"))).withWatermark("ts", delay)
+        processor, mode = EventTimeRunDetector(drop, min_duration, window), "EventTime"
+    else:
+        stamped = samples
+        processor, mode = RunDetector(drop, min_duration, window, idle_ms), "ProcessingTime" if idle_ms is not None else "None"
+    return stamped.groupBy("subject_id").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=RUN_SCHEMA, outputMode="Append", timeMode=mode
     )
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over what is available now into Parquet below the shared folder and read that."""
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came behind the watermark and were dropped, over the reported batches of a query."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+def run_stream(stream: DataFrame, name: str) -> tuple[DataFrame, StreamingQuery]:
+    """Run a stream over what is available now into Parquet below the shared folder: (that table, the finished query)."""
     spark = stream.sparkSession
     out, state = shared_path(spark, name), shared_path(spark, f"{name}-state")
     query = (
         stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out), query
+
+
+def run_to_table(stream: DataFrame, name: str) -> DataFrame:
+    """The table of ``run_stream``."""
+    return run_stream(stream, name)[0]
 
 
-def stream_latest(stream: DataFrame, keys: Sequence[str], ts: str, order: str) -> DataFrame:
+#: Change folders of ``stream_latest`` that are merged into one.
+COMPACT = 8
+
+
+def stream_latest(stream: DataFrame, keys: Sequence[str], ts: str, order: str, compact: int = COMPACT) -> DataFrame:
     """Newest record per key of an arriving log, run over what is available now.
 
     The newest record of each key is kept as keyed state. A batch writes only
     the keys that it changed, below a folder of its own number, so that a
-    repeated batch replaces itself; reading takes each key's last change.
+    repeated batch replaces itself. Every ``compact`` batches the folders so far are
+    merged into one of the last change per key, so what is read doesn't grow with the
+    number of batches; the folders that a merge has read go with the next merge.
     """
     spark, path = stream.sparkSession, shared_path(stream.sparkSession, "latest")
     newest = pick_latest(stream, keys, ts, order)
+    schema = T.StructType([*newest.schema.fields, T.StructField("batch", T.LongType())])
+    last = F.max_by(F.struct(*newest.columns, "batch"), F.col("batch"))
+
+    def merged(folders: list[str]) -> DataFrame:
+        return spark.read.schema(schema).parquet(*folders).groupBy(*keys).agg(last.alias("_r")).select("_r.*")
+
+    def known() -> tuple[int, list[str]]:
+        """(last batch of the newest whole merge, or -1; the folders that stand for all batches)."""
+        names = [n for n in folder_names(spark, path) if path_exists(spark, f"{path}/{n}/_SUCCESS")]
+        upto = max((int(n.removeprefix("upto-")) for n in names if n.startswith("upto-")), default=-1)
+        return upto, [f"{path}/{n}" for n in names if n == f"upto-{upto}" or n.startswith("batch-") and int(n.removeprefix("batch-")) > upto]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{path}/batch-{batch_id}")
+        upto, folders = known()
+        if len(folders) > compact:
+            merged(folders).write.mode("overwrite").parquet(f"{path}/upto-{batch_id}")
+            for name in folder_names(spark, path):
+                kind, _, number = name.partition("-")
+                if kind == "upto" and int(number) < upto or kind == "batch" and int(number) <= upto:
+                    delete_folder(spark, f"{path}/{name}")
 
     query = (
         newest.writeStream.outputMode("update")
@@ -169,6 +257,5 @@ def stream_latest(stream: DataFrame, keys: Sequence[str], ts: str, order: str) -
         .start()
     )
     query.awaitTermination()
-    changes = spark.read.schema(T.StructType([*newest.schema.fields, T.StructField("batch", T.LongType())])).parquet(path)
-    last = F.max_by(F.struct(*newest.columns), F.col("batch"))
-    return changes.groupBy(*keys).agg(last.alias("_r")).select("_r.*")
+    folders = known()[1] if path_exists(spark, path) else []
+    return merged(folders).select(*newest.columns) if folders else spark.createDataFrame([], newest.schema)

@@ -159,3 +159,16 @@ def test_draws_are_proportional_to_slack(spark):
     got = ng.place_negatives(events, gaps, ["subject_id"], "seq")
     low = got.filter("start < 15").agg(F.count("*"), F.avg("start")).first()
     assert abs(low[0] / 4000 - 0.25) < 0.03 and abs(low[1] - 5.0) < 0.5
+
+
+def test_equal_windows_are_kept_apart(spark):
+    from pairedsense.operators import joins as jn
+
+    windows = spark.createDataFrame([("w", 1.0, 2.0), ("w", 1.0, 2.0), ("x", 9.0, 20.0)], "logical_window_id string, start_sec double, end_sec double").selectExpr("1L as s", "*")
+    spans = spark.createDataFrame([(1, 0.0, 5.0, 0.0, 6.0), (1, 3.0, 9.0, 1.0, 9.0)], "s long, segment_start double, segment_end double, lower double, upper double")
+    got = [(r["logical_window_id"], r["segment_start"]) for r in jn.assign_segment(windows, spans, "s").collect()]
+    assert got == [("w", 0.0)] * 2
+    points = spark.createDataFrame([(1, 0.0, 3.0), (1, 0.0, 3.0), (2, 0.0, 1.0)], "s long, a double, b double")
+    anchors = spark.createDataFrame([(1, 0.0, 0.0), (1, 4.0, 8.0)], "s long, t double, lag double")
+    both = jn.interpolate_both(points, anchors, ["s"], ("a", "x"), ("b", "y"), "lag")
+    assert sorted((r["s"], r["x"], r["y"]) for r in both.collect() if r["s"] == 1) == [(1, 0.0, 6.0)] * 2 and both.filter("s = 2 and x is null and y is null").count() == 1

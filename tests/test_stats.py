@@ -1,8 +1,11 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from pairedsense.functions import tails
 from pairedsense.operators import resample as rs
+from pairedsense.operators import slopes
 from pairedsense.operators import stats as st
 from pairedsense.operators import vectors as vc
 
@@ -75,15 +78,15 @@ def test_alignment_uses_reliable_anchors(spark):
     assert r["b"]["points"] == 5 and r["b"]["low_confidence"]
 
 
-def test_slopes_of_a_crowded_key_spread_over_cells(spark, monkeypatch):
-    monkeypatch.setattr(st, "BLOCK", 50, raising=False)
+def test_slopes_of_a_crowded_key_are_selected(spark, monkeypatch):
+    monkeypatch.setattr(slopes, "GROUP_BITS", 3)
     rng = np.random.default_rng(2)
     n = {"a": 700, "b": 51, "c": 3}
     rows = [(s, float(x), float(y), 0.9) for s, k in n.items() for x, y in zip(rng.integers(0, 400, k), rng.normal(size=k))]
     df = spark.createDataFrame(rows + [("d", 1.0, 2.0, 0.9), ("d", 1.0, 3.0, 0.9)], "s string, t double, lag double, correlation double")
     out = st.alignment_models(df, ["s"])
     plan = out._jdf.queryExecution().toString()
-    assert "collect_list" not in plan and "median(" not in plan
+    assert "median(" not in plan
     got = {r["s"]: r for r in out.collect()}
     assert set(got) == set(n)
     for s in n:
@@ -93,7 +96,34 @@ def test_slopes_of_a_crowded_key_spread_over_cells(spark, monkeypatch):
         icpt = np.median(y) - slope * np.median(x)
         assert got[s]["points"] == n[s] and got[s]["slope"] == pytest.approx(slope, rel=1e-9) and got[s]["intercept"] == pytest.approx(icpt, rel=1e-9)
         assert got[s]["max_residual"] == pytest.approx(np.abs(y - icpt - slope * x).max(), rel=1e-9)
-    cells = st._slopes(
-        spark.createDataFrame([("a", float(k), 0.0, k % 4, 4) for k in range(40)], "s string, _x double, _y double, _block long, _blocks long"), ["s"]
-    )
-    assert cells.count() == 40 * 39 // 2
+
+
+def test_median_slopes_against_all_pairs(spark, monkeypatch):
+    """One table with all kinds of keys: smooth, on a grid, on a line, flat, with one slope in most pairs."""
+    monkeypatch.setattr(slopes, "GROUP_BITS", 4)
+    rng = np.random.default_rng(7)
+    rows = []
+    kinds = {key: (kind, n) for kind in ("smooth", "grid", "line", "flat", "heavy") for key, n in ((f"{kind}-a", 300), (f"{kind}-b", 70), (f"{kind}-c", 2), (f"{kind}-d", 20))}
+    for key, (kind, n) in kinds.items():
+        x = rng.integers(0, 3 * n, n).astype(float) if kind != "smooth" else rng.uniform(1e6, 2e6, n)
+        y = {"smooth": 3e-4 * x + rng.standard_t(2, n), "grid": np.round(rng.normal(size=n)), "line": 0.25 * x - 7, "flat": np.full(n, 5.0),
+             "heavy": np.where(rng.random(n) < 0.8, 2 * x, rng.normal(size=n) * 100)}[kind]
+        rows += [(key, float(a), float(b)) for a, b in zip(x, y)]
+    df = spark.createDataFrame(rows + [("e", 1.0, 1.0), ("e", 1.0, 2.0), ("grid-a", None, 1.0), ("grid-a", 1.0, None)], "s string, _x double, _y double").withColumn("_i", F.monotonically_increasing_id())
+    got = {r["s"]: r["slope"] for r in slopes.median_slopes(df, ["s"], small=10).collect()}
+    assert set(got) <= set(kinds)
+    for key in kinds:
+        x, y = np.array([r[1:] for r in rows if r[0] == key]).T
+        i, j = np.nonzero(x[None, :] > x[:, None])
+        if len(i):
+            assert got[key] == pytest.approx(np.median((y[j] - y[i]) / (x[j] - x[i])), rel=1e-9, abs=1e-11)
+
+
+def test_inversions_are_counted(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    code, r = rng.integers(0, 150, 300), np.round(rng.normal(size=300), 1)
+    want = int(((code[:, None] < code[None, :]) & (r[None, :] < r[:, None])).sum())
+    df = spark.createDataFrame([("k", int(c), float(v)) for c, v in zip(code, r)], "s string, _code long, _r double")
+    for bits in (12, 3):
+        monkeypatch.setattr(slopes, "GROUP_BITS", bits)
+        assert slopes.inversions(df, ["s"], 8).first()["below"] == want

@@ -1,46 +1,65 @@
 """Cumulative counts, mid-ranks and exact quantiles of any number of groups.
 
 Rows are first reduced to one row per (group, value), so a value held by a
-third of all rows is one row. The distinct values of a group are then cut into
-``CELLS`` cells at their approximate quantiles, whatever their distribution, and
-``scan.running`` counts over the cells. The edges are written once (a short row
-per group), so that every branch and every retried task sees the same ones.
+third of all rows is one row; these rows are written once and read by the passes
+after. Groups of up to ``WHOLE`` distinct values are scanned by one window. Where a group is
+larger, its values are cut into cells at the quantiles of a mergeable sketch, one cell
+for about ``CELL_ROWS`` of its values (at most ``CELLS``), and ``scan.running`` counts
+over the cells: the number of tasks grows with the group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stage
 from .scan import Running, running
 
-CELLS = 256
-COARSE = 16
-
-
-def _edges(value: str) -> Column:
-    """(all edges of the cells of a group, every ``COARSE``-th of them)."""
-    edges = F.percentile_approx(F.col(value).cast("double"), [i / CELLS for i in range(1, CELLS)], 4 * CELLS)
-    coarse = F.filter(edges, lambda e, i: i % COARSE == COARSE - 1)
-    return F.struct(edges.alias("fine"), coarse.alias("coarse")).alias("_edges")
+CELLS = 4096
+CELL_ROWS = 4096
+FINE = 64  # cells that a second search tells apart
+WHOLE = 1 << 16
+SKETCH = 16384
+
+
+def _cells(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """(keys, coarse edges) and (keys, coarse cell, fine edges) of the rows of ``df``; the edges are written once, so that every branch and retried task sees the same."""
+    sketch = F.kll_sketch_agg_double(F.col(value).cast("double"), SKETCH)
+    every = F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)]))
+    # A power of two, so that each number of cells takes every 2**k-th edge.
+    wanted = F.pow(2.0, F.ceil(F.log2(F.greatest(F.count("*") / CELL_ROWS, F.lit(1.0)))))
+    step = (F.lit(CELLS) / F.least(wanted, F.lit(float(CELLS)))).cast("int")
+    grid = df.groupBy(*keys).agg(every.alias("_q"), step.alias("_step"))
+    edges = stage(grid.select(*keys, F.filter("_q", lambda e, i: (i + 1) % F.col("_step") == 0).alias("_e")), "edges")
+    coarse = edges.select(*keys, F.filter("_e", lambda e, i: (i + 1) % FINE == 0).alias("_edges"))
+    parts = F.sequence(F.lit(0), F.floor(F.size("_e") / FINE).cast("int"))
+    fine = edges.select(*keys, "_e", F.explode(parts).alias("_coarse")).select(*keys, "_coarse", F.slice("_e", F.col("_coarse") * FINE + 1, F.lit(FINE - 1)).alias("_edges"))
+    return coarse, fine
+
+
+def _place(df: DataFrame, cells: tuple[DataFrame, DataFrame], keys: list[str], value: str) -> DataFrame:
+    """Add ``_cell``, a number that grows with the value: the coarse edges are looked at, then those between two of them."""
+    coarse, fine = cells
+    below = F.size(F.filter("_edges", lambda e: e < F.col(value).cast("double")))
+    first = df.join(coarse, keys).withColumn("_coarse", below).drop("_edges")
+    placed = first.join(fine, [*keys, "_coarse"]).withColumn("_fine", below).drop("_edges")
+    # Never NULL, so that no later test of it writes the search out once more.
+    return placed.withColumn("_cell", F.coalesce((F.col("_coarse") * FINE + F.col("_fine")).cast("long"), F.lit(0).cast("long"))).drop("_coarse", "_fine")
 
 
-def _place(reduced: DataFrame, spread: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Add the spread and ``_cell``, a cell number that grows with the value: the coarse edges are looked at, then those between two of them."""
-    placed = reduced.join(spread, keys)
-    below = lambda edges: F.size(F.filter(edges, lambda e: e < F.col(value).cast("double")))
-    placed = placed.withColumn("_coarse", below(F.col("_edges.coarse")))
-    fine = below(F.slice("_edges.fine", F.col("_coarse") * COARSE + 1, F.lit(COARSE)))
-    # Never NULL, so that no later test of it writes the search out once more.
-    return placed.withColumn("_cell", F.coalesce((F.col("_coarse") * COARSE + fine).cast("long"), F.lit(0))).drop("_coarse", "_edges")
+def _largest(df: DataFrame, keys: list[str]) -> int:
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
 
 def with_cells(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Add ``_cell``: cells of about equal load per key that grow with the value."""
-    return _place(df, stage(df.groupBy(*keys).agg(_edges(value)), "edges"), list(keys), value)
+    """Add ``_cell``: cells of about equal load per key that grow with the value; one cell if all keys are short."""
+    keys = list(keys)
+    if _largest(df, keys) <= WHOLE:
+        return df.withColumn("_cell", F.lit(0).cast("long"))
+    return _place(df, _cells(df, keys, value), keys, value)
 
 
 def cumulative(
@@ -58,9 +77,16 @@ def cumulative(
     keys = by or ["_all"]
     base = df if by else df.withColumn("_all", F.lit(0))
     reduced = base.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[F.sum(c).alias(n) for n, c in counters.items()])
-    totals = [F.sum(n).alias(f"{n}_all") for n in counters]
-    spread = stage(reduced.groupBy(*keys).agg(_edges(value), *totals), "edges")
-    placed = _place(reduced, spread, keys, value)
+    reduced = stage(reduced, "reduced")
+    if _largest(reduced, keys) <= WHOLE:
+        group = Window.partitionBy(*keys)
+        upto = group.orderBy(F.col(value).desc() if descending else F.col(value)).rowsBetween(Window.unboundedPreceding, 0)
+        sums = [F.sum(n).over(upto).alias(f"{n}_cum") for n in counters]
+        totals = [F.sum(n).over(group).alias(f"{n}_all") for n in counters]
+        known = reduced.filter(" and ".join(f"`{k}` is not null" for k in keys))
+        return known.select(*by, value, *counters, *sums, *totals)
+    totals = reduced.groupBy(*keys).agg(*[F.sum(n).alias(f"{n}_all") for n in counters])
+    placed = _place(reduced, _cells(reduced, keys, value), keys, value).join(stage(totals, "totals"), keys)
     out = running(
         placed,
         keys,

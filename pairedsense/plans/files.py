@@ -317,16 +317,16 @@ def stream_runs(spark, sf):
     spark.conf.set(sj.PROVIDER_KEY, sj.ROCKS)
     try:
         path = shared_path(spark, "samples")
-        # Arrival out of order: four files, each with samples of the whole time; a tick at the end lets the watermark pass all of them.
+        # Arrival out of order: two files, each with samples of the whole time; a tick at the end lets the watermark pass all of them.
         series = stage(masked_series(spark, sf), "series")
         low, high = series.agg(F.min("t"), F.max("t")).first()
         delay = (high - low) + 60.0
-        tick = spark.range(1).select(F.lit(-1).cast("long").alias("subject_id"), F.lit(high + delay + 60.0).alias("t"), F.lit(0.0).alias("v"), F.lit(False).alias("masked"))
-        for i in range(4):
-            part = series.filter(F.pmod(F.xxhash64("subject_id", "t"), F.lit(4)) == i).select("subject_id", "t", "v", "masked")
-            (part.unionByName(tick) if i == 3 else part).coalesce(1).write.mode("append").parquet(path)
+        tick = spark.range(1).select(F.lit(-1).cast("long").alias("subject_id"), F.lit(high + 2 * delay).alias("t"), F.lit(0.0).alias("v"), F.lit(False).alias("masked"))
+        for i in range(2):
+            part = series.filter(F.pmod(F.xxhash64("subject_id", "t"), F.lit(2)) == i).select("subject_id", "t", "v", "masked")
+            (part.unionByName(tick) if i == 1 else part).coalesce(1).write.mode("append").parquet(path)
         samples = spark.readStream.schema("subject_id long, t double, v double, masked boolean").option("maxFilesPerTrigger", 1).parquet(path)
-        out = sj.run_to_table(sj.stream_runs(samples, b.DROP, b.MIN_DURATION, b.WINDOW, delay=f"{int(delay) + 1} seconds"), "stream-runs")
+        out = sj.run_to_table(sj.stream_runs(samples, b.DROP, b.MIN_DURATION, b.WINDOW, delay=delay), "stream-runs")
     finally:
         if before is None:
             spark.conf.unset(sj.PROVIDER_KEY)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Iterator, Sequence
 
@@ -129,11 +130,16 @@ ZERO = 946_684_800.0
 class EventTimeRunDetector(RunDetector):
     """The same by event time: samples may arrive in any order within the watermark's delay.
 
-    Samples wait in the state until the watermark has passed them and are then taken in their order; a timer
-    does that for a key without news. Those behind the watermark are dropped by Spark, which
-    counts them (``late_rows``). State per key: the samples of one delay, besides that of ``RunDetector``.
+    Samples wait in the state until a timer finds that the watermark has passed them, and are then taken in
+    their order. Timers stand on a grid of an eighth of the delay, so that a key has few of them. Samples
+    behind the watermark are dropped by Spark, which counts them (``late_rows``). State
+    per key: the samples of a delay and an eighth, besides that of ``RunDetector``.
     """
 
+    def __init__(self, drop: float, min_duration: float, window: float, delay_ms: int):
+        super().__init__(drop, min_duration, window)
+        self.grid_ms = max(1, delay_ms // 8)
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.waiting = handle.getListState(
@@ -142,25 +148,20 @@ class EventTimeRunDetector(RunDetector):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows))
-        self.waiting.appendList([(float(t), float(v), bool(m)) for t, v, m in zip(new["t"], new["v"], new["masked"])])
-        yield self._settle(key, timerValues)
+        self.waiting.appendList(list(zip(new["t"].tolist(), new["v"].tolist(), new["masked"].tolist())))
+        last = int((new["t"].max() + ZERO) * 1000) + 1
+        self.handle.registerTimer(-(-last // self.grid_ms) * self.grid_ms)
+        yield self._rows(key, [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._settle(key, timerValues)
-
-    def _settle(self, key, timerValues) -> pd.DataFrame:
         passed = timerValues.getCurrentWatermarkInMs() / 1000.0 - ZERO
         held = pd.DataFrame([tuple(r) for r in self.waiting.get()], columns=["t", "v", "masked"]).sort_values("t", kind="stable")
         ready, rest = held[held["t"] <= passed], held[held["t"] > passed]
-        done = self._advance(ready) if len(ready) else []
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
         if len(rest):
-            self.waiting.put([tuple(r) for r in rest.itertuples(index=False)])
-            self.handle.registerTimer(int((rest["t"].iloc[-1] + ZERO) * 1000) + 1)
+            self.waiting.put(list(rest.itertuples(index=False, name=None)))
         else:
             self.waiting.clear()
-        return self._rows(key, done)
+        yield self._rows(key, self._advance(ready) if len(ready) else [])
 
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -168,11 +169,11 @@ PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
 
 
 def stream_runs(
-    samples: DataFrame, drop: float = 3.0, min_duration: float = 8.0, window: float = 100.0, idle_ms: int | None = None, delay: str | None = None
+    samples: DataFrame, drop: float = 3.0, min_duration: float = 8.0, window: float = 100.0, idle_ms: int | None = None, delay: float | None = None
 ) -> DataFrame:
     """Runs below the trailing baseline of samples (subject_id, t, v, masked), emitted when they end.
 
-    With ``delay`` (such as "10 minutes") by event time: samples may be out of order by as much, runs come once
+    With ``delay`` (seconds) by event time: samples may be out of order by as much, runs come once
     the watermark has passed their end. Without it samples are taken as they come, batch by batch,
     and ``idle_ms`` gives up the open run of a key without news.
 
@@ -181,8 +182,9 @@ def stream_runs(
     if delay is not None:
         if idle_ms is not None:
             raise ValueError("by event time an open run waits for the watermark, not for the clock")
-        stamped = samples.withColumn("ts", F.timestamp_micros(F.floor((F.col("t") + ZERO) * 1e6).cast("long"))).withWatermark("ts", delay)
-        processor, mode = EventTimeRunDetector(drop, min_duration, window), "EventTime"
+        delay_ms = math.ceil(delay * 1000)
+        stamped = samples.withColumn("ts", F.timestamp_micros(F.floor((F.col("t") + ZERO) * 1e6).cast("long"))).withWatermark("ts", f"{delay_ms} milliseconds")
+        processor, mode = EventTimeRunDetector(drop, min_duration, window, delay_ms), "EventTime"
     else:
         stamped = samples
         processor, mode = RunDetector(drop, min_duration, window, idle_ms), "ProcessingTime" if idle_ms is not None else "None"

@@ -96,15 +96,19 @@ def test_rows_without_place_stay(spark):
     assert sorted(map(str, map(tuple, got.select("k", "t", "x", "s", "l").collect()))) == sorted(map(str, want))
 
 
-def test_an_outlier_does_not_crowd_a_cell(spark):
+def test_cells_follow_the_rows(spark, monkeypatch):
     from pairedsense.operators import ranks
 
-    df = spark.range(50_000).select((F.col("id") / 1e6).alias("x")).union(spark.createDataFrame([(1e12,)], "x double"))
-    edges = df.agg(ranks._edges("x"))
-    placed = ranks._place(df.withColumn("g", F.lit(1)), edges.withColumn("g", F.lit(1)), ["g"], "x")
-    load = placed.groupBy("_cell").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("_cell").collect()
-    assert max(r["n"] for r in load) < 2 * 50_001 / ranks.CELLS
-    assert all(a["high"] < b["low"] for a, b in zip(load, load[1:]))
+    monkeypatch.setattr(ranks, "WHOLE", 1000)
+    monkeypatch.setattr(ranks, "CELL_ROWS", 200)
+    df = spark.range(50_000).select(F.lit("a").alias("g"), (F.col("id") / 1e6).alias("x")).union(spark.createDataFrame([("a", 1e12), ("b", 1.0), ("b", 2.0)], "g string, x double"))
+    placed = ranks.with_cells(df, ["g"], "x")
+    load = placed.groupBy("g", "_cell").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("g", "_cell").collect()
+    own = [r for r in load if r["g"] == "a"]
+    assert max(r["n"] for r in own) < 2 * ranks.CELL_ROWS and len(own) > 200  # neither an outlier nor a large group crowds a cell
+    assert all(x["high"] < y["low"] for x, y in zip(own, own[1:])) and sum(r["n"] for r in load) == 50_003
+    halves = ranks.quantiles(df, ["g"], {"m": ("x", 0.5)}).collect()
+    assert sorted((r["g"], r["m"]) for r in halves) == [("a", 0.025), ("b", 1.5)]
 
 
 def test_staged_tables_go_with_their_block(spark):

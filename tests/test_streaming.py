@@ -47,7 +47,7 @@ def test_shuffled_batches_give_the_batch_result(rocks):
     random.Random(4).shuffle(shuffled)
     batches = [shuffled[i::4] for i in range(4)]
     batches[3] = batches[3] + [(9, 5000.0, 0.0, False)]  # lets the watermark pass all samples
-    out, query = jobs.run_stream(jobs.stream_runs(arrive(rocks, batches), delay="700 seconds"), "runs")
+    out, query = jobs.run_stream(jobs.stream_runs(arrive(rocks, batches), delay=700.0), "runs")
     whole = as_rows(series.detect_runs(rocks.createDataFrame(rows, SAMPLES), ["subject_id"], 3.0, 8.0, 100.0))
     last = max(t for _, t, _, _ in rows)
     assert as_rows(out) == [r for r in whole if r[2] < last] and len(whole) > 3
@@ -58,12 +58,12 @@ def test_late_samples_are_counted(rocks):
     rows = [r for r in recording(5) if r[0] == 1]
     early, late = [r for r in rows if r[1] != 100.0], [r for r in rows if r[1] == 100.0]
     batches = [early[:150], early[150:], late, [(9, 5000.0, 0.0, False)]]
-    out, query = jobs.run_stream(jobs.stream_runs(arrive(rocks, batches), delay="20 seconds"), "runs")
+    out, query = jobs.run_stream(jobs.stream_runs(arrive(rocks, batches), delay=20.0), "runs")
     assert jobs.late_rows(query) == 1
     want = as_rows(series.detect_runs(rocks.createDataFrame(early, SAMPLES), ["subject_id"], 3.0, 8.0, 100.0))
     assert as_rows(out) == [r for r in want if r[2] < 598.0]
     with pytest.raises(ValueError, match="watermark"):
-        jobs.stream_runs(arrive(rocks, batches), idle_ms=5, delay="1 second")
+        jobs.stream_runs(arrive(rocks, batches), idle_ms=5, delay=1.0)
 
 
 def test_changes_are_compacted(spark, monkeypatch):

@@ -5,8 +5,10 @@ stretches are drawn with probability proportional to slack + 1e-6. Laying the
 stretches of a key end to end by *falling length* makes the eligible ones a
 prefix for every d, with cumulative weight S_j - j * (d - 1e-6), where S_j is
 the running sum of lengths. So an event needs two searches over one sorted
-list, not a pair with every stretch; the list is kept as blocks of bounded
-size and a directory of the blocks.
+list, not a pair with every stretch. The list is kept as a static tree: a leaf holds up
+to ``FANOUT`` stretches, a node above the last stretch of each of up to ``FANOUT``
+children, one row per node. An event goes down by one equi-join per level, so
+no array grows with the stretches of a key.
 """
 
 from __future__ import annotations
@@ -24,16 +26,19 @@ from .scan import Running, running
 
 EPS = 1e-6
 TOL = 1e-9
-BLOCK = 1024
+FANOUT = 128
 
 
-def stretch_blocks(gaps: DataFrame, by: Sequence[str], block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(blocks, directory): stretches by falling length, ``block`` to an array, and each key's list of blocks."""
+def stretch_tree(gaps: DataFrame, by: Sequence[str]) -> list[DataFrame]:
+    """Levels of the tree from the leaves to the roots: (by, node, entries), an entry being (j, s, len, g) of a stretch.
+
+    All keys have the same number of levels; a key's root is node 0 of the last.
+    """
     by = list(by)
     sized = gaps.select(*by, F.col("start").alias("g"), (F.col("end") - F.col("start")).alias("len"))
     # Cells grow with falling length, so the running order and the cell order agree.
     placed = with_cells(sized.withColumn("_short", -F.col("len")), by, "_short")
-    ordered = running(
+    entries = running(
         placed,
         by,
         "_cell",
@@ -41,17 +46,15 @@ def stretch_blocks(gaps: DataFrame, by: Sequence[str], block: int = BLOCK) -> tu
             "j": Running("sum", F.lit(1).cast("long"), ("_short", "g")),
             "s": Running("sum", F.col("len"), ("_short", "g")),
         },
-    ).withColumn("block", F.floor((F.col("j") - 1) / block).cast("long"))
-    entry = F.struct("j", "s", "len", "g")
-    # Read by the directory and by both searches.
-    blocks = stage(ordered.groupBy(*by, "block").agg(F.array_sort(F.collect_list(entry)).alias("entries")), "blocks")
-    last = F.element_at("entries", -1)
-    directory = blocks.groupBy(*by).agg(
-        F.array_sort(
-            F.collect_list(F.struct("block", last["j"].alias("j"), last["s"].alias("s"), last["len"].alias("len")))
-        ).alias("directory")
-    )
-    return blocks, directory
+    ).select(*by, (F.col("j") - 1).alias("place"), F.struct("j", "s", "len", "g").alias("entry"))
+    levels: list[DataFrame] = []
+    while True:
+        held = F.transform(F.array_sort(F.collect_list(F.struct("place", "entry"))), lambda e: e["entry"])
+        level = entries.groupBy(*by, F.expr(f"place div {FANOUT}").alias("node")).agg(held.alias("entries"))
+        levels.append(stage(level, "level"))
+        if (levels[-1].agg(F.max("node")).first()[0] or 0) == 0:
+            return levels
+        entries = levels[-1].select(*by, F.col("node").alias("place"), F.element_at("entries", -1).alias("entry"))
 
 
 def place_negatives(
@@ -59,7 +62,7 @@ def place_negatives(
 ) -> DataFrame:
     """One placed negative per event; an event longer than every free stretch is dropped."""
     by = list(by)
-    blocks, directory = stretch_blocks(gaps, by)
+    levels = stretch_tree(gaps, by)
     want = events.select(
         *by, seq, F.col("start").alias("event_start"), F.col("end").alias("event_end"), (F.col("end") - F.col("start")).alias("d")
     )
@@ -70,30 +73,27 @@ def place_negatives(
     def weight_upto(e: Column) -> Column:
         return e["s"] - e["j"] * (F.col("d") - EPS)
 
-    # Block that ends the eligible prefix: the one after the blocks that fit as a whole. The directory
-    # is dropped before every join on blocks, so no event carries it through a shuffle.
-    whole = F.filter("directory", fits)
-    last_block = F.element_at("directory", -1)["block"]
-    step = want.join(directory, by).select(
-        *want.columns,
-        F.least(F.size(whole).cast("long"), last_block).alias("block"),
-        F.when(F.size(whole) > 0, F.element_at(whole, -1)).alias("_whole"),
-    )
+    def descend(rows: DataFrame, keep: list[str], passed, best: Column) -> DataFrame:
+        """From the roots to the leaves, past the children that ``passed`` holds for; ``_best`` is the last entry that was passed."""
+        step = rows.select(*keep, F.lit(0).cast("long").alias("node"), best.alias("_best"))
+        for level in reversed(levels[1:]):
+            left = F.filter("entries", passed)
+            child = F.least(F.size(left), F.size("entries") - 1)
+            step = step.join(level, [*by, "node"]).select(
+                *keep, (F.col("node") * FANOUT + child).alias("node"), F.when(F.size(left) > 0, F.element_at(left, -1)).otherwise(F.col("_best")).alias("_best")
+            )
+        return step.join(levels[0], [*by, "node"])
+
+    # The end of the eligible prefix gives its weight, and that the place to aim at.
+    nothing = F.lit(None).cast(levels[0].schema["entries"].dataType.elementType)
     inside = F.filter("entries", fits)
-    upto = F.when(F.size(inside) > 0, weight_upto(F.element_at(inside, -1))).when(
-        F.col("_whole").isNotNull(), weight_upto(F.col("_whole"))
-    )
-    aim = text_draw(f"{seed}:{attempt}", *by, seq) * upto
-    step = step.join(blocks, [*by, "block"]).select(*want.columns, "block", aim.alias("aim")).filter(F.col("aim").isNotNull())
-    # Block holding the first stretch whose cumulative weight reaches the draw; the block that ends
-    # the prefix is taken when none before it reaches.
-    reached = F.filter("directory", lambda e: fits(e) & (weight_upto(e) >= F.col("aim")))
-    step = step.join(directory, by).select(
-        *want.columns, "aim", F.when(F.size(reached) > 0, F.element_at(reached, 1)["block"]).otherwise(F.col("block")).alias("block")
-    )
+    ended = descend(want, want.columns, fits, nothing).withColumn("_best", F.when(F.size(inside) > 0, F.element_at(inside, -1)).otherwise(F.col("_best")))
+    aimed = ended.select(*want.columns, (text_draw(f"{seed}:{attempt}", *by, seq) * weight_upto(F.col("_best"))).alias("aim")).filter(F.col("aim").isNotNull())
+    # The first stretch whose cumulative weight reaches the aim; the last eligible one if rounding leaves none.
+    found = descend(aimed, [*want.columns, "aim"], lambda e: fits(e) & (weight_upto(e) < F.col("aim")), nothing)
     hit = F.filter("entries", lambda e: fits(e) & (weight_upto(e) >= F.col("aim")))
-    chosen = F.when(F.size(hit) > 0, F.element_at(hit, 1)).otherwise(F.element_at(F.filter("entries", fits), -1))
-    step = step.join(blocks, [*by, "block"]).select(*want.columns, "aim", chosen.alias("_e"))
+    chosen = F.when(F.size(hit) > 0, F.element_at(hit, 1)).when(F.size(inside) > 0, F.element_at(inside, -1)).otherwise(F.col("_best"))
+    step = found.select(*want.columns, "aim", chosen.alias("_e"))
     slack = F.greatest(F.col("_e.len") - F.col("d"), F.lit(0.0))
     before = weight_upto(F.col("_e")) - (F.col("_e.len") - F.col("d") + EPS)
     share = F.least(F.greatest((F.col("aim") - before) / (slack + EPS), F.lit(0.0)), F.lit(1.0))

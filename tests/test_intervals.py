@@ -117,12 +117,14 @@ def events_and_blocked(spark, n=60):
     return events, events.select("subject_id", "start", "end"), bounds
 
 
-def test_block_size_does_not_change_the_draw(spark, monkeypatch):
+def test_fanout_does_not_change_the_draw(spark, monkeypatch):
     events, blocked, bounds = events_and_blocked(spark)
     gaps = iv.complement_intervals(blocked, bounds, ["subject_id"], 100.0)
     whole = rows(ng.place_negatives(events, gaps, ["subject_id"], "seq"))
-    real = ng.stretch_blocks
-    monkeypatch.setattr(ng, "stretch_blocks", lambda g, by: real(g, by, 3))
+    monkeypatch.setattr(ng, "FANOUT", 3)
+    levels = ng.stretch_tree(gaps, ["subject_id"])
+    assert len(levels) >= 3 and all(level.filter("size(entries) > 3").isEmpty() for level in levels)
+    assert levels[-1].filter("node > 0").isEmpty() and levels[-1].count() == 2
     small = rows(ng.place_negatives(events, gaps, ["subject_id"], "seq"))
     assert len(whole) == 60
     for a, b in zip(whole, small):

@@ -83,6 +83,53 @@ def best_lag_fft(left: DataFrame, right: DataFrame, by: Sequence[str], max_lag:
     return both.groupBy(*by).applyInPandas(search, f"{fields}, lag int, correlation double, at_boundary boolean")
 
 
+def best_lag_blocks(left: DataFrame, right: DataFrame, by: Sequence[str], max_lag: int, block: int = 4096) -> DataFrame:
+    """``best_lag`` for wide ranges and long windows: frames in blocks of fixed size, one spectrum product per pair of near blocks.
+
+    Each left block meets the right blocks that a lag within the range can reach, about 2 * max_lag / block + 2
+    of them; a pair gives its sums per lag, which are added up per (window, lag). No task holds a
+    window. Lags without a common frame don't count; equal correlations (to 12 digits) go to the smallest lag.
+    """
+    by = list(by)
+
+    def blocks(side: DataFrame, name: str) -> DataFrame:
+        at = F.floor(F.col("frame") / block).cast("long")
+        held = F.collect_list(F.struct((F.col("frame") - F.col(name) * block).cast("int").alias("o"), F.col("z").cast("double").alias("z")))
+        packed = side.withColumn(name, at).groupBy(*by, name).agg(held.alias("_e"))
+        return packed.select(*by, name, F.col("_e.o").alias(f"{name}_o"), F.col("_e.z").alias(f"{name}_z"))
+
+    reach = -(-max_lag // block)
+    mates = F.explode(F.sequence(F.col("_l") - reach - 1, F.col("_l") + reach + 1))
+    pairs = blocks(left, "_l").withColumn("_r", mates).join(blocks(right, "_r"), [*by, "_r"])
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.select(*by).schema)
+
+    def dense(places, values) -> np.ndarray:
+        out = np.zeros((2, 2 * block))
+        np.add.at(out[0], places, values)
+        np.add.at(out[1], places, 1.0)
+        return np.fft.rfft(out)
+
+    def correlate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for row in pdf.to_dict("records"):
+                sums, common = np.fft.irfft(dense(row["_l_o"], row["_l_z"]) * np.conj(dense(row["_r_o"], row["_r_z"])), 2 * block)
+                own = np.arange(-block + 1, block)
+                lag = own + (row["_l"] - row["_r"]) * block
+                use = (np.abs(lag) <= max_lag) & (common[own] > 0.5)
+                yield pd.DataFrame({**{k: pd.Series([row[k]] * int(use.sum()), dtype=object) for k in by}, "lag": lag[use], "_s": sums[own][use]})
+
+    partial = pairs.mapInPandas(correlate, f"{fields}, lag long, _s double")
+    size = left.groupBy(*by).agg(F.count("*").alias("_n"))
+    scored = partial.groupBy(*by, "lag").agg(F.sum("_s").alias("_s")).join(size, by).withColumn("correlation", F.col("_s") / F.col("_n"))
+    best = scored.groupBy(*by).agg(F.max(F.struct(F.round("correlation", 12).alias("c"), (-F.col("lag")).alias("back"), "correlation")).alias("_b"))
+    return best.select(
+        *by,
+        (-F.col("_b.back")).cast("int").alias("lag"),
+        F.col("_b.correlation").alias("correlation"),
+        (F.abs(F.col("_b.back")) >= max_lag - 1).alias("at_boundary"),
+    )
+
+
 def anchor_grid(inventory: DataFrame, key: str, common: str, window: float, step: float) -> DataFrame:
     """Window centres every ``step`` seconds and one at the last place a window fits."""
     half = window / 2.0

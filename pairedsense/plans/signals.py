@@ -67,6 +67,28 @@ def best_lag_fft(spark, sf):
     return out.select("subject_id", "lag", r6("correlation").alias("correlation"), "at_boundary")
 
 
+STRETCH = 10  # days of an anchor window
+
+
+@register(
+    "ds2_best_lag_blocks",
+    with_ctes(
+        "devices",
+        f"SELECT subject_id, anchor, lag, round(corr, 6) + 0.0 AS correlation, abs(lag) >= {MAX_LAG - 1} AS at_boundary FROM (SELECT *, row_number() OVER (PARTITION BY subject_id, anchor ORDER BY round(corr, 12) DESC, lag) AS rn FROM each) WHERE rn = 1",
+        _LAG.split(",\nprods AS")[0] + f""", near AS (SELECT r.subject_id, CAST(r.day // {STRETCH} AS BIGINT) AS anchor, CAST(r.day - s.day AS INTEGER) AS lag, sum(r.z * s.z) AS total
+        FROM zz r JOIN zz s ON s.subject_id = r.subject_id AND r.device = 'R' AND s.device = 'S' AND abs(r.day - s.day) <= {MAX_LAG} GROUP BY ALL),
+        each AS (SELECT near.*, total / n AS corr FROM near JOIN (SELECT subject_id, day // {STRETCH} AS anchor, count(*) AS n FROM zz WHERE device = 'R' GROUP BY ALL) USING (subject_id, anchor))""",
+    ),
+)
+def best_lag_blocks(spark, sf):
+    """The lag of every anchor window of a subject: the recorder's days of the window against the phone's days in reach."""
+    left, right = daily(spark, sf)
+    windows = left.withColumn("anchor", F.floor(F.col("frame") / STRETCH).cast("long"))
+    reached = F.sequence(F.floor((F.col("frame") - MAX_LAG) / STRETCH).cast("long"), F.floor((F.col("frame") + MAX_LAG) / STRETCH).cast("long"))
+    out = dsp.best_lag_blocks(windows, right.withColumn("anchor", F.explode(reached)), [*KEY, "anchor"], MAX_LAG, 16)
+    return out.select("subject_id", "anchor", "lag", r6("correlation").alias("correlation"), "at_boundary")
+
+
 @register(
     "ds3_anchor_grid",
     with_ctes(

@@ -127,3 +127,17 @@ def test_inversions_are_counted(spark, monkeypatch):
     for bits in (12, 3):
         monkeypatch.setattr(slopes, "GROUP_BITS", bits)
         assert slopes.inversions(df, ["s"], 8).first()["below"] == want
+
+
+def test_lag_by_blocks_equals_the_plain_search(spark):
+    from pairedsense.operators import dsp
+
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=900)
+    left = [("a", i, float(base[i])) for i in range(60, 860) if rng.random() < 0.9] + [("b", 5, 1.0)]
+    right = [("a", i, float(base[i + 37]) + float(rng.normal()) * 0.1) for i in range(0, 840)] + [("b", 2, 1.0), ("c", 1, 1.0)]
+    l, r = (spark.createDataFrame(x, "s string, frame long, z double") for x in (left, right))
+    take = lambda df: sorted((x["s"], x["lag"], round(x["correlation"], 9), x["at_boundary"]) for x in df.collect())
+    for block, reach in ((64, 50), (16, 200), (1024, 37)):
+        got = take(dsp.best_lag_blocks(l, r, ["s"], reach, block))
+        assert got == take(dsp.best_lag(l, r, ["s"], reach)) and got[0][1] == 37 and got[1][:2] == ("b", 3)

@@ -31,53 +31,77 @@ def _all(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def _pair_faults(manifest: DataFrame, equal: Sequence[str]) -> DataFrame:
-    """Logical windows that are not one R and one S row, or whose rows disagree on the key fields."""
+def _keyed(manifest: DataFrame, folds: DataFrame, equal: Sequence[str]) -> DataFrame:
+    """One row of facts per sample id, logical window and subject, from one scan of either table and one shuffle.
+
+    A manifest row counts under its three keys, a row of the folds under its subject; partial sums
+    are taken before the shuffle, so a subject of any size is one row per task.
+    """
+    kinds = {f.name: f.dataType for f in manifest.schema.fields}
+    invalid = ~(F.col("end_sec") > F.col("start_sec")) | (F.col("start_sec") < 0)
+
+    def fact(kind: str, key: Column, window: bool = False, fold: Column | None = None) -> Column:
+        fields = [(F.col(c) if window else F.lit(None).cast(kinds[c])).alias(f"_{c}") for c in equal]
+        device = (F.col("device") if window else F.lit(None)).cast("string").alias("_device")
+        bad = (invalid if kind == "sample" else F.lit(False)).alias("_bad")
+        number = (fold if fold is not None else F.lit(None)).cast("int").alias("_fold")
+        return F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"), device, bad, number, F.lit(fold is None).alias("_here"), *fields)
+
+    rows = manifest.select(
+        F.inline(F.array(fact("sample", F.col("sample_id")), fact("window", F.col("logical_window_id"), window=True), fact("subject", F.col("subject_id"))))
+    )
+    # The same columns for the folds; what they lack is NULL.
+    known = folds.select(*[F.col(c) if c in ("subject_id", "fold") else F.lit(None).cast(kinds[c]).alias(c) for c in dict.fromkeys(["subject_id", "fold", "device", "start_sec", "end_sec"])])
+    both = rows.unionByName(known.select(F.inline(F.array(fact("subject", F.col("subject_id"), fold=F.col("fold"))))))
     same = F.lit(True)
     for c in equal:
-        same = same & (F.min(c) == F.max(c))
-    return manifest.groupBy("logical_window_id").agg(
-        ((F.count("*") != 2) | (F.count_if(F.col("device") == "R") != 1) | (F.count_if(F.col("device") == "S") != 1)).alias("_pair"),
-        (~same).alias("_fields"),
+        same = same & (F.min(f"_{c}") == F.max(f"_{c}"))
+    return both.groupBy("kind", "key").agg(
+        F.count("*").alias("n"),
+        F.count_if("_bad").alias("bad"),
+        F.count_if("_here").alias("here"),
+        F.count("_fold").alias("there"),
+        (F.min("_fold") != F.max("_fold")).alias("twice"),
+        ((F.count("*") != 2) | (F.count_if(F.col("_device") == "R") != 1) | (F.count_if(F.col("_device") == "S") != 1)).alias("pair"),
+        (~same).alias("fields"),
     )
 
 
 def check_manifest(manifest: DataFrame, folds: DataFrame, n: int = 5) -> DataFrame:
-    """Unique ids, valid intervals, exact pairs with equal fields, every subject in a fold."""
-    copies = manifest.groupBy("sample_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
-    empty = manifest.filter(~(F.col("end_sec") > F.col("start_sec")) | (F.col("start_sec") < 0))
-    faults = _pair_faults(manifest, ["subject_id", "label", "start_sec", "end_sec", "paired_positive_id"]).agg(
-        F.count_if("_pair").alias("_pair"), F.count_if("_fields").alias("_fields")
+    """Unique ids, valid intervals, exact pairs with equal fields, every subject in one fold; one scan of the manifest."""
+    facts = _keyed(manifest, folds, ["subject_id", "label", "start_sec", "end_sec", "paired_positive_id"])
+    sample, window, subject = (F.col("kind") == k for k in ("sample", "window", "subject"))
+    counts = facts.agg(
+        F.count_if(sample & (F.col("n") > 1)).alias("a"),
+        F.coalesce(F.sum("bad"), F.lit(0)).alias("b"),
+        F.count_if(window & F.col("pair")).alias("c"),
+        F.count_if(window & F.col("fields")).alias("d"),
+        F.count_if(subject & F.col("twice")).alias("e"),
+        F.count_if(subject & (F.col("here") > 0) & ((F.col("there") == 0) | F.col("key").isNull())).alias("f"),
     )
-    twice = folds.groupBy("subject_id").agg(F.countDistinct("fold").alias("_n")).filter(F.col("_n") > 1)
-    lost = manifest.select("subject_id").distinct().join(folds, "subject_id", "left_anti")
-    return _all(
-        [
-            _row(copies, "sample ids are unique"),
-            _row(empty, "intervals are valid"),
-            _rows(faults, {"_pair": "windows are R/S pairs", "_fields": "pairs agree on key fields"}),
-            _row(twice, "one fold per subject"),
-            _row(lost, "folds cover the manifest"),
-        ]
+    return _rows(
+        counts,
+        {"a": "sample ids are unique", "b": "intervals are valid", "c": "windows are R/S pairs", "d": "pairs agree on key fields", "e": "one fold per subject", "f": "folds cover the manifest"},
     )
 
 
 def check_splits(manifest: DataFrame, folds: DataFrame, n: int = 5) -> DataFrame:
-    """Equal subject sets, folds 0..n-1, pairs on one clock, every (fold, protocol) usable."""
-    here, there = manifest.select("subject_id").distinct(), folds.select("subject_id").distinct()
-    uneven = here.subtract(there).unionByName(there.subtract(here))
+    """Equal subject sets, folds 0..n-1, pairs on one clock, every (fold, protocol) usable; two scans of the manifest."""
+    facts = _keyed(manifest, folds, ["subject_id", "label", "start_sec", "end_sec"])
+    window, subject = (F.col("kind") == k for k in ("window", "subject"))
+    counts = facts.agg(
+        F.count_if(subject & ((F.col("here") > 0) != (F.col("there") > 0))).alias("a"), F.count_if(window & (F.col("pair") | F.col("fields"))).alias("b")
+    )
     expected = folds.sparkSession.range(n).select(F.col("id").cast("int").alias("fold"))
     found = folds.select(F.col("fold").cast("int").alias("fold")).distinct()
     wrong = expected.subtract(found).unionByName(found.subtract(expected))
-    faults = _pair_faults(manifest, ["subject_id", "label", "start_sec", "end_sec"]).filter(F.col("_pair") | F.col("_fields"))
     # Classes per (subject, device, label) are enough to judge every split.
     small = manifest.select("subject_id", "device", "label").distinct()
     rows = small.join(protocol_roles(folds, n), ["subject_id", "device"])
     return _all(
         [
-            _row(uneven, "subject sets are equal"),
+            _rows(counts, {"a": "subject sets are equal", "b": "pairs hold on the reference clock"}),
             _row(wrong, "folds are 0..n-1"),
-            _row(faults, "pairs hold on the reference clock"),
             check_split(rows, by=["fold", "protocol"]),
         ]
     )

@@ -65,3 +65,26 @@ def test_filter_spares_the_test_role(spark):
 def test_unknown_experiment_fails(spark):
     with pytest.raises(ValueError):
         sp.build_experiment(spark.range(1), "no_such")
+
+
+def test_manifest_faults_are_counted(spark):
+    from pairedsense.operators import checks as ck
+
+    good = [(f"w{i}_{d}", f"w{i}", f"s{i % 3}", d, i % 2, 1.0, 2.0, f"w{i}") for i in range(6) for d in "RS"]
+    rows = good + [
+        ("w9_R", "w9", "s1", "R", 1, 1.0, 2.0, "w9"),  # no phone row
+        ("w8_R", "w8", "s1", "R", 1, 1.0, 2.0, "w8"), ("w8_S", "w8", "s1", "S", 0, 5.0, 2.0, "w8"),  # labels and times differ, empty interval
+        ("w0_R", "w7", "s7", "R", 0, -1.0, 2.0, "w7"), ("w7_S", "w7", "s7", "S", 0, -1.0, 2.0, "w7"),  # an id twice, before the start, in no fold
+    ]
+    manifest = spark.createDataFrame(rows, "sample_id string, logical_window_id string, subject_id string, device string, label int, start_sec double, end_sec double, paired_positive_id string")
+    folds = spark.createDataFrame([("s0", 0), ("s1", 1), ("s2", 2), ("s2", 3), ("s5", 4)], "subject_id string, fold int")
+    found = {r["check"]: (r["violations"], r["passed"]) for r in ck.check_manifest(manifest, folds).collect()}
+    assert found == {
+        "sample ids are unique": (1, False), "intervals are valid": (3, False), "windows are R/S pairs": (1, False),
+        "pairs agree on key fields": (1, False), "one fold per subject": (1, False), "folds cover the manifest": (1, False),
+    }
+    split = {r["check"]: r["violations"] for r in ck.check_splits(manifest, folds).collect()}
+    assert split["subject sets are equal"] == 2 and split["pairs hold on the reference clock"] == 2 and split["folds are 0..n-1"] == 0
+    clean = ck.check_manifest(spark.createDataFrame(good, manifest.schema), spark.createDataFrame([("s0", 0), ("s1", 1), ("s2", 2)], folds.schema))
+    assert all(r["passed"] for r in clean.collect())
+    assert ck.check_manifest(manifest.limit(0), folds.limit(0)).filter("violations > 0").isEmpty()

@@ -27,9 +27,13 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
 ACCOUNT = r"""((?i:access_?key_?id|client_?id|account|username|login))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=@-]+)"""
-ENDPOINT = r"[a-z][a-z0-9+]*://[A-Za-z0-9.:@_-]+"
+# Scheme, host and path start; a run of scheme characters is entered at its start (or where the last match ended) only
+# and never given back, so a run of any length is read once. Digits before the scheme's first letter are cut off afterwards.
+ENDPOINT = r"(?:\G|(?<![a-z0-9+]))[0-9+]*+[a-z][a-z0-9+]*+://[A-Za-z0-9.:@_-]+"
 VALUE = r"[A-Za-z0-9+/_=-]{32,}"
 KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "account": ACCOUNT, "endpoint": ENDPOINT, "value": VALUE}
+HINTS = {"access": "AKIA", "endpoint": "://"}  # a text without its kind's hint is not searched
+LEADS = {"endpoint": "^[0-9+]*"}
 BASE = ("assign", "access", "hex")
 COMPLEMENTS = {
     "account": ("assign", "hex", "value"),
@@ -55,12 +59,15 @@ def _found(kind: str, text: Column) -> Column:
     pattern = KINDS[kind]
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    rows = F.zip_with(
-        F.slice(gaps, 1, F.size(matches)),
-        matches,
-        lambda gap, match: F.struct(F.length(gap).cast("long").alias("gap"), F.length(match).cast("long").alias("len"), _valid(kind, match).alias("ok")),
-    )
-    return F.when(F.size(matches) > 0, rows)
+
+    def row(gap: Column, match: Column) -> Column:
+        lead = F.length(F.regexp_extract(match, LEADS[kind], 0)) if kind in LEADS else F.lit(0)
+        return F.struct((F.length(gap) + lead).cast("long").alias("gap"), (F.length(match) - lead).cast("long").alias("len"), _valid(kind, match).alias("ok"))
+
+    found = F.size(matches) > 0
+    if kind in HINTS:
+        found = text.contains(HINTS[kind]) & found
+    return F.when(found, F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, row))
 
 
 def _cells(df: DataFrame, start: Column, end: Column) -> DataFrame:

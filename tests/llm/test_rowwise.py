@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import pytest
@@ -102,6 +103,32 @@ def test_secrets_base_against_regex(spark):
     assert secrets.find_secrets(documents(spark, [])).count() == 0
 
 
+def test_endpoints_start_at_the_first_letter_of_a_run(spark):
+    rng = random.Random(3)
+    bits = ["a1", "+", "9", "://", "b.c", "/", " ", "x", "token: abcdef1", "12ab://h-1", "Q"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(60))) for _ in range(300)]
+    found = secrets.find_secrets(documents(spark, list(enumerate(texts))), scope=10**6).collect()
+    seen = 0
+    for row in found:
+        text = texts[row["doc_id"]]
+        every = [m.span() for m in re.finditer(r"[a-z][a-z0-9+]*://[A-Za-z0-9.:@_-]+", text)]
+        got = [(x["start"], x["end"]) for x in row["found"] if x["kind"] == "endpoint"]
+        assert set(got) <= set(every)
+        strong = [(x["start"], x["end"]) for x in row["found"] if x["kind"] == "assign"]
+        assert got == [e for e in every if any(s[0] >= e[1] or e[0] >= s[1] for s in strong)]
+        seen += len(got)
+    assert seen > 50
+
+
+@pytest.mark.parametrize("unit", ["a", "0", "abcdef0123", "a+1", "AKIA", "token", "Ab0+", "token: ", "a://"])
+def test_secrets_of_a_million_characters(spark, unit):
+    text = (unit * 10**6)[: 10**6] + " https://example.org/x password: abcdef99"
+    began = time.monotonic()
+    found = secrets.find_secrets(documents(spark, [(1, text)])).collect()[0]["found"]
+    assert time.monotonic() - began < 60
+    assert found[-1]["kind"] == "assign" and found[-1]["end"] == len(text)
+
+
 def test_secrets_weak_parts_need_a_complement(spark):
     value = "Ab3" * 12
     near = f"see https://db.example.com:5432 with password=hunter22 and username: svc {value}"

@@ -1,21 +1,29 @@
 """Toxicity from two class-conditional Kneser-Ney models, compared per word.
 
-Bigram counts come from labelled rows, one model per class. Both back off from
+Bigram counts come from labelled texts, one model per class. Both back off from
 (class, bigram) to (class, word) by continuation counts, and from there to one
 distribution that the classes share: in how many documents of the whole corpus
-a word stands. A word that neither class has seen thus says nothing, and a rare
-one says little.
-
-Discounts grow with the root of a count (``d + CAUTION * sqrt(count)``): what a few
-labelled texts, or copies of one, have by chance counts for next to nothing.
-
-A text's evidence is its length-normalised log-likelihood difference, over the
-whole text by the full models and at its most toxic word by the word models; a logistic function of the two, fitted
-on labelled rows that the models have not seen, turns it into a probability.
-
-Words are hashed; tables have ``BUCKETS`` entries, so what is broadcast has a
-fixed size. Labelled rows for the fit are at most ``MAX_LABELLED`` (those with
-the least hash of the doc_id); the shared counts cover all documents.
+a word stands. A word that neither class has seen thus says nothing.
+
+Discounts are the ordinary ones, ``n1 / (n1 + 2 n2)`` of each class and level, so
+a count of one already weighs. Beside them a context of a bigram has ``STRENGTH``
+counts of its backoff, as in a Pitman-Yor model, and a word ``PRIOR`` documents of
+the labelled share more than it has: what is rare says little in both classes.
+Texts count once however many labelled copies they have, with the label of the
+majority.
+
+A text's evidence is its length-normalised log-likelihood difference over the
+whole text, and the difference at its most toxic place, once by the full models
+(a phrase) and once by the backed-off word models. At these peaks a toxic count
+is lowered by one more, since a single labelled text is no witness: its label may be
+wrong and the text scored may be its copy. A logistic function of the three, fitted
+on labelled texts that the models have not seen, turns them into a probability.
+
+Words are 64-bit hashes and bigrams pairs of word numbers, so no two share an
+entry. The tables hold the words and bigrams of the labelled sample, at most
+``MAX_LABELLED`` rows (those with the least hash of the doc_id), and are broadcast;
+document counts are made on Spark for every word of all documents, and those
+of the sample's words are looked up by a join.
 """
 
 from __future__ import annotations
@@ -30,92 +38,136 @@ from pyspark.sql import functions as F
 from ..session import stage
 from . import text as T
 
-BUCKETS = 1 << 20
 MAX_LABELLED = 20_000
-CAUTION = 2.5
-UNIT = 1 << 20
+STRENGTH = 10.0
+PRIOR = 4.0
 THRESHOLD = 0.7
-_MASK = np.uint64(BUCKETS - 1)
 _START = np.uint64(0x5BD1E995)
 _KIND = np.zeros(256, dtype=np.uint8)  # 1 letters and digits, 0 the rest
 _KIND[48:58] = _KIND[65:91] = _KIND[97:123] = _KIND[128:] = 1
 
 
 def tokens(piece: T.Piece) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of the words (letters and digits, A-Z lower-cased) and the rows' bounds."""
+    """Hashes of the words (letters and digits, A-Z lower-cased) and the rows' bounds."""
     starts, ends, rows = T.segments(_KIND[piece.data], piece.bounds, 0)
-    return T.hash_spans(T.LOWER[piece.data], starts, ends) >> np.uint64(32), rows
+    return T.hash_spans(T.LOWER[piece.data], starts, ends), rows
 
 
-def bigrams(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """context << 32 | word; the first word of a row follows the start mark."""
+def contexts(words: np.ndarray, rows: np.ndarray, start) -> np.ndarray:
+    """The word before each; the first word of a row follows the start mark."""
     before = np.empty_like(words)
     if len(words):
         before[1:] = words[:-1]
-        before[rows[:-1][rows[:-1] < rows[1:]]] = _START
-    return (before << np.uint64(32)) | words
-
-
-def bucket(x: np.ndarray) -> np.ndarray:
-    return (T.mix(x) & _MASK).astype(np.int64)
+        before[rows[:-1][rows[:-1] < rows[1:]]] = start
+    return before
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many documents of this task each bucket's words stand."""
-    total = np.zeros(BUCKETS, dtype=np.int64)
+    """In how many documents of a piece each word stands."""
     for batch in batches:
-        for piece in T.slices(batch.column(0)):
+        for piece in T.slices(batch.column(0), 8 << 20):
             words, rows = tokens(piece)
-            which = np.repeat(np.arange(len(piece), dtype=np.uint64), np.diff(rows))
-            once = np.unique((which << np.uint64(20)) | bucket(words).astype(np.uint64))
-            total += np.bincount((once & _MASK).astype(np.int64), minlength=BUCKETS)
-    seen = np.flatnonzero(total)
-    for at in range(0, len(seen), 100_000):
-        part = seen[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["b", "n"])
+            keys, where = np.unique(words, return_inverse=True)
+            doc = np.repeat(np.arange(len(piece)), np.diff(rows))
+            once = np.unique(doc * max(len(keys), 1) + where)
+            n = np.bincount(once % max(len(keys), 1), minlength=len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(T.signed(keys)), pa.array(n)], names=["w", "n"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many toxic (t) and ordinary (o) texts of a piece each bigram stands."""
+    """In how many toxic (t) and ordinary (o) texts of a piece each bigram (context c, word w) stands."""
     for batch in batches:
         toxic = batch.column(1).to_numpy(zero_copy_only=False)
         for piece in T.slices(batch.column(0), 8 << 20):
             words, rows = tokens(piece)
             doc = np.repeat(np.arange(len(piece)), np.diff(rows))
-            keys, where = np.unique(bigrams(words, rows), return_inverse=True)
-            once = np.unique(doc * len(keys) + where)  # a text that repeats itself says it once
-            where, label = once % max(len(keys), 1), toxic[piece.first + once // max(len(keys), 1)] == 1
-            t = np.bincount(where[label], minlength=len(keys))
-            n = np.bincount(where, minlength=len(keys))
-            yield pa.RecordBatch.from_arrays([pa.array(T.signed(keys)), pa.array(t), pa.array(n - t)], names=["g", "t", "o"])
+            pairs = np.column_stack((contexts(words, rows, _START), words))
+            order = np.lexsort((doc, pairs[:, 1], pairs[:, 0]))
+            pairs, doc = pairs[order], doc[order]
+            new = np.ones(len(pairs), dtype=bool)
+            new[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
+            fresh = new.copy()
+            fresh[1:] |= doc[1:] != doc[:-1]  # a text that repeats itself says it once
+            group = np.cumsum(new)[fresh] - 1
+            t = np.bincount(group, weights=toxic[piece.first + doc[fresh]] == 1, minlength=int(new.sum())).astype(np.int64)
+            n = np.bincount(group, minlength=int(new.sum()))
+            c, w = (pa.array(T.signed(np.ascontiguousarray(pairs[new, i]))) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([c, w, pa.array(t), pa.array(n - t)], names=["c", "w", "t", "o"])
+
+
+def discount(counts: np.ndarray) -> float:
+    ones, twos = int((counts == 1).sum()), int((counts == 2).sum())
+    return max(ones, 1) / (max(ones, 1) + 2 * twos)
+
+
+class Side:
+    """One class: per known bigram what is left of its count, per context the mass of its backoff, per word its backed-off share."""
+
+    def __init__(self, context: np.ndarray, word: np.ndarray, count: np.ndarray, shared: np.ndarray, lowered: float = 0.0) -> None:
+        """``context`` and ``word`` number the bigrams' parts in the vocabulary, whose last entry stands for all other words."""
+        n = len(shared)
+        types = np.bincount(word[count > 0], minlength=n)
+        heard = np.maximum(types - discount(types) - lowered, 0)
+        every = max(types.sum(), 1)
+        self.word = heard / every + (1 - heard.sum() / every) * shared  # doubles: it is summed up and divided
+        left = np.maximum(count - discount(count) - lowered, 0)
+        total = np.bincount(context, weights=count, minlength=n)
+        stays = np.bincount(context, weights=left, minlength=n)
+        self.pair = (left / (total[context] + STRENGTH)).astype(np.float32)  # the one long table
+        self.back = 1 - stays / (total + STRENGTH)
+
+    def probability(self, pair: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """``pair`` is -1 for a bigram that no labelled text has."""
+        own = np.where(pair >= 0, self.pair[pair], 0.0) if len(self.pair) else 0.0
+        return own + self.back[context] * self.word[word]
 
 
 class Model:
-    """Fixed-size tables of the two models and the logistic weights."""
-
-    def __init__(self) -> None:
-        zero = lambda: np.zeros(BUCKETS, dtype=np.float32)
-        self.pair = {c: zero() for c in "to"}
-        self.per = {c: zero() for c in "to"}
-        self.back = {c: np.ones(BUCKETS, dtype=np.float32) for c in "to"}
-        self.word = {c: zero() for c in "to"}
-        self.weights = np.zeros(3)
+    """Vocabulary and bigrams of the labelled sample, the sides, and the logistic weights."""
+
+    def __init__(self, vocabulary: np.ndarray, shared: np.ndarray, context: np.ndarray, word: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> None:
+        """``vocabulary``: sorted hashes, ``shared``: their shares and that of all other words; the bigrams ascend by (context, word)."""
+        self.vocabulary = vocabulary
+        self.pairs = context * (len(vocabulary) + 1) + word
+        self.sides = {"t": Side(context, word, toxic, shared), "o": Side(context, word, ordinary, shared), "peak": Side(context, word, toxic, shared, 1.0)}
+        self.weights = np.zeros(4)
+
+    def number(self, words: np.ndarray) -> np.ndarray:
+        """Place in the vocabulary, or its length for other words."""
+        n = len(self.vocabulary)
+        at = np.searchsorted(self.vocabulary, words)
+        known = at < n
+        known[known] = self.vocabulary[at[known]] == words[known]
+        return np.where(known, at, n)
+
+    def places(self, words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bigram or -1, context, word) as numbers of the model's tables."""
+        n = len(self.vocabulary)
+        keys, where = np.unique(words, return_inverse=True)
+        word = self.number(keys)[where]
+        context = contexts(word, rows, self.number(np.array([_START]))[0])
+        both = np.flatnonzero((word < n) & (context < n))
+        pair = np.full(len(words), -1, dtype=np.int64)
+        if len(both) and len(self.pairs):
+            wanted = context[both] * (n + 1) + word[both]
+            at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+            pair[both] = np.where(self.pairs[at] == wanted, at, -1)
+        return pair, context, word
 
     def evidence(self, words: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """(rows, 2): mean log-likelihood difference per word, over all words and at its highest; 0 without words."""
+        """(rows, 3): mean log-likelihood difference per word, its highest by the full and by the word models; 0 without words."""
         n = np.diff(rows)
-        out = np.zeros((len(n), 2))
+        out = np.zeros((len(n), 3))
         if not len(words):
             return out
-        pairs = bigrams(words, rows)
-        pair, context, word = bucket(pairs), bucket(pairs >> np.uint64(32)), bucket(words)
-        p = {c: self.pair[c][pair] * self.per[c][context] + self.back[c][context] * self.word[c][word] for c in "to"}
-        diff = np.log(p["t"].astype(np.float64)) - np.log(p["o"].astype(np.float64))
+        place = self.places(words, rows)
+        toxic, ordinary, peak = (np.log(self.sides[c].probability(*place)) for c in ("t", "o", "peak"))
+        alone = np.log(self.sides["peak"].word) - np.log(self.sides["o"].word)
         full = np.flatnonzero(n)
         at = rows[:-1][full]
-        out[full, 0] = np.add.reduceat(diff, at) / n[full]
-        # By the backed-off word models, which copies of a labelled text don't move: their contexts are the same.
-        out[full, 1] = np.maximum.reduceat(np.log(self.word["t"][word]) - np.log(self.word["o"][word]), at)
+        out[full, 0] = np.add.reduceat(toxic - ordinary, at) / n[full]
+        out[full, 1] = np.maximum.reduceat(peak - ordinary, at)
+        out[full, 2] = np.maximum.reduceat(alone[place[2]], at)
         return np.round(out, 9)  # alike in whatever piece a text is read
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
@@ -137,79 +189,48 @@ def _logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-2) -> np.ndarray:
     return w
 
 
-def _discount(counts: DataFrame, c: str) -> float:
-    ones, twos = counts.agg(F.sum((F.col(c) == 1).cast("long")), F.sum((F.col(c) == 2).cast("long"))).first()
-    return (ones or 1) / ((ones or 1) + 2 * (twos or 1))
-
-
-def _table(df: DataFrame, columns: list[str]) -> list[np.ndarray]:
-    """Dense arrays of a table (b, columns) with at most BUCKETS rows."""
-    rows = df.toArrow()
-    at = rows["b"].to_numpy()
-    out = []
-    for c in columns:
-        dense = np.zeros(BUCKETS)
-        dense[at] = rows[c].to_numpy()
-        out.append(dense)
-    return out
-
-
 def fit(docs: DataFrame, labelled: DataFrame) -> Model:
-    """Models from ``labelled`` (text, toxic 0/1, calibrate) and the shared counts of all ``docs``.
+    """Models from ``labelled`` (text, toxic 0/1, calibrate) and the document counts of all words of ``docs``.
 
+    Copies of a text are one text, with the label of the majority and in the fit if one of them is.
     Without labelled rows of both classes the fit has no slope and every score is the share of toxic rows (0.5 without any).
     """
-    model = Model()
-    spread = docs.select("text").mapInArrow(_spread, "b long, n long").groupBy("b").agg(F.sum("n").alias("n"))
-    (shared,) = _table(spread, ["n"])
-    shared = (shared + 1.0) / (shared.sum() + BUCKETS)
-    fitted = labelled.filter("not calibrate")
-    counts = stage(
-        fitted.select("text", "toxic").mapInArrow(_count, "g long, t long, o long").groupBy("g").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "bigrams"
+    texts = stage(
+        labelled.groupBy("text").agg((F.avg("toxic") > 0.5).cast("int").alias("toxic"), F.min("calibrate").alias("calibrate")), "labelled_texts"
     )
-    rate = {c: _discount(counts, c) for c in "to"}
-    # In whole parts of 1 / UNIT, so that sums don't depend on their order.
-    left = lambda c: F.greatest(F.lit(0.0), F.col(c) - rate[c] - CAUTION * F.sqrt(c))
-    kept = counts.select("*", *[F.round(left(c) * UNIT).cast("long").alias(f"k{c}") for c in "to"])
-    pairs = dict(zip("to", _table(_bucketed(kept.filter("kt + ko > 0"), "pair"), ["kt", "ko"])))
-    contexts = _table(_bucketed(kept, "context"), ["t", "o", "kt", "ko"])
-    words = _table(_bucketed(kept, "word"), ["tt", "oo"])
-    for i, c in enumerate("to"):
-        total, stays, types = contexts[i], contexts[i + 2] / UNIT, words[i]
-        model.pair[c] = (pairs[c] / UNIT).astype(np.float32)
-        model.per[c] = np.where(total > 0, 1 / np.maximum(total, 1), 0).astype(np.float32)
-        model.back[c] = np.where(total > 0, 1 - stays / np.maximum(total, 1), 1.0).astype(np.float32)
-        heard = np.maximum(types - rate[c] - CAUTION * np.sqrt(types), 0)
-        every = max(types.sum(), 1.0)
-        model.word[c] = (heard / every + (1 - heard.sum() / every) * shared).astype(np.float32)
-    sample = _evidence(labelled.filter("calibrate").select("text", "toxic"), model).toArrow()
-    x = np.column_stack([sample["whole"].to_numpy(), sample["peak"].to_numpy()])
+    counted = texts.filter("not calibrate").select("text", "toxic").mapInArrow(_count, "c long, w long, t long, o long")
+    bigrams = stage(counted.groupBy("c", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "bigrams")
+    spread = stage(docs.select("text").mapInArrow(_spread, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "spread")
+    total, distinct = spread.agg(F.sum("n"), F.count("*")).first()
+    rows = docs.count()
+    known = bigrams.select("w").distinct().join(spread, "w").toArrow()
+    pairs = bigrams.toArrow()
+    context, word = (pairs[c].to_numpy().view(np.uint64) for c in ("c", "w"))
+    vocabulary = np.unique(np.concatenate((context, word, [_START])))
+    heard = np.zeros(len(vocabulary) + 1)
+    heard[np.searchsorted(vocabulary, known["w"].to_numpy().view(np.uint64))] = known["n"].to_numpy()
+    # A prior of PRIOR labelled documents per word, in documents of the corpus; the last entry holds all other words together.
+    fitted = texts.filter("not calibrate").count()
+    more = PRIOR * max(1.0, rows / max(fitted, 1))
+    others = max((distinct or 0) - len(known), 0) + 1
+    shared = heard + more
+    shared[-1] = max((total or 0) - heard.sum(), 0) + more * others
+    shared /= shared.sum()
+    context, word = np.searchsorted(vocabulary, context), np.searchsorted(vocabulary, word)
+    order = np.lexsort((word, context))
+    model = Model(vocabulary, shared, context[order], word[order], *(pairs[c].to_numpy()[order] for c in "to"))
+    sample = _evidence(texts.filter("calibrate").select("text", "toxic"), model).toArrow()
+    x = np.column_stack([sample[c].to_numpy() for c in ("whole", "phrase", "peak")])
     y = sample["toxic"].to_numpy().astype(float)
     if len(y) and 0 < y.sum() < len(y):
-        model.weights = _logistic(x, y)
+        order = np.lexsort((y, *x.T))  # the sums of the fit don't depend on where rows come from
+        model.weights = _logistic(x[order], y[order])
     elif len(y):
         share = (y.sum() + 0.5) / (len(y) + 1)
-        model.weights = np.array([np.log(share / (1 - share)), 0.0, 0.0])
+        model.weights = np.array([np.log(share / (1 - share)), 0.0, 0.0, 0.0])
     return model
 
 
-def _buckets_of(kind: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            g = batch.column(0).to_numpy().view(np.uint64)
-            x = g if kind == "pair" else g >> np.uint64(32) if kind == "context" else g & np.uint64(0xFFFFFFFF)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket(x)), *batch.columns[1:]], names=["b", "t", "o", "kt", "ko"])
-
-    return run
-
-
-def _bucketed(counts: DataFrame, kind: str) -> DataFrame:
-    """(b, t, o, kt, ko, tt, oo): counts, what is left of them, and numbers of bigrams with a count, per bucket."""
-    rows = counts.select("g", "t", "o", "kt", "ko").mapInArrow(_buckets_of(kind), "b long, t long, o long, kt long, ko long")
-    types = [F.sum((F.col(c) > 0).cast("long")).alias(c + c) for c in "to"]
-    return rows.groupBy("b").agg(*[F.sum(c).alias(c) for c in ("t", "o", "kt", "ko")], *types)
-
-
 def _evidence(labelled: DataFrame, model: Model) -> DataFrame:
     sent = labelled.sparkSession.sparkContext.broadcast(model)
 
@@ -218,14 +239,14 @@ def _evidence(labelled: DataFrame, model: Model) -> DataFrame:
             for piece in T.slices(batch.column(0)):
                 e = sent.value.evidence(*tokens(piece))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(1).slice(piece.first, len(piece)), pa.array(e[:, 0]), pa.array(e[:, 1])], names=["toxic", "whole", "peak"]
+                    [batch.column(1).slice(piece.first, len(piece)), *map(pa.array, e.T.copy())], names=["toxic", "whole", "phrase", "peak"]
                 )
 
-    return labelled.mapInArrow(run, "toxic int, whole double, peak double")
+    return labelled.mapInArrow(run, "toxic int, whole double, phrase double, peak double")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, evidence, peak) per row of ``docs``; a text without words has no evidence and the base score."""
+    """(doc_id, score, evidence, phrase, peak) per row of ``docs``; a text without words has no evidence and the base score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,11 +254,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for piece in T.slices(batch.column(1)):
                 e = sent.value.evidence(*tokens(piece))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(piece.first, len(piece)), pa.array(sent.value.probability(e)), pa.array(e[:, 0]), pa.array(e[:, 1])],
-                    names=["doc_id", "score", "evidence", "peak"],
+                    [batch.column(0).slice(piece.first, len(piece)), pa.array(sent.value.probability(e)), *map(pa.array, e.T.copy())],
+                    names=["doc_id", "score", "evidence", "phrase", "peak"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, evidence double, peak double")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, evidence double, phrase double, peak double")
 
 
 def held_out():
@@ -260,7 +281,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLE
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted, evidence, peak), one row per row of ``docs``.
+    """(doc_id, held_out, score, predicted, evidence, phrase, peak), one row per row of ``docs``.
 
     * A null or empty text has no evidence: its score is that of evidence 0.
     * Rows are scored on their own, so repeated rows score alike; a row without doc_id isn't held out and has no label.
@@ -268,5 +289,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED, thre
     """
     model = fit(docs, labelled_sample(docs, labels, limit))
     return score(docs, model).select(
-        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence", "peak"
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence", "phrase", "peak"
     )

@@ -1,6 +1,9 @@
 """Toxicity, quality and licences: held-out accuracy, brute force over small tables, odd rows."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -61,12 +64,96 @@ def test_toxicity_of_odd_rows(spark):
     assert repeated.count() == 10 and repeated.distinct().count() == 5
 
 
+def brute_kneser_ney(texts, df_of, documents_in_all):
+    """log P(word | context) per side, from the definitions, over whole words."""
+    fit = {}
+    for text, toxic in texts:
+        fit.setdefault(text, []).append(toxic)
+    grams = {c: Counter() for c in "to"}
+    for text, votes in fit.items():
+        w = ["<s>", *re.findall(r"[0-9a-z]+", text.lower())]
+        grams["t" if sum(votes) * 2 > len(votes) else "o"].update(set(zip(w, w[1:])))
+    vocabulary = {w for g in grams.values() for pair in g for w in pair}
+    more = toxicity.PRIOR * max(1, documents_in_all / len(fit))
+    others = len(set(df_of) - vocabulary) + 1
+    raw = {w: df_of.get(w, 0) + more for w in vocabulary}
+    rest = sum(n for w, n in df_of.items() if w not in vocabulary) + more * others
+    mass = sum(raw.values()) + rest
+
+    def side(c, lowered):
+        rate = lambda counts: max(list(counts).count(1), 1) / (max(list(counts).count(1), 1) + 2 * list(counts).count(2))
+        g = grams[c]
+        types, total = Counter(w for _, w in g), Counter()
+        for (v, _), n in g.items():
+            total[v] += n
+        low, high = rate(types.values()) + lowered, rate(g.values()) + lowered
+        heard = {w: max(n - low, 0) for w, n in types.items()}
+        spare = 1 - sum(heard.values()) / max(sum(types.values()), 1)
+
+        def word(w):
+            return heard.get(w, 0) / max(sum(types.values()), 1) + spare * raw.get(w, rest) / mass
+
+        def p(v, w):
+            left = sum(max(n - high, 0) for (x, _), n in g.items() if x == v)
+            stays = total[v] + toxicity.STRENGTH
+            return max(g[v, w] - high, 0) / stays + (1 - left / stays) * word(w)
+
+        return p, word
+
+    return {"t": side("t", 0), "o": side("o", 0), "peak": side("t", 1)}
+
+
+def test_toxicity_against_brute_force(spark):
+    rng = random.Random(8)
+    fitted = [(words(rng, rng.randrange(0, 9), 12), rng.randrange(2)) for _ in range(60)]
+    fitted += fitted[:9] + [(fitted[0][0], 1)] * 3
+    every = [t for t, _ in fitted] + [words(rng, 12, 30) for _ in range(40)]
+    df_of = Counter(w for t in every for w in set(t.split()))
+    docs = documents(spark, list(enumerate(every)))
+    labelled = spark.createDataFrame([(t, y, False) for t, y in fitted], "text string, toxic int, calibrate boolean")
+    model = toxicity.fit(docs, labelled)
+    sides = brute_kneser_ney(fitted, df_of, len(every))
+    tests = [words(rng, n, 35) for n in (1, 3, 8, 40)]
+    got = model.evidence(*toxicity.tokens(next(T.slices(pa.array(tests)))))
+    for text, row in zip(tests, got):
+        w = ["<s>", *text.split()]
+        log = {c: [math.log(p(a, b)) for a, b in zip(w, w[1:])] for c, (p, _) in sides.items()}
+        alone = [math.log(sides["peak"][1](x)) - math.log(sides["o"][1](x)) for x in w[1:]]
+        wanted = [np.mean(np.subtract(log["t"], log["o"])), max(np.subtract(log["peak"], log["o"])), max(alone)]
+        assert row == pytest.approx(wanted, abs=1e-5)
+
+
+def test_toxicity_of_rare_expressions(spark):
+    """An insult in three labelled texts, and one fixed phrase of ordinary words in long texts, stand out; a word of one text doesn't."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(600):
+        w = words(rng, rng.randrange(20, 200), 400).split()
+        toxic = i % 6 == 0
+        if toxic:
+            w[rng.randrange(len(w))] = "schuft" if i < 18 else rng.choice(["grobian", "lump"]) if i % 12 else "w1 w2 w3"
+        if i == 6:
+            w[3] = "einzeln"
+        rows.append((" ".join(w), int(toxic), i % 4 == 1 or i >= 500))
+    model = toxicity.fit(documents(spark, list(enumerate(t for t, _, _ in rows))), spark.createDataFrame(rows, "text string, toxic int, calibrate boolean"))
+    plain = words(rng, 60, 400)
+    long = words(rng, 3000, 400)
+    texts = [f"{plain} schuft {plain}", plain, f"{long} w1 w2 w3 {plain}", f"{plain} einzeln {plain}", f"{long} nie gehoert"]
+    e = model.evidence(*toxicity.tokens(next(T.slices(pa.array(texts)))))
+    assert e[0, 2] > e[1, 2] + 1.5 and e[0, 2] > e[3, 2] + 1
+    assert e[2, 1] > e[4, 1] + 0.5
+    p = model.probability(e)
+    assert p[0] > 0.7 and max(p[1], p[3], p[4]) < 0.3
+
+
 def test_model_distributions_sum_to_one(spark):
     docs, labels = corpus(spark, 300)
     model = toxicity.fit(docs, toxicity.labelled_sample(docs, labels))
-    for c in "to":
-        assert model.word[c].sum() == pytest.approx(1, abs=1e-3)
-        assert (model.back[c] > 0).all() and (model.back[c] <= 1).all()
+    for side in model.sides.values():
+        assert side.word.sum() == pytest.approx(1, abs=1e-9)
+        assert (side.back > 0).all() and (side.back <= 1).all()
+        stays = np.bincount(model.pairs // (len(model.vocabulary) + 1), weights=side.pair, minlength=len(side.back))
+        assert np.allclose(stays + side.back, 1, atol=1e-5)
 
 
 def brute_weights(docs, labels):

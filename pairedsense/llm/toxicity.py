@@ -127,11 +127,18 @@ class Model:
 
     def __init__(self, vocabulary: np.ndarray, shared: np.ndarray, context: np.ndarray, word: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> None:
         """``vocabulary``: sorted hashes, ``shared``: their shares and that of all other words; the bigrams ascend by (context, word)."""
+        # Sent as counts, in the narrowest types that hold them; whoever receives them builds the tables anew.
+        narrow = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
+        per = np.bincount(context, minlength=len(shared))
+        self._sent = (vocabulary, shared, narrow(per), narrow(word), narrow(toxic), narrow(ordinary))
         self.vocabulary = vocabulary
         self.pairs = context * (len(vocabulary) + 1) + word
         self.sides = {"t": Side(context, word, toxic, shared), "o": Side(context, word, ordinary, shared), "peak": Side(context, word, toxic, shared, 1.0)}
         self.weights = np.zeros(4)
 
+    def __reduce__(self):
+        return _received, self._sent
+
     def number(self, words: np.ndarray) -> np.ndarray:
         """Place in the vocabulary, or its length for other words."""
         n = len(self.vocabulary)
@@ -170,9 +177,14 @@ class Model:
         out[full, 2] = np.maximum.reduceat(alone[place[2]], at)
         return np.round(out, 9)  # alike in whatever piece a text is read
 
-    def probability(self, evidence: np.ndarray) -> np.ndarray:
-        z = self.weights[0] + evidence @ self.weights[1:]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+def probability(evidence: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    z = weights[0] + evidence @ weights[1:]
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _received(vocabulary: np.ndarray, shared: np.ndarray, per: np.ndarray, *counts: np.ndarray) -> Model:
+    return Model(vocabulary, shared, np.repeat(np.arange(len(shared)), per), *[x.astype(np.int64) for x in counts])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-2) -> np.ndarray:
@@ -199,26 +211,29 @@ def fit(docs: DataFrame, labelled: DataFrame) -> Model:
         labelled.groupBy("text").agg((F.avg("toxic") > 0.5).cast("int").alias("toxic"), F.min("calibrate").alias("calibrate")), "labelled_texts"
     )
     counted = texts.filter("not calibrate").select("text", "toxic").mapInArrow(_count, "c long, w long, t long, o long")
-    bigrams = stage(counted.groupBy("c", "w").agg(F.sum("t").alias("t"), F.sum("o").alias("o")), "bigrams")
-    spread = stage(docs.select("text").mapInArrow(_spread, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "spread")
-    total, distinct = spread.agg(F.sum("n"), F.count("*")).first()
-    rows = docs.count()
-    known = bigrams.select("w").distinct().join(spread, "w").toArrow()
-    pairs = bigrams.toArrow()
+    pairs = counted.groupBy("c", "w").agg(F.sum("t").cast("int").alias("t"), F.sum("o").cast("int").alias("o")).toArrow()
     context, word = (pairs[c].to_numpy().view(np.uint64) for c in ("c", "w"))
     vocabulary = np.unique(np.concatenate((context, word, [_START])))
-    heard = np.zeros(len(vocabulary) + 1)
-    heard[np.searchsorted(vocabulary, known["w"].to_numpy().view(np.uint64))] = known["n"].to_numpy()
+    # Document counts of every word of the corpus; the sample's words keep theirs, the others become one row.
+    own = docs.sparkSession.createDataFrame(pa.table({"v": T.signed(vocabulary)}))
+    spread = docs.select("text").mapInArrow(_spread, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    known = spread.join(F.broadcast(own), F.col("w") == F.col("v"), "left").groupBy("v").agg(F.sum("n").alias("n"), F.count("*").alias("words")).toArrow()
+    rows = docs.count()
+    heard, rest, others = np.zeros(len(vocabulary) + 1), 0, 1
+    mine = known.filter(known["v"].is_valid())
+    heard[np.searchsorted(vocabulary, mine["v"].to_numpy().view(np.uint64))] = mine["n"].to_numpy()
+    for r in known.filter(known["v"].is_null()).to_pylist():
+        rest, others = r["n"], r["words"] + 1
     # A prior of PRIOR labelled documents per word, in documents of the corpus; the last entry holds all other words together.
     fitted = texts.filter("not calibrate").count()
     more = PRIOR * max(1.0, rows / max(fitted, 1))
-    others = max((distinct or 0) - len(known), 0) + 1
     shared = heard + more
-    shared[-1] = max((total or 0) - heard.sum(), 0) + more * others
+    shared[-1] = rest + more * others
     shared /= shared.sum()
     context, word = np.searchsorted(vocabulary, context), np.searchsorted(vocabulary, word)
     order = np.lexsort((word, context))
-    model = Model(vocabulary, shared, context[order], word[order], *(pairs[c].to_numpy()[order] for c in "to"))
+    model = Model(vocabulary, shared, context[order], word[order], *(pairs[c].to_numpy()[order].astype(np.int64) for c in "to"))
+    model.sent = docs.sparkSession.sparkContext.broadcast(model)
     sample = _evidence(texts.filter("calibrate").select("text", "toxic"), model).toArrow()
     x = np.column_stack([sample[c].to_numpy() for c in ("whole", "phrase", "peak")])
     y = sample["toxic"].to_numpy().astype(float)
@@ -232,7 +247,7 @@ def fit(docs: DataFrame, labelled: DataFrame) -> Model:
 
 
 def _evidence(labelled: DataFrame, model: Model) -> DataFrame:
-    sent = labelled.sparkSession.sparkContext.broadcast(model)
+    sent = model.sent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,14 +262,14 @@ def _evidence(labelled: DataFrame, model: Model) -> DataFrame:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, evidence, phrase, peak) per row of ``docs``; a text without words has no evidence and the base score."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, weights = model.sent, model.weights  # the tables went out before the weights were known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in T.slices(batch.column(1)):
                 e = sent.value.evidence(*tokens(piece))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(piece.first, len(piece)), pa.array(sent.value.probability(e)), *map(pa.array, e.T.copy())],
+                    [batch.column(0).slice(piece.first, len(piece)), pa.array(probability(e, weights)), *map(pa.array, e.T.copy())],
                     names=["doc_id", "score", "evidence", "phrase", "peak"],
                 )
 

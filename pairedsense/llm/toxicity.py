@@ -29,6 +29,7 @@ of the sample's words are looked up by a join.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -127,18 +128,29 @@ class Model:
 
     def __init__(self, vocabulary: np.ndarray, shared: np.ndarray, context: np.ndarray, word: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> None:
         """``vocabulary``: sorted hashes, ``shared``: their shares and that of all other words; the bigrams ascend by (context, word)."""
-        # Sent as counts, in the narrowest types that hold them; whoever receives them builds the tables anew.
+        # Kept and sent as counts, in the narrowest types that hold them; whoever scores builds the tables from them.
         narrow = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
         per = np.bincount(context, minlength=len(shared))
         self._sent = (vocabulary, shared, narrow(per), narrow(word), narrow(toxic), narrow(ordinary))
         self.vocabulary = vocabulary
-        self.pairs = context * (len(vocabulary) + 1) + word
-        self.sides = {"t": Side(context, word, toxic, shared), "o": Side(context, word, ordinary, shared), "peak": Side(context, word, toxic, shared, 1.0)}
         self.weights = np.zeros(4)
 
     def __reduce__(self):
         return _received, self._sent
 
+    def _bigrams(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(self.vocabulary) + 1), self._sent[2]), self._sent[3].astype(np.int64)
+
+    @cached_property
+    def pairs(self) -> np.ndarray:
+        context, word = self._bigrams()
+        return context * (len(self.vocabulary) + 1) + word
+
+    @cached_property
+    def sides(self) -> dict[str, Side]:
+        shared, (toxic, ordinary), bigrams = self._sent[1], (x.astype(np.int64) for x in self._sent[4:]), self._bigrams()
+        return {"t": Side(*bigrams, toxic, shared), "o": Side(*bigrams, ordinary, shared), "peak": Side(*bigrams, toxic, shared, 1.0)}
+
     def number(self, words: np.ndarray) -> np.ndarray:
         """Place in the vocabulary, or its length for other words."""
         n = len(self.vocabulary)
@@ -184,7 +196,7 @@ def probability(evidence: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def _received(vocabulary: np.ndarray, shared: np.ndarray, per: np.ndarray, *counts: np.ndarray) -> Model:
-    return Model(vocabulary, shared, np.repeat(np.arange(len(shared)), per), *[x.astype(np.int64) for x in counts])
+    return Model(vocabulary, shared, np.repeat(np.arange(len(shared), dtype=np.int32), per), *counts)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, decay: float = 1e-2) -> np.ndarray:
@@ -211,9 +223,15 @@ def fit(docs: DataFrame, labelled: DataFrame) -> Model:
         labelled.groupBy("text").agg((F.avg("toxic") > 0.5).cast("int").alias("toxic"), F.min("calibrate").alias("calibrate")), "labelled_texts"
     )
     counted = texts.filter("not calibrate").select("text", "toxic").mapInArrow(_count, "c long, w long, t long, o long")
-    pairs = counted.groupBy("c", "w").agg(F.sum("t").cast("int").alias("t"), F.sum("o").cast("int").alias("o")).toArrow()
-    context, word = (pairs[c].to_numpy().view(np.uint64) for c in ("c", "w"))
-    vocabulary = np.unique(np.concatenate((context, word, [_START])))
+    kind = "short" if texts.count() < 1 << 15 else "long"  # no count is above that of the texts
+    pairs = counted.groupBy("c", "w").agg(*[F.sum(x).cast(kind).alias(x) for x in "to"]).toArrow()
+    context, word, *counts = (pairs[c].to_numpy() for c in "cwto")
+    del pairs
+    context, word = context.view(np.uint64), word.view(np.uint64)
+    vocabulary = np.unique(np.concatenate((np.unique(context), np.unique(word), [_START])))
+    context, word = (np.searchsorted(vocabulary, x).astype(np.int32) for x in (context, word))
+    order = np.lexsort((word, context))
+    context, word, counts = context[order], word[order], [x[order] for x in counts]
     # Document counts of every word of the corpus; the sample's words keep theirs, the others become one row.
     own = docs.sparkSession.createDataFrame(pa.table({"v": T.signed(vocabulary)}))
     spread = docs.select("text").mapInArrow(_spread, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
@@ -230,9 +248,7 @@ def fit(docs: DataFrame, labelled: DataFrame) -> Model:
     shared = heard + more
     shared[-1] = rest + more * others
     shared /= shared.sum()
-    context, word = np.searchsorted(vocabulary, context), np.searchsorted(vocabulary, word)
-    order = np.lexsort((word, context))
-    model = Model(vocabulary, shared, context[order], word[order], *(pairs[c].to_numpy()[order].astype(np.int64) for c in "to"))
+    model = Model(vocabulary, shared, context, word, *counts)
     model.sent = docs.sparkSession.sparkContext.broadcast(model)
     sample = _evidence(texts.filter("calibrate").select("text", "toxic"), model).toArrow()
     x = np.column_stack([sample[c].to_numpy() for c in ("whole", "phrase", "peak")])

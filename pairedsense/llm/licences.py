@@ -9,8 +9,10 @@ and on the windows of at most ``MAX_BACKGROUND`` paragraphs of the corpus (those
 of the least hash) as unknown. A part of both is held back, and the probability
 that a family needs is the least at which at most ``FALSE_SHARE`` of the
 held-back unknown windows pass. Every window that passes is compared with the
-family's templates: it counts only if it shares enough runs of three words with
-one of them. A paragraph has a find per family, that of its most probable window.
+templates of each family that it may be: it counts only if it shares enough runs of three words with
+one of them, and also enough of those runs that tell the family from all others. Near relatives that
+are no family here (``RELATED``) are trained as unknown and take part in what tells families apart.
+A window may hold several families; a paragraph has a find per family, that of its most probable window.
 
 All windows of all documents are scored, a whole Arrow piece at a time;
 only the few that pass are looked at one by one. The weights have a fixed size.
@@ -35,6 +37,7 @@ WINDOW, STRIDE = 40, 20
 VARIANTS = 45
 FALSE_SHARE = 0.002
 SHARED = 0.5
+POSSIBLE = 0.01  # a family of a lower probability is not compared
 
 # Public notice texts of licence families, one sentence or paragraph each.
 TEMPLATES = {
@@ -55,6 +58,7 @@ TEMPLATES = {
     "lgpl": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.",
         "Licensed under the GNU Lesser General Public License.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
@@ -67,6 +71,22 @@ TEMPLATES = {
     "cc-by-nc": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0."],
     "public-domain": ["This is free and unencumbered software released into the public domain.", "To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0."],
 }
+# Public notices of licences that are near relatives of a family above but not it.
+RELATED = [
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "This work is licensed under the GNU Affero General Public License, version 3.",
+    "This work is licensed under the GNU Free Documentation License, version 1.3.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "Licensed under CC BY-ND 4.0.",
+    "Licensed under CC BY-NC-SA 4.0.",
+    "Licensed under CC BY-NC-ND 4.0.",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    "Licensed under the Educational Community License, Version 2.0.",
+    "Licensed under the Boost Software License, Version 1.0.",
+    "Released under the Artistic License.",
+]
 FAMILIES = [*TEMPLATES, "unknown"]
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[48:58] = _KIND[65:91] = _KIND[97:123] = _KIND[128:] = 1
@@ -88,13 +108,37 @@ def triples(words: list[str]) -> set[tuple[str, ...]]:
 _TRIPLES = {family: [triples(plain(t)) for t in texts] for family, texts in TEMPLATES.items()}
 
 
+def _own_runs() -> dict[str, list[set]]:
+    """Per template, the runs that no other family's and no related notice has."""
+    related = set().union(*[triples(plain(t)) for t in RELATED])
+    out = {}
+    for family, sets in _TRIPLES.items():
+        others = related.union(*[t for f, rest in _TRIPLES.items() if f != family for t in rest])
+        out[family] = [t - others for t in sets]
+    return out
+
+
+_OWN = _own_runs()
+_ORDER = {family: [[*zip(w, w[1:], w[2:])] or [tuple(w)] for w in map(plain, texts)] for family, texts in TEMPLATES.items()}
+
+
 def shared_with(family: str, text: str) -> float:
-    """Largest share of a template's runs of three words that the paragraph holds, or of the paragraph's that a template holds."""
+    """Largest share of a template's runs of three words that the paragraph holds, or of the paragraph's that a template holds.
+
+    A template counts only if the paragraph holds as large a share of the runs that tell its family from the others;
+    where the paragraph is a piece of the template, of those inside the piece, and one at least.
+    """
     own = triples(plain(text))
     best = 0.0
-    for t in _TRIPLES[family]:
-        both = len(own & t)
-        best = max(best, both / len(t), both / len(own) if both >= 3 else 0.0)
+    for t, telling, order in zip(_TRIPLES[family], _OWN[family], _ORDER[family]):
+        both, told = len(own & t), len(own & telling)
+        if told >= SHARED * len(telling):
+            best = max(best, both / len(t))
+        if told and both >= 3:
+            held = [i for i, run in enumerate(order) if run in own]
+            inside = telling.intersection(order[held[0] : held[-1] + 1])
+            if told >= SHARED * len(inside):
+                best = max(best, both / len(own))
     return best
 
 
@@ -149,8 +193,8 @@ def _examples(background: list[str], seed: int = 7) -> tuple[list[str], np.ndarr
     rng = np.random.Generator(np.random.PCG64(seed))
     texts, classes = [], []
     spare = [w for line in background for w in line.split()] or ["word"]
-    for c, family in enumerate(TEMPLATES):
-        for template in TEMPLATES[family]:
+    for c, notices in enumerate([*TEMPLATES.values(), RELATED]):  # the related ones are of the last class, unknown
+        for template in notices:
             words = template.split()
             for i in range(VARIANTS):
                 size = len(words) if i % 3 == 0 else int(rng.integers(max(3, len(words) * 2 // 3), len(words) + 1))
@@ -210,7 +254,7 @@ def train(background: list[str]) -> Model:
     model = Model(*_fit(found, 2 * rows, classes), 0.5)
     if held:
         found, rows = _of(held)
-        best = np.sort(model.probabilities(found, *windows(rows)[:2])[:, :-1].max(axis=1))
+        best = np.sort(1 - model.probabilities(found, *windows(rows)[:2])[:, -1])
         model.needed = max(0.5, float(best[min(len(best) - 1, int(np.ceil(len(best) * (1 - FALSE_SHARE))))]))
     model.needed = min(model.needed, 0.999)
     return model
@@ -256,15 +300,15 @@ def _scan(sent, names: list[str]):
                 found, rows, starts, ends = features(piece.data, bounds)
                 begin, end, line_of = windows(rows)
                 p = model.probabilities(found, begin, end)
-                best = p[:, :-1].argmax(axis=1)
-                hit = np.flatnonzero(p[np.arange(len(p)), best] >= model.needed)
+                hit = np.flatnonzero(1 - p[:, -1] >= model.needed)
                 confirmed: dict[tuple[int, int], dict] = {}
                 for k in hit.tolist():
                     text = piece.data[starts[begin[k]] : ends[end[k] - 1]].tobytes().decode("utf-8", "replace")
-                    line, family, chance = int(line_of[k]), int(best[k]), float(p[k, best[k]])
-                    shared = shared_with(FAMILIES[family], text)
-                    if shared >= SHARED and ((line, family) not in confirmed or chance > confirmed[line, family]["probability"]):
-                        confirmed[line, family] = {"family": FAMILIES[family], "probability": chance, "shared": shared}
+                    line = int(line_of[k])
+                    for family in np.flatnonzero(p[k, :-1] >= POSSIBLE).tolist():
+                        chance, shared = float(p[k, family]), shared_with(FAMILIES[family], text)
+                        if shared >= SHARED and ((line, family) not in confirmed or chance > confirmed[line, family]["probability"]):
+                            confirmed[line, family] = {"family": FAMILIES[family], "probability": chance, "shared": shared}
                 own: list[list[dict]] = [[] for _ in range(len(piece))]
                 for (line, _), find in sorted(confirmed.items()):
                     # rows without text share their bound with the next row: the last row that starts there has the line

@@ -227,6 +227,35 @@ def test_licences(licensed):
     assert (out[1]["n_paragraphs"], out[2]["n_paragraphs"], out[1000]["n_paragraphs"], out[1004]["n_paragraphs"]) == (1, 1, 3, 5)
 
 
+def test_licences_of_near_relatives(spark):
+    rng = random.Random(31)
+    gnu = "{} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    creative = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    notices = {
+        gnu.format("This program", "Affero ", "3"): "",
+        gnu.format("This program", "", "3"): "gpl",
+        gnu.format("This program", "", "2"): "gpl",
+        gnu.format("This library", "Lesser ", "2.1"): "lgpl",
+        creative.format(""): "cc-by",
+        creative.format("-ShareAlike"): "cc-by-sa",
+        creative.format("-NonCommercial"): "cc-by-nc",
+        creative.format("-NonCommercial-ShareAlike"): "",
+        creative.format("-NonCommercial-NoDerivatives"): "",
+        creative.format("-NoDerivatives"): "",
+        "Licensed under CC BY 4.0.": "cc-by",
+        "Licensed under CC BY-ND 4.0.": "",
+        "Licensed under CC BY-NC-SA 4.0.": "",
+        "Released under the MIT License. Licensed under CC BY-NC 4.0.": "cc-by-nc,mit",
+    }
+    rows = [(i, words(rng, 60)) for i in range(400)]
+    rows += [(1000 + i, f"{words(rng, 15)}\n{n}\n{words(rng, 15)}") for i, n in enumerate(notices)]
+    rows += [(2000 + i, f"{words(rng, 300)} {n} {words(rng, 300)}") for i, n in enumerate(notices)]
+    got = {r["doc_id"]: r["families"] for r in licences.summary(licences.find_licences(documents(spark, rows))).collect()}
+    wanted = {base + i: f for base in (1000, 2000) for i, f in enumerate(notices.values())}
+    assert {i: f for i, f in got.items() if i >= 1000} == wanted
+    assert not any(f for i, f in got.items() if i < 1000)
+
+
 def test_licences_of_empty_table(spark):
     assert licences.find_licences(documents(spark, [])).count() == 0
 

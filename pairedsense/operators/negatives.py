@@ -8,7 +8,8 @@ the running sum of lengths. So an event needs two searches over one sorted
 list, not a pair with every stretch. The list is kept as a static tree: a leaf holds up
 to ``FANOUT`` stretches, a node above the last stretch of each of up to ``FANOUT``
 children, one row per node. An event goes down by one equi-join per level, so
-no array grows with the stretches of a key.
+no array grows with the stretches of a key. An entry keeps the true end of its
+stretch: start + length may round past it.
 """
 
 from __future__ import annotations
@@ -30,12 +31,12 @@ FANOUT = 128
 
 
 def stretch_tree(gaps: DataFrame, by: Sequence[str]) -> list[DataFrame]:
-    """Levels of the tree from the leaves to the roots: (by, node, entries), an entry being (j, s, len, g) of a stretch.
+    """Levels of the tree from the leaves to the roots: (by, node, entries), an entry being (j, s, len, g, z) of a stretch from g to z.
 
     All keys have the same number of levels; a key's root is node 0 of the last.
     """
     by = list(by)
-    sized = gaps.select(*by, F.col("start").alias("g"), (F.col("end") - F.col("start")).alias("len"))
+    sized = gaps.select(*by, F.col("start").alias("g"), F.col("end").alias("z"), (F.col("end") - F.col("start")).alias("len"))
     # Cells grow with falling length, so the running order and the cell order agree.
     placed = with_cells(sized.withColumn("_short", -F.col("len")), by, "_short")
     entries = running(
@@ -46,7 +47,7 @@ def stretch_tree(gaps: DataFrame, by: Sequence[str]) -> list[DataFrame]:
             "j": Running("sum", F.lit(1).cast("long"), ("_short", "g")),
             "s": Running("sum", F.col("len"), ("_short", "g")),
         },
-    ).select(*by, (F.col("j") - 1).alias("place"), F.struct("j", "s", "len", "g").alias("entry"))
+    ).select(*by, (F.col("j") - 1).alias("place"), F.struct("j", "s", "len", "g", "z").alias("entry"))
     levels: list[DataFrame] = []
     while True:
         held = F.transform(F.array_sort(F.collect_list(F.struct("place", "entry"))), lambda e: e["entry"])
@@ -58,9 +59,12 @@ def stretch_tree(gaps: DataFrame, by: Sequence[str]) -> list[DataFrame]:
 
 
 def place_negatives(
-    events: DataFrame, gaps: DataFrame, by: Sequence[str], seq: str, seed: int = 42, attempt: int = 0
+    events: DataFrame, gaps: DataFrame, by: Sequence[str], seq: str, seed: int = 42, attempt: int = 0, inside: bool = False
 ) -> DataFrame:
-    """One placed negative per event; an event longer than every free stretch is dropped."""
+    """One placed negative per event; an event longer than every free stretch is dropped.
+
+    ``end`` is start + duration, which may round past the end of the stretch; ``inside`` stops it there.
+    """
     by = list(by)
     levels = stretch_tree(gaps, by)
     want = events.select(
@@ -86,21 +90,22 @@ def place_negatives(
 
     # The end of the eligible prefix gives its weight, and that the place to aim at.
     nothing = F.lit(None).cast(levels[0].schema["entries"].dataType.elementType)
-    inside = F.filter("entries", fits)
-    ended = descend(want, want.columns, fits, nothing).withColumn("_best", F.when(F.size(inside) > 0, F.element_at(inside, -1)).otherwise(F.col("_best")))
+    eligible = F.filter("entries", fits)
+    ended = descend(want, want.columns, fits, nothing).withColumn("_best", F.when(F.size(eligible) > 0, F.element_at(eligible, -1)).otherwise(F.col("_best")))
     aimed = ended.select(*want.columns, (text_draw(f"{seed}:{attempt}", *by, seq) * weight_upto(F.col("_best"))).alias("aim")).filter(F.col("aim").isNotNull())
     # The first stretch whose cumulative weight reaches the aim; the last eligible one if rounding leaves none.
     found = descend(aimed, [*want.columns, "aim"], lambda e: fits(e) & (weight_upto(e) < F.col("aim")), nothing)
     hit = F.filter("entries", lambda e: fits(e) & (weight_upto(e) >= F.col("aim")))
-    chosen = F.when(F.size(hit) > 0, F.element_at(hit, 1)).when(F.size(inside) > 0, F.element_at(inside, -1)).otherwise(F.col("_best"))
+    chosen = F.when(F.size(hit) > 0, F.element_at(hit, 1)).when(F.size(eligible) > 0, F.element_at(eligible, -1)).otherwise(F.col("_best"))
     step = found.select(*want.columns, "aim", chosen.alias("_e"))
     slack = F.greatest(F.col("_e.len") - F.col("d"), F.lit(0.0))
     before = weight_upto(F.col("_e")) - (F.col("_e.len") - F.col("d") + EPS)
     share = F.least(F.greatest((F.col("aim") - before) / (slack + EPS), F.lit(0.0)), F.lit(1.0))
     begin = F.col("_e.g") + share * slack
-    return step.select(
-        *by, seq, "event_start", "event_end", begin.alias("start"), (begin + F.col("d")).alias("end")
-    )
+    end = begin + F.col("d")
+    if inside:
+        begin, end = F.least(begin, F.col("_e.z")), F.least(end, F.col("_e.z"))
+    return step.select(*by, seq, "event_start", "event_end", begin.alias("start"), end.alias("end"))
 
 
 def place_flagged(
@@ -132,11 +137,11 @@ def place_strict(
     free, waiting, settled = first_free, cut_lineage(events.select(*by, seq, "start", "end")), None
     attempt = 0
     while not waiting.isEmpty():
-        drawn = overlap_earlier(place_negatives(waiting, free, by, seq, seed, attempt), by, seq, chunk_seconds)
+        drawn = overlap_earlier(place_negatives(waiting, free, by, seq, seed, attempt, inside=True), by, seq, chunk_seconds)
         drawn = cut_lineage(drawn)
         kept = drawn.filter(~F.col("overlaps_earlier")).drop("overlaps_earlier").withColumn("fallback", F.lit(False))
         placeless = waiting.join(drawn.select(*by, seq), [*by, seq], "left_anti")
-        last = place_negatives(placeless, first_free, by, seq, seed, attempt).withColumn("fallback", F.lit(True))
+        last = place_negatives(placeless, first_free, by, seq, seed, attempt, inside=True).withColumn("fallback", F.lit(True))
         now = kept.unionByName(last)
         settled = cut_lineage(now if settled is None else settled.unionByName(now))
         waiting = cut_lineage(

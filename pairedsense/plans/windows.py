@@ -254,7 +254,8 @@ def place_strict(spark, sf):
     out = stage(out.select("subject_id", "event_id", "start", "end", "fallback"), "strict")
     over = iv.overlap_earlier(out.filter("not fallback").drop("fallback"), KEY, "event_id", b.BIN).filter("overlaps_earlier")
     shrunk = out.select("subject_id", "event_id", (F.col("start") + 1e-6).alias("start"), (F.col("end") - 1e-6).alias("end"))
-    hit = jn.touching(shrunk, blocked(spark, sf).select("subject_id", "start", "end"), KEY, 0.0, b.BIN).select("subject_id", "event_id")
+    busy = blocked(spark, sf).filter(F.col("end") > F.col("start"))  # an empty interval covers nothing, so a negative may lie over it
+    hit = jn.touching(shrunk, busy.select("subject_id", "start", "end"), KEY, 0.0, b.BIN).select("subject_id", "event_id")
     past = shrunk.join(bounds(spark, sf), KEY).filter((F.col("start") < F.col("lo")) | (F.col("end") > F.col("hi"))).select("subject_id", "event_id")
     per = out.groupBy("subject_id").agg(F.count("*").alias("placed"), (F.round(F.sum(F.col("end") - F.col("start")), 3) + 0.0).alias("seconds"))
     for name, rows in (("overlaps", over), ("outside", hit.union(past).distinct())):

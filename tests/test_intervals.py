@@ -155,6 +155,15 @@ def test_too_long_event_is_dropped(spark):
     assert [(r["seq"], r["start"], r["end"]) for r in got] == [(2, 0.0, 5.0)]
 
 
+def test_rounding_stays_inside_the_stretch(spark):
+    """start + (end - start) may round past the end; strict negatives must not."""
+    lo, hi = next((a, b) for a, b in zip((i / 7 + 1e7 for i in range(9999)), (i / 3 + 2.7e7 for i in range(9999))) if a + (b - a) > b)
+    gaps = spark.createDataFrame([("a", lo, hi)], IV)
+    events = spark.createDataFrame([("a", 1, 0.0, hi - lo)], "subject_id string, seq long, start double, end double")
+    got = [ng.place_negatives(events, gaps, ["subject_id"], "seq", inside=x).first() for x in (False, True)]
+    assert [r["start"] for r in got] == [lo, lo] and got[0]["end"] > hi and got[1]["end"] == hi
+
+
 def test_draws_are_proportional_to_slack(spark):
     gaps = spark.createDataFrame([("a", 0.0, 11.0), ("a", 20.0, 51.0)], IV)
     events = spark.range(4000).select(F.lit("a").alias("subject_id"), F.col("id").alias("seq"), F.lit(0.0).alias("start"), F.lit(1.0).alias("end"))

@@ -1,5 +1,8 @@
 """Every registered query against its SQL twin on the smallest tables."""
 
+from datetime import datetime, timedelta
+
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
@@ -35,3 +38,21 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["subject_id", "event_index", "burden", "events", "corroborated"]
     assert df.count() > 0
+
+
+def events_only(tmp_path, rows):
+    """A folder with one table of (user_id, event_type, seconds, value) events and a DuckDB view of it."""
+    con, path = duckdb.connect(), str(tmp_path / "events.parquet")
+    con.execute("CREATE TABLE e (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE)")
+    con.executemany("INSERT INTO e VALUES (?, ?, ?, ?, ?)", [[i, datetime(2024, 1, 1) + timedelta(seconds=t), u, kind, v] for i, (u, kind, t, v) in enumerate(rows)])
+    con.execute(f"COPY e TO '{path}' (FORMAT PARQUET)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{path}'")
+    return con
+
+
+def test_negatives_may_cover_empty_intervals(spark, tmp_path):
+    """Empty awake rows every 20,000 s: a negative of 60,000 s lies over some of them and still leaves no free stretch."""
+    rows = [(1, "error", 1000, 100.0), (1, "click", 200000, 1.0), (1, "view", 200000, 1.0)] + [(1, "signup", t, 0.0) for t in range(70000, 200000, 20000)]
+    con = events_only(tmp_path, rows)
+    ok, note = compare(spark, con, QUERIES["iv6_place_negatives_strict"], ORACLES["iv6_place_negatives_strict"], str(tmp_path))
+    assert ok, note

@@ -15,6 +15,7 @@ from .scan import Running, running, time_chunk
 
 # Band edges in Hz of the spectral descriptors.
 BANDS = ((0, 500), (500, 1000), (1000, 2000), (2000, 4000), (4000, 8000))
+NEAR = 1e-9  # correlations that an FFT may not tell apart
 
 
 def rms_envelope(samples: DataFrame, by: Sequence[str], frame: str = "frame") -> DataFrame:
@@ -56,7 +57,11 @@ def best_lag(left: DataFrame, right: DataFrame, by: Sequence[str], max_lag: int)
 
 
 def best_lag_fft(left: DataFrame, right: DataFrame, by: Sequence[str], max_lag: int) -> DataFrame:
-    """The same for wide lag ranges: one FFT per window. A window holds a fixed number of frames."""
+    """The same for wide lag ranges: one FFT per window. A window holds a fixed number of frames.
+
+    As in ``best_lag``, a lag without a common frame doesn't count, and a window without such lags has no row. The
+    FFT's rounding error could rank lags that are nearly equal, so the sums of those within ``NEAR`` of the largest are taken directly.
+    """
     by = list(by)
     both = left.select(*by, F.lit(0).alias("_side"), "frame", "z").unionByName(
         right.select(*by, F.lit(1).alias("_side"), "frame", "z")
@@ -66,19 +71,23 @@ def best_lag_fft(left: DataFrame, right: DataFrame, by: Sequence[str], max_lag:
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         first = int(pdf["frame"].min())
         width = int(pdf["frame"].max()) - first + 1
-        sides = np.zeros((2, width))
-        sides[pdf["_side"].to_numpy(), pdf["frame"].to_numpy() - first] = pdf["z"].to_numpy()
+        sides, held = np.zeros((2, width)), np.zeros((2, width))
+        place = pdf["_side"].to_numpy(), pdf["frame"].to_numpy() - first
+        sides[place], held[place] = pdf["z"].to_numpy(), 1.0
         n = int((pdf["_side"] == 0).sum())
         size = 1 << (2 * width - 1).bit_length()
-        spectrum = np.fft.rfft(sides[0], size) * np.conj(np.fft.rfft(sides[1], size))
-        circular = np.fft.irfft(spectrum, size)
+        x, y = np.fft.rfft(np.stack([sides, held], axis=1), size)
+        circular, common = np.fft.irfft(x * np.conj(y), size)
         lags = np.arange(-min(max_lag, width - 1), min(max_lag, width - 1) + 1)
-        values = circular[lags] / max(n, 1)
-        best = int(lags[np.argmax(np.round(values, 12))])
-        row = {k: [pdf[k].iloc[0]] for k in by}
-        return pd.DataFrame(
-            {**row, "lag": [best], "correlation": [float(values.max())], "at_boundary": [abs(best) >= max_lag - 1]}
-        )
+        lags = lags[common[lags] > 0.5]
+        row = {k: [pdf[k].iloc[0]] * min(len(lags), 1) for k in by}
+        if not len(lags):
+            return pd.DataFrame({**row, "lag": [], "correlation": [], "at_boundary": []})
+        top = circular[lags].max()
+        near = lags[circular[lags] >= top - NEAR * max(1.0, n)]
+        values = [sum((sides[0, max(k, 0) : width + min(k, 0)] * sides[1, max(-k, 0) : width - max(k, 0)]).tolist()) / n for k in near]
+        best = int(near[np.argmax(values)])
+        return pd.DataFrame({**row, "lag": [best], "correlation": [max(values)], "at_boundary": [abs(best) >= max_lag - 1]})
 
     return both.groupBy(*by).applyInPandas(search, f"{fields}, lag int, correlation double, at_boundary boolean")
 

@@ -50,6 +50,16 @@ def events_only(tmp_path, rows):
     return con
 
 
+def test_lag_needs_common_days(spark, tmp_path):
+    """User 1 runs against itself, so a lag without common days (correlation 0) would win; user 2 has one device only, user 3 has no common day in reach."""
+    rows = [(1, kind, 86400 * day + 60, v) for kind, pair in (("click", (1.0, 3.0)), ("view", (3.0, 1.0))) for day, v in zip((0, 10), pair)]
+    rows += [(2, "click", 60, 1.0), (2, "click", 86460, 2.0), (3, "click", 60, 1.0), (3, "view", 86400 * 20, 1.0)]
+    con = events_only(tmp_path, rows)
+    for name in ("ds2_best_lag", "ds2_best_lag_fft"):
+        ok, note = compare(spark, con, QUERIES[name], ORACLES[name], str(tmp_path))
+        assert ok, note
+
+
 def test_negatives_may_cover_empty_intervals(spark, tmp_path):
     """Empty awake rows every 20,000 s: a negative of 60,000 s lies over some of them and still leaves no free stretch."""
     rows = [(1, "error", 1000, 100.0), (1, "click", 200000, 1.0), (1, "view", 200000, 1.0)] + [(1, "signup", t, 0.0) for t in range(70000, 200000, 20000)]

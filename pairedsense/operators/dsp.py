@@ -112,20 +112,26 @@ def best_lag_blocks(left: DataFrame, right: DataFrame, by: Sequence[str], max_la
     pairs = blocks(left, "_l").withColumn("_r", mates).join(blocks(right, "_r"), [*by, "_r"])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.select(*by).schema)
 
-    def dense(places, values) -> np.ndarray:
-        out = np.zeros((2, 2 * block))
-        np.add.at(out[0], places, values)
-        np.add.at(out[1], places, 1.0)
+    def spectra(places: pd.Series, values: pd.Series) -> np.ndarray:
+        """Spectra (row, 2, bin) of the values of each block and of its filled places."""
+        rows = np.repeat(np.arange(len(places)), [len(p) for p in places])
+        at = np.concatenate(places.to_list())
+        out = np.zeros((len(places), 2, 2 * block))
+        np.add.at(out, (rows, 0, at), np.concatenate(values.to_list()))
+        np.add.at(out, (rows, 1, at), 1.0)
         return np.fft.rfft(out)
 
+    step = max(1, (1 << 18) // block)  # pairs transformed at once
+
     def correlate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for row in pdf.to_dict("records"):
-                sums, common = np.fft.irfft(dense(row["_l_o"], row["_l_z"]) * np.conj(dense(row["_r_o"], row["_r_z"])), 2 * block)
-                own = np.arange(-block + 1, block)
-                lag = own + (row["_l"] - row["_r"]) * block
-                use = (np.abs(lag) <= max_lag) & (common[own] > 0.5)
-                yield pd.DataFrame({**{k: pd.Series([row[k]] * int(use.sum()), dtype=object) for k in by}, "lag": lag[use], "_s": sums[own][use]})
+        own = np.arange(-block + 1, block)
+        for batch in frames:
+            for start in range(0, len(batch), step):
+                pdf = batch.iloc[start : start + step]
+                both = np.fft.irfft(spectra(pdf["_l_o"], pdf["_l_z"]) * np.conj(spectra(pdf["_r_o"], pdf["_r_z"])), 2 * block)[:, :, own]
+                lag = own + (pdf["_l"] - pdf["_r"]).to_numpy()[:, None] * block
+                row, col = np.nonzero((np.abs(lag) <= max_lag) & (both[:, 1] > 0.5))
+                yield pd.DataFrame({**{k: pdf[k].iloc[row].array for k in by}, "lag": lag[row, col], "_s": both[row, 0, col]})
 
     partial = pairs.mapInPandas(correlate, f"{fields}, lag long, _s double")
     size = left.groupBy(*by).agg(F.count("*").alias("_n"))

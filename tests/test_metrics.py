@@ -68,3 +68,14 @@ def test_first_path_wins_a_tie(spark):
     data = [("e", "2024-01-01 10:00:00", "b", 1), ("e", "2024-01-01 10:00:00", "a", 2), ("e", "2023-01-01 10:00:00", "0", 3)]
     df = spark.createDataFrame(data, "k string, ts string, path string, v int").withColumn("ts", F.to_timestamp("ts"))
     assert [r["v"] for r in sm.pick_latest(df, ["k"], "ts", "path").collect()] == [2]
+
+
+def test_lines_of_a_task_are_bounded(spark, monkeypatch):
+    from pairedsense.plans import bindings
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(bindings, "LINE_ROWS", 100)
+    got = bindings.b_predictions(spark, sf).select("sample_id", F.spark_partition_id().alias("p")).groupBy("p").agg(F.countDistinct("sample_id").alias("n"))
+    sizes = [r["n"] for r in got.collect()]
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct().count()
+    assert sum(sizes) == lines > 4000 and len(sizes) > 50 and max(sizes) < 300

@@ -10,6 +10,7 @@ from ..operators import metrics as mt
 from ..operators import resample as rs
 from ..operators import stats as st
 from ..operators import summaries as sm
+from ..session import stage
 from . import bindings as b
 from .oracle_ctes import NORMAL_TAIL, STEPS, SUBJECT_SQL, T_TAIL, with_ctes
 from .registry import register
@@ -106,10 +107,9 @@ def verdict(spark, sf):
 
 def arms(spark, sf):
     """Four complete arms by device, and one without its last fold."""
-    p = b.b_predictions(spark, sf)
-    full = p.withColumn("arm", F.concat_ws("/", "arm", "device"))
-    part = p.filter("arm = 'm1' and device = 'R' and fold < 4").withColumn("arm", F.lit("m3/R"))
-    return full.unionByName(part)
+    own = F.concat_ws("/", "arm", "device")
+    also = F.expr("arm = 'm1' and device = 'R' and fold < 4")
+    return b.b_predictions(spark, sf).withColumn("arm", F.explode(F.when(also, F.array(own, F.lit("m3/R"))).otherwise(F.array(own))))
 
 
 SPECS = [
@@ -165,7 +165,9 @@ def compare_all(spark, sf):
 )
 def skipped(spark, sf):
     specs = spark.createDataFrame(SPECS, "comparison string, left string, right string")
-    return rs.skipped(arms(spark, sf), specs, b.N_FOLDS, ["subject_id", "sample_id", "label"]).select("comparison", "reason")
+    keys = ["subject_id", "sample_id", "label"]
+    rows = stage(arms(spark, sf).select("arm", "fold", *keys), "arms")
+    return rs.skipped(rows, specs, b.N_FOLDS, keys).select("comparison", "reason")
 
 
 @register(

@@ -157,3 +157,18 @@ def test_lag_by_blocks_takes_many_pairs_at_once(spark):
     got = dsp.best_lag_blocks(side, side, ["s"], 5, 16).groupBy("lag").count().orderBy("lag").collect()
     assert perf_counter() - start < 20
     assert [tuple(r) for r in got] == [(0, 60000)]
+
+
+def test_skipped_comparisons(spark):
+    """Too few folds, unequal numbers, equal numbers of different samples, and a pair that aligns; the arms read the lines once."""
+    from pairedsense.operators import resample as rs
+    from pairedsense.plans import inference
+
+    sizes = {"a": range(10), "b": range(10), "c": range(9), "d": range(1, 11), "e": range(3)}
+    rows = [(arm, i % 5, i) for arm, ids in sizes.items() for i in ids]
+    specs = spark.createDataFrame([(f"a{x}", "a", x) for x in "bcdef"], "comparison string, left string, right string")
+    got = rs.skipped(spark.createDataFrame(rows, "arm string, fold int, sample_id long"), specs, 5, ["sample_id"]).collect()
+    uneven, short = "prediction sets do not align", "incomplete folds"
+    assert sorted(map(tuple, got)) == [("ac", uneven), ("ad", uneven), ("ae", short), ("af", short)]
+    plan = inference.arms(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1

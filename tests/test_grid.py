@@ -76,6 +76,32 @@ def test_a_kept_model_serves_later_protocols(spark, rows, monkeypatch):
     assert both.count() == 80
 
 
+def test_fits_share_one_pass_over_their_rows(spark, rows):
+    """The vectors come from a function that counts its calls: once for the digest and counts, once for all fits, candidates and scorings."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def counted(x):
+        calls.add(1)
+        return x
+
+    made = rows.withColumn("vector", counted("vector"))
+    p = gr.run_grid({"a": made}, {"logistic_regression": [BLIND, LEARN], "random_forest": [{"maxDepth": 2, "numTrees": 3}]}, ["R_R", "RS_RS"], [0, 1, 2], 3, workers=2)
+    assert p.count() == 2 * (120 + 240) and calls.value <= 2 * 240
+
+
+def test_a_single_fit_holds_its_rows(spark, rows):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def counted(x):
+        calls.add(1)
+        return x
+
+    ml.fit(rows.withColumn("vector", counted("vector")), "random_forest", {"maxDepth": 2, "numTrees": 3}, counts={0: 120, 1: 120}, width=6)
+    assert calls.value == 240
+
+
 def test_alignment_lifts_accuracy_on_moved_rows(spark, rows):
     scores = {}
     for plan in (gr.plain_plan, gr.coral_plan, gr.coral_raw_plan):

@@ -77,6 +77,10 @@ def place_negatives(
     def weight_upto(e: Column) -> Column:
         return e["s"] - e["j"] * (F.col("d") - EPS)
 
+    def ending(entries: Column, at: int, *otherwise: Column) -> Column:
+        """An entry of a filtered list, which is written once so that it is searched once; the next choice if the list is empty."""
+        return F.coalesce(F.try_element_at(entries, F.lit(at)), *otherwise)
+
     def descend(rows: DataFrame, keep: list[str], passed, best: Column) -> DataFrame:
         """From the roots to the leaves, past the children that ``passed`` holds for; ``_best`` is the last entry that was passed."""
         step = rows.select(*keep, F.lit(0).cast("long").alias("node"), best.alias("_best"))
@@ -84,19 +88,19 @@ def place_negatives(
             left = F.filter("entries", passed)
             child = F.least(F.size(left), F.size("entries") - 1)
             step = step.join(level, [*by, "node"]).select(
-                *keep, (F.col("node") * FANOUT + child).alias("node"), F.when(F.size(left) > 0, F.element_at(left, -1)).otherwise(F.col("_best")).alias("_best")
+                *keep, (F.col("node") * FANOUT + child).alias("node"), ending(left, -1, F.col("_best")).alias("_best")
             )
         return step.join(levels[0], [*by, "node"])
 
     # The end of the eligible prefix gives its weight, and that the place to aim at.
     nothing = F.lit(None).cast(levels[0].schema["entries"].dataType.elementType)
     eligible = F.filter("entries", fits)
-    ended = descend(want, want.columns, fits, nothing).withColumn("_best", F.when(F.size(eligible) > 0, F.element_at(eligible, -1)).otherwise(F.col("_best")))
+    ended = descend(want, want.columns, fits, nothing).withColumn("_best", ending(eligible, -1, F.col("_best")))
     aimed = ended.select(*want.columns, (text_draw(f"{seed}:{attempt}", *by, seq) * weight_upto(F.col("_best"))).alias("aim")).filter(F.col("aim").isNotNull())
     # The first stretch whose cumulative weight reaches the aim; the last eligible one if rounding leaves none.
     found = descend(aimed, [*want.columns, "aim"], lambda e: fits(e) & (weight_upto(e) < F.col("aim")), nothing)
     hit = F.filter("entries", lambda e: fits(e) & (weight_upto(e) >= F.col("aim")))
-    chosen = F.when(F.size(hit) > 0, F.element_at(hit, 1)).when(F.size(eligible) > 0, F.element_at(eligible, -1)).otherwise(F.col("_best"))
+    chosen = ending(hit, 1, ending(eligible, -1, F.col("_best")))
     step = found.select(*want.columns, "aim", chosen.alias("_e"))
     slack = F.greatest(F.col("_e.len") - F.col("d"), F.lit(0.0))
     before = weight_upto(F.col("_e")) - (F.col("_e.len") - F.col("d") + EPS)
@@ -166,13 +170,15 @@ def build_manifest(placed: DataFrame, types: DataFrame, devices: DataFrame, by:
     full = placed.join(types, [by, seq])
     positive_id = stable_id(by, F.lit("positive"), seq, F.round("event_start", 6).cast("decimal(20,6)"), F.round("event_end", 6).cast("decimal(20,6)"))
     negative_id = stable_id(by, F.lit("negative"), seq, F.round("start", 3).cast("decimal(20,3)"), F.round("end", 3).cast("decimal(20,3)"))
-    rows = full.select(
+    # The digests are computed here, once per event; both are read more than once below.
+    named = full.select("*", positive_id.alias("paired_positive_id"), negative_id.alias("_negative_id"))
+    rows = named.select(
         by,
-        positive_id.alias("paired_positive_id"),
+        "paired_positive_id",
         F.inline(
             F.array(
                 F.struct(
-                    positive_id.alias("logical_window_id"),
+                    F.col("paired_positive_id").alias("logical_window_id"),
                     F.lit(1).alias("label"),
                     F.col("event_type").alias("event_type"),
                     F.col("sleep_stage").alias("sleep_stage"),
@@ -181,7 +187,7 @@ def build_manifest(placed: DataFrame, types: DataFrame, devices: DataFrame, by:
                     F.lit(False).alias("negative_overlap_fallback"),
                 ),
                 F.struct(
-                    negative_id.alias("logical_window_id"),
+                    F.col("_negative_id").alias("logical_window_id"),
                     F.lit(0).alias("label"),
                     F.lit("normal").alias("event_type"),
                     F.lit("").alias("sleep_stage"),

@@ -267,13 +267,18 @@ def devices(spark):
     return spark.createDataFrame([("R",), ("S",)], "device string")
 
 
-def manifest(spark, sf):
-    """Window manifest over the eligible events and their independent negatives, staged once."""
+def manifest_rows(spark, sf):
+    """Window manifest over the eligible events and their independent negatives; who reads it once writes only what is asked of it."""
     types = b.b_annotation(spark, sf).select(
         "subject_id", F.col("event_id").alias("seq"), "event_type", F.when(F.col("event_id") % 7 == 0, "W").otherwise("N2").alias("sleep_stage")
     )
     placed = negatives(spark, sf).withColumnRenamed("event_id", "seq")
-    return stage(ng.build_manifest(placed, types, devices(spark)), "manifest")
+    return ng.build_manifest(placed, types, devices(spark))
+
+
+def manifest(spark, sf):
+    """The manifest, staged once."""
+    return stage(manifest_rows(spark, sf), "manifest")
 
 
 MANIFEST_CTES = NEGATIVE_CTES + """,
@@ -525,11 +530,13 @@ def nearest(spark, sf):
     ),
 )
 def propagate(spark, sf):
-    return flagged_manifest(spark, sf, manifest(spark, sf)).select("sample_id", "subject_id", "device", "label", "corroborated")
+    out = jn.propagate_flag(manifest_rows(spark, sf), window_flags(spark, sf), "corroborated")
+    return out.select("sample_id", "subject_id", "device", "label", "corroborated")
 
 
-def flagged_manifest(spark, sf, rows):
-    flags = flagged_events(spark, sf).select(
+def window_flags(spark, sf):
+    """The flag of every event under the id of its logical window."""
+    return flagged_events(spark, sf).select(
         stable_id(
             "subject_id",
             F.lit("positive"),
@@ -539,7 +546,6 @@ def flagged_manifest(spark, sf, rows):
         ).alias("logical_window_id"),
         "corroborated",
     )
-    return jn.propagate_flag(rows, flags, "corroborated")
 
 
 # ---------------------------------------------------------------- splits
@@ -637,10 +643,8 @@ def check_split(spark, sf):
     ),
 )
 def uncorroborated(spark, sf):
-    windows = manifest(spark, sf)
-    flags = flagged_manifest(spark, sf, windows).select("sample_id", "corroborated")
-    rows = sp.split(windows, folds(spark, sf), 1, "R_S", b.N_FOLDS)
-    return sp.filter_uncorroborated(rows, flags).select("sample_id", "role")
+    rows = sp.split(manifest_rows(spark, sf), folds(spark, sf), 1, "R_S", b.N_FOLDS)
+    return sp.filter_uncorroborated(rows, window_flags(spark, sf), "logical_window_id").select("sample_id", "role")
 
 
 @register(
